@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emtally.llm import bpe, chat, media, neardup, packing, warc
+from emtally.llm import ann, bpe, chat, media, neardup, packing, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
@@ -44,13 +49,26 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = secrets.find(documents, secrets.train(documents))
+    said = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.array_join(F.filter(said, lambda x: ~x.startswith("crf:")), ",")
+    return found.select("doc_id", *map(of, secrets.KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(said, ",").alias("spans"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.capture_histories(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_format, op4_bpe, op5_media, op7_best_fit_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_format, op3_toxicity, op4_bpe, op5_media, op7_best_fit_packing, op8_ann, op9_secrets, op10_warc)}
 
 
 # The escapes and controls here are those of chat.ChatTemplate.
