@@ -111,7 +111,7 @@ def fit(sample: np.ndarray, leaf: int, trees: int = TREES, seed: int = SEED) ->
             else:
                 children[at[0]][at[1]] = node
     c = np.array(children, np.int64).reshape(-1, 2)
-    return Forest(np.array(directions).reshape(-1, width), np.array(threshold), c[:, 0], c[:, 1], np.array(roots, np.int64))
+    return Forest(np.array(directions).reshape(len(directions), width), np.array(threshold), c[:, 0], c[:, 1], np.array(roots, np.int64))
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
