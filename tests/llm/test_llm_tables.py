@@ -1,0 +1,201 @@
+"""Near-duplicates, nearest neighbours, media and archives against plain versions, and the pipeline's stages."""
+
+import base64
+import hashlib
+import io
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from emtally.llm import ann, components, media, neardup, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    return df.withColumn("n", F.lit(1)).withColumn("digest", F.lit("x")).withColumn("value", F.lit(9)).withColumn("rep", F.lit(3))
+
+
+def plain_groups(rows, width, percent):
+    """All pairs of texts."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    top = list(range(len(rows)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if rows[i][0] is not None and rows[j][0] is not None and both and 100 * both >= percent * len(sets[i] | sets[j]):
+            top[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(d, len(s), None if d is None else least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+def edited(rng, words, n, vocabulary):
+    out = list(words)
+    for _ in range(n):
+        i, kind = rng.randrange(len(out)), rng.random()
+        if kind < 0.6:
+            out[i] = rng.choice(vocabulary)
+        elif kind < 0.8:
+            del out[i]
+        else:
+            out.insert(i, rng.choice(vocabulary))
+    return out
+
+
+@pytest.mark.parametrize("width,percent,rare,k", [(3, 85, 24, 32), (3, 85, 3, 32), (5, 80, 4, 32), (3, 85, 2, 16)])
+def test_near_duplicates(spark, width, percent, rare, k):
+    rng = random.Random(width * 100 + rare)
+    vocabulary = ["".join(rng.choice("aeioustrnl") for _ in range(3)) for _ in range(60)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = [(i, t) for i, t in enumerate(["", None, " \n", "one", "One two", "one  two", "a b c", "A B C", "a b c d"])]
+    passage = text(40)
+    for size, copies in ((60, 40), (150, 30), (20, 10), (9, 12), (400, 6)):
+        base = text(size)
+        for i in range(copies):
+            rows.append((len(rows), " ".join(edited(rng, base, rng.randint(0, max(1, size // 14)), vocabulary))))
+    base = text(90)
+    rows += [(len(rows) + i, " ".join(base)) for i in range(20)]
+    rows += [(len(rows) + i, " ".join(text(60) + passage)) for i in range(15)]
+    rows += [(len(rows) + i, " ".join(text(rng.randint(5, 200)))) for i in range(30)]
+    rows += [(None, " ".join(base)), (None, None), rows[40]]
+    rng.shuffle(rows)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows), width, percent, k, rare).collect()]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(plain_groups(rows, width, percent), key=key)
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert neardup.near_duplicates(docs(spark, [(1, "a")]).limit(0)).count() == 0
+    r = neardup.near_duplicates(docs(spark, [(1, None)])).first()
+    assert (r.doc_id, r.n_shingles, r.component_id, r.kept) == (1, 0, 1, True)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, i) for i in range(101, 160)]
+    extra = [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(45)]
+    links = [*chain, *star, *extra, (7, 7), (3, 2)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    top = {x: x for ab in links for x in ab if ab[0] != ab[1]}
+    for _ in range(100):
+        for a, b in links:
+            if a != b:
+                top[a] = top[b] = min(top[a], top[b])
+    assert got == top
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(700, 16)).astype(np.float32)
+    x[300:420] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(1000, None), (1100, [0.0] * 16), (1200, [None] + [1.0] * 15), (1300, [float("nan")] * 16), (1400, [float("inf")] + [0.0] * 15), (1500, []), (None, x[1].tolist())]
+    df = spark.createDataFrame(rows + bad + [rows[5]], "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("key", F.lit(2))
+    got = {}
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 700, 100))
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        order = np.lexsort((np.arange(700), d))[:10]
+        assert [r for r, _, _ in found] == list(range(1, 11)) and all(s == pytest.approx(d[v], abs=1e-12) for _, v, s in found)
+        assert [(s, v) for _, v, s in found] == sorted((s, v) for _, v, s in found)
+        hits += len({v for _, v, _ in found} & set(order.tolist()))
+    assert hits >= 0.9 * 70
+    assert [v for _, v, _ in got[0]] == list(range(300, 310)) and [v for _, v, _ in got[300]] == [0, *range(301, 310)]
+    few = ann.nearest(spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2, 3]
+    assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_loser_tree():
+    rng = random.Random(2)
+    for k in range(8):
+        runs = [sorted(rng.randint(0, 20) for _ in range(rng.randint(0, 9))) for _ in range(k)]
+        assert list(warc.loser_tree_merge([iter(r) for r in runs], lambda x: x)) == sorted(itertools.chain(*runs))
+
+
+def test_archives(spark):
+    html = ["<p>é</p>", "", None, "same", "same", "WARC/1.1\r\n\r\nx", "y" * 70000, "same"]
+    urls = ["http://www.B.example.com:80/a?x=1#t", None, "", "https://a.example.com/", "http://a.example.com/\r\nX: y", "ftp://z", "http://a.example.com/", "http://c.example.com"]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, html))], "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("archive", F.lit(2))
+    rows = warc.capture_histories(df).collect()
+    got = {r.page_id: r for r in rows}
+    assert [(r.url_key, r.timestamp, r.page_id) for r in rows] == sorted((r.url_key, r.timestamp, r.page_id) for r in rows)
+    for i, h in enumerate(html):
+        data = (h or "").encode()
+        keeper = max(j for j, x in enumerate(html) if (x or "") == (h or ""))
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        assert (got[i].record_type, got[i].refers_to) == (("response", None) if keeper == i else ("revisit", keeper))
+        with open(got[i].archive, "rb") as f:
+            f.seek(got[i].offset)
+            (_, used, head, block), *_ = warc.records(io.BytesIO(f.read(got[i].length)))
+        assert used == got[i].length and block == (data if keeper == i else b"")
+    big = {r.page_id: r.record_type for r in warc.capture_histories(df, min_payload_bytes=1).collect()}
+    assert big[1] == big[2] == "response" and big[3] == "revisit"
+    assert warc.capture_histories(df.limit(0)).count() == 0
+    assert warc.url_key("http://www.B.example.com:80/a?x=1#t") == "com,example,b:80)/a?x=1"
+
+
+def test_media(spark):
+    texts = ["", None, "a", "same text", "same text", "é" * 96, "x" * 192, "y" * 193, "long " * 30000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "n"), (3, "same text")]
+    got = media.media_documents(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id) for r in got)) == sorted(str(i) for i, _ in rows)
+    by = {r.doc_id: r for r in got}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        padded = data + b" " * ((192 - len(data) % 192) % 192 if data else 192)
+        r = by[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        stored = media.to_png(padded, len(data))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.from_png(stored) == (padded, len(data))
+        assert r.caption == f"text of document {i}" and r.pos == 1
+    assert by[0].feature == by[1].feature and by[3].feature == by[4].feature
+    assert media.media_documents(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_sequences(spark):
+    page = '<p>one</p><script>no</script><figure><img src="sha256:aa" alt="x"><figcaption>cap &amp; tion</figcaption></figure>two <b>three</b><img src="bb" alt="alt"><img><p>four'
+    assert media.parse_sequence(page) == [["text", "one", None, None], ["image", None, "aa", "cap & tion"], ["text", "two three", None, None], ["image", None, "bb", "alt"], ["text", "four", None, None]]
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "doc_id long, html string")
+    assert [(r.doc_id, r.pos, r.kind) for r in media.interleave(df).orderBy("doc_id", "pos").collect()] == [(1, i, k) for i, k in enumerate(("text", "image", "text", "image", "text"))]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    first = spark.read.parquet(f"{d}/documents.parquet")
+    a = p.drop_toxic(spark, first, d)
+    assert a.columns == first.columns and a.count() > 0.7 * first.count()
+    b = p.drop_near_duplicates(spark, first, d)
+    rows = [(r.doc_id, r.text) for r in first.collect()]
+    kept = {i for i, _, c in plain_groups(rows, 5, 80) if i == c}
+    assert {r.doc_id for r in b.collect()} == kept and b.columns == first.columns
+    c = p.blot_secrets(spark, first, d)
+    assert c.columns == first.columns and c.count() == first.count()
+    out = p.run(spark, d)
+    left = {r.doc_id for r in out.select("doc_id").distinct().collect()}
+    assert left <= {i for i, _ in rows} and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
