@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emtally.llm import tokens
-from emtally.llm.tables import written
+from emtally.llm.tables import small_batches, written
 
 #: Characters of a text, and bytes of a word, that are encoded without being halved.
 LEAF, WORD_LEAF = 4096, 128
@@ -225,6 +225,7 @@ def encode_documents(documents: DataFrame, vocabulary: str = tokens.VOCABULARY,
             enc.memo.clear()
         return pa.Table.from_batches([_batch([_row(table.column("doc_id")[0].as_py(), np.array(out, "<u4"), vocabulary)])])
 
+    small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
     size = F.coalesce(F.length("text"), F.lit(0))
     cut_blocks = docs.where(size > block).select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text").mapInArrow(cut, _BLOCKS)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emtally.llm.tables import written
+from emtally.llm.tables import new_path, small_batches, written
 
 #: A row of an image: 64 pixels of three 8-bit samples.
 WIDTH, ROW_BYTES = 64, 192
@@ -180,8 +180,6 @@ def store_media(documents: DataFrame) -> DataFrame:
 
     out = documents.select("text").mapInArrow(store, "digest string, media binary")
     # stored media are compressed already
-    from emtally.llm.tables import new_path
-
     path = new_path(documents.sparkSession, "media")
     out.write.option("compression", "none").parquet(path)
     return documents.sparkSession.read.schema("digest string, media binary").parquet(path)
@@ -217,6 +215,7 @@ def media_documents(documents: DataFrame) -> DataFrame:
     """Stores every whole text as media and returns its document's media item, resolved: doc_id, pos, caption and
     the columns of FEATURES. Null texts are empty; repeated rows give repeated rows; an empty table an empty result.
     Each document's page is written from its digest alone and parsed again, so order and caption are the parser's."""
+    small_batches(documents.sparkSession)
     features = written(media_features(store_media(documents)), "media-features")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     page = F.concat(

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emtally.llm.components import components
-from emtally.llm.tables import written
+from emtally.llm.tables import small_batches, written
 
 #: Retained values per sketch.
 K = 32
@@ -253,6 +253,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     full sets). component_id is the smallest doc_id that can be reached, kept is doc_id = component_id. Null,
     empty and blank texts have an empty set and no links; a row with a null doc_id has no links, a null
     component_id and is kept. Repeated rows get equal results. Other columns are ignored."""
+    small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
     sets = written(_sets(docs, width, k), "sketches")
     named = sets.where("n > 0 AND doc_id IS NOT NULL")

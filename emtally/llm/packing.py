@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emtally.llm import tokens
-from emtally.llm.tables import written
+from emtally.llm.tables import small_batches, written
 
 CAPACITY = 2048
 #: The id after each document.
@@ -42,6 +42,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = tok
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emtally.llm.tables import small_batches
+
 #: Rows whose passages the field is trained on (the smallest hashes of doc_id), and passages and tokens of each.
 SAMPLE, PASSAGES, PASSAGE = 300, 2, 24
 SEED = 11
@@ -303,6 +305,7 @@ def train(documents: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Field
                 out += [p[: 40 * PASSAGE] for at in range(0, PASSAGES * step, step) if (p := " ".join(words[at : at + PASSAGE])).strip()]
             yield pa.record_batch([pa.array(out, pa.string())], names=["text"])
 
+    small_batches(documents.sparkSession)
     ids = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(passages, "text string")
     return fit(examples(sorted(r.text for r in found.limit(4 * sample * PASSAGES).collect()), seed))
@@ -315,6 +318,7 @@ def find(documents: DataFrame, field: Field) -> DataFrame:
     """Per row: doc_id and its spans, ordered by start, then kind (the fixed kinds as listed, then "crf"); code
     points, end exclusive. The fixed patterns' matches are all there; the field's spans are added where they meet
     none of those. A null text is empty and has no span; repeated rows repeat; other columns are ignored."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,6 +396,7 @@ def _bytes(column) -> list[bytes]:
 def redact(documents: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every span replaced by ``mark`` (touching and overlapping spans by one) and n_chars set anew
     where the text changed. All rows and columns stay."""
+    small_batches(documents.sparkSession)
     shared, schema = documents.sparkSession.sparkContext.broadcast(field), documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emtally.llm.neardup import BROADCAST_IDS
+from emtally.llm.tables import small_batches
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -126,6 +127,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     """Learns from the labelled rows outside the held-out fold. A doc_id with several labels is toxic if one says so;
     null labels and ids are ignored. Without rows of both labels every text gets the same score, from their share."""
     spark = documents.sparkSession
+    small_batches(spark)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(0) and sizes.get(1)):
@@ -188,6 +190,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5). A null text counts as empty, which
     gets the score of a text without known n-grams; a null doc_id isn't held out; the score depends on nothing but
     the text. Repeated rows repeat; other columns are ignored."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

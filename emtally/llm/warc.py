@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emtally.llm.tables import new_path, written
+from emtally.llm.tables import new_path, small_batches, written
 
 #: Bytes of compressed records after which a task begins another archive: bounds what a reader holds.
 ARCHIVE_BYTES = 16 << 20
@@ -74,6 +74,7 @@ def write_archives(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
     as a written table: it names the archives of tasks that succeeded only, so what a lost executor left
     half done is never read. A null html is an empty payload, a null url an empty one; repeated rows make
     repeated records; an empty table makes no archive. Other columns are ignored."""
+    small_batches(pages.sparkSession)
     home = new_path(pages.sparkSession, "warc")
     rows = pages.select("page_id", "url", "html").join(decide(pages, min_payload_bytes).distinct(), "page_id", "left")
 
