@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emtally.llm import ann, bpe, chat, media, neardup, packing, secrets, toxicity, warc
+from emtally.llm import ann, bpe, chat, licenses, media, neardup, packing, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_format, op3_toxicity, op4_bpe, op5_media, op7_best_fit_packing, op8_ann, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_format, op3_toxicity, op4_bpe, op5_media, op6_licenses, op7_best_fit_packing, op8_ann, op9_secrets, op10_warc)}
 
 
 # The escapes and controls here are those of chat.ChatTemplate.
