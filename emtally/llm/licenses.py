@@ -19,7 +19,7 @@ from emtally.llm.neardup import _mix, _powers_to, _tables
 from emtally.llm.tables import small_batches
 
 GRAM, WINDOW = 3, 3
-#: Words by which an alignment may stray to either side of its diagonal.
+#: Words by which an alignment may stray to either side of its diagonal at most; a third of a shorter template.
 BAND = 12
 #: Share of a template's words that must match.
 COVERAGE = 0.8
@@ -106,10 +106,12 @@ class Index:
         found = []
         for template, hits in self.hits(h).items():
             t, taken = self.tokens[template], -1
-            for group in candidates(hits, len(t)):
+            # under the distance of two copies that follow each other
+            band = min(BAND, len(t) // 3)
+            for group in candidates(hits, len(t), band):
                 diagonal = int(np.median([d - p for d, p in group]))
-                lo = max(0, diagonal - BAND)
-                matched = align(t, h[lo : max(0, diagonal + len(t) + BAND)].tolist(), diagonal - lo)
+                lo = max(0, diagonal - band)
+                matched = align(t, h[lo : max(0, diagonal + len(t) + band)].tolist(), diagonal - lo, band)
                 if matched and len(matched) >= coverage * len(t) and lo + matched[0] > taken:
                     a, b = lo + matched[0], lo + matched[-1]
                     taken = b
@@ -118,13 +120,13 @@ class Index:
         return sorted((chars(a), chars(b), name, share) for a, b, name, share in found)
 
 
-def candidates(hits: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
-    """Hits of one template whose diagonals are within BAND of the group's first and that begin within the template's length of it."""
+def candidates(hits: list[tuple[int, int]], size: int, band: int) -> list[list[tuple[int, int]]]:
+    """Hits of one template whose diagonals are within ``band`` of the group's first and that begin within the template's length of it."""
     groups: list[list[tuple[int, int]]] = []
     open_: list[list[tuple[int, int]]] = []
     for d, p in hits:
-        open_ = [g for g in open_ if d - g[0][0] <= size + BAND]
-        home = next((g for g in open_ if abs((d - p) - (g[0][0] - g[0][1])) <= BAND), None)
+        open_ = [g for g in open_ if d - g[0][0] <= size + band]
+        home = next((g for g in open_ if abs((d - p) - (g[0][0] - g[0][1])) <= band), None)
         if home is None:
             home = []
             groups.append(home)

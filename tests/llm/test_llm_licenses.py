@@ -56,12 +56,12 @@ def docs(spark, texts):
 
 def test_scan(spark):
     rng = random.Random(3)
-    fill = lambda n: " ".join(rng.choice("über die of thing and der licensed under the work".split()) for _ in range(n))
+    fill = lambda n: " ".join(rng.choice("über die thing und der eins zwei".split()) for _ in range(n))
     texts, want = ["", None, " ", fill(4000)], {i: set() for i in range(4)}
     for name, t in L.TEMPLATES.items():
         w = t.split(" ")
         shouted = " \n* ".join(x.upper() for x in w)
-        changed = [x if i % 13 != 9 else "Foo" for i, x in enumerate(w)]
+        changed = [x if i % 13 != 9 or i > len(w) - 3 else "Foo" for i, x in enumerate(w)]
         for body in (t, shouted, " ".join(changed) if len(w) > 30 else t):
             before, after = fill(rng.randint(0, 60)), fill(20)
             text = f"{before}\n{body}\n{after}"
