@@ -126,6 +126,22 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def closest(x: np.ndarray, y: np.ndarray, own: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``y``, row of ``x``) among which are the ``top`` nearest of ``x`` to each of ``y``, ties included;
+    where ``own`` (y by x) is set there is no pair. Squared distances come from products; the bound leaves room for
+    their rounding, and where one isn't finite all rows of ``x`` stay."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        rough = xx + yy[:, None] - 2 * (y @ x.T)
+        odd = ~np.isfinite(rough).all(axis=1)
+        rough[own] = np.inf
+        bound = np.full(len(y), np.inf)
+        if len(x) > top:
+            room = 8 * (x.shape[1] + 8) * np.finfo(float).eps * (xx.max() + yy)
+            bound = np.where(odd, np.inf, np.partition(rough, top - 1, axis=1)[:, top - 1] + room)
+        return np.nonzero(~(rough > bound[:, None]) & ~own)
+
+
 def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = SAMPLE, trees: int = TREES, scan=scanned) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``top`` nearest found of each query, a row whose vec_id is divisible
     by ``every``; candidates are all other rows. score is the Euclidean distance in double precision; ties go to
@@ -147,52 +163,60 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
     leaves = min(n_leaves, int(scan(n) * n_leaves / max(1, n * trees)) + 2 * trees)
     forest = spark.sparkContext.broadcast(fitted_forest)
     groups = max(1, -(-n * trees // GROUP))
+    # leaves larger than a group are dealt out by vec_id to cells, and queries go to all cells of a leaf
+    shards = max(1, -(-n * trees // (n_leaves * GROUP)))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 found = forest.value.leaves(_matrix(part.column("v")))
+                shard = part.column("vec_id").to_numpy() % shards
+                cells = (found * shards + shard[:, None]).ravel()
                 rows = pa.array(np.repeat(np.arange(part.num_rows), found.shape[1]))
-                yield pa.record_batch([pa.array(found.ravel()), part.column("vec_id").take(rows), part.column("v").take(rows)], names=["leaf", "vec_id", "v"])
+                yield pa.record_batch([pa.array(cells % groups), pa.array(cells), part.column("vec_id").take(rows), part.column("v").take(rows)], names=["group", "cell", "vec_id", "v"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per query and group, with the cells there that the query takes."""
         for batch in batches:
             for i, q in enumerate(_matrix(batch.column("v"))):
-                found = forest.value.search(q, leaves)
-                rows = pa.array(np.full(len(found), i))
-                yield pa.record_batch([pa.array(found, pa.int64()), batch.column("vec_id").take(rows), batch.column("v").take(rows)], names=["leaf", "vec_id", "v"])
+                cells = (np.array(forest.value.search(q, leaves), np.int64)[:, None] * shards + np.arange(shards)).ravel()
+                cells = cells[np.argsort(cells % groups, kind="stable")]
+                to, first = np.unique(cells % groups, return_index=True)
+                rows = pa.array(np.full(len(to), i))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(cells)), pa.int32()), pa.array(cells))
+                yield pa.record_batch([pa.array(to), lists, batch.column("vec_id").take(rows), batch.column("v").take(rows)], names=["group", "cells", "vec_id", "v"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The nearest to each query among the vectors of the group's leaves that it takes."""
-        found: dict[int, list] = {}
+        """The nearest to each query among the vectors of the group's cells that it takes."""
+        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         if left.num_rows and right.num_rows:
-            left, right = left.sort_by("leaf"), right.sort_by("leaf")
-            a, b = left.column("leaf").to_numpy(), right.column("leaf").to_numpy()
-            x, y, xi, yi = _matrix(left.column("v")), _matrix(right.column("v")), left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            for leaf in np.unique(b):
-                (lo, hi), (qlo, qhi) = np.searchsorted(a, [leaf, leaf + 1]), np.searchsorted(b, [leaf, leaf + 1])
-                for j in range(qlo, qhi) if hi > lo else ():
-                    d = np.sqrt(((x[lo:hi] - y[j]) ** 2).sum(axis=1))
-                    d[xi[lo:hi] == yi[j]] = np.inf
-                    best = np.lexsort((xi[lo:hi], d))[:top]
-                    best = best[np.isfinite(d[best])]
-                    found.setdefault(int(yi[j]), []).append((d[best], xi[lo:hi][best]))
-        out = [[], [], []]
-        for query, parts in found.items():
-            ids, first = np.unique(np.concatenate([p[1] for p in parts]), return_index=True)
-            d = np.concatenate([p[0] for p in parts])[first]
-            best = np.lexsort((ids, d))[:top]
-            for to, values in zip(out, (np.full(len(best), query), ids[best], d[best])):
-                to.append(values)
-        cat = lambda p, t: pa.array(np.concatenate(p) if p else np.empty(0), t)
-        return pa.table([cat(out[0], pa.int64()), cat(out[1], pa.int64()), cat(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    kind = f"leaf long, vec_id long, v {some.schema['v'].dataType.simpleString()}"
-    group = F.pmod(F.xxhash64("leaf"), F.lit(groups)).alias("group")
+            left = left.sort_by("cell")
+            a, x, xi = left.column("cell").to_numpy(), _matrix(left.column("v")), left.column("vec_id").to_numpy()
+            lists, y, yi = right.column("cells").combine_chunks(), _matrix(right.column("v")), right.column("vec_id").to_numpy()
+            taken, query = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+            order = np.argsort(taken, kind="stable")
+            taken, query = taken[order], query[order]
+            for cell in np.intersect1d(a, taken):
+                (lo, hi), (qlo, qhi) = np.searchsorted(a, [cell, cell + 1]), np.searchsorted(taken, [cell, cell + 1])
+                for at in range(qlo, qhi, 256):
+                    q = query[at : min(at + 256, qhi)]
+                    j, i = closest(x[lo:hi], y[q], xi[lo:hi] == yi[q][:, None], top)
+                    for to, values in zip(found, (yi[q][j], xi[lo:hi][i], np.sqrt(((x[lo:hi][i] - y[q][j]) ** 2).sum(axis=1)))):
+                        to.append(values)
+        query, ids, d = map(np.concatenate, found)
+        order = np.lexsort((ids, d, query))
+        query, ids, d = query[order], ids[order], d[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+        query, ids, d = query[new], ids[new], d[new]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < top
+        return pa.table([query[keep], ids[keep], d[keep]], names=["query_id", "vec_id", "score"])
+
+    vector = some.schema["v"].dataType.simpleString()
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = some.repartition(spread).mapInArrow(post, kind).select(group, "*")
-    queries = good.where(F.col("vec_id") % every == 0).select("vec_id", "v").repartition(spread).mapInArrow(route, kind).select(group, "*")
+    postings = some.repartition(spread).mapInArrow(post, f"group long, cell long, vec_id long, v {vector}")
+    queries = good.where(F.col("vec_id") % every == 0).select("vec_id", "v").repartition(spread).mapInArrow(route, f"group long, cells array<long>, vec_id long, v {vector}")
     found = postings.groupBy("group").cogroup(queries.groupBy("group")).applyInArrow(meet, "query_id long, vec_id long, score double")
     # a candidate has the same distance in every tree
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -103,7 +103,9 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("group", [ann.GROUP, 30])
+def test_nearest(spark, monkeypatch, group):
+    monkeypatch.setattr(ann, "GROUP", group)  # 30: leaves are dealt out to several cells
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 16)).astype(np.float32)
     x[300:420] = x[0]
@@ -129,6 +131,20 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 1e-150, 1e160])
+def test_closest_keeps_ties_and_large_values(size):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (60, 3)) * size
+    x[7] = [1e308, -1e308, 1e308] if size > 1 else x[7]
+    own = np.eye(60, dtype=bool)[:9]
+    pairs = set(zip(*(c.tolist() for c in ann.closest(x, x[:9], own, 4))))
+    for j in range(9):
+        # in units of size, so that squares neither vanish nor overflow
+        d = (((x - x[j]) / size) ** 2).sum(axis=1)
+        kth = np.sort(np.delete(d, j))[3]
+        assert {(j, i) for i in np.flatnonzero(d <= kth) if i != j} <= pairs and (j, j) not in pairs
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in range(8):
