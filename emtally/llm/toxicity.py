@@ -98,20 +98,38 @@ def regress(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, r: n
     start = prior(int(labels.sum()), len(labels) - int(labels.sum()))
     if not len(rows) or not lengths.sum() or len(set(labels)) < 2:
         return start
-    idx = np.concatenate(rows)
-    used, col = np.unique(idx, return_inverse=True)
-    value, row = r[used][col], np.repeat(np.arange(len(rows)), lengths)
-    norm = np.bincount(row, value * value, len(rows))
+    seen = np.zeros(len(r), bool)
+    for x in rows:
+        seen[x] = True
+    used = np.flatnonzero(seen)
+    slot = np.empty(len(r), np.intp)
+    slot[used] = np.arange(len(used))
+    # one large array: the used columns of all rows, row by row
+    col = np.empty(lengths.sum(), np.intp)
+    ends = np.cumsum(lengths)
+    for x, end in zip(rows, ends):
+        col[end - len(x) : end] = slot[x]
+    del rows
+    scale, some = r[used], lengths > 0
+    begins = (ends - lengths)[some]
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        """Sums over each row of its columns' values."""
+        out = np.zeros(len(lengths))
+        out[some] = np.add.reduceat(values[col], begins)
+        return out
+
+    norm = by_row(scale * scale)
     rate = 1.0 / (0.25 * float((weight * (norm + 1)).sum()) / weight.sum() * 4 + l2)
     w, b = np.zeros(len(used)), start.bias
     pw, pb, total = w, b, weight.sum()
     for t in range(steps):
         m = t / (t + 3)
         yw, yb = w + m * (w - pw), b + m * (b - pb)
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * yw[col], len(rows)) + yb, -700, 700)))
+        p = 1 / (1 + np.exp(-np.clip(by_row(scale * yw) + yb, -700, 700)))
         g = weight * (p - labels) / total
         pw, pb = w, b
-        w = yw - rate * (np.bincount(col, value * g[row], len(used)) + l2 * yw)
+        w = yw - rate * (scale * np.bincount(col, np.repeat(g, lengths), len(used)) + l2 * yw)
         b = yb - rate * g.sum()
     out = np.zeros(len(r))
     out[used] = w * r[used]
