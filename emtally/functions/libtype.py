@@ -68,6 +68,13 @@ def detected(counts: DataFrame, paired: bool) -> DataFrame:
     return sums.select(ratio.alias("ratio")).select(kind.alias("lib_type"), "ratio")
 
 
+def with_bias(found: DataFrame) -> DataFrame:
+    """``detected`` with ``biased``: whether ``strand_bias`` has a warning for the row."""
+    forward, reverse = (F.col("lib_type").isin(*kinds) for kinds in (("SF", "ISF"), ("SR", "ISR")))
+    off = F.when(forward, 1 - F.col("ratio") >= BIAS).when(reverse, F.col("ratio") >= BIAS).when(F.col("lib_type").isin("U", "IU"), F.abs(F.col("ratio") - 0.5) > BIAS)
+    return found.withColumn("biased", F.coalesce(off, F.lit(False)))
+
+
 def strand_bias(lib_type: str, ratio: float) -> str | None:
     """A warning if the share of forward mappings doesn't fit the detected library type, or None."""
     name = parse(lib_type)

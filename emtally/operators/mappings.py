@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emtally.functions.fraglen import SLOTS
-from emtally.functions.libtype import compatible
+from emtally.functions.libtype import ORIENTATIONS, compatible
 
 #: Uniquely mapped fragments under which a length distribution isn't trusted.
 FEW_FRAGMENTS = 5_000
@@ -23,6 +23,13 @@ def orientation_stats(alignments: DataFrame, lib_type: str) -> DataFrame:
     return each.groupBy("ori").agg(F.count(F.when(passes, 1)).alias("mapped"), F.count(F.when(~passes, 1)).alias("filtered"))
 
 
+def orientation_report(alignments: DataFrame, lib_type: str) -> DataFrame:
+    """``orientation_stats`` for every orientation, 0 where none was seen, with its name: seven rows."""
+    names = alignments.sparkSession.createDataFrame(list(enumerate(ORIENTATIONS)), "ori int, orientation string")
+    stats = F.broadcast(orientation_stats(alignments, lib_type))  # a row per orientation
+    return names.join(stats, "ori", "left").select("ori", "orientation", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("mapped", "filtered")))
+
+
 def read_totals(alignments: DataFrame) -> DataFrame:
     """(num_mapped_reads, tot_mappings), before any filter."""
     return alignments.groupBy("frag_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("num_mapped_reads"), F.coalesce(F.sum("n"), F.lit(0)).alias("tot_mappings"))

@@ -1,5 +1,7 @@
 """The registered queries over alignments derived from the driver's tables, and the same in DuckDB's SQL."""
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,10 @@ def orientation_stats(spark: SparkSession, d: str) -> DataFrame:
     return mappings.orientation_stats(_a(spark, d), LIB)
 
 
+def orientation_report(spark: SparkSession, d: str) -> DataFrame:
+    return mappings.orientation_report(_a(spark, d), LIB)
+
+
 def read_totals(spark: SparkSession, d: str) -> DataFrame:
     return mappings.read_totals(_a(spark, d))
 
@@ -53,6 +59,14 @@ def orientation_sample_detect(spark: SparkSession, d: str) -> DataFrame:
     return _round(libtype.detected(orientation_sample(spark, d), True), ratio=9)
 
 
+def orientation_sample_detect_unpaired(spark: SparkSession, d: str) -> DataFrame:
+    return _round(libtype.detected(orientation_sample(spark, d), False), ratio=9)
+
+
+def strand_bias(spark: SparkSession, d: str) -> DataFrame:
+    return _round(libtype.with_bias(libtype.detected(orientation_sample(spark, d), True)), ratio=9)
+
+
 def fld_histogram(spark: SparkSession, d: str) -> DataFrame:
     return mappings.length_histogram(fragments(_a(spark, d)))
 
@@ -85,6 +99,19 @@ def effective_lengths(spark: SparkSession, d: str) -> DataFrame:
     return _round(_targets(spark, d), eff_len=6)
 
 
+def fld_parametric(spark: SparkSession, d: str) -> DataFrame:
+    return _round(fraglen.parametric(spark, MEAN, SD), pdf=10, cdf=10)
+
+
+def effective_lengths_unpaired(spark: SparkSession, d: str) -> DataFrame:
+    return _round(fraglen.effective_lengths(fixture_targets(spark, d), fraglen.parametric_means(spark, MEAN, SD)), eff_len=4)
+
+
+def cond_prob_unpaired(spark: SparkSession, d: str) -> DataFrame:
+    probs = eq.conditional_probabilities(_a(spark, d), fixture_targets(spark, d), fraglen.parametric(spark, MEAN, SD))
+    return _round(probs.select("frag_id", "aln_idx", "ref_id", "ori", "prob"), prob=10)
+
+
 def _with_probs(spark, d):
     return eq.conditional_probabilities(_a(spark, d), fixture_targets(spark, d), fraglen.empirical(_pass_1(spark, d), integer_cdf=True))
 
@@ -177,6 +204,7 @@ def infreps_wide(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     lib_compat_table, lib_compat_filter, orientation_stats, read_totals, orientation_sample, orientation_sample_detect, fld_histogram, fld_pass1_limit, fld_pdf_cdf, conditional_means,
     parametric_conditional_means, effective_lengths, cond_prob, eq_classes_basic, eq_classes_range, eq_classes_packed, eq_class_totals, em_init, em_step1, em_k3, tpm, quant_flagship,
+    orientation_report, orientation_sample_detect_unpaired, strand_bias, fld_parametric, effective_lengths_unpaired, cond_prob_unpaired,
     em_converged, em_samples, bootstrap_replicates, gibbs_replicates, infreps_wide,
 )
 
@@ -246,7 +274,19 @@ def _quant_sql() -> str:
 z AS (SELECT ref_id, target_name, len, round(eff_len, 4) AS eff_len, round(1e6::DOUBLE * rate / (SELECT sum(rate) FROM q), 3) AS tpm, round(ecount, 4) AS ecount FROM q)"""
 
 
+def _parametric_sql() -> str:
+    """Tables of the parametric distribution: normal (frag_len, pdf, cdf, mean)."""
+    between = 0.5 * (math.erf((fraglen.SLOTS - MEAN) / (SD * math.sqrt(2))) - math.erf(-MEAN / (SD * math.sqrt(2))))
+    density = f"exp(-0.5::DOUBLE * pow((frag_len - {MEAN}::DOUBLE) / {SD}::DOUBLE, 2)) / {SD * math.sqrt(2 * math.pi)!r}::DOUBLE / {SD}::DOUBLE / {between!r}::DOUBLE"
+    return f""", density AS (SELECT frag_len, {density} AS pdf FROM slots),
+normal AS (SELECT frag_len, pdf, sum(pdf) OVER o AS cdf, CASE WHEN frag_len = 0 THEN 0.0::DOUBLE ELSE sum(frag_len * pdf) OVER o / sum(pdf) OVER o END AS mean FROM density WINDOW o AS (ORDER BY frag_len))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
+    forward = "sum(CASE WHEN ori IN ({0}) THEN n ELSE 0 END)::DOUBLE / sum(CASE WHEN ori IN ({0}, {1}) THEN n ELSE 0 END)".format
+    kind = "CASE WHEN r > 0.7::DOUBLE THEN '{0}SF' WHEN r < 0.3::DOUBLE THEN '{0}SR' ELSE '{0}U' END AS lib_type, round(r, 9) AS ratio".format
+    names = ", ".join(f"({i}, '{o}')" for i, o in enumerate(libtype.ORIENTATIONS))
     accepted = " UNION ALL ".join(f"SELECT '{t}' AS lib_type, {i} AS ori, {str(i in libtype.codes(t)).lower()} AS accepted" for t in libtype.ACCEPTED for i in range(7))
     sample = f"SELECT ori, count(*) AS n FROM a WHERE frag_id IN (SELECT DISTINCT frag_id FROM a ORDER BY frag_id LIMIT {SAMPLE_READS}) GROUP BY ori"
     text = "array_to_string({0}, ',') AS {0}".format
@@ -259,6 +299,22 @@ def oracle_sql() -> dict[str, str]:
         "orientation_sample_detect": _sql(
             f"SELECT CASE WHEN r > 0.7::DOUBLE THEN 'ISF' WHEN r < 0.3::DOUBLE THEN 'ISR' ELSE 'IU' END AS lib_type, round(r, 9) AS ratio FROM (SELECT sum(CASE WHEN ori IN (1, 3) THEN n ELSE 0 END)::DOUBLE / sum(CASE WHEN ori BETWEEN 1 AND 4 THEN n ELSE 0 END)::DOUBLE AS r FROM ({sample}))"
         ),
+        "orientation_report": _sql(
+            f"SELECT o.ori, orientation, count(DISTINCT frag_id) FILTER (o.ori BETWEEN 1 AND 4) AS mapped, count(DISTINCT frag_id) FILTER (o.ori NOT BETWEEN 1 AND 4) AS filtered FROM (VALUES {names}) o(ori, orientation) LEFT JOIN a ON a.ori = o.ori GROUP BY ALL"
+        ),
+        "orientation_sample_detect_unpaired": _sql(f"SELECT {kind('')} FROM (SELECT {forward('1', '2')} AS r FROM ({sample}))"),
+        "strand_bias": _sql(
+            f"SELECT {kind('I')}, CASE WHEN r > 0.7::DOUBLE THEN 1 - r >= 0.05::DOUBLE WHEN r < 0.3::DOUBLE THEN r >= 0.05::DOUBLE ELSE abs(r - 0.5::DOUBLE) > 0.05::DOUBLE END AS biased FROM (SELECT {forward('1, 3', '2, 4')} AS r FROM ({sample}))"
+        ),
+        "fld_parametric": _sql(_parametric_sql() + "SELECT frag_len, round(pdf, 10) AS pdf, round(cdf, 10) AS cdf FROM normal"),
+        "effective_lengths_unpaired": _sql(
+            _parametric_sql() + "SELECT ref_id, target_name, len, round(CASE WHEN len - mean < 1 THEN len::DOUBLE ELSE len - mean END, 4) AS eff_len FROM t JOIN normal ON frag_len = least(len, 65535)"
+        ),
+        "cond_prob_unpaired": _sql(
+            _parametric_sql()
+            + """SELECT frag_id, aln_idx, a.ref_id, ori, round(CASE WHEN ori IN (1, 2) THEN coalesce(cdf, 1.0::DOUBLE) WHEN ori IN (3, 4) THEN coalesce(pdf, 2.2250738585072014e-308::DOUBLE) ELSE 2 * 2.2250738585072014e-308::DOUBLE END, 10) AS prob
+FROM a JOIN t USING (ref_id) LEFT JOIN normal ON normal.frag_len = CASE WHEN ori = 1 THEN len - pos WHEN ori = 2 THEN pos + 100 WHEN ori IN (3, 4) THEN a.frag_len END"""
+        ),
         "fld_histogram": _sql("SELECT * FROM h"),
         "fld_pass1_limit": _sql(f"SELECT frag_len, count(*) AS n FROM (SELECT * FROM u WHERE ori BETWEEN 1 AND 4 ORDER BY frag_id LIMIT {PASS_1}) GROUP BY frag_len"),
         "fld_pdf_cdf": _sql("SELECT frag_len, round(pdf, 10) AS pdf, round(cdf, 10) AS cdf FROM fld"),

@@ -121,6 +121,8 @@ def test_classes_keep_order_repeats_and_empty(spark):
     assert got == {((1, 2), (1, 1)): 1, ((2, 1), (1, 1)): 1, ((), ()): 1, ((1, 1), (1, 1)): 1, ((1,), (2,)): 1, ((1,), (1,)): 1}
     stats = {r.ori: (r.mapped, r.filtered) for r in mappings.orientation_stats(a, "IU").collect()}
     assert stats == {1: (4, 0), 2: (1, 0), 5: (0, 1)}
+    report = sorted(map(tuple, mappings.orientation_report(a, "IU").collect()))
+    assert report == [(0, "unknown", 0, 0), (1, "f", 4, 0), (2, "r", 1, 0), (3, "fr", 0, 0), (4, "rf", 0, 0), (5, "ff", 0, 1), (6, "rr", 0, 0)]
 
 
 def test_probabilities(spark):

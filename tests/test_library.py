@@ -33,8 +33,11 @@ def test_compatibility():
     assert {t: libtype.codes(t) for t in want} == want
 
 
-def test_strand_bias():
+def test_strand_bias(spark):
     assert libtype.strand_bias("SF", 0.95) and not libtype.strand_bias("SF", 0.96)
+    rows = [(t, r / 100) for t in libtype.ACCEPTED for r in (0, 4, 6, 44, 46, 50, 54, 56, 94, 96, 100)]
+    for row in libtype.with_bias(spark.createDataFrame(rows, "lib_type string, ratio double")).collect():
+        assert row.biased == (libtype.strand_bias(row.lib_type, row.ratio) is not None)
     assert libtype.strand_bias("ISR", 0.05) and not libtype.strand_bias("ISR", 0.04)
     assert libtype.strand_bias("IU", 0.56) and not libtype.strand_bias("U", 0.54) and not libtype.strand_bias("ANY", 1.0)
 
