@@ -1,15 +1,15 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 The forest is fitted on a bounded sample and sent to all tasks; every vector is put into one leaf of each tree.
-A query searches all trees through one priority queue, whose entries are subtrees not yet entered with the
-smallest margin on the way to them, and takes the leaves that come out first. Vectors and queries then meet
-leaf by leaf, several leaves to a group, and the exact distances of all candidates decide.
+A query takes the leaves of all trees in the order of a shared priority queue, by the largest margin on the wrong
+side on the way to them. How many it takes is set from recall measured on the index at hand: some of its queries
+are compared with the whole index. Vectors and queries then meet leaf by leaf, several leaves to a group, and the
+exact distances of all candidates decide.
 
 Equal vectors are one point, of which only the smallest ids can be among the nearest: at most ``top`` + 1 of them
 are indexed, so a vector that many rows share is no hot leaf, and no result is lost.
 """
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +30,10 @@ MIN_LEAF = 12
 #: Postings per group of leaves.
 GROUP = 20_000
 SEED = 7
-
-
-def scanned(n: int) -> float:
-    """Vectors, counted in every tree, in the leaves that a query takes from an index of ``n``. Where vectors have
-    no structure (all directions alike, as here), recall 0.92 took 2,200 of 2,000, 7,200 of 10,256 and 24,300 of
-    51,282; a fifth is added. It grows as a power under 1 of the index; vectors with structure need far fewer."""
-    return 29_000 * (n / 50_000) ** 0.78
+#: Queries (the smallest hashes of their ids) that are compared with the whole index to set how many leaves are taken.
+MEASURED = 256
+#: Recall that the leaves taken must reach on those queries, less two standard errors.
+RECALL = 0.92
 
 
 @dataclass
@@ -64,21 +61,21 @@ class Forest:
                     todo += [(int(self.below[node]), rows[~side]), (int(self.above[node]), rows[side])]
         return out
 
-    def search(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves that a shared priority queue over all trees reaches."""
-        heap = [(-np.inf, int(r)) for r in self.roots]
-        heapq.heapify(heap)
-        margins = self.directions @ q - self.threshold if len(self.threshold) else np.empty(0)
-        out: list[int] = []
-        while heap and len(out) < leaves:
-            worst, node = heapq.heappop(heap)
-            while node >= 0:
-                margin = margins[node]
-                near, far = (self.above, self.below) if margin >= 0 else (self.below, self.above)
-                heapq.heappush(heap, (max(worst, abs(margin)), int(far[node])))
-                node = int(near[node])
-            out.append(~node)
-        return out
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All leaves, for each row of ``q``, in the order in which a priority queue over all trees reaches them: by the
+        largest margin of the splits that were left on the far side; equal ones by number."""
+        margins = q @ self.directions.T - self.threshold if len(self.threshold) else np.empty((len(q), 0))
+        worst = np.empty((len(q), len(self.threshold) + len(self.roots)))
+        nodes, far = self.roots, np.full((len(q), len(self.roots)), -np.inf)
+        while len(nodes):
+            ends = nodes < 0
+            worst[:, ~nodes[ends]] = far[:, ends]
+            nodes, far = nodes[~ends], far[:, ~ends]
+            margin = margins[:, nodes]
+            passed = np.maximum(far, np.abs(margin))
+            far = np.hstack([np.where(margin >= 0, passed, far), np.where(margin >= 0, far, passed)])
+            nodes = np.concatenate([self.below[nodes], self.above[nodes]])
+        return np.argsort(worst, axis=1, kind="stable")
 
 
 def fit(sample: np.ndarray, leaf: int, trees: int = TREES, seed: int = SEED) -> Forest:
@@ -142,7 +139,62 @@ def closest(x: np.ndarray, y: np.ndarray, own: np.ndarray, top: int) -> tuple[np
         return np.nonzero(~(rough > bound[:, None]) & ~own)
 
 
-def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = SAMPLE, trees: int = TREES, scan=scanned) -> DataFrame:
+def first_of_each(query: np.ndarray, ids: np.ndarray, d: np.ndarray, top: int) -> np.ndarray:
+    """The places of the ``top`` smallest (d, ids) of each query, a pair of query and id once."""
+    order = np.lexsort((ids, d, query))
+    # a repeated pair may have several distances (one id, several vectors): the smallest comes first
+    _, first = np.unique(np.stack([query[order], ids[order]]), axis=1, return_index=True)
+    order = order[np.sort(first)]
+    return order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < top]
+
+
+def leaves_for(forest: Forest, points: DataFrame, queries: DataFrame, top: int, recall: float = RECALL) -> int:
+    """The least number of leaves whose recall over ``queries`` (a bounded number), less two standard errors, is ``recall``.
+    Their exact neighbours come from one pass over all ``points``, of which a task keeps ``top`` for each query."""
+    spark = points.sparkSession
+    asked = queries.toArrow()
+    y, yi = _matrix(asked.column("v")), asked.column("vec_id").to_numpy()
+    if not len(y):
+        return len(forest.roots)
+    shared = spark.sparkContext.broadcast((forest, y, yi))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, y, yi = shared.value
+        query, ids, d, kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty((0, y.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x, xi = _matrix(part.column("v")), part.column("vec_id").to_numpy()
+                j, i = closest(x, y, xi == yi[:, None], top)
+                far = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+                query, ids, d, kept = np.append(query, j), np.append(ids, xi[i]), np.append(d, far), np.vstack([kept, x[i]])
+                best = first_of_each(query, ids, d, top)
+                query, ids, d, kept = query[best], ids[best], d[best], kept[best]
+        found = forest.leaves(kept)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+        yield pa.record_batch([pa.array(query), pa.array(ids), pa.array(d), lists], names=["query", "vec_id", "score", "leaves"])
+
+    near = points.mapInArrow(compare, "query long, vec_id long, score double, leaves array<long>")
+    one = near.groupBy("query", "vec_id").agg(F.min_by("leaves", "score").alias("leaves"), F.min("score").alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    near = one.withColumn("nth", nth).where(F.col("nth") <= top).select("query", "leaves").toArrow()
+    query, found = near.column("query").to_numpy(), _matrix(near.column("leaves")).astype(np.int64)
+    if not len(query):
+        return len(forest.roots)
+    need = np.empty(len(query), np.int64)
+    for at in range(0, len(y), 64):
+        places = np.argsort(forest.order(y[at : at + 64]), axis=1)
+        some = np.flatnonzero((query >= at) & (query < at + 64))
+        need[some] = places[query[some, None] - at, found[some]].min(axis=1) + 1
+    _, of, sizes = np.unique(query, return_inverse=True, return_counts=True)
+    for leaves in np.unique(need):
+        each = np.bincount(of, need <= leaves) / sizes
+        if each.mean() - 2 * each.std() / np.sqrt(len(each)) >= recall:
+            break
+    return max(len(forest.roots), int(leaves))
+
+
+def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = SAMPLE, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``top`` nearest found of each query, a row whose vec_id is divisible
     by ``every``; candidates are all other rows. score is the Euclidean distance in double precision; ties go to
     the smaller vec_id. Vectors that are null, empty, zero or hold a null or non-finite component, and rows with
@@ -160,7 +212,8 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
     per_leaf = max(MIN_LEAF, int(LEAF * min(1.0, len(points) / max(1, n))))
     fitted_forest = fit(points, per_leaf, trees)
     n_leaves = len(fitted_forest.threshold) + trees
-    leaves = min(n_leaves, int(scan(n) * n_leaves / max(1, n * trees)) + 2 * trees)
+    asked = good.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    leaves = leaves_for(fitted_forest, some, asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED), top, recall)
     forest = spark.sparkContext.broadcast(fitted_forest)
     groups = max(1, -(-n * trees // GROUP))
     # leaves larger than a group are dealt out by vec_id to cells, and queries go to all cells of a leaf
@@ -179,8 +232,11 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per query and group, with the cells there that the query takes."""
         for batch in batches:
-            for i, q in enumerate(_matrix(batch.column("v"))):
-                cells = (np.array(forest.value.search(q, leaves), np.int64)[:, None] * shards + np.arange(shards)).ravel()
+            q = _matrix(batch.column("v"))
+            for i in range(len(q)):
+                if i % 64 == 0:
+                    taken = forest.value.order(q[i : i + 64])[:, :leaves]
+                cells = (taken[i % 64][:, None] * shards + np.arange(shards)).ravel()
                 cells = cells[np.argsort(cells % groups, kind="stable")]
                 to, first = np.unique(cells % groups, return_index=True)
                 rows = pa.array(np.full(len(to), i))
@@ -216,7 +272,7 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
     vector = some.schema["v"].dataType.simpleString()
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = some.repartition(spread).mapInArrow(post, f"group long, cell long, vec_id long, v {vector}")
-    queries = good.where(F.col("vec_id") % every == 0).select("vec_id", "v").repartition(spread).mapInArrow(route, f"group long, cells array<long>, vec_id long, v {vector}")
+    queries = asked.repartition(spread).mapInArrow(route, f"group long, cells array<long>, vec_id long, v {vector}")
     found = postings.groupBy("group").cogroup(queries.groupBy("group")).applyInArrow(meet, "query_id long, vec_id long, score double")
     # a candidate has the same distance in every tree
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

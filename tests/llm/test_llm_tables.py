@@ -131,6 +131,35 @@ def test_nearest(spark, monkeypatch, group):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_sets_its_leaves_by_measured_recall(spark):
+    x = np.random.default_rng(3).normal(size=(4000, 256)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, every=40, sample=1024).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    d = (x**2).sum(axis=1) - 2 * x[::40] @ x.T
+    d[np.arange(100), np.arange(0, 4000, 40)] = np.inf
+    assert sum(len(got[40 * q] & set(np.argsort(d[q])[:10].tolist())) for q in range(100)) >= 0.9 * 1000
+
+
+def test_leaf_order_is_that_of_a_priority_queue():
+    rng = np.random.default_rng(4)
+    forest = ann.fit(rng.normal(size=(500, 8)), 12, 3)
+    for q, order in zip(y := rng.normal(size=(5, 8)), forest.order(y)):
+        heap, out = [(-np.inf, int(r)) for r in forest.roots], []
+        while heap:
+            worst, node = heap.pop(heap.index(min(heap)))
+            while node >= 0:
+                margin = forest.directions[node] @ q - forest.threshold[node]
+                near, far = (forest.above, forest.below) if margin >= 0 else (forest.below, forest.above)
+                heap.append((max(worst, abs(margin)), int(far[node])))
+                node = int(near[node])
+            out.append((worst, ~node))
+        # leaves of one priority may come in any order
+        rank = {leaf: w for w, leaf in out}
+        assert sorted(order.tolist()) == sorted(rank) and [rank[x] for x in order.tolist()] == pytest.approx(sorted(rank.values()))
+
+
 @pytest.mark.parametrize("size", [1.0, 1e-150, 1e160])
 def test_closest_keeps_ties_and_large_values(size):
     rng = np.random.default_rng(2)
