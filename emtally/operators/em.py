@@ -1,7 +1,7 @@
 """Expectation maximisation over equivalence classes.
 
-``em_step`` and ``em_frames`` are joins and aggregates, for classes of any number. ``em_groups`` solves one or
-many samples, a task each, on arrays: classes of one sample are far fewer than its fragments.
+``em_step`` and ``em_frames`` are joins and aggregates, for one or many samples with classes of any number.
+``em_groups`` solves many samples, a task each, on arrays: for samples of up to about a million classes each.
 """
 
 from dataclasses import dataclass
@@ -17,28 +17,30 @@ from emtally.sources.shared import written
 LEAST_DENOMINATOR = 1e-8
 
 
-def incidence(classes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(eq_id, n, ref_id, w): a row per class and target in it, w = probability / effective length (0 where that isn't
+def incidence(classes: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, eq_id, n, ref_id, w): a row per class and target in it, w = probability / effective length (0 where that isn't
     finite). The classes are numbered in a written table, so that their ids don't change when a task is repeated."""
     numbered = written(classes.where(F.size("targets") > 0).withColumn("eq_id", F.monotonically_increasing_id()), "classes")
-    pairs = numbered.select("eq_id", "n", F.explode(F.arrays_zip("targets", "probs")).alias("x")).select("eq_id", "n", F.col("x.targets").alias("ref_id"), F.col("x.probs").alias("prob"))
+    pairs = numbered.select(*by, "eq_id", "n", F.explode(F.arrays_zip("targets", "probs")).alias("x")).select(*by, "eq_id", "n", F.col("x.targets").alias("ref_id"), F.col("x.probs").alias("prob"))
     inverse = F.coalesce(F.try_divide(F.lit(1.0), F.col("eff_len")), F.lit(0.0))
-    return pairs.join(targets.select("ref_id", inverse.alias("inverse")), "ref_id").select("eq_id", "n", "ref_id", (F.col("prob") * F.col("inverse")).alias("w"))
+    return pairs.join(targets.select("ref_id", inverse.alias("inverse")), "ref_id").select(*by, "eq_id", "n", "ref_id", (F.col("prob") * F.col("inverse")).alias("w"))
 
 
-def uniform(targets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(ref_id, a): the weight of all classes, the empty one too, dealt evenly."""
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("t"))
+def uniform(targets: DataFrame, classes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, ref_id, a): the weight of all classes, the empty one too, dealt evenly."""
+    total = classes.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("t"))
     count = targets.agg(F.count("*").cast("double").alias("c"))
-    return targets.select("ref_id").crossJoin(F.broadcast(total.crossJoin(count))).select("ref_id", (F.col("t") / F.col("c")).alias("a"))
+    return targets.select("ref_id").crossJoin(F.broadcast(total.crossJoin(count))).select(*by, "ref_id", (F.col("t") / F.col("c")).alias("a"))
 
 
-def em_step(pairs: DataFrame, abundance: DataFrame, targets: DataFrame) -> DataFrame:
-    """(ref_id, a) after one step from ``abundance``; every target keeps a row."""
-    weighted = pairs.join(abundance, "ref_id").withColumn("w", F.col("w") * F.col("a"))
+def em_step(pairs: DataFrame, abundance: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, ref_id, a) after one step from ``abundance``; every target keeps a row. eq_id tells classes of all samples apart."""
+    keys = [*by, "ref_id"]
+    weighted = pairs.join(abundance, keys).withColumn("w", F.col("w") * F.col("a"))
     sums = weighted.groupBy("eq_id").agg(F.sum("w").alias("denominator")).where(F.col("denominator") > LEAST_DENOMINATOR)
-    given = weighted.join(sums, "eq_id").groupBy("ref_id").agg(F.sum(F.col("n") * F.col("w") / F.col("denominator")).alias("a"))
-    return targets.select("ref_id").join(given, "ref_id", "left").select("ref_id", F.coalesce("a", F.lit(0.0)).alias("a"))
+    given = weighted.join(sums, "eq_id").groupBy(*keys).agg(F.sum(F.col("n") * F.col("w") / F.col("denominator")).alias("a"))
+    rows = abundance if by else targets
+    return rows.select(*keys).join(given, keys, "left").select(*keys, F.coalesce("a", F.lit(0.0)).alias("a"))
 
 
 def em_steps(pairs: DataFrame, abundance: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
@@ -47,18 +49,34 @@ def em_steps(pairs: DataFrame, abundance: DataFrame, targets: DataFrame, steps:
     return abundance
 
 
-def em_frames(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, convergence: float = 1e-3, presence: float = 1e-8) -> DataFrame:
-    """(ref_id, ecount) by steps over DataFrames until the largest relative increase is small; the state, a row per target, is written each step."""
-    pairs = written(incidence(classes, targets), "incidence")
-    now = written(uniform(targets, classes), "abundance")
+def em_frames(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, convergence: float = 1e-3, presence: float = 1e-8, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, ref_id, ecount) by steps over DataFrames until the largest relative increase is small; the state, a row per
+    target, is written each step. With ``by``, columns of ``classes``, each sample is solved until it has converged itself."""
+    keys = [*by, "ref_id"]
+    pairs, now = written(incidence(classes, targets, by), "incidence"), written(uniform(targets, classes, by), "abundance")
+    moving, moved, settled = pairs, now, []
+    increase = F.when(F.col("before") > presence, (F.col("a") - F.col("before")) / F.col("before"))
     for _ in range(max_iter):
-        new = written(em_step(pairs, now, targets), "abundance")
-        change = new.join(now.select("ref_id", F.col("a").alias("before")), "ref_id").where(F.col("before") > presence).agg(F.max((F.col("a") - F.col("before")) / F.col("before"))).first()[0]
-        now = new
-        if (change or 0.0) < convergence:
+        new = written(em_step(moving, moved, targets, by).join(moved.withColumnRenamed("a", "before"), keys), "abundance")
+        moved = new.select(*keys, "a")
+        change = new.groupBy(*by).agg(F.coalesce(F.max(increase), F.lit(0.0)).alias("change"))
+        if not by:
+            if change.first()["change"] < convergence:
+                break
+            continue
+        change = written(change, "change")
+        left = change.where(F.col("change") >= convergence).count()
+        if left == 0:
             break
-    kept = now.select("ref_id", F.when(F.col("a") < presence, 0.0).otherwise(F.col("a")).alias("a"))
-    return em_step(pairs, kept, targets).withColumnRenamed("a", "ecount")
+        if left < change.count():
+            # converged samples stay as they are, and only the others go on
+            settled.append(written(moved.join(change.where(F.col("change") < convergence).select(*by), list(by)), "settled"))
+            going = change.where(F.col("change") >= convergence).select(*by)
+            moved, moving = written(moved.join(going, list(by)), "abundance"), written(moving.join(going, list(by)), "incidence")
+    for part in settled:
+        moved = moved.unionByName(part)
+    kept = moved.select(*keys, F.when(F.col("a") < presence, 0.0).otherwise(F.col("a")).alias("a"))
+    return em_step(pairs, kept, targets, by).withColumnRenamed("a", "ecount")
 
 
 @dataclass

@@ -170,15 +170,16 @@ def tpm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def em_converged(spark: SparkSession, d: str) -> DataFrame:
-    classes = eq.packed(eq.range_classes(_with_probs(spark, d), LIB, BINS), BINS).withColumn("sample_id", F.lit("0"))
-    return em.em_groups(classes, written(_targets(spark, d), "targets"))
+    classes = eq.packed(eq.range_classes(_with_probs(spark, d), LIB, BINS), BINS)
+    found = em.em_frames(written(classes, "classes"), written(_targets(spark, d), "targets"))
+    return found.select(F.lit("0").alias("sample_id"), "ref_id", "ecount")
 
 
 def em_samples(spark: SparkSession, d: str) -> DataFrame:
     """The fragments of odd and of even number as two samples."""
     a = _a(spark, d)
     halves = [eq.packed(eq.basic_classes(a.where(F.col("frag_id") % 2 == i), LIB)).withColumn("sample_id", F.lit(str(i))) for i in range(2)]
-    return em.em_groups(halves[0].unionByName(halves[1]), written(_targets(spark, d), "targets"))
+    return em.em_frames(written(halves[0].unionByName(halves[1]), "classes"), written(_targets(spark, d), "targets"), by=("sample_id",))
 
 
 def _packed(spark, d):

@@ -10,7 +10,7 @@ from emtally.functions import fraglen
 from emtally.operators import classes as eq
 from emtally.operators import em, mappings, replicates
 from emtally.operators.tpm import tpm
-from emtally.plans import estimate
+from emtally.plans import estimate, queries
 from emtally.sources import alignments as src
 from emtally.sources import sinks
 
@@ -73,6 +73,29 @@ def test_em_frames_and_groups(spark):
         assert [r.ecount for r in sorted(rows, key=lambda r: r.ref_id) if r.sample_id == sample] == pytest.approx(WANT[1500], rel=1e-9)
 
 
+def test_em_frames_of_samples_stop_apart(spark):
+    c, t = frames(spark)
+    both = c.withColumn("sample_id", F.lit("x")).unionByName(c.where("size(targets) = 1").withColumn("sample_id", F.lit("y")))
+    got = {(r.sample_id, r.ref_id): r.ecount for r in em.em_frames(both, t, by=("sample_id",)).collect()}
+    assert [got["x", i] for i in range(3)] == pytest.approx(WANT[1500], rel=1e-9) and [got["y", i] for i in range(3)] == [10, 0, 0]
+
+
+def test_large_samples_are_not_solved_in_one_group(spark, monkeypatch):
+    def fail(*a, **k):
+        raise AssertionError("all classes of a sample in one task")
+
+    want = {}
+    d = "/root/testdata/sf0.001"
+    for i in range(2):
+        a = src.fixture_alignments(spark, d).where(F.col("frag_id") % 2 == i)
+        p = replicates.packed_of(eq.packed(eq.basic_classes(a, queries.LIB)))
+        eff = np.array([r.eff_len for r in queries._targets(spark, d).orderBy("ref_id").collect()])
+        want |= {(str(i), j): x for j, x in enumerate(em.solve(p, p.counts, eff)[0])}
+    monkeypatch.setattr(em, "em_groups", fail)
+    got = {(r.sample_id, r.ref_id): r.ecount for r in queries.em_samples(spark, d).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want)
+
+
 def test_tpm(spark):
     df = spark.createDataFrame([(i, float(EFF[i]), WANT[1500][i]) for i in range(3)] + [(3, 0.0, 5.0)], "ref_id int, eff_len double, ecount double")
     assert [r.tpm for r in tpm(df).orderBy("ref_id").collect()] == pytest.approx([714304.3356517428, 101.1982005801514, 285594.4661476771, 0.0])
