@@ -160,6 +160,7 @@ def em_k3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quant_flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Three steps only, as in its SQL; ``quant_converged`` runs to convergence."""
     targets, counts = _steps(spark, d, 3)
     out = tpm_of(targets.join(counts.withColumnRenamed("a", "ecount"), "ref_id", "left"))
     return _round(out.select("ref_id", "target_name", "len", "eff_len", "tpm", "ecount"), eff_len=4, tpm=3, ecount=4)
@@ -169,10 +170,24 @@ def tpm(spark: SparkSession, d: str) -> DataFrame:
     return quant_flagship(spark, d).select("ref_id", "tpm")
 
 
+def _converged(spark, d):
+    classes, targets = eq.packed(eq.range_classes(_with_probs(spark, d), LIB, BINS), BINS), written(_targets(spark, d), "targets")
+    return targets, em.em_frames(written(classes, "classes"), targets)
+
+
 def em_converged(spark: SparkSession, d: str) -> DataFrame:
-    classes = eq.packed(eq.range_classes(_with_probs(spark, d), LIB, BINS), BINS)
-    found = em.em_frames(written(classes, "classes"), written(_targets(spark, d), "targets"))
-    return found.select(F.lit("0").alias("sample_id"), "ref_id", "ecount")
+    return _converged(spark, d)[1].select(F.lit("0").alias("sample_id"), "ref_id", "ecount")
+
+
+def quant_converged(spark: SparkSession, d: str) -> DataFrame:
+    """The whole estimation: range classes, EM to convergence, TPM. SQL has no loop that ends by a test, so there is none for it."""
+    targets, counts = _converged(spark, d)
+    out = tpm_of(targets.join(written(counts, "counts"), "ref_id", "left"))
+    return _round(out.select("ref_id", "target_name", "len", "eff_len", "tpm", "ecount"), eff_len=4, tpm=3, ecount=4)
+
+
+def tpm_converged(spark: SparkSession, d: str) -> DataFrame:
+    return quant_converged(spark, d).select("ref_id", "tpm")
 
 
 def em_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +221,7 @@ _QUERIES = (
     lib_compat_table, lib_compat_filter, orientation_stats, read_totals, orientation_sample, orientation_sample_detect, fld_histogram, fld_pass1_limit, fld_pdf_cdf, conditional_means,
     parametric_conditional_means, effective_lengths, cond_prob, eq_classes_basic, eq_classes_range, eq_classes_packed, eq_class_totals, em_init, em_step1, em_k3, tpm, quant_flagship,
     orientation_report, orientation_sample_detect_unpaired, strand_bias, fld_parametric, effective_lengths_unpaired, cond_prob_unpaired,
-    em_converged, em_samples, bootstrap_replicates, gibbs_replicates, infreps_wide,
+    em_converged, em_samples, quant_converged, tpm_converged, bootstrap_replicates, gibbs_replicates, infreps_wide,
 )
 
 

@@ -96,6 +96,33 @@ def test_large_samples_are_not_solved_in_one_group(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want)
 
 
+def test_quant_converged(spark):
+    d = "/root/testdata/sf0.001"
+    rows = eq.range_classes(queries._with_probs(spark, d), queries.LIB, 64).collect()
+    classes = [(r.targets, [b / 64 + 0.5 / 64 for b in r.bins], r.n) for r in rows]
+    eff = [r.eff_len for r in queries._targets(spark, d).orderBy("ref_id").collect()]
+
+    def step(a):
+        out = [0.0] * len(eff)
+        for targets, probs, n in classes:
+            w = [p * a[t] / eff[t] for t, p in zip(targets, probs)]
+            if sum(w) > 1e-8:
+                for t, x in zip(targets, w):
+                    out[t] += n * x / sum(w)
+        return out
+
+    now = [sum(n for _, _, n in classes) / len(eff)] * len(eff)
+    for _ in range(1500):
+        before, now = now, step(now)
+        if max([0.0, *((y - x) / x for x, y in zip(before, now) if x > 1e-8)]) < 1e-3:
+            break
+    want = step([0.0 if x < 1e-8 else x for x in now])
+    rate = [x / e for x, e in zip(want, eff)]
+    assert "quant_converged" in queries.queries() and "tpm_converged" in queries.queries()
+    for r in queries.quant_converged(spark, d).collect():
+        assert r.ecount == pytest.approx(want[r.ref_id], abs=2e-4) and r.tpm == pytest.approx(1e6 * rate[r.ref_id] / sum(rate), abs=2e-3)
+
+
 def test_tpm(spark):
     df = spark.createDataFrame([(i, float(EFF[i]), WANT[1500][i]) for i in range(3)] + [(3, 0.0, 5.0)], "ref_id int, eff_len double, ecount double")
     assert [r.tpm for r in tpm(df).orderBy("ref_id").collect()] == pytest.approx([714304.3356517428, 101.1982005801514, 285594.4661476771, 0.0])
