@@ -66,7 +66,7 @@ def fixture_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as fragments, their first three line items as alignments to the suppliers' nations."""
+    """Orders as fragments, their line items as alignments to the suppliers' nations."""
     l, s = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     orphan = F.col("l_orderkey") % 10 == 0
@@ -74,8 +74,8 @@ def fixture_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(orphan, F.when(F.col("l_linestatus") == "F", 1).otherwise(2))
         .when(F.col("l_returnflag") == "A", 3).when(F.col("l_returnflag") == "N", 4).when(F.col("l_linestatus") == "F", 3).otherwise(5)
     )
-    first = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_returnflag").withColumn("aln_idx", F.row_number().over(order) - 1).where("aln_idx < 3")
-    return first.join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+    numbered = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_returnflag").withColumn("aln_idx", F.row_number().over(order) - 1)
+    return numbered.join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.col("l_orderkey").alias("frag_id"), "aln_idx", F.col("s_nationkey").alias("ref_id"), ((F.col("l_suppkey") * 37 + F.col("l_linenumber") * 11) % 140).alias("pos"),
         ori.alias("ori"), (100 + 4 * F.col("l_quantity") + F.col("l_linenumber")).cast("int").alias("frag_len"), orphan.alias("is_orphan"),
     )

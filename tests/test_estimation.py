@@ -89,7 +89,7 @@ def test_large_samples_are_not_solved_in_one_group(spark, monkeypatch):
     for i in range(2):
         a = src.fixture_alignments(spark, d).where(F.col("frag_id") % 2 == i)
         p = replicates.packed_of(eq.packed(eq.basic_classes(a, queries.LIB)))
-        eff = np.array([r.eff_len for r in queries._targets(spark, d).orderBy("ref_id").collect()])
+        eff = np.array([r.eff_len for r in queries._targets(spark, d, True).orderBy("ref_id").collect()])
         want |= {(str(i), j): x for j, x in enumerate(em.solve(p, p.counts, eff)[0])}
     monkeypatch.setattr(em, "em_groups", fail)
     got = {(r.sample_id, r.ref_id): r.ecount for r in queries.em_samples(spark, d).collect()}
@@ -98,9 +98,9 @@ def test_large_samples_are_not_solved_in_one_group(spark, monkeypatch):
 
 def test_quant_converged(spark):
     d = "/root/testdata/sf0.001"
-    rows = eq.range_classes(queries._with_probs(spark, d), queries.LIB, 64).collect()
+    rows = eq.range_classes(queries._with_probs(spark, d, True), queries.LIB, 64).collect()
     classes = [(r.targets, [b / 64 + 0.5 / 64 for b in r.bins], r.n) for r in rows]
-    eff = [r.eff_len for r in queries._targets(spark, d).orderBy("ref_id").collect()]
+    eff = [r.eff_len for r in queries._targets(spark, d, True).orderBy("ref_id").collect()]
 
     def step(a):
         out = [0.0] * len(eff)
@@ -123,6 +123,13 @@ def test_quant_converged(spark):
         assert r.ecount == pytest.approx(want[r.ref_id], abs=2e-4) and r.tpm == pytest.approx(1e6 * rate[r.ref_id] / sum(rate), abs=2e-3)
 
 
+def test_all_line_items_are_alignments(spark):
+    d = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    assert src.fixture_alignments(spark, d).count() == items.count()
+    assert queries._classes(spark, d, True).agg(F.max(F.size("targets"))).first()[0] > 3
+
+
 def test_tpm(spark):
     df = spark.createDataFrame([(i, float(EFF[i]), WANT[1500][i]) for i in range(3)] + [(3, 0.0, 5.0)], "ref_id int, eff_len double, ecount double")
     assert [r.tpm for r in tpm(df).orderBy("ref_id").collect()] == pytest.approx([714304.3356517428, 101.1982005801514, 285594.4661476771, 0.0])
