@@ -1,10 +1,15 @@
-"""Bootstrap and Gibbs replicates: one Spark row per replicate or chain, the packed classes sent to all tasks."""
+"""Bootstrap and Gibbs replicates: by DataFrame steps (``bootstrap_frames``), or one Spark row per replicate or chain, the packed classes sent to all tasks."""
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emtally.operators.em import Packed, inverse, solve
+from emtally.operators.em import Packed, em_frames, inverse, solve
+from emtally.sources.shared import written
+
+#: Classes, on average, that a task draws counts for at once.
+CELL = 2_000
 
 RESULT = "rep int, ref_id int, value double"
 
@@ -42,6 +47,40 @@ def bootstrap(spark: SparkSession, p: Packed, eff_len: np.ndarray, n: int, seed:
     return spark.range(0, n, 1, max(1, n)).mapInPandas(draw, RESULT)
 
 
+def drawn(classes: DataFrame, n: int, seed: int = 0, sample: int = 0) -> DataFrame:
+    """(rep, targets, probs, n): ``n`` times the fragments dealt anew to the classes in proportion, the empty class among them.
+    They are dealt to cells of classes first (a number per cell is on the driver) and then within each; a class's cell
+    comes from its content, so results don't depend on the partitioning."""
+    spark = classes.sparkSession
+    merged = written(classes.groupBy("targets", "probs").agg(F.sum("n").alias("n")), "classes")
+    cells = max(1, -(-merged.count() // CELL))
+    merged = merged.withColumn("cell", F.pmod(F.xxhash64("targets", "probs"), F.lit(cells)))
+    sizes = sorted((r.cell, r.n) for r in merged.groupBy("cell").agg(F.sum("n").alias("n")).collect())
+    total = sum(x for _, x in sizes)
+    if not total:
+        raise ValueError("there are no fragments to draw from")
+    stream = lambda *key: np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, sample, 2, *key])))
+    dealt = np.array([stream(rep).multinomial(total, np.array([x for _, x in sizes]) / total) for rep in range(n)])
+    shared = spark.sparkContext.broadcast({cell: dealt[:, i] for i, (cell, _) in enumerate(sizes)})
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        cell = int(rows["cell"].iloc[0])
+        order = sorted(range(len(rows)), key=lambda i: (tuple(rows["targets"].iloc[i]), tuple(rows["probs"].iloc[i])))
+        rows = rows.iloc[order]
+        share = rows["n"].to_numpy() / rows["n"].sum()
+        counts = np.array([stream(rep, cell).multinomial(int(k), share) for rep, k in enumerate(shared.value[cell])])
+        return pd.DataFrame({"targets": rows["targets"].to_numpy(), "probs": rows["probs"].to_numpy(), "counts": list(counts.T)})
+
+    found = merged.groupBy("cell").applyInPandas(draw, "targets array<int>, probs array<double>, counts array<long>")
+    return found.select("targets", "probs", F.posexplode("counts").alias("rep", "n")).where("n > 0").select("rep", "targets", "probs", "n")
+
+
+def bootstrap_frames(classes: DataFrame, targets: DataFrame, n: int, seed: int = 0, sample: int = 0, **limits) -> DataFrame:
+    """``bootstrap`` for classes of any number: counts are drawn in tasks, and all replicates solved by DataFrame steps."""
+    found = em_frames(written(drawn(classes, n, seed, sample), "drawn"), targets, by=("rep",), **limits)
+    return found.select("rep", "ref_id", F.col("ecount").alias("value"))
+
+
 def chains(samples: int) -> list[int]:
     """Samples of each chain: more chains for more samples, the first ones taking what is left over."""
     k = 8 if samples >= 200 else 4 if samples >= 100 else 2 if samples >= 50 else 1

@@ -79,7 +79,9 @@ def quantify(alignments: DataFrame, targets: DataFrame, options: QuantOptions, p
     if not counts.agg(F.sum("ecount")).first()[0]:
         warnings.warn("no target has any count: all TPM are 0", stacklevel=2)
     drawn, method = None, "none"
-    if options.num_bootstraps or options.num_gibbs_samples:
+    if options.num_bootstraps and solver == "frames":
+        drawn, method = replicates.bootstrap_frames(classes, lengths, options.num_bootstraps, seed, **limits), "bootstrap"
+    elif options.num_bootstraps or options.num_gibbs_samples:
         packed = replicates.packed_of(classes)
         rows = [(r.eff_len, r.ecount) for r in quant.orderBy("ref_id").select("eff_len", "ecount").toLocalIterator()]
         eff, start = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])

@@ -205,8 +205,7 @@ def _packed(spark, d):
 
 
 def bootstrap_replicates(spark: SparkSession, d: str) -> DataFrame:
-    packed, eff = _packed(spark, d)
-    return replicates.bootstrap(spark, packed, eff, 8)
+    return replicates.bootstrap_frames(_classes(spark, d, True), written(_targets(spark, d, True), "targets"), 8)
 
 
 def gibbs_replicates(spark: SparkSession, d: str) -> DataFrame:

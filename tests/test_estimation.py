@@ -213,6 +213,33 @@ def test_replicates(spark):
     assert sorted(g["rep"].unique()) == list(range(50)) and g.groupby("rep")["value"].sum().tolist() == pytest.approx([40.0] * 50)
 
 
+def test_bootstrap_without_classes_on_the_driver(spark, monkeypatch):
+    def fail(*a, **k):
+        raise AssertionError("all classes on the driver")
+
+    monkeypatch.setattr(replicates, "packed_of", fail)
+    monkeypatch.setattr(replicates, "CELL", 1)
+    c, t = frames(spark)
+    key = lambda df: sorted((r.rep, tuple(r.targets), r.n) for r in df.collect())
+    got = key(replicates.drawn(c, 200, 3))
+    assert got == key(replicates.drawn(c.repartition(3), 200, 3))
+    assert all(sum(n for rep, _, n in got if rep == i) == 40 for i in range(200))
+    for targets, count in CLASSES:
+        n = [sum(n for rep, x, n in got if rep == i and x == tuple(targets)) for i in range(200)]
+        assert abs(np.mean(n) - count) < 5 * np.sqrt(count * (1 - count / 40) / 200) and np.var(n) == pytest.approx(count * (1 - count / 40), rel=0.5)
+    monkeypatch.setattr(replicates, "bootstrap_frames", lambda classes, targets, n: replicates.drawn(classes, n))
+    assert queries.bootstrap_replicates(spark, "/root/testdata/sf0.001").agg(F.countDistinct("rep")).first()[0] == 8
+
+
+def test_bootstrap_frames_solves_each_replicate(spark):
+    c, t = frames(spark)
+    a = {(r.rep, r.ref_id): r.value for r in replicates.bootstrap_frames(c, t, 2, 3, max_iter=3).collect()}
+    for rep in range(2):
+        rows = [r for r in replicates.drawn(c, 2, 3).collect() if r.rep == rep]
+        p = em.Packed.of_rows([r.targets for r in rows], [r.probs for r in rows], [r.n for r in rows])
+        assert [a[rep, i] for i in range(3)] == pytest.approx(em.solve(p, p.counts, EFF, 3)[0], rel=1e-9)
+
+
 def test_outputs(spark, tmp_path):
     q = spark.createDataFrame([(1, "b", 20, 10.0625, 1.0005, 2.0), (0, "a", 10, 5.0, 0.0, 0.0)], "ref_id int, target_name string, len long, eff_len double, tpm double, ecount double")
     stem = tmp_path / "new" / "x.y"
