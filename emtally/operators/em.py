@@ -1,7 +1,7 @@
 """Expectation maximisation over equivalence classes.
 
 ``em_step`` and ``em_frames`` are joins and aggregates, for one or many samples with classes of any number.
-``em_groups`` solves many samples, a task each, on arrays: for samples of up to about a million classes each.
+``em_groups`` solves many samples, a task each, on arrays: for samples whose classes fit a task.
 """
 
 from dataclasses import dataclass

@@ -39,7 +39,7 @@ def detect_library(nested: DataFrame, paired: bool, samples: int) -> str:
 def quantify(alignments: DataFrame, targets: DataFrame, options: QuantOptions, paired: bool = True, seed: int = 0, solver: str = "frames") -> Estimate:
     """Estimates counts and TPM of ``targets`` (ref_id dense from 0) from ``alignments``.
 
-    ``solver``: "frames" solves the classes by DataFrame steps, "arrays" in one task, for up to about a million classes.
+    ``solver``: "frames" solves the classes by DataFrame steps, "arrays" in one task, for classes that fit it.
     The order is that of a sequential run: library type from the first fragments, length distribution from the first
     unique ones, classes from all, effective lengths from all unique ones (from the options if unpaired), EM, TPM, replicates."""
     spark = alignments.sparkSession
