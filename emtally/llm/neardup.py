@@ -9,7 +9,13 @@ A list of more than ``RARE`` classes is never expanded into pairs. Two classes w
 are those whose sketches consist mostly of such frequent values. They are first compared with one pivot per
 list, which unites most of a large group of copies. What is left is found exactly by prefixes of the full sets,
 rarest value first: two similar sets share a value among their first ones. In a list of prefixes, classes of
-its largest component are not paired with each other, as they are linked already.
+its largest component are not paired with each other, as they are linked already. A list with more than ``FEW``
+other classes isn't paired at all: it is told apart by a second value, which two similar sets share among a few more
+of their first ones, and so on, up to ``DEPTH`` values.
+
+The join of pairs with what belongs to an id is dealt by id and share: an id with more than ``SHARE`` pairs has
+several shares, to each of which its row is copied. Sets are of 64-bit hashes; that two shingles of one corpus have
+one hash is taken as not happening (of 10 million shingles, a chance of 3 in a million).
 """
 
 import math
@@ -28,12 +34,20 @@ from emtally.llm.tables import small_batches, written
 K = 32
 #: Classes in a list whose pairs are all taken.
 RARE = 24
+#: Pairs of one id, or classes of one list, that are joined in one share.
+SHARE = 256
+#: Classes outside a list's largest component up to which they are paired with all of the list.
+FEW = 128
+#: Values by which a list is told apart at most; then its pairs are taken.
+DEPTH = 5
 #: Chance that the estimate of a true link falls under the filter.
 MISS = 1e-6
 #: Ids up to which a set of ids is broadcast (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 500_000
 
-_MASK = (1 << 64) - 1
+#: A column that no table of documents has.
+ROW = "__row__"
+
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -109,6 +123,19 @@ def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> Dat
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def attach(pairs: DataFrame, table: DataFrame, key: str, counted: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with the columns of ``table``, which is unique on ``key``. Keys that have more than SHARE
+    rows in ``counted`` (a written table of all pairs) are dealt to shares by the pair, and their rows copied to each:
+    at most one copy per SHARE pairs. The table of such keys is broadcast up to a counted size."""
+    shares = written(counted.groupBy(key).agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1"), "shares")
+    if shares.count() <= BROADCAST_IDS:
+        shares = F.broadcast(shares)
+    n = F.coalesce("shares", F.lit(1))
+    dealt = pairs.join(shares, key, "left").withColumn("share", F.pmod(F.xxhash64("a", "b"), n)).drop("shares")
+    copies = table.join(shares, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("shares")
+    return dealt.join(copies, [key, "share"]).drop("share")
+
+
 def least_shared(k: int, percent: int, miss: float = MISS) -> int:
     """The largest m such that of ``k`` values of a union's sketch fewer than m are shared with a chance of at
     most ``miss``, if the similarity is ``percent`` or more."""
@@ -139,12 +166,12 @@ class _Search:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that the sketch of the union lets pass. Where it is smaller than k it is the whole union, and the test exact."""
+        """Of ``pairs`` (a, b), a written table, those that the sketch of the union lets pass. Where it is smaller than k it is the whole union, and the test exact."""
         one = lambda x: self.classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.k)
         shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
         passes = F.when(F.size(union) < self.k, 100 * shared >= self.percent * F.size(union)).otherwise(shared >= self.least)
-        return pairs.join(one("a"), "a").join(one("b"), "b").where(passes).select("a", "b")
+        return attach(attach(pairs, one("a"), "a", pairs), one("b"), "b", pairs).where(passes).select("a", "b")
 
     def full_sets(self, ids: DataFrame) -> DataFrame:
         """(rep, n, set) for the texts of ``ids`` (rep), from the whole texts."""
@@ -161,7 +188,7 @@ class _Search:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar."""
         percent = self.percent
-        pairs = written(self.estimated(pairs).distinct(), "candidates")
+        pairs = written(self.estimated(written(pairs.distinct(), "pairs")), "candidates")
         sets = written(self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()).select("rep", "set"), "sets")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +203,7 @@ class _Search:
                 yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         one = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"x{x}"))
-        return written(pairs.join(one("a"), "a").join(one("b"), "b").mapInArrow(compare, "a long, b long"), "verified")
+        return written(attach(attach(pairs, one("a"), "a", pairs), one("b"), "b", pairs).mapInArrow(compare, "a long, b long"), "verified")
 
     def links(self) -> DataFrame:
         k = self.k
@@ -225,24 +252,63 @@ class _Search:
         df = written(df.where("df > 1"), "value-counts")
         # values of one class come first in any order of rarity: only how many there are counts
         shared = full.join(df, "value")
+        first = F.col("n") - F.ceil(self.percent * F.col("n") / 100) + DEPTH
         ranked = (
             shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
             .withColumn("alone", F.col("n") - F.size("v"))
-            .withColumn("prefix", F.col("n") - F.ceil(self.percent * F.col("n") / 100) + 1)
-            .select("rep", "n", "alone", F.posexplode(F.slice("v", F.lit(1), F.greatest(F.col("prefix") - F.col("alone"), F.lit(0)).cast("int"))).alias("i", "x"))
+            .select("rep", "n", "alone", F.posexplode(F.slice("v", F.lit(1), F.greatest(first - F.col("alone"), F.lit(0)).cast("int"))).alias("i", "x"))
             .select("rep", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.value").alias("value"))
         )
-        prefixes = written(ranked.join(open_, "rep"), "prefixes")
-        weights = prefixes.groupBy("component").agg(F.approx_count_distinct("rep").alias("weight"))
-        lists = prefixes.join(written(weights, "weights"), "component").groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max_by("component", F.struct("weight", "component")).alias("main")).where("x != y").select("value", "main")
-        prefixes = written(prefixes.join(written(lists, "prefix-lists"), "value"), "prefixes")
-        one = lambda df, x: df.select("value", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("component").alias(f"c{x}"), F.col("main").alias(f"m{x}"))
-        few, all_ = one(prefixes.where("component != main"), "x"), one(prefixes, "y")
-        bound = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-        pairs = few.join(all_, "value").where(
+        ranked = written(ranked.join(open_, "rep"), "prefixes")
+        return self.verified(self.of_lists(ranked).distinct())
+
+    def of_lists(self, ranked: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes of different components that may be similar, by the first ``values`` of their sets, (rep,
+        component, n, pos, value) in one order for all sets, DEPTH more than the first n - t + 1, t being what a similar set shares at least.
+
+        The j-th value that two similar sets share is among the first n - t + j of either. So their lists by the first shared
+        value meet, and so do those by the first two, in order. A class leaves a list in which no other is large or small
+        enough to share what is needed, as at most the values from its place on are left to share."""
+        beyond = F.col("n") - F.ceil(self.percent * F.col("n") / 100)
+        keyed = ranked.where(F.col("pos") <= beyond).withColumnRenamed("value", "key").withColumn("had", F.lit(0))
+        out = None
+        for depth in range(1, DEPTH + 1):
+            keyed = written(keyed, "keyed")
+            parts = keyed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+            lists = parts.groupBy("key").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.min("least").alias("least")).where("size > most")
+            listed = keyed.join(written(lists, "prefix-lists"), "key")
+            # the smallest set that is there and may be similar
+            least = F.greatest(F.col("least"), F.ceil(self.percent * F.col("n") / 100))
+            listed = written(listed.where(F.col("had") + F.col("n") - F.col("pos") >= _overlap(F.col("n"), least, self.percent)), "listed")
+            large = F.col("size") - F.col("most") > FEW
+            pairs = self.across(listed) if depth == DEPTH else self.across(listed.where(~large)).unionByName(self.whole(listed.where(large), depth))
+            out = pairs if out is None else out.unionByName(pairs)
+            if depth == DEPTH or listed.where(large).isEmpty():
+                return out
+            more = ranked.select("rep", F.col("pos").alias("next"), "value")
+            on = listed.where(large).select("rep", "component", "n", "pos", "had", "key").join(more, "rep").where((F.col("next") > F.col("pos")) & (F.col("next") <= beyond + depth))
+            keyed = on.select("rep", "component", "n", F.col("next").alias("pos"), F.xxhash64("key", "value").alias("key"), (F.col("had") + 1).alias("had"))
+
+    def whole(self, listed: DataFrame, depth: int) -> DataFrame:
+        """The pairs of ``listed`` that are similar even if they share the list's ``depth`` values only: no list by more values has them.
+        They are sets of about ``depth`` values, so the sizes of a set's partners are few."""
+        small = listed.where(F.ceil(self.percent * F.col("n") / 100) <= depth)
+        sizes = F.sequence(F.ceil(self.percent * F.col("n") / 100), F.floor(100 * F.col("n") / self.percent))
+        x = small.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.explode(sizes).alias("ny")).where(_overlap(F.col("nx"), F.col("ny"), self.percent) <= depth)
+        y = small.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+        return x.join(y, ["key", "ny"]).where("cx != cy AND x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    def across(self, listed: DataFrame) -> DataFrame:
+        """The pairs of ``listed`` outside each list's main component with all of the list; large lists are dealt to shares."""
+        shares = F.ceil(F.col("size") / SHARE)
+        one = lambda df, x: df.select("key", "share", "had", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("component").alias(f"c{x}"), F.col("main").alias(f"m{x}"))
+        few = one(listed.where("component != main").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))), "x")
+        all_ = one(listed.withColumn("share", F.pmod(F.xxhash64("rep"), shares)), "y").drop("had")
+        bound = F.col("had") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+        pairs = few.join(all_, ["key", "share"]).where(
             (F.col("cx") != F.col("cy")) & self.alike(F.col("nx"), F.col("ny")) & (bound >= _overlap(F.col("nx"), F.col("ny"), self.percent)) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
         )
-        return self.verified(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = K, rare: int = RARE) -> DataFrame:
@@ -250,17 +316,40 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
 
     A-Z are lower-cased; words are runs of other bytes than ASCII white space. Texts are linked when their sets
     of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more (integer arithmetic on the
-    full sets). component_id is the smallest doc_id that can be reached, kept is doc_id = component_id. Null,
-    empty and blank texts have an empty set and no links; a row with a null doc_id has no links, a null
-    component_id and is kept. Repeated rows get equal results. Other columns are ignored."""
+    full sets). component_id is the smallest doc_id that can be reached, kept is doc_id = component_id. Links are found
+    by sketches where lists have up to ``rare`` classes and by pivots and prefixes of the full sets beyond; both find
+    the same, but for a chance of MISS of a sketch's estimate. Null, empty and blank texts have an empty set and no
+    links; a row with a null doc_id has no links, a null component_id and is kept. Repeated rows get equal results. Rows
+    of one doc_id are one document: what any of its texts is linked with is in its group. Other columns are ignored."""
     small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
     sets = written(_sets(docs, width, k), "sketches")
     named = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("size")), "classes")
-    labels = components(_Search(docs, classes, width, percent, k, rare).links())
+    links = _Search(docs, classes, width, percent, k, rare).links()
+    # a doc_id with several texts links their classes
+    several = named.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x != y").select("doc_id")
+    several = written(several, "several")
+    if not several.isEmpty():
+        mine = only(named.select("doc_id", "digest"), several, "doc_id").join(classes.select("digest", "rep"), "digest")
+        links = links.unionByName(mine.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    labels = components(links)
     belongs = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").where("size > 1 OR component IS NOT NULL").select("digest", F.coalesce("component", "rep").alias("component"))
     belongs = written(belongs, "belongs")
     out = sets.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest")).join(belongs, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(documents: DataFrame, **params) -> DataFrame:
+    """One row of each group of ``documents`` (doc_id, text, ...): that with the smallest doc_id, null last; of equal ones any.
+    Rows count each for itself, also those that share a doc_id or have none. Rows without words all stay. Columns are kept."""
+    rows = written(documents.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), **params)
+    # rows that are alone in their group are left out before anything is joined
+    others = written(groups.where("NOT kept").select(F.col("doc_id").alias(ROW), "component_id"), "others")
+    named = written(others.unionByName(others.select(F.col("component_id").alias(ROW), "component_id")).distinct(), "members")
+    ids = only(rows.select(ROW, "doc_id"), named.select(ROW), ROW).join(named, ROW)
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col(ROW).alias(ROW))).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    gone = written(named.select(ROW).join(first, ROW, "left_anti"), "copies")
+    return only(rows, gone, ROW, "left_anti").select(documents.columns)

@@ -81,6 +81,64 @@ def test_near_duplicates(spark, width, percent, rare, k):
     assert sorted(got, key=key) == sorted(plain_groups(rows, width, percent), key=key)
 
 
+def search(spark, percent):
+    none = spark.createDataFrame([], "rep long, n long, sketch array<long>")
+    return neardup._Search(none, none, 3, percent, neardup.K, neardup.RARE)
+
+
+def ranked(spark, sets, percent, component=lambda i: i):
+    """The first values of each set, in the order of the values."""
+    rows = []
+    for i, s in enumerate(sets):
+        first = len(s) - -(-percent * len(s) // 100) + neardup.DEPTH
+        rows += [(i, component(i), len(s), pos, v) for pos, v in enumerate(sorted(s)[:first])]
+    return spark.createDataFrame(rows, "rep long, component long, n long, pos long, value long")
+
+
+@pytest.mark.parametrize("percent,few", [(80, 2), (85, 5), (80, 0), (60, 1)])
+def test_lists_that_are_told_apart_lose_no_pair(spark, monkeypatch, percent, few):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "SHARE", 8)
+    rng = random.Random(percent + few)
+    sets = {frozenset(rng.sample(range(9), rng.randint(1, 6))) for _ in range(120)}
+    for _ in range(8):
+        base = rng.sample(range(40), 20)
+        sets |= {frozenset(rng.sample(base, 18) + rng.sample(range(40, 60), rng.randint(0, 3))) for _ in range(12)}
+    sets = sorted(map(sorted, sets))
+    component = lambda i: i if i % 3 else 0
+    got = {(r.a, r.b) for r in search(spark, percent).of_lists(ranked(spark, sets, percent, component)).collect()}
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(set(sets[i]) & set(sets[j]))
+        if component(i) != component(j) and 100 * both >= percent * len(set(sets[i]) | set(sets[j])):
+            assert (i, j) in got, (sets[i], sets[j])
+
+
+def test_a_large_list_of_unrelated_sets_is_not_paired(spark):
+    rng = random.Random(8)
+    sets = [[0, *rng.sample(range(1, 400), 19)] for _ in range(10_000)]
+    sets[77] = [*sets[5][:19], 999]
+    pairs = search(spark, 80).of_lists(ranked(spark, sets, 80)).distinct()
+    found = {(r.a, r.b) for r in pairs.collect()}
+    assert (5, 77) in found and len(found) < neardup.FEW * len(sets)  # all pairs: 50 million
+
+
+def test_pairs_of_one_id_are_dealt_to_shares(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARE", 10)
+    rows = [(1, i) for i in range(2, 500)] + [(i, i + 1) for i in range(2, 30)]
+    pairs = neardup.written(spark.createDataFrame(rows, "a long, b long"), "pairs")
+    table = spark.createDataFrame([(i, -i) for i in range(1, 501)], "a long, x long")
+    out = neardup.attach(pairs, table, "a", pairs)
+    assert sorted(map(tuple, out.select("a", "b", "x").collect())) == sorted((a, b, -a) for a, b in rows)
+
+
+def test_rows_of_one_doc_id_are_one_document(spark):
+    words = "a b c d e f g h i j k l m n o p q r s t".split()
+    one, two, three = " ".join(words), " ".join(reversed(words)), " ".join(words[::2] * 2)
+    rows = [(5, one), (5, two), (9, one), (2, two), (7, three)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, rows)).collect())
+    assert got == [(2, 2, True), (5, 2, False), (5, 2, False), (7, 7, True), (9, 2, False)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs(spark, [(1, "a")]).limit(0)).count() == 0
     r = neardup.near_duplicates(docs(spark, [(1, None)])).first()
@@ -244,3 +302,31 @@ def test_pipeline(spark):
     out = p.run(spark, d)
     left = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert left <= {i for i, _ in rows} and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_pipeline_stages_work_by_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeioustrnl") for _ in range(4)) for _ in range(90)]
+    clean = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(300)]
+    bad = [t.replace(" ", " vexqu ", 6) for t in clean[:100]]
+    labels = spark.createDataFrame([(i, 1, int(i >= 300)) for i in range(400)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    twice = clean[120]
+    rows = [*enumerate([*clean, *bad]), (None, bad[3] + " more"), (None, clean[7]), (301, clean[8] + " own words here"), (7, twice), (120, twice), (120, twice), (None, None), (None, ""), (9, "")]
+    df = docs(spark, rows).repartition(3)
+    kept = p.drop_toxic(spark, df, str(tmp_path))
+    texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert texts == sorted((i is None, i or 0, t or "") for i, t in rows if "vexqu" not in (t or "")) and kept.columns == df.columns
+    left = p.drop_near_duplicates(spark, kept, str(tmp_path))
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    # clean[7]: the copy without an id goes; twice: the smallest id that says it stays; rows without words stay
+    assert got.count((7, clean[7])) == 1 and (None, clean[7]) not in got
+    assert [i for i, t in got if t == twice] == [7] and sum(not t for _, t in got) == 3
+    # the row of id 301 isn't toxic, but a near copy of that of id 8
+    assert {t for _, t in got if t} == {t for _, t in rows if t and "vexqu" not in t} - {clean[8] + " own words here"}
+    assert left.columns == df.columns and p.blot_secrets(spark, left, "").count() == left.count()
+    nothing = df.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
