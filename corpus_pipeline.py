@@ -7,16 +7,13 @@ from emtally.llm.tables import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier doesn't reject. It learns from the labelled rows among ``docs`` outside the held-out fold."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = written(toxicity.score(docs, model).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct(), "toxic")
-    return neardup.only(docs, toxic, "doc_id", "left_anti").select(docs.columns)
+    """The rows that the classifier doesn't reject. It learns from the labelled rows among ``docs`` outside the held-out fold."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their five-word shingles: that with the smallest doc_id."""
-    copies = written(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "copies")
-    return neardup.only(docs, copies, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of texts that share 0.8 of their five-word shingles: that with the smallest doc_id."""
+    return neardup.without_near_duplicates(docs)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
