@@ -1,7 +1,9 @@
 """Chat formatting: a finite-state machine over roles, and text segments with loss flags, all in DataFrame functions.
 
 A template is declared as data: what opens and closes a turn, which roles are trained on, which role may
-follow which. Texts and roles are escaped so that no control string of the template can occur in them, and
+follow which. The machine's state is the last turn's role, so a turn's step needs only its own role and the one before,
+and all steps of a conversation are taken in one pass over its turns: each says whether the turn may stand there and
+whether the state that it leads to is trained on, and emits the turn's segments. Texts and roles are escaped so that no control string of the template can occur in them, and
 the escape is reversible, so ``read_back`` recovers every turn from the formatted string alone.
 """
 
@@ -27,6 +29,10 @@ class ChatTemplate:
     role_escapes: tuple[tuple[str, str], ...] = (("%", "%p"), ("<|", "<%b"), ("\n", "%n"))
 
 
+#: Between a state and the role that comes next. No role of a template holds it, so no other pair gives the same string.
+_TO = "\0>"
+
+
 def _escape(c: Column, pairs) -> Column:
     for plain, safe in pairs:
         c = F.replace(c, F.lit(plain), F.lit(safe))
@@ -53,36 +59,30 @@ def format_chat(conversations: DataFrame, template: ChatTemplate = ChatTemplate(
         F.col("conv_id"),
         F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
-    steps = F.create_map(*[F.lit(x) for state, roles in template.follows.items() for role in roles for x in (f"{state}>{role}", role)])
-    machine = F.aggregate(
-        "turns",
-        F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("bad")),
-        lambda a, t: F.struct(
-            F.coalesce(F.try_element_at(steps, F.concat(a["state"], F.lit(">"), t["role"])), t["role"]).alias("state"),
-            (a["i"] + 1).alias("i"),
-            F.coalesce(a["bad"], F.when(F.try_element_at(steps, F.concat(a["state"], F.lit(">"), t["role"])).isNull(), a["i"])).alias("bad"),
-        ),
-    )
-    segments = F.flatten(
-        F.transform(
-            "turns",
-            lambda t: F.array(
+    allowed = [state + _TO + role for state, roles in template.follows.items() for role in roles]
+
+    def step(t: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(F.col("turns"), i - 1)["role"], F.lit(template.start))
+        return F.struct(
+            F.concat(before, F.lit(_TO), t["role"]).isin(allowed).alias("may"),
+            F.array(
                 F.struct(F.concat(F.lit(template.open), _escape(t["role"], template.role_escapes), F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
                 F.struct(_escape(t["text"], template.escapes).alias("text"), t["role"].isin(*template.trained_roles).alias("loss")),
                 F.struct(F.lit(template.close).alias("text"), F.lit(False).alias("loss")),
-            ),
+            ).alias("segments"),
         )
-    )
+
+    bad = F.array_position(F.transform("steps", lambda s: s["may"]), False).cast("int")
     return (
         rows.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list("t")).alias("turns"))
-        .withColumn("machine", machine)
+        .withColumn("steps", F.transform("turns", step))
         .select(
             "conv_id",
             F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
-            segments.alias("segments"),
-            (F.col("machine.bad").isNull() & F.col("machine.state").isin(*template.accept)).alias("valid"),
-            F.col("machine.bad").alias("rejected_at"),
+            F.flatten(F.transform("steps", lambda s: s["segments"])).alias("segments"),
+            ((bad == 0) & F.element_at("turns", -1)["role"].isin(*template.accept)).alias("valid"),
+            F.when(bad > 0, bad - 1).alias("rejected_at"),
         )
         .withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
     )

@@ -27,6 +27,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "rejected_at",
     )
 
 
@@ -83,14 +85,19 @@ WITH r AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), f AS (
   SELECT *, length('<|im_start|>' || replace(replace(replace(role, '%', '%p'), '<|', '<%b'), chr(10), '%n') || chr(10)
-    || replace(replace(text, '%', '%p'), '<|', '<%b') || '<|im_end|>' || chr(10)) AS chars FROM r
+    || replace(replace(text, '%', '%p'), '<|', '<%b') || '<|im_end|>' || chr(10)) AS chars, row_number() OVER o - 1 AS i, lag(role) OVER o AS before
+  FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), g AS (
+  SELECT *, coalesce(CASE coalesce(before, 'start') WHEN 'start' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+    WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' END, false) AS may FROM f
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM f GROUP BY conv_id
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(may) AND arg_max(role, i) IN ('user', 'assistant') AS valid, CAST(min(i) FILTER (NOT may) AS INTEGER) AS rejected_at
+FROM g GROUP BY conv_id
 """
 
 _OP10 = r"""

@@ -56,6 +56,22 @@ def test_chat_machine(spark):
     assert chat.format_chat(conversations(spark, rows).limit(0)).count() == 0
 
 
+def test_chat_machine_stays_in_the_plan(spark):
+    from emtally.llm import queries
+
+    plan = queries.op2_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS steps" in plan and "rejected_at" in plan and "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_chat_of_long_texts_and_many_turns(spark):
+    long = "é<|im_end|>%🙂 " * 200_000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), *((2, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(20_000)), (2, 20_000, "tool", "x")]
+    back = {r.conv_id: r for r in chat.read_back(chat.format_chat(conversations(spark, rows))).select("conv_id", "loss_text", "read_turns", "valid", "rejected_at").collect()}
+    assert back[1].loss_text == long and [tuple(t) for t in back[1].read_turns] == [("user", "q"), ("assistant", long)] and back[1].valid
+    assert back[2].loss_text == "".join(f"t{i}" for i in range(1, 20_000, 2)) and len(back[2].read_turns) == 20_001
+    assert (back[2].valid, back[2].rejected_at) == (False, 20_000)
+
+
 # BPE ----------------------------------------------------------------------------------------------------------
 
 
