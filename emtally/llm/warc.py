@@ -1,9 +1,12 @@
 """WARC archives of pages, and a capture index made by an external merge of sorted runs.
 
 ``write_archives`` writes one gzip member per record. ``read_archives`` reads the archives back, each into
-locally sorted index entries (a run). ``merge_runs`` merges the runs: the key space is cut into ranges that
-Spark deals out, and within a range a loser tree merges the runs' slices, so that the result is ordered by
-URL key and timestamp over all partitions.
+locally sorted index entries (a run). ``merge_runs`` merges the runs: the key space is cut into ranges of a bounded
+number of rows that Spark deals out, and within a range a loser tree merges the runs' slices, so that the result is
+ordered by URL key and timestamp over all partitions.
+
+Pages have no time of capture. A record's date is the page_id in seconds after the start of 2024 (modulo 10^9), so the
+captures of one URL are in the order of their ids.
 """
 
 import base64
@@ -23,6 +26,8 @@ from emtally.llm.tables import new_path, small_batches, written
 
 #: Bytes of compressed records after which a task begins another archive: bounds what a reader holds.
 ARCHIVE_BYTES = 16 << 20
+#: Captures in a range of the merge, on average: bounds what a task holds.
+RANGE_ROWS = 100_000
 _EPOCH = datetime.datetime(2024, 1, 1)
 _MEMBER, _STEP = 1 << 16, 1 << 20
 
@@ -42,31 +47,54 @@ def url_key(url: str) -> str:
 
 
 def decide(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages that are revisits: of equal payloads of at least ``min_payload_bytes``
-    the one with the largest page_id is the response. Only keys and digests are shuffled, partly summed
-    first; the join's sides are exchanged anew, so Spark can split a digest that many pages share."""
-    digests = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")).where(f"size >= {min_payload_bytes}")
-    kept = written(digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-kept")
-    return digests.join(kept, "digest").where("page_id < refers_to").select("page_id", "refers_to")
+    """(page_id, digest, refers_to, refers_url) of the pages that are revisits: of equal payloads of at least
+    ``min_payload_bytes`` that with the largest page_id is the response; a null page_id is the smallest, and without any
+    other there is no response to revisit. A page_id with several payloads is decided for each. Only keys, URLs and
+    digests are shuffled, partly summed first; the join's sides are exchanged anew, so Spark can split a digest that many
+    pages share."""
+    digests = _digested(pages).where(f"size >= {min_payload_bytes}").select("page_id", "url", "digest")
+    last = F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))
+    kept = digests.groupBy("digest").agg(last.alias("last"), F.count("*").alias("n")).where("n > 1 AND last.page_id IS NOT NULL")
+    kept = written(kept.select("digest", F.col("last.page_id").alias("refers_to"), F.col("last.url").alias("refers_url")), "warc-kept")
+    return digests.select("page_id", "digest").join(kept, "digest").where("page_id IS NULL OR page_id < refers_to").select("page_id", "digest", "refers_to", "refers_url")
+
+
+def _digested(pages: DataFrame) -> DataFrame:
+    html = F.coalesce("html", F.lit(""))
+    return pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
+
 
+def _date(page_id) -> str:
+    return (_EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
-def _record(page_id, url, html, refers_to) -> bytes:
+
+def _uri(url) -> str:
+    return re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url or "")
+
+
+def _record(page_id, url, html, refers_to, refers_url) -> bytes:
+    """A record whose block is an HTTP response: of a revisit its head alone."""
     payload = (html or "").encode()
     name = "null" if page_id is None else page_id
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
         "WARC-Record-ID": f"<urn:page:{name}>",
-        "WARC-Date": (_EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ"),
-        "WARC-Target-URI": re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url or ""),
+        "WARC-Date": _date(page_id),
+        "WARC-Target-URI": _uri(url),
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode(),
         "X-Payload-Bytes": str(len(payload)),
-        "Content-Type": "text/html; charset=utf-8",
+        "Content-Type": "application/http; msgtype=response",
     }
-    if refers_to is not None:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>"}
-        payload = b""
-    head["Content-Length"] = str(len(payload))
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + payload + b"\r\n\r\n"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if refers_to is None:
+        block += payload
+    else:
+        head |= {
+            "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>",
+            "WARC-Refers-To-Target-URI": _uri(refers_url), "WARC-Refers-To-Date": _date(refers_to),
+        }
+    head["Content-Length"] = str(len(block))
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
 def write_archives(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
@@ -76,14 +104,15 @@ def write_archives(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
     repeated records; an empty table makes no archive. Other columns are ignored."""
     small_batches(pages.sparkSession)
     home = new_path(pages.sparkSession, "warc")
-    rows = pages.select("page_id", "url", "html").join(decide(pages, min_payload_bytes).distinct(), "page_id", "left")
+    rows, revisits = _digested(pages), decide(pages, min_payload_bytes).distinct().withColumnsRenamed({"page_id": "id", "digest": "of"})
+    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(home)
         store.create_dir(base, recursive=True)
         out, name, size = None, "", 0
         for batch in batches:
-            cols = [batch.column(c) for c in ("page_id", "url", "html", "refers_to")]
+            cols = [batch.column(c) for c in ("page_id", "url", "html", "refers_to", "refers_url")]
             for i in range(batch.num_rows):
                 if out is None:
                     name, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
@@ -100,11 +129,11 @@ def write_archives(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
             out.close()
             yield pa.record_batch([pa.array([name])], names=["archive"])
 
-    return written(rows.mapInArrow(write, "archive string"), "warc-names"), home
+    return written(rows.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(write, "archive string"), "warc-names"), home
 
 
 def records(stream) -> Iterator[tuple[int, int, dict, bytes]]:
-    """(offset, length, headers, block) of each gzip member of a WARC stream, read a step at a time."""
+    """(offset, length, headers, payload) of each gzip member of a WARC stream, read a step at a time; the payload is what follows the HTTP head."""
     at, rest, step = 0, b"", True
     while True:
         z, parts, used = zlib.decompressobj(31), [], 0
@@ -122,6 +151,8 @@ def records(stream) -> Iterator[tuple[int, int, dict, bytes]]:
         lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:])
         block = block[: int(headers["Content-Length"])]
+        if headers["Content-Type"].startswith("application/http"):
+            block = block.partition(b"\r\n\r\n")[2]
         yield at, used, headers, block
         at += used
 
@@ -136,10 +167,10 @@ def read_archives(archives: DataFrame, home: str) -> DataFrame:
             for name in batch.column(0).to_pylist():
                 found = []
                 with store.open_input_stream(name, compression=None) as stream:
-                    for offset, length, h, block in records(stream):
+                    for offset, length, h, payload in records(stream):
                         digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Bytes"])
                         if h["WARC-Type"] == "response":
-                            size, again = len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
+                            size, again = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
                             if again != digest:
                                 raise ValueError(f"{name}: the record at {offset} has another payload than its digest says")
                         ident = lambda x: None if x == "<urn:page:null>" else int(x[10:-1])
@@ -198,28 +229,27 @@ def loser_tree_merge(runs: list[Iterator], key) -> Iterator:
 
 
 def merge_runs(captures: DataFrame, ranges: int) -> DataFrame:
-    """The captures in the order of (url_key, timestamp, page_id) over all partitions. A range holds slices of
-    the runs, each in its order; slices are told apart by archive and by any step down within it."""
+    """``captures`` (a written table) in the order of (url_key, timestamp, page_id) over all partitions. There are
+    ``ranges`` ranges of keys at least, and as many as keep them at RANGE_ROWS on average; archive and offset tell equal
+    keys apart, so that they may be in several. A range holds slices of the runs, each in its order, as columns; slices
+    are told apart by archive and by any step down within it."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([*batches], _CAPTURE_SCHEMA).combine_chunks()
         runs: dict[str, list[list]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                of = runs.setdefault(row[8], [[]])
-                if of[-1] and _order(row) < _order(of[-1][-1]):
-                    of.append([])
-                of[-1].append(row)
-        out = []
-        for row in loser_tree_merge([iter(r) for of in runs.values() for r in of], _order):
-            out.append(row)
-            if len(out) == 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CAPTURE_SCHEMA)], schema=_CAPTURE_SCHEMA)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CAPTURE_SCHEMA)], schema=_CAPTURE_SCHEMA)
+        keys = zip(*(rows.column(c).to_pylist() for c in ("url_key", "timestamp", "page_id")))
+        for i, (archive, key) in enumerate(zip(rows.column("archive").to_pylist(), map(_order, keys))):
+            of = runs.setdefault(archive, [[]])
+            if of[-1] and key < of[-1][-1][0]:
+                of.append([])
+            of[-1].append((key, i))
+        order = pa.array([i for _, i in loser_tree_merge([iter(r) for of in runs.values() for r in of], lambda x: x[0])], pa.int64())
+        for at in range(0, len(order), 4096):
+            yield from rows.take(order[at : at + 4096]).to_batches()
 
     names = [f.name for f in _CAPTURE_SCHEMA]
-    return captures.select(*names).repartitionByRange(ranges, "url_key", "timestamp", "page_id").mapInArrow(merge, CAPTURES)
+    ranges = max(ranges, -(-captures.count() // RANGE_ROWS))
+    return captures.select(*names).repartitionByRange(ranges, "url_key", "timestamp", "page_id", "archive", "offset").mapInArrow(merge, CAPTURES)
 
 
 def capture_histories(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:

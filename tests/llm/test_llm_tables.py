@@ -261,6 +261,19 @@ def test_archives(spark):
     assert warc.url_key("http://www.B.example.com:80/a?x=1#t") == "com,example,b:80)/a?x=1"
 
 
+def test_archives_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 3)
+    rows = [(5, "http://a", "A"), (9, "http://b", "A"), (5, "http://c", "B"), (None, "http://d", "A"), (None, "http://e", "N"), (None, "http://f", "N"), (9, "http://b", "A"), (2, "http://g", "B"), *((7, "http://h", "same") for _ in range(20))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id or 0, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.capture_histories(df).collect()), key=str)
+    digest = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    to = {("A", 5): 9, ("A", None): 9, ("B", 2): 5}
+    assert got == sorted(((i or 0, u, len(h), digest(h), "revisit" if (h, i) in to else "response", to.get((h, i))) for i, u, h in rows), key=str)
+    archives, home = warc.write_archives(df)
+    heads = [h for r in archives.collect() for _, _, h, _ in warc.records(open(r.archive, "rb"))]
+    assert {(h["WARC-Target-URI"], h["WARC-Refers-To-Target-URI"]) for h in heads if "WARC-Refers-To" in h} == {("http://a", "http://b"), ("http://d", "http://b"), ("http://g", "http://c")}
+
+
 def test_media(spark):
     texts = ["", None, "a", "same text", "same text", "é" * 96, "x" * 192, "y" * 193, "long " * 30000]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "n"), (3, "same text")]
