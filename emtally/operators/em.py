@@ -8,11 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emtally.sources.shared import written
+from emtally.sources.shared import bucketed, written
 
+#: Rows of a table by target (and sample) that are broadcast: 16 to 24 bytes each.
+BROADCAST_ROWS = 1_000_000
 #: Classes with a smaller denominator are skipped.
 LEAST_DENOMINATOR = 1e-8
 
@@ -33,50 +35,73 @@ def uniform(targets: DataFrame, classes: DataFrame, by: tuple[str, ...] = ()) ->
     return targets.select("ref_id").crossJoin(F.broadcast(total.crossJoin(count))).select(*by, "ref_id", (F.col("t") / F.col("c")).alias("a"))
 
 
-def em_step(pairs: DataFrame, abundance: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, ref_id, a) after one step from ``abundance``; every target keeps a row. eq_id tells classes of all samples apart."""
+def is_small(rows: DataFrame) -> bool:
+    return rows.count() <= BROADCAST_ROWS
+
+
+def em_step(pairs: DataFrame, abundance: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), small: bool = False) -> DataFrame:
+    """(*by, ref_id, a) after one step from ``abundance``; every target keeps a row. eq_id tells classes of all samples
+    apart. ``small`` says that the abundance's rows were counted and may be broadcast: then ``pairs`` in buckets of eq_id
+    aren't shuffled, and what is shuffled are sums by target. Otherwise the pairs are exchanged by target, and again by class."""
     keys = [*by, "ref_id"]
-    weighted = pairs.join(abundance, keys).withColumn("w", F.col("w") * F.col("a"))
-    sums = weighted.groupBy("eq_id").agg(F.sum("w").alias("denominator")).where(F.col("denominator") > LEAST_DENOMINATOR)
-    given = weighted.join(sums, "eq_id").groupBy(*keys).agg(F.sum(F.col("n") * F.col("w") / F.col("denominator")).alias("a"))
+    weighted = pairs.join(F.broadcast(abundance) if small else abundance, keys).withColumn("w", F.col("w") * F.col("a"))
+    shared = weighted.withColumn("denominator", F.sum("w").over(Window.partitionBy("eq_id"))).where(F.col("denominator") > LEAST_DENOMINATOR)
+    given = shared.groupBy(*keys).agg(F.sum(F.col("n") * F.col("w") / F.col("denominator")).alias("a"))
     rows = abundance if by else targets
-    return rows.select(*keys).join(given, keys, "left").select(*keys, F.coalesce("a", F.lit(0.0)).alias("a"))
+    return rows.select(*keys).join(F.broadcast(given) if small else given, keys, "left").select(*keys, F.coalesce("a", F.lit(0.0)).alias("a"))
 
 
 def em_steps(pairs: DataFrame, abundance: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
+    """``steps`` steps as one plan, whose size grows by one step each."""
+    small = is_small(targets)
     for _ in range(steps):
-        abundance = em_step(pairs, abundance, targets)
+        abundance = em_step(pairs, abundance, targets, small=small)
     return abundance
 
 
-def em_frames(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, convergence: float = 1e-3, presence: float = 1e-8, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, ref_id, ecount) by steps over DataFrames until the largest relative increase is small; the state, a row per
-    target, is written each step. With ``by``, columns of ``classes``, each sample is solved until it has converged itself."""
+def _local(df: DataFrame, name: str) -> DataFrame:
+    """A table of a counted size, as rows of the plan."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def em_frames(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, convergence: float = 1e-3, presence: float = 1e-8, by: tuple[str, ...] = (), changes: list | None = None) -> DataFrame:
+    """(*by, ref_id, ecount) by steps over DataFrames until the largest relative increase is small. With ``by``, columns of
+    ``classes``, each sample is solved until it has converged itself. The state has a row per sample and target: up to
+    BROADCAST_ROWS it goes to all tasks, and one job is a step; beyond, it is written each step and joined by a shuffle.
+    ``changes`` takes each iteration's increase."""
     keys = [*by, "ref_id"]
-    pairs, now = written(incidence(classes, targets, by), "incidence"), written(uniform(targets, classes, by), "abundance")
-    moving, moved, settled = pairs, now, []
+    pairs, now = bucketed(incidence(classes, targets, by), "incidence", "eq_id"), uniform(targets, classes, by)
+    small = is_small(now)
+    keep = _local if small else written
+    moving, moved, settled, n_moving = pairs, keep(now, "abundance"), [], None
     increase = F.when(F.col("before") > presence, (F.col("a") - F.col("before")) / F.col("before"))
     for _ in range(max_iter):
-        new = written(em_step(moving, moved, targets, by).join(moved.withColumnRenamed("a", "before"), keys), "abundance")
+        new = keep(em_step(moving, moved, targets, by, small).join(moved.withColumnRenamed("a", "before"), keys), "abundance")
         moved = new.select(*keys, "a")
         change = new.groupBy(*by).agg(F.coalesce(F.max(increase), F.lit(0.0)).alias("change"))
         if not by:
-            if change.first()["change"] < convergence:
+            change = change.first()["change"]
+            if changes is not None:
+                changes.append(change)
+            if change < convergence:
                 break
             continue
         change = written(change, "change")
-        left = change.where(F.col("change") >= convergence).count()
-        if left == 0:
+        going, left = change.where(F.col("change") >= convergence).select(*by), change.count()
+        n = going.count()
+        n_moving = n_moving or left
+        if n == 0:
             break
-        if left < change.count():
+        if n < left:
             # converged samples stay as they are, and only the others go on
-            settled.append(written(moved.join(change.where(F.col("change") < convergence).select(*by), list(by)), "settled"))
-            going = change.where(F.col("change") >= convergence).select(*by)
-            moved, moving = written(moved.join(going, list(by)), "abundance"), written(moving.join(going, list(by)), "incidence")
+            settled.append(keep(moved.join(change.where(F.col("change") < convergence).select(*by), list(by)), "settled"))
+            moved = keep(moved.join(going, list(by)), "abundance")
+            if 2 * n <= n_moving:
+                moving, n_moving = bucketed(moving.join(going, list(by)), "incidence", "eq_id"), n
     for part in settled:
         moved = moved.unionByName(part)
     kept = moved.select(*keys, F.when(F.col("a") < presence, 0.0).otherwise(F.col("a")).alias("a"))
-    return em_step(pairs, kept, targets, by).withColumnRenamed("a", "ecount")
+    return em_step(pairs, kept, targets, by, small).withColumnRenamed("a", "ecount")
 
 
 @dataclass
@@ -133,7 +158,10 @@ def solve(p: Packed, counts: np.ndarray, eff_len: np.ndarray, max_iter: int = 15
 
 def em_groups(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, convergence: float = 1e-3, presence: float = 1e-8) -> DataFrame:
     """(sample_id, ref_id, ecount) of each sample of ``classes`` (sample_id, targets, probs, n) over the same targets, a
-    group each. ref_id must be dense from 0. The targets go to all tasks; for classes beyond one task there is em_frames."""
+    group each. ref_id must be dense from 0. The targets, BROADCAST_ROWS at most, go to all tasks; for classes beyond one
+    task, or more targets, there is em_frames."""
+    if not is_small(targets):
+        raise ValueError("too many targets for a task: use em_frames")
     eff = np.array([r.eff_len for r in targets.orderBy("ref_id").select("eff_len").toLocalIterator()])
     shared = classes.sparkSession.sparkContext.broadcast(eff)
 

@@ -1,15 +1,25 @@
-"""Bootstrap and Gibbs replicates: by DataFrame steps (``bootstrap_frames``), or one Spark row per replicate or chain, the packed classes sent to all tasks."""
+"""Bootstrap and Gibbs replicates.
+
+``bootstrap_frames`` and ``gibbs_frames`` leave the classes in a table: counts are drawn in tasks, from streams of random
+numbers that are seeded by replicate and cell of classes, so that results don't depend on the partitioning.
+``bootstrap`` and ``gibbs`` send the packed classes of a small sample to all tasks, one row per replicate or chain.
+"""
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emtally.operators.em import Packed, em_frames, inverse, solve
-from emtally.sources.shared import written
+from emtally.operators.em import Packed, em_frames, inverse, is_small, solve
+from emtally.sources.shared import bucketed, new_path, written
 
-#: Classes, on average, that a task draws counts for at once.
+#: Classes, on average, that a task draws counts for at once, as long as there are no more than CELLS cells.
 CELL = 2_000
+#: Cells at most: the driver deals the fragments of each replicate to them.
+CELLS = 100_000
+#: Numbers of a Gibbs state (chains x targets) that are sent to all tasks at once.
+STATE = 8_000_000
 
 RESULT = "rep int, ref_id int, value double"
 
@@ -47,14 +57,18 @@ def bootstrap(spark: SparkSession, p: Packed, eff_len: np.ndarray, n: int, seed:
     return spark.range(0, n, 1, max(1, n)).mapInPandas(draw, RESULT)
 
 
+def cells_of(classes: DataFrame) -> DataFrame:
+    """(targets, probs, n, key, cell): equal classes merged, in buckets of cell; key orders the classes of a cell."""
+    merged = written(classes.groupBy("targets", "probs").agg(F.sum("n").alias("n")), "classes")
+    cells = max(1, min(CELLS, -(-merged.count() // CELL)))
+    return bucketed(merged.withColumn("key", F.xxhash64("targets", "probs")).withColumn("cell", F.pmod("key", F.lit(cells))), "cells", "cell")
+
+
 def drawn(classes: DataFrame, n: int, seed: int = 0, sample: int = 0) -> DataFrame:
     """(rep, targets, probs, n): ``n`` times the fragments dealt anew to the classes in proportion, the empty class among them.
     They are dealt to cells of classes first (a number per cell is on the driver) and then within each; a class's cell
     comes from its content, so results don't depend on the partitioning."""
-    spark = classes.sparkSession
-    merged = written(classes.groupBy("targets", "probs").agg(F.sum("n").alias("n")), "classes")
-    cells = max(1, -(-merged.count() // CELL))
-    merged = merged.withColumn("cell", F.pmod(F.xxhash64("targets", "probs"), F.lit(cells)))
+    spark, merged = classes.sparkSession, cells_of(classes)
     sizes = sorted((r.cell, r.n) for r in merged.groupBy("cell").agg(F.sum("n").alias("n")).collect())
     total = sum(x for _, x in sizes)
     if not total:
@@ -65,8 +79,7 @@ def drawn(classes: DataFrame, n: int, seed: int = 0, sample: int = 0) -> DataFra
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         cell = int(rows["cell"].iloc[0])
-        order = sorted(range(len(rows)), key=lambda i: (tuple(rows["targets"].iloc[i]), tuple(rows["probs"].iloc[i])))
-        rows = rows.iloc[order]
+        rows = rows.sort_values("key")
         share = rows["n"].to_numpy() / rows["n"].sum()
         counts = np.array([stream(rep, cell).multinomial(int(k), share) for rep, k in enumerate(shared.value[cell])])
         return pd.DataFrame({"targets": rows["targets"].to_numpy(), "probs": rows["probs"].to_numpy(), "counts": list(counts.T)})
@@ -131,3 +144,90 @@ def gibbs(spark: SparkSession, p: Packed, eff_len: np.ndarray, start: np.ndarray
                     yield _frame(before[chain] + i, out)
 
     return spark.range(0, len(sizes), 1, len(sizes)).mapInPandas(draw, RESULT)
+
+
+def fractions(counts: np.ndarray, eff_len: np.ndarray, prior: np.ndarray, rng) -> np.ndarray:
+    """Fractions drawn from the counts; they sum to 1."""
+    shape = prior + counts
+    mu = np.zeros(len(shape))
+    some = shape > 0
+    mu[some] = rng.gamma(shape[some], 1.0 / (BETA + eff_len[some]))
+    return mu / mu.sum() if mu.sum() > 0 else mu
+
+
+def assign(targets: np.ndarray, probs: np.ndarray, starts: np.ndarray, n: np.ndarray, mu: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+    """(targets, counts): the fragments of each class dealt to its targets by ``mu`` times the class's probabilities; classes
+    of one size are drawn together. A class without mass keeps its fragments out, unless it has one target."""
+    sizes, found = np.diff(starts), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == size)
+        at = starts[rows][:, None] + np.arange(size)
+        if size == 1:
+            found.append((targets[at].ravel(), n[rows]))
+            continue
+        w = mu[targets[at]] * probs[at]
+        total = w.sum(axis=1)
+        some = total > _TINY
+        if some.any():
+            found.append((targets[at[some]].ravel(), rng.multinomial(n[rows[some]], w[some] / total[some, None]).ravel()))
+    return np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
+
+
+def drawing(shared, stream, i: int):
+    """The draws of iteration ``i`` for a cell of classes: (chain, ref_id, n), for the chains of ``shared`` (chain -> fractions)."""
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key").combine_chunks()
+        lists, cell = table.column("targets").combine_chunks(), table.column("cell")[0].as_py()
+        flat, probs, n = lists.flatten().to_numpy(), table.column("probs").combine_chunks().flatten().to_numpy(), table.column("n").to_numpy()
+        starts, found = np.append(0, np.cumsum(lists.value_lengths().to_numpy())), []
+        for c, mu in shared.value.items():
+            to, many = assign(flat, probs, starts, n, mu, stream(c, i, cell))
+            names, at = np.unique(to, return_inverse=True)
+            found.append(pa.table({"chain": pa.array(np.full(len(names), c), pa.int32()), "ref_id": pa.array(names, pa.int32()), "n": pa.array(np.bincount(at, many, len(names)).astype(np.int64))}))
+        return pa.concat_tables(found)
+
+    return draw
+
+
+def gibbs_frames(classes: DataFrame, targets: DataFrame, start: DataFrame, n: int, thinning: int = 5, seed: int = 0, sample: int = 0) -> DataFrame:
+    """``gibbs`` for classes of any number, a written table. An iteration draws fractions from the counts by target, which
+    the driver holds (a row per target; BROADCAST_ROWS targets at most, else an error), and is one job over the cells of
+    classes, whose draws are summed by target. Chains go together as long as STATE allows. ``start``: (ref_id, ecount), ref_id dense from 0."""
+    spark = classes.sparkSession
+    if not is_small(targets):
+        raise ValueError("too many targets for a Gibbs state")
+    rows = targets.join(start, "ref_id", "left").orderBy("ref_id").select("eff_len", F.coalesce("ecount", F.lit(0.0)).alias("ecount")).toArrow()
+    eff, first = (rows.column(c).to_numpy().astype(float) for c in ("eff_len", "ecount"))
+    total = float(classes.agg(F.sum("n")).first()[0] or 0)
+    prior = PRIOR * inverse(np.where(eff > 0, eff, np.inf))
+    cells, path, sizes = cells_of(classes.where(F.size("targets") > 0)), new_path(spark, "gibbs"), chains(n)
+    before = np.append(0, np.cumsum(sizes)).tolist()
+    stream = lambda *key: np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, sample, 3, *key])))
+    together = max(1, STATE // max(1, len(eff)))
+    for some in (range(at, min(at + together, len(sizes))) for at in range(0, len(sizes), together)):
+        counts = {c: first for c in some}
+        last = thinning * max(sizes[c] for c in some)
+        for i in range(last):
+            going = [c for c in some if i < thinning * sizes[c]]
+            mu = {c: fractions(counts[c], eff, prior, stream(c, i)) for c in going}
+            if (i + 1) % thinning == 0:
+                out = []
+                for c in going:
+                    values = mu[c] * eff
+                    if values.sum() > 0:
+                        values *= total / values.sum()
+                        values[values < LEAST_OUTPUT] = 0.0
+                    out.append(pa.table({"rep": pa.array(np.full(len(eff), before[c] + i // thinning), pa.int32()), "ref_id": pa.array(np.arange(len(eff)), pa.int32()), "value": values}))
+                spark.createDataFrame(pa.concat_tables(out)).write.mode("append").parquet(path)
+            if i + 1 == last:
+                break
+            shared = spark.sparkContext.broadcast(mu)
+
+            new = cells.groupBy("cell").applyInArrow(drawing(shared, stream, i), "chain int, ref_id int, n long").groupBy("chain", "ref_id").agg(F.sum("n").alias("n")).toArrow()
+            chain, ref, many = (new.column(x).to_numpy() for x in ("chain", "ref_id", "n"))
+            counts = {c: np.bincount(ref[chain == c], many[chain == c], len(eff)) for c in going}
+            shared.unpersist()
+    if not len(eff) or not n:
+        return spark.createDataFrame([], RESULT)
+    return spark.read.schema(RESULT).parquet(path)

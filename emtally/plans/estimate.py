@@ -13,8 +13,8 @@ from emtally.operators import classes as eq
 from emtally.operators import em, mappings, replicates
 from emtally.operators.tpm import tpm
 from emtally.sources import sinks
-from emtally.sources.alignments import fragments, signatures
-from emtally.sources.shared import written
+from emtally.sources.alignments import flatten, fragments, signatures
+from emtally.sources.shared import bucketed, written
 
 
 @dataclass
@@ -39,7 +39,8 @@ def detect_library(nested: DataFrame, paired: bool, samples: int) -> str:
 def quantify(alignments: DataFrame, targets: DataFrame, options: QuantOptions, paired: bool = True, seed: int = 0, solver: str = "frames") -> Estimate:
     """Estimates counts and TPM of ``targets`` (ref_id dense from 0) from ``alignments``.
 
-    ``solver``: "frames" solves the classes by DataFrame steps, "arrays" in one task, for classes that fit it.
+    ``solver``: "frames" solves the classes, and draws replicates, by DataFrame steps; "arrays" in tasks that hold all
+    classes, for samples whose classes fit one.
     The order is that of a sequential run: library type from the first fragments, length distribution from the first
     unique ones, classes from all, effective lengths from all unique ones (from the options if unpaired), EM, TPM, replicates."""
     spark = alignments.sparkSession
@@ -47,7 +48,9 @@ def quantify(alignments: DataFrame, targets: DataFrame, options: QuantOptions, p
         raise ValueError("unpaired input needs fld_mean and fld_sd")
     if paired and options.fld_mean is not None:
         warnings.warn("fld_mean and fld_sd are ignored for paired input", stacklevel=2)
-    nested = written(fragments(alignments), "fragments")
+    # one shuffle by fragment: what groups the nested or the flat form by frag_id afterwards needs none
+    nested = bucketed(fragments(alignments), "fragments", "frag_id")
+    alignments = flatten(nested)
     lib = options.lib_type
     if lib == libtype.AUTO:
         lib = detect_library(nested, paired, options.auto_detect_samples)
@@ -81,6 +84,8 @@ def quantify(alignments: DataFrame, targets: DataFrame, options: QuantOptions, p
     drawn, method = None, "none"
     if options.num_bootstraps and solver == "frames":
         drawn, method = replicates.bootstrap_frames(classes, lengths, options.num_bootstraps, seed, **limits), "bootstrap"
+    elif options.num_gibbs_samples and solver == "frames":
+        drawn, method = replicates.gibbs_frames(classes, lengths, counts, options.num_gibbs_samples, options.gibbs_thinning_factor, seed), "gibbs"
     elif options.num_bootstraps or options.num_gibbs_samples:
         packed = replicates.packed_of(classes)
         rows = [(r.eff_len, r.ecount) for r in quant.orderBy("ref_id").select("eff_len", "ecount").toLocalIterator()]

@@ -2,7 +2,6 @@
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +10,22 @@ from emtally.operators import classes as eq
 from emtally.operators import em, mappings, replicates
 from emtally.operators.tpm import tpm as tpm_of
 from emtally.sources import sinks
-from emtally.sources.alignments import fixture_alignments, fixture_targets, fragments
-from emtally.sources.shared import written
+from emtally.sources.alignments import fixture_alignments, fixture_targets, flatten, fragments
+from emtally.sources.shared import bucketed, written
 
 LIB, SAMPLE_READS, PASS_1, BINS = "IU", 500, 50, 64
 MEAN, SD = 250.0, 60.0
 
 
-def _a(spark, d, whole=False):
-    """All alignments; for the queries that have SQL the first three of each fragment, as ``_BASE`` has them."""
-    found = fixture_alignments(spark, d)
-    return found if whole else found.where("aln_idx < 3")
+def _a(spark, d):
+    return fixture_alignments(spark, d)
+
+
+def _prepared(spark, d):
+    """(nested, flat): the fragments, written in buckets of frag_id, and their alignments, for queries that read them several
+    times; grouping either by frag_id shuffles nothing."""
+    nested = bucketed(fragments(_a(spark, d)), "fragments", "frag_id")
+    return nested, flatten(nested)
 
 
 def _round(df: DataFrame, **digits: int) -> DataFrame:
@@ -77,12 +81,12 @@ def fld_pass1_limit(spark: SparkSession, d: str) -> DataFrame:
     return mappings.sampled_length_histogram(fragments(_a(spark, d)), LIB, PASS_1)
 
 
-def _pass_1(spark, d, whole=False):
-    return mappings.sampled_length_histogram(fragments(_a(spark, d, whole)), LIB, 500_000)
+def _pass_1(nested):
+    return mappings.sampled_length_histogram(nested, LIB, 500_000)
 
 
 def fld_pdf_cdf(spark: SparkSession, d: str) -> DataFrame:
-    return _round(fraglen.empirical(_pass_1(spark, d), integer_cdf=True), pdf=10, cdf=10)
+    return _round(fraglen.empirical(_pass_1(fragments(_a(spark, d))), integer_cdf=True), pdf=10, cdf=10)
 
 
 def conditional_means(spark: SparkSession, d: str) -> DataFrame:
@@ -93,8 +97,9 @@ def parametric_conditional_means(spark: SparkSession, d: str) -> DataFrame:
     return _round(fraglen.parametric_means(spark, MEAN, SD), mean=4)
 
 
-def _targets(spark, d, whole=False):
-    return fraglen.effective_lengths(fixture_targets(spark, d), fraglen.conditional_means(mappings.length_histogram(fragments(_a(spark, d, whole)))))
+def _targets(spark, d, nested=None):
+    nested = fragments(_a(spark, d)) if nested is None else nested
+    return fraglen.effective_lengths(fixture_targets(spark, d), fraglen.conditional_means(mappings.length_histogram(nested)))
 
 
 def effective_lengths(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +119,9 @@ def cond_prob_unpaired(spark: SparkSession, d: str) -> DataFrame:
     return _round(probs.select("frag_id", "aln_idx", "ref_id", "ori", "prob"), prob=10)
 
 
-def _with_probs(spark, d, whole=False):
-    return eq.conditional_probabilities(_a(spark, d, whole), fixture_targets(spark, d), fraglen.empirical(_pass_1(spark, d, whole), integer_cdf=True))
+def _with_probs(spark, d, prepared=None):
+    nested, flat = prepared or _prepared(spark, d)
+    return eq.conditional_probabilities(flat, fixture_targets(spark, d), fraglen.empirical(_pass_1(nested), integer_cdf=True))
 
 
 def cond_prob(spark: SparkSession, d: str) -> DataFrame:
@@ -139,8 +145,8 @@ def eq_class_totals(spark: SparkSession, d: str) -> DataFrame:
     return eq.totals(eq.basic_classes(_a(spark, d), LIB))
 
 
-def _classes(spark, d, whole=False):
-    return eq.packed(eq.basic_classes(_a(spark, d, whole), LIB))
+def _classes(spark, d, flat=None):
+    return eq.packed(eq.basic_classes(_a(spark, d) if flat is None else flat, LIB))
 
 
 def em_init(spark: SparkSession, d: str) -> DataFrame:
@@ -148,8 +154,9 @@ def em_init(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _steps(spark, d, k):
-    targets, classes = written(_targets(spark, d), "targets"), written(_classes(spark, d), "classes")
-    pairs = written(em.incidence(classes, targets), "incidence")
+    nested, flat = _prepared(spark, d)
+    targets, classes = written(_targets(spark, d, nested), "targets"), written(_classes(spark, d, flat), "classes")
+    pairs = bucketed(em.incidence(classes, targets), "incidence", "eq_id")
     return targets, em.em_steps(pairs, em.uniform(targets, classes), targets, k)
 
 
@@ -164,7 +171,7 @@ def em_k3(spark: SparkSession, d: str) -> DataFrame:
 def quant_flagship(spark: SparkSession, d: str) -> DataFrame:
     """Three steps only, as in its SQL; ``quant_converged`` runs to convergence."""
     targets, counts = _steps(spark, d, 3)
-    out = tpm_of(targets.join(counts.withColumnRenamed("a", "ecount"), "ref_id", "left"))
+    out = tpm_of(targets.join(written(counts.withColumnRenamed("a", "ecount"), "counts"), "ref_id", "left"))
     return _round(out.select("ref_id", "target_name", "len", "eff_len", "tpm", "ecount"), eff_len=4, tpm=3, ecount=4)
 
 
@@ -173,7 +180,8 @@ def tpm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _converged(spark, d):
-    classes, targets = eq.packed(eq.range_classes(_with_probs(spark, d, True), LIB, BINS), BINS), written(_targets(spark, d, True), "targets")
+    prepared = _prepared(spark, d)
+    classes, targets = eq.packed(eq.range_classes(_with_probs(spark, d, prepared), LIB, BINS), BINS), written(_targets(spark, d, prepared[0]), "targets")
     return targets, em.em_frames(written(classes, "classes"), targets)
 
 
@@ -194,23 +202,34 @@ def tpm_converged(spark: SparkSession, d: str) -> DataFrame:
 
 def em_samples(spark: SparkSession, d: str) -> DataFrame:
     """The fragments of odd and of even number as two samples."""
-    a = _a(spark, d, True)
+    nested, a = _prepared(spark, d)
     halves = [eq.packed(eq.basic_classes(a.where(F.col("frag_id") % 2 == i), LIB)).withColumn("sample_id", F.lit(str(i))) for i in range(2)]
-    return em.em_frames(written(halves[0].unionByName(halves[1]), "classes"), written(_targets(spark, d, True), "targets"), by=("sample_id",))
+    return em.em_frames(written(halves[0].unionByName(halves[1]), "classes"), written(_targets(spark, d, nested), "targets"), by=("sample_id",))
+
 
+def _inputs(spark, d):
+    """Written tables of targets and of basic classes."""
+    nested, flat = _prepared(spark, d)
+    return written(_targets(spark, d, nested), "targets"), written(_classes(spark, d, flat), "classes")
 
-def _packed(spark, d):
-    targets = written(_targets(spark, d, True), "targets")
-    return replicates.packed_of(_classes(spark, d, True)), np.array([r.eff_len for r in targets.orderBy("ref_id").collect()])
+
+def em_k10_range(spark: SparkSession, d: str) -> DataFrame:
+    """Ten steps over range classes."""
+    prepared = _prepared(spark, d)
+    targets = written(_targets(spark, d, prepared[0]), "targets")
+    classes = written(eq.packed(eq.range_classes(_with_probs(spark, d, prepared), LIB, BINS), BINS), "classes")
+    pairs = bucketed(em.incidence(classes, targets), "incidence", "eq_id")
+    return _round(em.em_steps(pairs, em.uniform(targets, classes), targets, 10), a=4)
 
 
 def bootstrap_replicates(spark: SparkSession, d: str) -> DataFrame:
-    return replicates.bootstrap_frames(_classes(spark, d, True), written(_targets(spark, d, True), "targets"), 8)
+    targets, classes = _inputs(spark, d)
+    return replicates.bootstrap_frames(classes, targets, 8)
 
 
 def gibbs_replicates(spark: SparkSession, d: str) -> DataFrame:
-    packed, eff = _packed(spark, d)
-    return replicates.gibbs(spark, packed, eff, em.solve(packed, packed.counts, eff)[0], 10, 2)
+    targets, classes = _inputs(spark, d)
+    return replicates.gibbs_frames(classes, targets, em.em_frames(classes, targets), 10, 2)
 
 
 def infreps_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +241,7 @@ _QUERIES = (
     lib_compat_table, lib_compat_filter, orientation_stats, read_totals, orientation_sample, orientation_sample_detect, fld_histogram, fld_pass1_limit, fld_pdf_cdf, conditional_means,
     parametric_conditional_means, effective_lengths, cond_prob, eq_classes_basic, eq_classes_range, eq_classes_packed, eq_class_totals, em_init, em_step1, em_k3, tpm, quant_flagship,
     orientation_report, orientation_sample_detect_unpaired, strand_bias, fld_parametric, effective_lengths_unpaired, cond_prob_unpaired,
-    em_converged, em_samples, quant_converged, tpm_converged, bootstrap_replicates, gibbs_replicates, infreps_wide,
+    em_k10_range, em_converged, em_samples, quant_converged, tpm_converged, bootstrap_replicates, gibbs_replicates, infreps_wide,
 )
 
 
@@ -238,7 +257,7 @@ a AS (
     CASE WHEN l_orderkey % 10 = 0 THEN CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END
       WHEN l_returnflag = 'A' THEN 3 WHEN l_returnflag = 'N' THEN 4 WHEN l_linestatus = 'F' THEN 3 ELSE 5 END AS ori,
     CAST(100 + 4 * l_quantity + l_linenumber AS INTEGER) AS frag_len, l_orderkey % 10 = 0 AS is_orphan
-  FROM numbered JOIN supplier ON l_suppkey = s_suppkey WHERE aln_idx < 3
+  FROM numbered JOIN supplier ON l_suppkey = s_suppkey
 ),
 u AS (SELECT frag_id, any_value(ori) AS ori, any_value(frag_len) AS frag_len FROM a GROUP BY frag_id HAVING count(*) = 1 AND NOT bool_or(is_orphan)),
 h AS (SELECT frag_len, count(*) AS n FROM u GROUP BY frag_len),
@@ -276,8 +295,8 @@ s0 AS (SELECT ref_id, (SELECT sum(n) FROM basic)::DOUBLE / (SELECT count(*) FROM
 """
 
 
-def _step_sql(k: int) -> str:
-    return f""", w{k} AS (SELECT eq_id, n, pairs.ref_id, w * a AS w FROM pairs JOIN s{k - 1} ON s{k - 1}.ref_id = pairs.ref_id),
+def _step_sql(k: int, pairs: str = "pairs") -> str:
+    return f""", w{k} AS (SELECT eq_id, n, p.ref_id, w * a AS w FROM {pairs} p JOIN s{k - 1} ON s{k - 1}.ref_id = p.ref_id),
 d{k} AS (SELECT eq_id, sum(w) AS d FROM w{k} GROUP BY eq_id HAVING sum(w) > 1e-8),
 s{k} AS (SELECT t.ref_id, coalesce(g.a, 0.0::DOUBLE) AS a FROM t LEFT JOIN (SELECT ref_id, sum(n * w / d) AS a FROM w{k} JOIN d{k} USING (eq_id) GROUP BY ref_id) g ON g.ref_id = t.ref_id)"""
 
@@ -286,6 +305,14 @@ def _sql(select: str, steps: int = 0) -> str:
     return "WITH " + _BASE.strip() + "".join(_step_sql(k) for k in range(1, steps + 1)) + "\n" + select
 
 
+def _range_sql(steps: int) -> str:
+    pairs = """, numbered_ranges AS (SELECT row_number() OVER () AS eq_id, targets, bins, n FROM ranged),
+range_pairs AS (
+  SELECT eq_id, n, x.ref_id, x.prob / eff_len AS w FROM (SELECT eq_id, n, unnest(targets) AS ref_id, unnest(bins) / 64.0::DOUBLE + 0.5::DOUBLE / 64 AS prob FROM numbered_ranges) x JOIN e ON e.ref_id = x.ref_id
+)"""
+    return "WITH " + _BASE.strip() + pairs + "".join(_step_sql(k, "range_pairs") for k in range(1, steps + 1)) + f"\nSELECT ref_id, round(a, 4) AS a FROM s{steps}"
+
+
 def _quant_sql() -> str:
     return """, q AS (SELECT e.*, s3.a AS ecount, CASE WHEN eff_len > 0 THEN s3.a / eff_len ELSE 0.0::DOUBLE END AS rate FROM e JOIN s3 ON s3.ref_id = e.ref_id),
 z AS (SELECT ref_id, target_name, len, round(eff_len, 4) AS eff_len, round(1e6::DOUBLE * rate / (SELECT sum(rate) FROM q), 3) AS tpm, round(ecount, 4) AS ecount FROM q)"""
@@ -347,6 +374,7 @@ SELECT frag_len, round(CASE WHEN frag_len = 0 THEN 0.0::DOUBLE ELSE sum(frag_len
         "em_init": _sql("SELECT ref_id, round(a, 6) AS a FROM s0"),
         "em_step1": _sql("SELECT ref_id, round(a, 4) AS a FROM s1", 1),
         "em_k3": _sql("SELECT ref_id, round(a, 4) AS a FROM s3", 3),
+        "em_k10_range": _range_sql(10),
         "tpm": _sql(_quant_sql() + " SELECT ref_id, tpm FROM z", 3),
         "quant_flagship": _sql(_quant_sql() + " SELECT * FROM z", 3),
     }

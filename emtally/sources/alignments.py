@@ -11,10 +11,21 @@ TARGETS = {"ref_id": "int", "target_name": "string", "len": "bigint"}
 ALIGNMENTS = {"frag_id": "bigint", "aln_idx": "int", "ref_id": "int", "pos": "bigint", "ori": "int", "frag_len": "int", "is_orphan": "boolean"}
 
 
+#: Types from which a column of a type may be read without loss of meaning.
+_FROM = {"int": ("tinyint", "smallint", "int", "bigint"), "bigint": ("tinyint", "smallint", "int", "bigint"), "boolean": ("boolean",), "string": ("string",)}
+
+
+class SchemaError(ValueError):
+    """A table lacks a column, or has it in another type."""
+
+
 def conform(df: DataFrame, columns: dict[str, str], what: str) -> DataFrame:
-    """The needed columns in their types; other columns are left out, a missing one is an error."""
+    """The needed columns in their types; other columns are left out. A missing column is an error, and so is one of
+    another kind of type (text for a number, a number for a flag); integers may be of any width."""
     if missing := [c for c in columns if c not in df.columns]:
-        raise ValueError(f"{what} lacks {', '.join(missing)}")
+        raise SchemaError(f"{what} lacks {', '.join(missing)}")
+    if wrong := [f"{c} ({df.schema[c].dataType.simpleString()}, not {t})" for c, t in columns.items() if df.schema[c].dataType.simpleString() not in _FROM[t]]:
+        raise SchemaError(f"{what} has {', '.join(wrong)}")
     return df.select(*(F.col(c).cast(t) for c, t in columns.items()))
 
 

@@ -89,7 +89,7 @@ def test_large_samples_are_not_solved_in_one_group(spark, monkeypatch):
     for i in range(2):
         a = src.fixture_alignments(spark, d).where(F.col("frag_id") % 2 == i)
         p = replicates.packed_of(eq.packed(eq.basic_classes(a, queries.LIB)))
-        eff = np.array([r.eff_len for r in queries._targets(spark, d, True).orderBy("ref_id").collect()])
+        eff = np.array([r.eff_len for r in queries._targets(spark, d).orderBy("ref_id").collect()])
         want |= {(str(i), j): x for j, x in enumerate(em.solve(p, p.counts, eff)[0])}
     monkeypatch.setattr(em, "em_groups", fail)
     got = {(r.sample_id, r.ref_id): r.ecount for r in queries.em_samples(spark, d).collect()}
@@ -98,9 +98,9 @@ def test_large_samples_are_not_solved_in_one_group(spark, monkeypatch):
 
 def test_quant_converged(spark):
     d = "/root/testdata/sf0.001"
-    rows = eq.range_classes(queries._with_probs(spark, d, True), queries.LIB, 64).collect()
+    rows = eq.range_classes(queries._with_probs(spark, d), queries.LIB, 64).collect()
     classes = [(r.targets, [b / 64 + 0.5 / 64 for b in r.bins], r.n) for r in rows]
-    eff = [r.eff_len for r in queries._targets(spark, d, True).orderBy("ref_id").collect()]
+    eff = [r.eff_len for r in queries._targets(spark, d).orderBy("ref_id").collect()]
 
     def step(a):
         out = [0.0] * len(eff)
@@ -127,7 +127,7 @@ def test_all_line_items_are_alignments(spark):
     d = "/root/testdata/sf0.001"
     items = spark.read.parquet(f"{d}/lineitem.parquet")
     assert src.fixture_alignments(spark, d).count() == items.count()
-    assert queries._classes(spark, d, True).agg(F.max(F.size("targets"))).first()[0] > 3
+    assert queries._classes(spark, d).agg(F.max(F.size("targets"))).first()[0] > 3
 
 
 def test_tpm(spark):
@@ -240,6 +240,184 @@ def test_bootstrap_frames_solves_each_replicate(spark):
         assert [a[rep, i] for i in range(3)] == pytest.approx(em.solve(p, p.counts, EFF, 3)[0], rel=1e-9)
 
 
+def test_gibbs_frames_draws_as_the_array_form(spark, monkeypatch):
+    def fail(*a, **k):
+        raise AssertionError("all classes on the driver")
+
+    c, t = frames(spark)
+    start = spark.createDataFrame(list(enumerate(WANT[1500])), "ref_id int, ecount double")
+    want = replicates.gibbs(spark, packed(), EFF, np.array(WANT[1500]), 220, 2, seed=1).toPandas().groupby("ref_id")["value"]
+    monkeypatch.setattr(replicates, "packed_of", fail)
+    monkeypatch.setattr(replicates, "CELL", 1)
+    found = replicates.gibbs_frames(c, t, start, 220, 1, seed=2).toPandas()
+    assert sorted(found["rep"].unique()) == list(range(220)) and found.groupby("rep")["value"].sum().tolist() == pytest.approx([40.0] * 220)
+    got = found.groupby("ref_id")["value"]
+    for i in range(3):
+        a, b = got.get_group(i), want.get_group(i)
+        # samples of one chain depend on each other: a wide margin
+        assert abs(a.mean() - b.mean()) < 0.6 * max(a.std(), b.std()) + 0.05 and a.std() < 2 * b.std() + 0.1 and b.std() < 2 * a.std() + 0.1
+    few = lambda df: replicates.gibbs_frames(df, t, start, 3, 2, seed=5).orderBy("rep", "ref_id").collect()
+    assert few(c) == few(c.repartition(3)) and len(few(c)) == 9
+    monkeypatch.setattr(replicates, "STATE", 3)
+    assert sorted({r.rep for r in replicates.gibbs_frames(c, t, start, 50, 1).collect()}) == list(range(50))
+
+
+def test_classes_are_dealt_by_fractions_times_probabilities():
+    rng = np.random.default_rng(3)
+    targets, probs, starts, n = np.array([0, 0, 1, 1, 2, 0, 1, 2]), np.array([1.0, 1, 3, 0.5, 0.5, 0, 0, 0]), np.array([0, 1, 3, 5, 8]), np.array([7, 40_000, 40_000, 9])
+    to, many = replicates.assign(targets, probs, starts, n, np.array([0.5, 0.25, 0.25]), rng)
+    got = np.bincount(to, many, 3)
+    # class 0 is certain; 1: weights 0.5 and 0.75; 2: equal ones; the last has no mass
+    assert got.sum() == 80_007 and got == pytest.approx([7 + 16_000, 24_000 + 20_000, 20_000], abs=500)
+
+
+def test_steps_have_linear_plans_without_a_shuffle_of_pairs(spark):
+    c, t = frames(spark)
+    pairs = em.bucketed(em.incidence(c, t), "incidence", "eq_id")
+    sizes = []
+    for k in (1, 2, 4):
+        plan = em.em_steps(pairs, em.uniform(t, c), t, k)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(eq_id" not in plan
+        sizes.append(plan.count("FileScan"))
+    assert sizes[1] - sizes[0] == (sizes[2] - sizes[1]) / 2 == 1
+
+
+def test_large_states_are_written_and_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(em, "BROADCAST_ROWS", 2)
+    c, t = frames(spark)
+    both = c.withColumn("sample_id", F.lit("x")).unionByName(c.where("size(targets) = 1").withColumn("sample_id", F.lit("y")))
+    got = {(r.sample_id, r.ref_id): r.ecount for r in em.em_frames(both, t, by=("sample_id",), max_iter=3).collect()}
+    p = packed()
+    assert [got["x", i] for i in range(3)] == pytest.approx(em.solve(p, p.counts, EFF, 3)[0], rel=1e-9) and [got["y", i] for i in range(3)] == [10, 0, 0]
+    with pytest.raises(ValueError):
+        em.em_groups(both, t)
+
+
+def test_schema_errors(spark):
+    a = spark.createDataFrame([(1, 0, 0, 0, 1, 0, False)], ALIGNED)
+    assert src.conform(a.withColumn("extra", F.lit("x")).withColumn("ref_id", F.col("ref_id").cast("long")), src.ALIGNMENTS, "alignments").columns == list(src.ALIGNMENTS)
+    with pytest.raises(src.SchemaError, match="lacks pos, ori"):
+        src.conform(a.drop("pos", "ori"), src.ALIGNMENTS, "alignments")
+    for c, wrong in (("pos", F.lit("7")), ("ori", F.lit(1.5)), ("is_orphan", F.lit(1)), ("ref_id", F.array(F.lit(1)))):
+        with pytest.raises(src.SchemaError, match=c):
+            src.conform(a.withColumn(c, wrong), src.ALIGNMENTS, "alignments")
+
+
+def test_targets_of_header_arrays(spark):
+    assert [tuple(r) for r in src.targets_of(["a", "b"], [10, 20], spark).collect()] == [(0, "a", 10), (1, "b", 20)]
+    with pytest.raises(ValueError):
+        src.targets_of(["a"], [1, 2], spark)
+
+
+def test_written_parquet_options(spark, tmp_path):
+    path = sinks.write_lengths(spark.createDataFrame([(3, 2)], "frag_len int, n long"), tmp_path / "x")
+    meta = pq.ParquetFile(path).metadata
+    column = meta.row_group(0).column(0)
+    assert meta.num_row_groups == 1 and column.compression == "ZSTD" and "RLE_DICTIONARY" not in column.encodings and meta.format_version == "2.6"
+
+
+def test_warnings_of_little_evidence(spark):
+    d = "/root/testdata/sf0.001"
+    t = src.fixture_targets(spark, d)
+    one = spark.createDataFrame([(i, 0, 0, 5, ori, 120, False) for i, ori in enumerate((3, 3, 5))], ALIGNED)
+    with pytest.warns(UserWarning) as seen:
+        estimate.quantify(one, t, QuantOptions(lib_type="IU"))
+    said = [str(w.message) for w in seen]
+    assert any("estimated from 2 fragments" in x for x in said) and any("few fragments map uniquely" in x for x in said) and not any("TPM" in x for x in said)
+    with pytest.warns(UserWarning, match="all TPM are 0"):
+        found = estimate.quantify(one.where("ori = 5"), t, QuantOptions(lib_type="IU"))
+    assert {r.tpm for r in found.quant.collect()} == {0.0}
+    with pytest.warns(UserWarning, match="ignored"):
+        estimate.quantify(one, t, QuantOptions(lib_type="IU", fld_mean=200.0, fld_sd=20.0, factorized_eqc_bins=1))
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_quantify_against_plain_loops(spark):
+    """The path of ``quantify`` from fragments to TPM: classes, lengths and steps as loops."""
+    d = "/root/testdata/sf0.001"
+    a, t = src.fixture_alignments(spark, d), src.fixture_targets(spark, d)
+    found = estimate.quantify(a, t, QuantOptions(lib_type="IU", num_gibbs_samples=3, gibbs_thinning_factor=1))
+    frags = {}
+    for r in sorted(a.collect(), key=lambda r: (r.frag_id, r.aln_idx)):
+        frags.setdefault(r.frag_id, []).append(r)
+    unique = [x[0] for x in frags.values() if len(x) == 1 and not x[0].is_orphan]
+    size = {r.ref_id: r.len for r in t.collect()}
+    tiny, slots = fraglen.TINY, 65_536
+    first = np.bincount([r.frag_len for r in unique if 1 <= r.ori <= 4], minlength=slots)
+    pdf = (first + tiny) / (first.sum() + tiny * slots)
+    cdf = np.cumsum(pdf) + tiny
+    every = np.bincount([r.frag_len for r in unique], minlength=slots)
+    eff = {}
+    for i, n in size.items():
+        upto = every[: min(n, slots - 1) + 1]
+        mean = (upto * np.arange(len(upto))).sum() / upto.sum() if upto.sum() else 0.0
+        eff[i] = n - mean if n - mean >= 1 else float(n)
+
+    def prob(r):
+        at = {1: size[r.ref_id] - r.pos, 2: r.pos + 100}.get(r.ori, r.frag_len)
+        return (cdf if r.ori < 3 else pdf)[at] if 0 <= at < slots else 1.0 if r.ori < 3 else tiny
+
+    classes, oris = {}, {}
+    for f in frags.values():
+        kept = [r for r in f if 1 <= r.ori <= 4]
+        p = [prob(r) for r in kept]
+        bins = tuple(min(63, int(x / sum(p) * 64)) for x in p)
+        key = tuple(r.ref_id for r in kept), bins
+        classes[key] = classes.get(key, 0) + 1
+    now = dict.fromkeys(size, sum(classes.values()) / len(size))
+
+    def step(a):
+        out = dict.fromkeys(size, 0.0)
+        for (refs, bins), n in classes.items():
+            w = [(b / 64 + 0.5 / 64) * a[i] / eff[i] for i, b in zip(refs, bins)]
+            if sum(w) > 1e-8:
+                for i, x in zip(refs, w):
+                    out[i] += n * x / sum(w)
+        return out
+
+    for _ in range(1500):
+        before, now = now, step(now)
+        if max([0.0, *((now[i] - before[i]) / before[i] for i in now if before[i] > 1e-8)]) < 1e-3:
+            break
+    want = step({i: 0.0 if x < 1e-8 else x for i, x in now.items()})
+    total = sum(want[i] / eff[i] for i in want)
+    for r in found.quant.collect():
+        assert r.eff_len == pytest.approx(eff[r.ref_id]) and r.ecount == pytest.approx(want[r.ref_id], rel=1e-3, abs=1e-3) and r.tpm == pytest.approx(1e6 * want[r.ref_id] / eff[r.ref_id] / total, rel=1e-3, abs=1e-3)
+    sums = found.replicates.groupBy("rep").agg(F.sum("value").alias("s")).collect()
+    assert sorted(r.rep for r in sums) == [0, 1, 2] and all(r.s == pytest.approx(len(frags)) for r in sums) and found.meta["infrep_method"] == "gibbs"
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_command_line(spark, tmp_path, capsys):
+    from emtally import __main__ as cli
+
+    d = "/root/testdata/sf0.001"
+    src.fixture_alignments(spark, d).write.parquet(str(tmp_path / "in.alignments.parquet"))
+    src.fixture_targets(spark, d).write.parquet(str(tmp_path / "in.targets.parquet"))
+    assert cli.main(["-q", "quant", "-i", str(tmp_path / "in"), "-l", "iu", "-o", str(tmp_path / "out"), "--factorized-eqc-bins", "1", "--max-iter", "2"], spark) == 0
+    assert (tmp_path / "out.quant").read_text().count("\n") == 26 and json.loads((tmp_path / "out.meta_info.json").read_text())["quant_opts"]["max_iter"] == 2
+    for bad in (["quant"], ["quant", "-i", "x", "-l", "abc", "-o", "y"], ["quant", "-i", "x", "-l", "u", "-o", "y", "--fld-mean", "3"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad, spark)
+    assert "unknown library type" in capsys.readouterr().err
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from emtally.sources import shared
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+
+
 def test_outputs(spark, tmp_path):
     q = spark.createDataFrame([(1, "b", 20, 10.0625, 1.0005, 2.0), (0, "a", 10, 5.0, 0.0, 0.0)], "ref_id int, target_name string, len long, eff_len double, tpm double, ecount double")
     stem = tmp_path / "new" / "x.y"

@@ -7,9 +7,11 @@ from emtally.functions import libtype
 @pytest.mark.parametrize(
     "f,r,fr,rf,paired,expected,ratio",
     [
-        (0, 0, 8000, 200, True, "ISF", 8000 / 8200), (0, 0, 200, 8000, True, "ISR", 200 / 8200), (0, 0, 5000, 5000, True, "IU", 0.5),
-        (9000, 1000, 0, 0, False, "SF", 0.9), (1000, 9000, 0, 0, False, "SR", 0.1), (5000, 5000, 0, 0, False, "U", 0.5),
-        (0, 0, 0, 0, True, "IU", 0.5), (0, 0, 0, 0, False, "U", 0.5), (3000, 7000, 0, 0, False, "U", 0.3), (7000, 3000, 0, 0, False, "U", 0.7),
+        # on a threshold, and one fragment beyond it
+        (0, 0, 6, 14, True, "IU", 0.3), (0, 0, 5, 14, True, "ISR", 5 / 19), (0, 0, 14, 6, True, "IU", 0.7), (0, 0, 15, 6, True, "ISF", 15 / 21),
+        (21, 49, 0, 0, False, "U", 0.3), (20, 49, 0, 0, False, "SR", 20 / 69), (49, 21, 0, 0, False, "U", 0.7), (50, 21, 0, 0, False, "SF", 50 / 71),
+        # single and paired mappings of one sample count together; one side alone; none
+        (4, 1, 11, 2, True, "ISF", 15 / 18), (37, 0, 0, 0, False, "SF", 1.0), (0, 1, 0, 0, True, "ISR", 0.0), (0, 0, 0, 0, True, "IU", 0.5), (0, 0, 0, 0, False, "U", 0.5),
     ],
 )
 def test_detection(spark, f, r, fr, rf, paired, expected, ratio):
