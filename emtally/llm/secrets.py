@@ -1,13 +1,15 @@
 """Secrets in texts: fixed patterns, and a linear-chain conditional random field that finds more.
 
 Tokens are runs of word characters or of other visible characters. Each is tagged as outside a secret, its
-beginning or inside it, from its shape, its neighbours and features of the whole text, by Viterbi decoding.
+beginning or inside it, from its shape, the words beside it (hashed, with learned weights) and features of the whole
+text, by Viterbi decoding.
 Tokens around which no stretch of other tags could gain on "outside" are outside in every best path; only the runs
 between them are decoded, which gives the same tags as decoding it all.
 The field is trained by maximum likelihood on passages of a bounded sample of the texts, into which generated
 secrets are put.
 """
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -20,8 +22,13 @@ from pyspark.sql import functions as F
 
 from emtally.llm.tables import small_batches
 
-#: Rows whose passages the field is trained on (the smallest hashes of doc_id), and passages and tokens of each.
-SAMPLE, PASSAGES, PASSAGE = 300, 2, 24
+#: Rows whose passages the field is trained on (the smallest hashes of doc_id), passages of each, and words and
+#: characters of a passage at most.
+SAMPLE, PASSAGES, PASSAGE, PASSAGE_CHARS = 300, 2, 24, 960
+#: Buckets of the words beside a token: of the word before, the one before that and the word behind.
+WORDS, PLACES = 512, 3
+#: Training passages in which a word must stand beside a token to have a weight.
+SEEN = 12
 SEED = 11
 O, B, I = 0, 1, 2
 
@@ -46,6 +53,7 @@ _UPPER[65:91] = 1
 _LOWER[97:123] = 1
 _HEXA[[*range(48, 58), *range(97, 103)]] = 1
 _KIND = _DIGIT + 2 * _UPPER + 3 * _LOWER
+_POWERS = np.cumprod(np.full(16, 0x100000001B3, np.uint64), dtype=np.uint64)
 
 FEATURES = (
     "bias", "other", "len<=3", "len<=7", "len<=15", "len<=23", "len<=39", "len>=40", "digits only", "no digit", "digit and letter", "digit and upper", "upper inside",
@@ -107,7 +115,8 @@ def features(data: bytes, starts: np.ndarray, ends: np.ndarray, texts: np.ndarra
         sums = sums_of(table[x])
         return sums[ends] - sums[starts], np.diff(sums[bounds])
 
-    length = ends - starts
+    chars = sums_of((x & 0xC0) != 0x80)
+    length = chars[ends] - chars[starts]
     (digit, digits), (upper, _), (lower, _), (hexa, _) = map(total, (_DIGIT, _UPPER, _LOWER, _HEXA))
     first, last = x[starts], x[ends - 1]
     other = _CLASS[first] == 2
@@ -146,12 +155,43 @@ def features(data: bytes, starts: np.ndarray, ends: np.ndarray, texts: np.ndarra
     return f.T
 
 
+def neighbours(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each token the buckets of the tokens at PLACES beside it; 0 is for none, and for tokens that are long or hold a digit."""
+    n = len(starts)
+    if not n:
+        return np.zeros((0, PLACES), np.int32)
+    x = np.frombuffer(data.lower(), np.uint8)
+    length, at = ends - starts, np.arange(len(x) + 1)
+    within = np.ones(len(x), np.uint64)
+    # powers of an odd number by the place in the token
+    place = at[: len(x)] - np.repeat(np.append(0, starts), np.diff(np.append(np.append(0, starts), len(x))))
+    within = _POWERS[np.minimum(place, len(_POWERS) - 1)]
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * within, dtype=np.uint64)])
+        h = (sums[ends] - sums[starts]) * np.uint64(0x9E3779B97F4A7C15)
+    digits = np.concatenate([np.zeros(1, np.int32), np.cumsum(_DIGIT[x], dtype=np.int32)])
+    own = np.where((length > 12) | (digits[ends] > digits[starts]), 0, 1 + (h >> np.uint64(40)).astype(np.int64) % (WORDS - 1)).astype(np.int32)
+    out = np.zeros((n, PLACES), np.int32)
+    out[1:, 0], out[2:, 1], out[:-1, 2] = own[:-1], own[:-2], own[1:]
+    return out
+
+
 @dataclass
 class Field:
-    """Emission weights (features x tags) and transition scores (tag x next tag)."""
+    """Emission weights (features x tags), weights of the words beside a token (places x buckets x tags) and transition
+    scores (tag x next tag)."""
 
     emit: np.ndarray
     move: np.ndarray
+    beside: np.ndarray | None = None
+
+    def emission(self, data: bytes, starts: np.ndarray, ends: np.ndarray, texts: np.ndarray | None = None) -> np.ndarray:
+        out = features(data, starts, ends, texts) @ self.emit
+        if self.beside is not None:
+            words = neighbours(data, starts, ends)
+            for p in range(PLACES):
+                out += self.beside[p][words[:, p]]
+        return out
 
     def open(self, emission: np.ndarray) -> np.ndarray:
         """Positions that may be other than O in a best path. Tags other than O over a stretch gain at most the sum
@@ -188,50 +228,81 @@ def viterbi(emission: np.ndarray, move: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 120, l2: float = 1e-4, bound: float = 2.0) -> Field:
-    """Maximum likelihood by the forward-backward algorithm over (features, tags); transitions stay within ``bound``."""
-    n_features = len(FEATURES)
-    emit, move = np.zeros((n_features, 3)), np.zeros((3, 3))
-    sequences = [s for s in sequences if len(s[0])]
+def likelihood(emission: np.ndarray, move: np.ndarray, tags: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The negative log-likelihood of ``tags`` (sequences x length, where ``mask``; the longest first) and its gradients by the
+    emissions and by ``move``, by the forward-backward algorithm; each sequence starts from O and ends in O."""
+    m, width = mask.shape
+    lengths, active = mask.sum(axis=1), mask.sum(axis=0)
+    rows, last = np.arange(m), lengths - 1
+    top = emission.max(axis=2)
+    e, step = np.exp(emission - top[..., None]), np.exp(move)
+    forward, backward, scale = np.zeros((m, width, 3)), np.zeros((m, width, 3)), np.ones((m, width))
+    for t in range(width):
+        k = active[t]
+        now = (forward[:k, t - 1] @ step if t else step[O]) * e[:k, t]
+        scale[:k, t] = now.sum(axis=1)
+        forward[:k, t] = now / scale[:k, t, None]
+    backward[rows, last] = step[:, O]
+    for t in range(width - 2, -1, -1):
+        k = active[t + 1]
+        now = (backward[:k, t + 1] * e[:k, t + 1]) @ step.T
+        backward[:k, t] = now / now.sum(axis=1, keepdims=True)
+    end = (forward[rows, last] * step[:, O]).sum(axis=1)
+    i, t = np.nonzero(mask)
+    p = forward[i, t] * backward[i, t]
+    p /= p.sum(axis=1, keepdims=True)
+    g = np.zeros((m, width, 3))
+    g[i, t] = p
+    g[i, t, tags[i, t]] -= 1
+    i, t = np.nonzero(mask[:, 1:])
+    pair = forward[i, t, :, None] * step * (e[i, t + 1] * backward[i, t + 1])[:, None, :]
+    expected = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    seen = np.zeros((3, 3))
+    np.add.at(seen, (tags[i, t], tags[i, t + 1]), 1)
+    np.add.at(seen[O], tags[:, 0], 1)
+    np.add.at(seen, (tags[rows, last], O), 1)
+    own = (g + np.eye(3)[tags] * mask[..., None])
+    expected[O] += own[:, 0].sum(axis=0)
+    expected[:, O] += own[rows, last].sum(axis=0)
+    i, t = np.nonzero(mask)
+    loss = np.log(scale).sum() + top[i, t].sum() + np.log(end).sum() - emission[i, t, tags[i, t]].sum() - (seen * move).sum()
+    return float(loss), g, expected - seen
+
+
+def fit(sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 75, l2: float = 1e-4, l2_words: float = 3e-3, bound: float = 2.0) -> Field:
+    """Maximum likelihood over (features, words beside, tags) by Adam; transitions stay within ``bound``, and words that are
+    beside tokens of under SEEN sequences have no weight."""
+    emit, move, beside = np.zeros((len(FEATURES), 3)), np.zeros((3, 3)), np.zeros((PLACES, WORDS, 3))
+    sequences = sorted((s for s in sequences if len(s[0])), key=lambda s: -len(s[0]))
     if not sequences:
         emit[0, O] = 100.0
         return Field(emit.astype(np.float32), move.astype(np.float32))
-    width, m = max(len(f) for f, _ in sequences), len(sequences)
-    x, y, mask = np.zeros((m, width, n_features)), np.zeros((m, width), np.int64), np.zeros((m, width), bool)
-    for i, (f, tags) in enumerate(sequences):
-        x[i, : len(f)], y[i, : len(f)], mask[i, : len(f)] = f, tags, True
-    one_hot = np.eye(3)[y] * mask[..., None]
-    pairs_mask = mask[:, 1:] & mask[:, :-1]
-    seen_pairs = np.einsum("mts,mtq->sq", one_hot[:, :-1] * pairs_mask[..., None], one_hot[:, 1:])
-    last = mask.sum(axis=1) - 1
-    rows = np.arange(m)
-    seen_pairs[O] += one_hot[:, 0].sum(axis=0)
-    seen_pairs[:, O] += one_hot[rows, last].sum(axis=0)
-    adam = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
-    log_sum = lambda a, axis: (lambda top: (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis))(a.max(axis=axis, keepdims=True))
+    m, width = len(sequences), len(sequences[0][0])
+    x, w, tags = (np.concatenate([s[i] for s in sequences]) for i in range(3))
+    lengths = np.array([len(s[0]) for s in sequences])
+    row = np.repeat(np.arange(m), lengths)
+    col = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    y, mask = np.zeros((m, width), np.int64), np.zeros((m, width), bool)
+    y[row, col], mask[row, col] = tags, True
+    known = np.zeros((PLACES, WORDS, 1))
+    for p in range(PLACES):
+        known[p, :, 0] = np.bincount(np.concatenate([np.unique(words[:, p]) for _, words, _ in sequences]), minlength=WORDS) >= SEEN
+    known[:, 0] = 0
+    moments = [np.zeros_like(a) for a in (emit, emit, move, move, beside, beside)]
     for step in range(1, steps + 1):
-        e = x @ emit
-        alpha, beta = np.zeros((m, width, 3)), np.zeros((m, width, 3))
-        alpha[:, 0] = e[:, 0] + move[O]
-        beta[:, -1] = move[:, O]
-        for t in range(1, width):
-            new = e[:, t] + log_sum(alpha[:, t - 1, :, None] + move, 1)
-            alpha[:, t] = np.where(mask[:, t, None], new, alpha[:, t - 1])
-        for t in range(width - 2, -1, -1):
-            new = log_sum(move + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(mask[:, t + 1, None], new, move[:, O])
-        z = log_sum(alpha[:, -1] + move[:, O], 1)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
-        pair = np.exp(alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pairs_mask[..., None, None]
-        expected = pair.sum(axis=(0, 1))
-        expected[O] += p[:, 0].sum(axis=0)
-        expected[:, O] += p[rows, last].sum(axis=0)
-        for k, (w, g) in enumerate(((emit, np.tensordot(x, p - one_hot, ((0, 1), (0, 1))) / m + l2 * emit), (move, (expected - seen_pairs) / m + l2 * move))):
-            adam[2 * k] = 0.9 * adam[2 * k] + 0.1 * g
-            adam[2 * k + 1] = 0.99 * adam[2 * k + 1] + 0.01 * g * g
-            w -= 0.15 * (adam[2 * k] / (1 - 0.9**step)) / (np.sqrt(adam[2 * k + 1] / (1 - 0.99**step)) + 1e-8)
+        e, at = np.zeros((m, width, 3)), x @ emit
+        for p in range(PLACES):
+            at += beside[p][w[:, p]]
+        e[row, col] = at
+        _, g, g_move = likelihood(e, move, y, mask)
+        flat = g[row, col]
+        g_beside = np.stack([np.stack([np.bincount(w[:, p], flat[:, t], WORDS) for t in range(3)], axis=1) for p in range(PLACES)]) * known
+        for k, (a, grad) in enumerate(((emit, x.T @ flat / m + l2 * emit), (move, g_move / m + l2 * move), (beside, g_beside / m + l2_words * beside))):
+            moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * grad
+            moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * grad * grad
+            a -= 0.15 * (moments[2 * k] / (1 - 0.9**step)) / (np.sqrt(moments[2 * k + 1] / (1 - 0.99**step)) + 1e-8)
         np.clip(move, -bound, bound, out=move)
-    return Field(emit.astype(np.float32), move.astype(np.float32))
+    return Field(emit.astype(np.float32), move.astype(np.float32), beside.astype(np.float32))
 
 
 def _secret(rng: random.Random) -> str:
@@ -259,12 +330,12 @@ def _ordinary(rng: random.Random) -> str:
     return rng.choice((
         lambda: f"{word()}.{word()}{dig(2)}@{word()}.example.com", lambda: f"+{dig(2)} {dig(3)} {dig(7)}", lambda: f"https://{word()}.example.org/{word()}/{dig(5)}?page={dig(1)}", lambda: f"{dig(4)}-{dig(2)}-{dig(2)} {dig(2)}:{dig(2)}:{dig(2)}",
         lambda: f"{dig(16)}", lambda: f"token: {word()} and {word()}", lambda: f"version {dig(1)}.{dig(2)}.{dig(1)}", lambda: f"a secret {word()} key = {word()}", lambda: f"{word().title()}{word()}{dig(2)}",
-        lambda: f"{dig(3)}.{dig(2)}.{dig(3)}.{dig(1)}", lambda: " ".join(dig(4) for _ in range(4)),
+        lambda: f"{dig(3)}.{dig(2)}.{dig(3)}.{dig(1)}", lambda: " ".join(dig(4) for _ in range(4)), lambda: "".join(rng.choice((word(), "ción", "ñ", "heit", "über")) for _ in range(5)), lambda: f"{word().title()} {word()}{word()}{word()}, the key {word()}",
     ))()
 
 
-def examples(passages: list[str], seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, tags) of each passage: as it is, with the fixed patterns' values as secrets, and again with generated text in it."""
+def examples(passages: list[str], seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, words beside, tags) of each passage: as it is, with the fixed patterns' values as secrets, and again with generated text in it."""
     rng, out = random.Random(seed), []
     for passage in passages:
         spans = [(s, e) for s, _, e in base_spans(passage)]
@@ -280,7 +351,7 @@ def examples(passages: list[str], seed: int = SEED) -> list[tuple[np.ndarray, np
     return out
 
 
-def _example(text: str, secrets: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _example(text: str, secrets: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = text.encode()
     starts, ends = tokenize(data)
     tags = np.zeros(len(starts), np.int64)
@@ -289,26 +360,28 @@ def _example(text: str, secrets: list[tuple[int, int]]) -> tuple[np.ndarray, np.
         within = np.flatnonzero((starts < e) & (ends > s))
         tags[within] = I
         tags[within[:1]] = B
-    return features(data, starts, ends), tags
+    return features(data, starts, ends), neighbours(data, starts, ends), tags
 
 
 def train(documents: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Field:
     """Trains on passages of the ``sample`` rows with the smallest hashes of doc_id: PASSAGES per row, of PASSAGE words
-    at equal distances over the whole text. Null and blank texts give none; without passages nothing more is found."""
+    at equal distances over the whole text, PASSAGE_CHARS of each; of rows with one doc_id the smallest passage. Null and
+    blank texts give none; without passages nothing more is found."""
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = text.split(" ")
                 step = max(PASSAGE, len(words) // PASSAGES)
-                out += [p[: 40 * PASSAGE] for at in range(0, PASSAGES * step, step) if (p := " ".join(words[at : at + PASSAGE])).strip()]
-            yield pa.record_batch([pa.array(out, pa.string())], names=["text"])
+                out += [(doc_id, at, p[:PASSAGE_CHARS]) for at in range(PASSAGES) if (p := " ".join(words[at * step : at * step + PASSAGE])).strip()]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "at", "text"])
 
     small_batches(documents.sparkSession)
     ids = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(passages, "text string")
-    return fit(examples(sorted(r.text for r in found.limit(4 * sample * PASSAGES).collect()), seed))
+    found = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(passages, "doc_id long, at int, text string")
+    return fit(examples(sorted(r.text for r in found.groupBy("doc_id", "at").agg(F.min("text").alias("text")).collect()), seed))
 
 
 RESULT = "doc_id long, spans array<struct<start:long,kind:string,end:long>>"
@@ -349,7 +422,7 @@ def _scan(texts: list[bytes], field: Field) -> list[list[tuple[int, str, int]]]:
     sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(np.append(0, sizes[:-1] + len(_BETWEEN)))
     starts, ends = tokenize(data)
-    emission = features(data, starts, ends, begins) @ field.emit
+    emission = field.emission(data, starts, ends, begins)
     of = np.searchsorted(begins, starts, side="right") - 1
     emission[starts >= (begins + sizes)[of]] = (1e4, 0, 0)
     tags = field.decode(emission)
@@ -379,23 +452,55 @@ def _scan(texts: list[bytes], field: Field) -> list[list[tuple[int, str, int]]]:
         if i not in maybe and i not in more:
             out.append([])
             continue
-        base = base_spans(text.decode(), i in with_hex) if i in maybe else []
-        every = list(base)
+        text, base = _Offsets(text), []
+        if i in maybe:
+            base = base_spans(text.decoded(), i in with_hex)
+        every, ahead = list(base), _Ahead(base)
         for s, e in more.get(i, ()):
-            s, e = len(text[:s].decode("utf-8", "ignore")), len(text[:e].decode("utf-8", "ignore"))
-            if all(e <= b or s >= z for b, _, z in base):
+            s, e = text.chars(s), text.chars(e)
+            if not ahead.meets(s, e):
                 every.append((s, len(KINDS), e))
         out.append([(s, (*KINDS, "crf")[k], e) for s, k, e in sorted(every)])
     return out
 
 
+class _Offsets:
+    """Code points of rising byte offsets of a text, each found from the one before."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.count = data, 0, 0
+
+    def decoded(self) -> str:
+        return self.data.decode()
+
+    def chars(self, offset: int) -> int:
+        # bytes that go on with a character don't count
+        part = np.frombuffer(self.data, np.uint8, offset - self.at, self.at)
+        self.count += int(((part & 0xC0) != 0x80).sum())
+        self.at = offset
+        return self.count
+
+
+class _Ahead:
+    """Spans by their start, asked for by rising spans that don't overlap: whether any meets the one asked for."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [s for s, _, _ in spans]
+        # the furthest end of the spans so far
+        self.ends = np.maximum.accumulate([z for _, _, z in spans]).tolist() if spans else []
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
+
+
 def _bytes(column) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
 
 
 def redact(documents: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
-    """``documents`` with every span replaced by ``mark`` (touching and overlapping spans by one) and n_chars set anew
-    where the text changed. All rows and columns stay."""
+    """``documents`` with every span replaced by ``mark`` (touching and overlapping spans by one) and n_chars, where there is
+    that column, set anew where the text changed. All rows and columns stay."""
     small_batches(documents.sparkSession)
     shared, schema = documents.sparkSession.sparkContext.broadcast(field), documents.schema
 
@@ -403,7 +508,8 @@ def redact(documents: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFr
         for batch in batches:
             texts, sizes = [], []
             found = spans(_bytes(batch.column("text")), shared.value)
-            for text, size, secrets in zip(batch.column("text"), batch.column("n_chars").to_pylist(), found):
+            known = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * batch.num_rows
+            for text, size, secrets in zip(batch.column("text"), known, found):
                 text, out, at = text.as_py(), [], 0
                 for s, _, e in secrets:
                     if s > at or not out:
@@ -414,7 +520,7 @@ def redact(documents: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFr
                     size = len(text)
                 texts.append(text)
                 sizes.append(size)
-            columns = [pa.array(texts, pa.string()) if n == "text" else pa.array(sizes, pa.int64()) if n == "n_chars" else batch.column(n) for n in batch.schema.names]
+            columns = [pa.array(texts, pa.string()) if n == "text" else pa.array(sizes, batch.schema.field(n).type) if n == "n_chars" else batch.column(n) for n in batch.schema.names]
             yield pa.record_batch(columns, names=batch.schema.names)
 
     return documents.mapInArrow(run, schema)
