@@ -2,7 +2,9 @@
 
 Features are presences of n-grams of the lower-cased text, hashed to BUCKETS. The log-count ratios are counted
 over all labelled rows, as a Spark aggregation. The weights are then fitted on a bounded sample of labelled rows
-(SAMPLE per label): logistic regression on the scaled features. Scoring sends a vector of BUCKETS weights to all tasks.
+(SAMPLE per label, FIT_FEATURES n-grams of each): logistic regression on the scaled features. Both labels weigh the same
+in the fit, however many rows have them, so that a score of 0.5 means the same at every size. Scoring sends a vector of
+BUCKETS weights to all tasks.
 """
 
 from collections.abc import Iterator
@@ -10,17 +12,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emtally.llm.neardup import BROADCAST_IDS
-from emtally.llm.tables import small_batches
+from emtally.llm.tables import small_batches, written
 
 BITS = 20
 BUCKETS = 1 << BITS
 ORDERS = (4, 5, 6)
 #: Labelled rows of each label on which the weights are fitted at most: those with the smallest hashes of doc_id.
 SAMPLE = 1_500
+#: N-grams of such a row that the fit uses at most, those with the largest ratios: 4 bytes each on the driver.
+FIT_FEATURES = 8_192
+#: Counts of tasks that are added up at once.
+FAN = 32
 #: Pseudo-rows of the overall label mix that are added to each n-gram's counts.
 SMOOTHING = 10.0
 #: Standard errors by which a ratio must differ from 0 to count.
@@ -86,8 +93,9 @@ def ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, smoothing:
 
 
 def prior(n_pos: int, n_neg: int) -> Model:
-    """What is known without n-grams: the share of label 1, moved towards a quarter by two rows."""
-    share = (n_pos + 0.5) / (n_pos + n_neg + 2)
+    """What is known without n-grams: the share of label 1, moved towards a quarter by two rows; under a half where no row
+    has label 0 to compare with."""
+    share = (n_pos + 0.5) / (n_pos + n_neg + 2) if n_neg else 0.25
     return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
 
 
@@ -160,44 +168,67 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
                 counts[label][features(text.as_buffer().to_pybytes() if text.is_valid else b"")] += 1
                 rows[label] += 1
         if any(rows):
-            out = [(-1, b"", *(np.int32(n).tobytes() for n in rows))]
+            out = [(-1, b"", *(np.int64(n).tobytes() for n in rows))]
             for i in range(0, BUCKETS, block):
                 at = np.flatnonzero(counts[:, i : i + block].any(axis=0))
                 if len(at):
-                    out.append((i, at.astype(np.int16).tobytes(), *(c[i + at].tobytes() for c in counts)))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "at", "neg", "pos"])
+                    out.append((i, at.astype(np.int16).tobytes(), *(c[i + at].astype(np.int64).tobytes() for c in counts)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+            part = TaskContext.get().partitionId()
+            yield pa.record_batch([pa.array(np.full(len(out), part)), *columns], names=["part", "block", "at", "neg", "pos"])
 
     def add(table: pa.Table) -> pa.Table:
+        """The sums of a block over the parts that go together."""
         first, total = table.column("block")[0].as_py(), np.zeros((2, block), np.int64)
         for at, neg, pos in zip(*(table.column(c).to_pylist() for c in ("at", "neg", "pos"))):
             at = np.frombuffer(at, np.int16) if first >= 0 else [0]
-            total[0][at] += np.frombuffer(neg, np.int32)
-            total[1][at] += np.frombuffer(pos, np.int32)
-        return pa.table({"block": [first], "neg": [total[0].tobytes()], "pos": [total[1].tobytes()]})
-
-    counted = _labelled(documents, known).select("text", "label").mapInArrow(count, "block long, at binary, neg binary, pos binary")
+            total[0][at] += np.frombuffer(neg, np.int64)
+            total[1][at] += np.frombuffer(pos, np.int64)
+        at = np.flatnonzero(total.any(axis=0))[: block if first >= 0 else 1]
+        at = at if first >= 0 else np.zeros(1, np.int64)
+        return pa.table({"part": [table.column("part")[0].as_py() // FAN], "block": [first], "at": [at.astype(np.int16).tobytes() if first >= 0 else b""], "neg": [total[0][at].tobytes()], "pos": [total[1][at].tobytes()]})
+
+    kinds = "part long, block long, at binary, neg binary, pos binary"
+    counted = written(_labelled(documents, known).select("text", "label").mapInArrow(count, kinds), "ngrams")
+    parts = (counted.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        # FAN rows to a group, however many tasks there were
+        counted = counted.withColumn("to", F.expr(f"part div {FAN}")).groupBy("block", "to").applyInArrow(add, kinds)
+        parts = -(-parts // FAN)
+        if parts == 1:
+            break
+        counted = written(counted, "ngrams")
     neg, pos, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), (0, 0)
-    for r in counted.groupBy("block").applyInArrow(add, "block long, neg binary, pos binary").toArrow().to_pylist():  # BUCKETS numbers of each kind
+    for r in counted.toArrow().to_pylist():  # BUCKETS numbers of each kind
         x, y = np.frombuffer(r["neg"], np.int64), np.frombuffer(r["pos"], np.int64)
         if r["block"] < 0:
             n = int(x[0]), int(y[0])
         else:
-            neg[r["block"] : r["block"] + block], pos[r["block"] : r["block"] + block] = x, y
+            at = r["block"] + np.frombuffer(r["at"], np.int16).astype(np.int64)
+            neg[at], pos[at] = x, y
     if not n[0] or not n[1]:
         return prior(n[1], n[0])
     r = ratios(pos, neg, n[1], n[0])
-    shared = spark.sparkContext.broadcast(r != 0)
+    shared = spark.sparkContext.broadcast(np.abs(r).astype(np.float32))
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
-            kept = [np.sort(f[shared.value[f]]).tobytes() for f in found]
-            yield pa.record_batch([batch.column("label"), pa.array(kept, pa.binary())], names=["label", "features"])
+            kept = []
+            for t in batch.column("text"):
+                f = features(t.as_buffer().to_pybytes() if t.is_valid else b"")
+                f = f[shared.value[f] != 0]
+                if len(f) > FIT_FEATURES:
+                    f = f[np.lexsort((f, -shared.value[f]))[:FIT_FEATURES]]
+                kept.append(np.sort(f).tobytes())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(kept, pa.binary())], names=["doc_id", "label", "features"])
 
     chosen = known.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = sorted((x["label"], x["features"]) for x in documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(examples, "label int, features binary").limit(4 * sample).toArrow().to_pylist())
+    # of rows with one doc_id, one: a row per label and id
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(examples, "doc_id long, label int, features binary")
+    rows = sorted((x["label"], x["features"]) for x in rows.groupBy("doc_id", "label").agg(F.min("features").alias("features")).select("label", "features").toArrow().to_pylist())
     y = np.array([label for label, _ in rows], float)
-    return regress([np.frombuffer(f, np.int32) for _, f in rows], y, np.ones(len(y)), r)
+    weight = np.where(y == 1, len(y) / max(1.0, 2 * y.sum()), len(y) / max(1.0, 2 * (1 - y).sum()))
+    return regress([np.frombuffer(f, np.int32) for _, f in rows], y, weight, r)
 
 
 def held_out(doc_id):

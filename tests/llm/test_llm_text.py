@@ -379,3 +379,61 @@ def plain_features(text):
 def test_features(text):
     got = toxicity.features(text.encode()).tolist()
     assert len(got) == len(set(got)) and set(got) == plain_features(text.encode())
+
+
+def test_training_against_a_plain_version(spark, monkeypatch):
+    """Counts, ratios, the fit and the scores, with loops over features of the plain kind."""
+    monkeypatch.setattr(toxicity, "FAN", 2)  # counts of tasks are added up in several levels
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioust") for _ in range(4)) for _ in range(30)]
+    mark = lambda i: " " + rng.choice(("vexq", "zormu", "plikath")) if rng.random() < (0.8 if i % 3 == 0 else 0.1) else ""
+    texts = [" ".join(rng.choice(words) for _ in range(8)) + mark(i) for i in range(120)]
+    toxic = [int(i % 3 == 0) for i in range(120)]
+    df = docs(spark, [*texts, *texts[:4]], [*range(120), *range(4)]).repartition(9)
+    labels = spark.createDataFrame([(i, 0, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, labels)
+    learnt = [i for i in [*range(120), *range(4)] if zlib.crc32(str(i).encode()) % 5]
+    sets = {i: plain_features(texts[i].encode()) for i in range(120)}
+    n = [sum(toxic[i] == y for i in learnt) for y in (0, 1)]
+    ratio, share = {}, n[1] / sum(n)
+    for f in set().union(*(sets[i] for i in learnt)):
+        neg, pos = (sum(f in sets[i] and toxic[i] == y for i in learnt) for y in (0, 1))
+        a, b = pos + toxicity.SMOOTHING * share, neg + toxicity.SMOOTHING * (1 - share)
+        r = np.log(a / n[1]) - np.log(b / n[0])
+        ratio[f] = np.sign(r) * max(0.0, abs(r) - toxicity.ERRORS * np.sqrt(1 / a + 1 / b))
+    # weighted logistic regression: at the fitted weights, the plain gradient is small beside that at zero
+    rows, used = sorted(set(learnt)), sorted(f for f, r in ratio.items() if r)
+    assert set(np.flatnonzero(model.weights)) <= set(used) and len(used) > 10
+    x = np.array([[ratio[f] * (f in sets[i]) for f in used] for i in rows])
+    y = np.array([toxic[i] for i in rows], float)
+    weigh = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def gradient(w, b):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        return np.append(x.T @ (weigh * (p - y)) + 0.002 * w, (weigh * (p - y)).sum())
+
+    w = np.array([model.weights[f] / ratio[f] for f in used])
+    assert np.linalg.norm(gradient(w, model.bias)) < 0.05 * np.linalg.norm(gradient(np.zeros(len(used)), 0.0))
+    for i in range(0, 120, 7):
+        z = model.bias + sum(w[j] * ratio[f] for j, f in enumerate(used) if f in sets[i])
+        assert model.score(texts[i].encode()) == pytest.approx(1 / (1 + np.exp(-z)))
+    one = toxicity.train(df, labels.where("toxic = 1"))
+    assert one.score(b"vexq") < 0.5 and toxicity.train(df, labels.limit(0)).score(b"") < 0.5
+
+
+def test_the_features_of_a_fit_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_FEATURES", 5)
+    seen = []
+    monkeypatch.setattr(toxicity, "regress", lambda rows, *a: seen.extend(rows) or toxicity.prior(1, 1))
+    df = docs(spark, ["abcd efgh ijkl " * 30 + "vexq" * (i % 2) for i in range(100)])
+    toxicity.train(df, spark.createDataFrame([(i, 0, i % 2) for i in range(100)], "doc_id long, quality int, toxic int"))
+    assert seen and max(map(len, seen)) <= 5
+
+
+def test_held_out_recall(spark):
+    d = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score(documents, toxicity.train(documents, labels)).join(labels, "doc_id").where("held_out")
+    n = {(r.toxic, r.predicted): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    caught, left = n[1, 1] / (n[1, 1] + n.get((1, 0), 0)), n[0, 0] / (n[0, 0] + n.get((0, 1), 0))
+    assert caught >= 0.9 and left >= 0.95
