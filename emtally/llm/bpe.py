@@ -15,9 +15,11 @@ Documents over ``BLOCK`` characters are dealt out in blocks, so that several tas
 import functools
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,25 @@ MEMO = 200_000
 _COMMON = r"[\x00-ɐ‐-‧‰-⁞₠-₿™]*"
 
 
+@dataclass
+class Encoded:
+    """A text with the ends of its words (characters), their ids one after another, and the ends of each word's ids."""
+
+    text: str
+    ends: np.ndarray
+    ids: np.ndarray
+    cuts: np.ndarray
+
+    def word(self, i: int) -> str:
+        return self.text[self.start(i) : self.ends[i]]
+
+    def start(self, i: int) -> int:
+        return int(self.ends[i - 1]) if i else 0
+
+    def ids_of(self, i: int) -> np.ndarray:
+        return self.ids[int(self.cuts[i - 1]) if i else 0 : int(self.cuts[i])]
+
+
 class Encoder:
     def __init__(self, vocabulary: str = tokens.VOCABULARY):
         import public_tokenizers
@@ -44,6 +65,8 @@ class Encoder:
         self.encoding, self.library = tokens.fast(vocabulary), tokens.library(vocabulary)
         self.pattern, self.common = regex.compile(public_tokenizers.PATTERN), regex.compile(_COMMON)
         self.memo: dict[str, list[int]] = {}
+        #: bytes encoded again at joins
+        self.joined = 0
 
     # words ------------------------------------------------------------------------------------------------
 
@@ -107,20 +130,76 @@ class Encoder:
         return self.encoding.decode_bytes(ids)
 
     def join_ids(self, left: list[int], right: list[int]) -> list[int]:
+        a, again, b = self.seam(left, right)
+        return left[: len(left) - a] + again + right[b:]
+
+    def seam(self, left, right) -> tuple[int, list[int], int]:
+        """How many of the last ids of ``left`` and of the first of ``right`` (lists or arrays) the join changes at most, and the ids in their place."""
         a, b = min(2, len(left)), min(2, len(right))
         while True:
-            window = self.bytes_of(left[-a:] + right[:b])
-            again = self.encoding._encode_single_piece(window) if len(window) <= 8 * WORD_LEAF else self.large(window)
+            window = self.bytes_of([*map(int, left[len(left) - a :]), *map(int, right[:b])])
+            self.joined += len(window)
+            again = self.encoding._encode_single_piece(window)
             left_agrees, right_agrees = again[0] == left[-a] or a == len(left), again[-1] == right[b - 1] or b == len(right)
             if left_agrees and right_agrees and len(again) > 1 or (a, b) == (len(left), len(right)):
-                return left[:-a] + again + right[b:]
+                return a, again, b
             if not left_agrees or len(again) == 1:
                 a = min(2 * a, len(left))
             if not right_agrees or len(again) == 1:
                 b = min(2 * b, len(right))
 
-    def large(self, data: bytes) -> list[int]:
-        return self.encoding._encode_single_piece(data)
+    # blocks -----------------------------------------------------------------------------------------------
+
+    def encoded(self, text: str) -> Encoded:
+        words = self.words(text)
+        ids = [self.word(w) for w in words]
+        flat = np.fromiter((x for i in ids for x in i), "<u4")
+        return Encoded(text, np.cumsum([len(w) for w in words], dtype=np.int64), flat, np.cumsum([len(i) for i in ids], dtype=np.int64))
+
+    def join(self, left: Encoded, right: Encoded) -> Encoded:
+        """The encoding of both texts in a row: words near the join are split again as in ``join_words``; a long word that
+        the join makes of one word on either side is encoded again around the join only."""
+        if not left.text or not right.text:
+            return left if left.text else right
+        keep, n = len(left.ends), len(right.ends)
+        while keep and (keep == len(left.ends) or len(left.text) - left.ends[keep] + len(left.word(keep)) < LOOK):
+            keep -= 1
+        tail, taken = left.text[left.start(keep) :], 4
+        while True:
+            whole = taken >= n
+            window = tail + right.text[: None if whole else right.ends[taken - 1]]
+            starts = {len(tail) + right.start(i): i for i in range(min(taken, n))}
+            again, at, rest = [], 0, n
+            for word in self.split(window):
+                if at in starts and (whole or at <= len(window) - LOOK):
+                    rest = starts[at]
+                    break
+                again.append((at, word))
+                at += len(word)
+            else:
+                if not whole:
+                    taken *= 4
+                    continue
+            break
+        last = len(left.ends) - 1
+        ids = []
+        for at, word in again:
+            if len(word) > 32 and at == len(tail) - len(left.word(last)) and at + len(word) == len(tail) + right.ends[0]:
+                x, y = left.ids_of(last), right.ids_of(0)
+                a, between, b = self.seam(x, y)
+                ids.append(np.concatenate([x[: len(x) - a], np.array(between, "<u4"), y[b:]]))
+            elif len(word) > 32 and at == len(tail) - len(left.word(last)) and word == left.word(last):
+                ids.append(left.ids_of(last))
+            else:
+                ids.append(np.array(self.word(word), "<u4"))
+        before, after = left.start(keep), right.start(rest) if rest < n else len(right.text)
+        id_before, id_after = int(left.cuts[keep - 1]) if keep else 0, int(right.cuts[rest - 1]) if rest else 0
+        ends = np.concatenate([left.ends[:keep], before + np.cumsum([len(w) for _, w in again], dtype=np.int64), right.ends[rest:] + len(left.text)])
+        flat = np.concatenate([left.ids[:id_before], *ids, right.ids[id_after:]])
+        new = id_before + np.cumsum([len(i) for i in ids], dtype=np.int64)
+        moved = (new[-1] if len(new) else id_before) - id_after
+        assert before + sum(len(w) for _, w in again) == len(left.text) + after
+        return Encoded(left.text + right.text, ends, flat, np.concatenate([left.cuts[:keep], new, right.cuts[rest:] + moved]))
 
     # texts ------------------------------------------------------------------------------------------------
 
@@ -165,8 +244,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def encode_documents(documents: DataFrame, vocabulary: str = tokens.VOCABULARY, block: int = BLOCK) -> DataFrame:
     """RESULT per document: the ids (little-endian, unsigned 32-bit) and the digest of what they decode to.
     A null text is empty and has no ids; repeated rows and extra columns do no harm; texts over ``block``
-    characters are encoded in blocks by several tasks, whose words are then joined, the blocks of one document in
-    one group (a document is the unit of the result)."""
+    characters are encoded in blocks by several tasks, whose encodings are then joined, the blocks of one document in
+    one group (a document is the unit of the result). At a join that makes one long word of two, their ids are joined,
+    too: what is encoded again is a window around the join, which in a run that repeats one character may grow to the
+    right side of the join."""
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -189,41 +270,27 @@ def encode_documents(documents: DataFrame, vocabulary: str = tokens.VOCABULARY,
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc", "doc_id", "part", "block", "text"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of each block, by their lengths, and their ids."""
+        """The words of each block, by their ends, and their ids."""
         enc = encoder(vocabulary)
         for batch in batches:
             for i, text in enumerate(batch.column("text").to_pylist()):
-                found = enc.words(text)
+                found = enc.encoded(text)
                 one = batch.slice(i, 1)
-                lengths = np.array([len(w) for w in found], np.int32)
-                ids = [enc.word(w) for w in found]
-                counts = np.array([len(x) for x in ids], np.int32)
-                flat = np.array([y for x in ids for y in x], "<u4")
-                yield pa.record_batch([*one.columns, *(pa.array([x.tobytes()], pa.binary()) for x in (lengths, counts, flat))], names=[*one.schema.names, "lengths", "counts", "ids"])
+                yield pa.record_batch([*one.columns, *(pa.array([x.tobytes()], pa.binary()) for x in (found.ends, found.cuts, found.ids))], names=[*one.schema.names, "ends", "cuts", "ids"])
 
     def whole(table: pa.Table) -> pa.Table:
-        """Joins a document's blocks as a tree. A word that survives the joins keeps its ids."""
-        enc = encoder(vocabulary)
-        parts: dict[int, list] = {}
-        for row in table.sort_by([("part", "ascending"), ("block", "ascending")]).to_pylist():
-            ends = np.cumsum(np.frombuffer(row["lengths"], np.int32)).tolist()
-            found = [row["text"][a:b] for a, b in zip([0, *ends], ends)]
-            cuts, flat = np.cumsum(np.frombuffer(row["counts"], np.int32)).tolist(), np.frombuffer(row["ids"], "<u4").tolist()
-            for w, a, b in zip(found, [0, *cuts], cuts):
-                if len(w) > 32:
-                    enc.memo.setdefault(w, flat[a:b])
-                else:
-                    enc.memo[w] = flat[a:b]
-            parts.setdefault(row["part"], []).append(found)
-        out: list[int] = []
-        for i in sorted(parts):
-            level = parts[i]
+        """Joins a document's blocks as a tree; only what is near a join is encoded again."""
+        enc, out, levels = encoder(vocabulary), [], {}
+        for i in pc.sort_indices(table, [("part", "ascending"), ("block", "ascending")]).to_pylist():
+            row = {c: table.column(c)[i] for c in ("part", "text", "ends", "cuts", "ids")}
+            numbers = (np.frombuffer(row[c].as_buffer(), t) for c, t in (("ends", np.int64), ("ids", "<u4"), ("cuts", np.int64)))
+            levels.setdefault(row["part"].as_py(), []).append(Encoded(row["text"].as_py(), *numbers))
+        for i in sorted(levels):
+            level = levels.pop(i)
             while len(level) > 1:
-                level = [enc.join_words(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-            out += [tokens.SPECIAL_ID] * (i > 0) + enc.ids_of(level[0])
-        if len(enc.memo) >= MEMO:
-            enc.memo.clear()
-        return pa.Table.from_batches([_batch([_row(table.column("doc_id")[0].as_py(), np.array(out, "<u4"), vocabulary)])])
+                level = [enc.join(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+            out += [np.array([tokens.SPECIAL_ID] * (i > 0), "<u4"), level[0].ids]
+        return pa.Table.from_batches([_batch([_row(table.column("doc_id")[0].as_py(), np.concatenate(out), vocabulary)])])
 
     small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
@@ -231,5 +298,5 @@ def encode_documents(documents: DataFrame, vocabulary: str = tokens.VOCABULARY,
     cut_blocks = docs.where(size > block).select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text").mapInArrow(cut, _BLOCKS)
     long = written(cut_blocks, "blocks")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = long.repartition(n, "doc", "part", "block").mapInArrow(words, _BLOCKS + ", lengths binary, counts binary, ids binary")
+    encoded = long.repartition(n, "doc", "part", "block").mapInArrow(words, _BLOCKS + ", ends binary, cuts binary, ids binary")
     return docs.where(size <= block).mapInArrow(short, RESULT).unionByName(encoded.groupBy("doc").applyInArrow(whole, RESULT))

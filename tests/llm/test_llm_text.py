@@ -112,6 +112,31 @@ def test_long_words(run):
     assert enc.piece(run.encode()) == enc.encoding._encode_single_piece(run.encode()) == library(run)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "the", "ing", " ", "   ", "\n", "'", "s", "1", "!", "é", "漢", "x" * 40, "qjz" * 20, " " * 50]), max_size=60).map("".join), st.integers(1, 90))
+def test_joins_of_blocks(text, block):
+    enc = bpe.Encoder()
+    level = [enc.encoded(text[i : i + block]) for i in range(0, max(1, len(text)), block)]
+    while len(level) > 1:
+        level = [enc.join(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+    whole = level[0]
+    assert whole.text == text and [whole.word(i) for i in range(len(whole.ends))] == enc.split(text) and whole.ids.tolist() == library(text)
+    assert [whole.ids_of(i).tolist() for i in range(len(whole.ends))] == [enc.word(w) for w in enc.split(text)]
+
+
+def test_a_long_unsplit_run_is_encoded_again_around_joins_only():
+    rng = random.Random(3)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    enc = bpe.Encoder()
+    level = [enc.encoded(run[i : i + bpe.BLOCK]) for i in range(0, len(run), bpe.BLOCK)]
+    enc.joined, joins, anew = 0, 0, []
+    enc.word = lambda word: anew.append(word) or []
+    while len(level) > 1:
+        joins += len(level) // 2
+        level = [enc.join(*level[k : k + 2]) for k in range(0, len(level), 2)]
+    assert joins == 15 and enc.joined < 200 * joins and not anew and level[0].ids.tolist() == tokens.ids(run).tolist()
+
+
 def test_fast_ids():
     for t in [*ODD, "word " * 9 + "x" * 50]:
         assert tokens.ids(t or "").tolist() == library(t)
