@@ -7,7 +7,6 @@ are computed where the stored bytes are read back, and only digests, positions a
 """
 
 import hashlib
-import html
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,6 +22,10 @@ from emtally.llm.tables import new_path, small_batches, written
 #: A row of an image: 64 pixels of three 8-bit samples.
 WIDTH, ROW_BYTES = 64, 192
 _PNG = b"\x89PNG\r\n\x1a\n"
+#: Digests of stored texts that a task remembers; the set is emptied when full, and later copies are stored once more.
+REMEMBERED = 200_000
+#: Characters of a text that are its media's caption.
+CAPTION = 60
 _HIDDEN = ("script", "style")
 _MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "media"}
 
@@ -81,7 +84,8 @@ def feature(payload: bytes) -> str:
 
 
 class _Sequence(HTMLParser):
-    """Text and media references in the order of the document; a figcaption is the caption of its figure's media."""
+    """Text and media references in the order of the document; a figcaption is the caption of its figure's media. One that
+    isn't closed ends with its figure, the next figure or the page; one without media is text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -93,6 +97,21 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def end_caption(self):
+        if self.caption is None:
+            return
+        said, self.caption = " ".join("".join(self.caption).split()), None
+        of = [item for item in self.items[self.figure :] if item[0] != "text"] if self.figure is not None else []
+        for item in of:
+            item[3] = said
+        if said and not of:
+            self.items.append(["text", said, None, None])
+
+    def end(self):
+        self.close()
+        self.end_caption()
+        self.flush()
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in _HIDDEN:
@@ -101,9 +120,11 @@ class _Sequence(HTMLParser):
             self.flush()
             self.items.append([_MEDIA[tag], None, a["src"].removeprefix("sha256:"), a.get("alt")])
         elif tag == "figure":
+            self.end_caption()
             self.flush()
             self.figure = len(self.items)
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in ("p", "div", "br", "li", "h1", "h2", "h3", "article", "section", "tr"):
@@ -112,12 +133,10 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure or 0 :] if self.figure is not None else []:
-                if item[0] != "text":
-                    item[3] = said
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
+            self.end_caption()
             self.flush()
             self.figure = None
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "article", "section", "tr"):
@@ -132,23 +151,35 @@ def parse_sequence(page: str) -> list[list]:
     """[kind, text, digest, caption] of each item of an HTML document, in order."""
     parser = _Sequence()
     parser.feed(page)
-    parser.close()
-    parser.flush()
+    parser.end()
     return parser.items
 
 
-def document_page(payload_digest: str, caption: str) -> str:
-    """The HTML document that stands for a text whose payload is stored as an image."""
-    return f'<article><p>document</p><figure><img src="sha256:{payload_digest}"><figcaption>{html.escape(caption)}</figcaption></figure><p>end</p></article>'
-
-
-def interleave(pages: DataFrame) -> DataFrame:
-    """One row per item of each page (doc_id, html): doc_id, pos (from 0), kind, text, digest, caption.
+def document_pages(documents: DataFrame) -> DataFrame:
+    """(doc_id, html) of each row: its text's lines as paragraphs and, after the first half of them, a figure that refers to
+    the text's payload by digest, with the text's first CAPTION characters as its caption."""
+    text = F.coalesce("text", F.lit(""))
+    safe = text
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(plain), F.lit(entity))
+    lines = documents.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest"), F.substr(text, F.lit(1), F.lit(CAPTION)).alias("said"), F.filter(F.split(safe, "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    half = F.ceil(F.size("lines") / 2).cast("int")
+    paragraphs = lambda part: F.array_join(F.transform(part, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    said = F.col("said")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        said = F.replace(said, F.lit(plain), F.lit(entity))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), said, F.lit("</figcaption></figure>"))
+    after = F.slice("lines", half + 1, F.size("lines"))
+    return lines.select("doc_id", F.concat(F.lit("<article>"), paragraphs(F.slice("lines", F.lit(1), half)), figure, paragraphs(after), F.lit("</article>")).alias("html"))
+
+
+def interleave(pages: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """One row per item of each page (doc_id, html), or per item of ``kinds``: doc_id, pos (from 0, among all items), kind, text, digest, caption.
     A null or empty html has no item; repeated rows repeat their items; markup that isn't closed ends with the page."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(d, i, *item) for d, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, item in enumerate(parse_sequence(page or ""))]
+            out = [(d, i, *item) for d, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, item in enumerate(parse_sequence(page or "")) if not kinds or item[0] in kinds]
             for i in range(0, len(out), 4096):
                 cols = list(zip(*out[i : i + 4096]))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.string()] * 4))], names=["doc_id", "pos", "kind", "text", "digest", "caption"])
@@ -168,6 +199,8 @@ def store_media(documents: DataFrame) -> DataFrame:
                 payload = text.as_buffer().to_pybytes() if text.is_valid else b""
                 digest = hashlib.sha256(payload).digest()
                 if digest not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(digest)
                     digests.append(digest.hex())
                     media.append(to_png(padded(payload), len(payload)))
@@ -212,15 +245,9 @@ def resolve(sequences: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def media_documents(documents: DataFrame) -> DataFrame:
-    """Stores every whole text as media and returns its document's media item, resolved: doc_id, pos, caption and
-    the columns of FEATURES. Null texts are empty; repeated rows give repeated rows; an empty table an empty result.
-    Each document's page is written from its digest alone and parsed again, so order and caption are the parser's."""
+    """Stores every whole text as media and returns the media item of its document's sequence (``document_pages``), resolved:
+    doc_id, pos, caption and the columns of FEATURES; pos is the number of paragraphs before it. Equal texts have equal
+    rows but for doc_id. Null texts are empty; repeated rows give repeated rows; an empty table an empty result."""
     small_batches(documents.sparkSession)
     features = written(media_features(store_media(documents)), "media-features")
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    page = F.concat(
-        F.lit('<article><p>document</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>text of document '),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("</figcaption></figure><p>end</p></article>"),
-    )
-    items = interleave(documents.select("doc_id", page.alias("html")))
-    return resolve(items.where("kind = 'image'"), features)
+    return resolve(interleave(document_pages(documents), ("image",)), features)

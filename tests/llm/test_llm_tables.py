@@ -275,7 +275,7 @@ def test_archives_of_repeated_and_null_ids(spark, monkeypatch):
 
 
 def test_media(spark):
-    texts = ["", None, "a", "same text", "same text", "é" * 96, "x" * 192, "y" * 193, "long " * 30000]
+    texts = ["", None, "a", "same text", "same text", "é" * 96, "x" * 192, "y" * 193, "long " * 30000, "one\n\ntwo <b>&amp; & </figure><!-- \n \nthree\n\tfour\nfive", "</figcaption><img src='a'>\n" * 9]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "n"), (3, "same text")]
     got = media.media_documents(docs(spark, rows)).collect()
     assert sorted((str(r.doc_id) for r in got)) == sorted(str(i) for i, _ in rows)
@@ -287,7 +287,8 @@ def test_media(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         stored = media.to_png(padded, len(data))
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.from_png(stored) == (padded, len(data))
-        assert r.caption == f"text of document {i}" and r.pos == 1
+        lines = [x for x in (t or "").split("\n") if x.split()]
+        assert r.caption == " ".join((t or "")[:60].split()) and r.pos == -(-len(lines) // 2)
     assert by[0].feature == by[1].feature and by[3].feature == by[4].feature
     assert media.media_documents(docs(spark, rows).limit(0)).count() == 0
 
@@ -299,6 +300,31 @@ def test_sequences(spark):
     assert [(r.doc_id, r.pos, r.kind) for r in media.interleave(df).orderBy("doc_id", "pos").collect()] == [(1, i, k) for i, k in enumerate(("text", "image", "text", "image", "text"))]
 
 
+def test_the_document_is_in_its_sequence(spark):
+    text = "one\n\ntwo <b>&amp; & </figure><!--\nthree\n\tfour  4\nfive"
+    items = media.interleave(media.document_pages(docs(spark, [(1, text), (2, None), (3, "\n \n")]))).orderBy("doc_id", "pos").collect()
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    assert [(r.pos, r.kind, r.text or r.digest, r.caption) for r in items if r.doc_id == 1] == [
+        (0, "text", "one", None), (1, "text", "two <b>&amp; & </figure><!--", None), (2, "text", "three", None), (3, "image", digest, " ".join(text[:60].split())), (4, "text", "four 4", None), (5, "text", "five", None),
+    ]
+    assert [(r.doc_id, r.kind) for r in items if r.doc_id > 1] == [(2, "image"), (3, "image")]
+
+
+def test_open_captions_lose_no_text():
+    p = media.parse_sequence
+    assert p('<figure><img src="a"><figcaption>cap <i>x</i>') == [["image", None, "a", "cap x"]]
+    assert p('<figure><img src="a"><figcaption>cap</figure>two') == [["image", None, "a", "cap"], ["text", "two", None, None]]
+    assert p('<figcaption>alone</figcaption><figure><figcaption>none</figcaption></figure>') == [["text", "alone", None, None], ["text", "none", None, None]]
+    assert p('<figure><img src="a"><figcaption>one<figure><img src="b"><figcaption>two</figcaption>') == [["image", None, "a", "one"], ["image", None, "b", "two"]]
+
+
+def test_stored_texts_that_are_forgotten_are_stored_again(spark, monkeypatch):
+    monkeypatch.setattr(media, "REMEMBERED", 2)
+    rows = [(i, f"t{i % 4}") for i in range(40)]
+    got = media.media_documents(docs(spark, rows).coalesce(1)).collect()
+    assert len(got) == 40 and len({(r.media_sha256, r.feature) for r in got}) == 4
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
