@@ -2,11 +2,16 @@
 
 A text's words (lower-cased) are hashed, and so are its runs of GRAM words. Of each WINDOW runs of a template
 one fingerprint is kept (winnowing), in an inverted index from fingerprint to template and position: a passage that
-shares GRAM + WINDOW - 1 words in a row with a template shares a fingerprint. All runs of a document are looked
-up, over its whole text. Hits of a template that lie near one diagonal are one candidate, which is aligned with the
-whole template within a band around that diagonal; what share of the template's words match is the coverage.
+shares GRAM + WINDOW - 1 words in a row with a template shares a fingerprint. Of templates under WHOLE words all runs
+are kept, and of those under SHORTEST words runs of two: then a passage in which COVERAGE of the template's words stand,
+the others replaced, always shares one. Of longer templates such a passage may be missed if its changes are spread so
+evenly that no five words in a row are left (one word in five or six). All runs of a document are looked up, over its
+whole text. Hits of a template that lie near one diagonal are one candidate, which is aligned with the whole template
+within a band around that diagonal; what share of the template's words match is the coverage. The band is an eighth of
+the template, 12 words at least and a third of the template at most: words put in or left out beyond it split a match.
 """
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -15,30 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emtally.llm.license_texts import TEMPLATES
 from emtally.llm.neardup import _mix, _powers_to, _tables
 from emtally.llm.tables import small_batches
 
 GRAM, WINDOW = 3, 3
-#: Words by which an alignment may stray to either side of its diagonal at most; a third of a shorter template.
+#: Templates with fewer words have all their runs in the index, and with fewer than SHORTEST words runs of two words, too.
+WHOLE, SHORTEST = 25, 6
+#: Words by which an alignment may stray to either side of its diagonal; more for long templates, less for short ones.
 BAND = 12
 #: Share of a template's words that must match.
 COVERAGE = 0.8
+#: Share of the longer of two matches from which on they are over one passage.
+SAME = 0.8
 #: Fingerprints that an index may have: it is sent to all tasks.
 MAX_FINGERPRINTS = 1_000_000
 
-# Short notices and the notices of common licenses. A parameter of the operator.
-TEMPLATES = {
-    "mit-line": "Released under the MIT License.",
-    "apache-line": "Licensed under the Apache License, Version 2.0.",
-    "gpl-line": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd-2": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-}
-
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -57,11 +54,16 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, at[first], at[first] + lengths
 
 
-def grams(h: np.ndarray) -> np.ndarray:
-    n = max(0, len(h) - GRAM + 1)
+def band_of(size: int) -> int:
+    """Under the distance of two copies of a template that follow each other."""
+    return min(max(BAND, size // 8), size // 3)
+
+
+def grams(h: np.ndarray, words: int = GRAM) -> np.ndarray:
+    n = max(0, len(h) - words + 1)
     out = h[:n]
     with np.errstate(over="ignore"):
-        for i in range(1, GRAM):
+        for i in range(1, words):
             out = _mix(out * np.uint64(0xD6E8FEB86659FD93) + h[i : n + i])
     return out
 
@@ -77,47 +79,76 @@ def winnow(g: np.ndarray) -> np.ndarray:
 class Index:
     def __init__(self, templates: dict[str, str]):
         self.names, self.tokens = sorted(templates), []
-        postings = defaultdict(list)
+        postings, pairs = defaultdict(list), defaultdict(list)
         for i, name in enumerate(self.names):
             h = words(templates[name].encode())[0]
             if len(h) < GRAM:
                 raise ValueError(f"the template {name} has under {GRAM} words")
             self.tokens.append(h.tolist())
             g = grams(h)
-            for p in winnow(g).tolist():
+            for p in range(len(g)) if len(h) < WHOLE else winnow(g).tolist():
                 postings[int(g[p])].append((i, p))
-        if len(postings) > MAX_FINGERPRINTS:
+            if len(h) < SHORTEST:
+                for p, x in enumerate(grams(h, 2).tolist()):
+                    pairs[x].append((i, p))
+        if len(postings) + len(pairs) > MAX_FINGERPRINTS:
             raise ValueError("too many fingerprints for one index: scan by parts of the templates")
-        self.postings = dict(postings)
-        self.known = np.array(sorted(postings), np.uint64)
+        #: words of a run -> its hash -> (template, position)
+        self.postings = {GRAM: dict(postings), 2: dict(pairs)}
+        self.known = {n: np.array(sorted(p), np.uint64) for n, p in self.postings.items()}
 
     def hits(self, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """template -> (position in the document, position in the template), in the document's order."""
-        g, out = grams(h), defaultdict(list)
-        if len(g) and len(self.known):
-            for d in np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)] == g).tolist():
-                for template, p in self.postings[int(g[d])]:
-                    out[template].append((d, p))
-        return out
+        out = defaultdict(list)
+        for n, known in self.known.items():
+            g = grams(h, n)
+            if len(g) and len(known):
+                for d in np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g).tolist():
+                    for template, p in self.postings[n][int(g[d])]:
+                        out[template].append((d, p))
+        return {template: sorted(found) for template, found in out.items()}
 
     def matches(self, text: bytes, coverage: float = COVERAGE) -> list[tuple[int, int, str, float]]:
-        """(start, end, template, coverage) in code points, by start, then end and name."""
+        """(start, end, template, coverage) in code points, by start, then end and name. Of overlapping matches of one
+        template the best stays: the highest coverage, then the shortest, then the first; of matches of several templates
+        over one passage that with the most words, then the highest coverage (``best_of_passages``)."""
         h, starts, ends = words(text)
         found = []
         for template, hits in self.hits(h).items():
-            t, taken = self.tokens[template], -1
-            # under the distance of two copies that follow each other
-            band = min(BAND, len(t) // 3)
+            t, passed, taken = self.tokens[template], set(), []
+            band = band_of(len(t))
             for group in candidates(hits, len(t), band):
                 diagonal = int(np.median([d - p for d, p in group]))
                 lo = max(0, diagonal - band)
                 matched = align(t, h[lo : max(0, diagonal + len(t) + band)].tolist(), diagonal - lo, band)
-                if matched and len(matched) >= coverage * len(t) and lo + matched[0] > taken:
-                    a, b = lo + matched[0], lo + matched[-1]
-                    taken = b
-                    found.append((int(starts[a]), int(ends[b]), self.names[template], len(matched) / len(t)))
-        chars = (lambda b: b) if text.isascii() else (lambda b: len(text[:b].decode("utf-8", "ignore")))
-        return sorted((chars(a), chars(b), name, share) for a, b, name, share in found)
+                if matched and len(matched) >= coverage * len(t):
+                    passed.add((-len(matched), matched[-1] - matched[0], lo + matched[0]))
+            for n, size, a in sorted(passed):
+                i = bisect.bisect_left(taken, (a, 0))
+                if (i == len(taken) or taken[i][0] > a + size) and (not i or taken[i - 1][1] < a):
+                    taken.insert(i, (a, a + size))
+                    found.append((a, a + size, self.names[template], -n / len(t), -n))
+        found = [(int(starts[a]), int(ends[b]), name, share) for a, b, name, share, _ in best_of_passages(found)]
+        if found and not text.isascii():
+            # bytes that go on with a character don't count
+            chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+            found = [(int(chars[a]), int(chars[b]), name, share) for a, b, name, share in found]
+        return sorted(found)
+
+
+def best_of_passages(found: list[tuple]) -> list[tuple]:
+    """Of matches (first word, last word, template, coverage, matched words) those without a better one over the same passage,
+    SAME of the longer of both."""
+    found, worse = sorted(found), set()
+    rank = lambda m: (-m[4], -m[3], m[2])
+    for i, m in enumerate(found):
+        for j in range(i + 1, len(found)):
+            o = found[j]
+            if o[0] > m[1]:
+                break
+            if min(m[1], o[1]) - o[0] + 1 >= SAME * (max(m[1] - m[0], o[1] - o[0]) + 1):
+                worse.add(j if rank(m) <= rank(o) else i)
+    return [m for i, m in enumerate(found) if i not in worse]
 
 
 def candidates(hits: list[tuple[int, int]], size: int, band: int) -> list[list[tuple[int, int]]]:
@@ -183,7 +214,8 @@ RESULT = "doc_id long, matches array<struct<start:long,end:long,template:string,
 
 def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """Per row: doc_id and the matches of its whole text, ordered by start, end and template; code points, end
-    exclusive. Matches of one template don't overlap; those of different templates may. Null and empty texts have
+    exclusive. Matches of one template don't overlap; those of different templates may, unless they are over one passage: then
+    the best is given. Null and empty texts have
     none; repeated rows repeat; other columns are ignored; no templates, no matches."""
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(Index(templates))

@@ -81,3 +81,79 @@ def test_scan(spark):
     assert L.scan(docs(spark, texts).limit(0)).count() == 0
     with pytest.raises(ValueError):
         L.Index({"a": "two words"})
+
+
+def plain_best(template, text):
+    """(matched words, first, last) of the best alignment of the template with any part of the text, by the whole table."""
+    empty = (0, 0, 0, None, None)  # score, matches, -length of the span, first, last
+    above = [empty] * (len(text) + 1)
+    for i, w in enumerate(template):
+        row = [(-(i + 1), 0, 0, None, None)]
+        for j, x in enumerate(text):
+            options = [(above[j + 1][0] - 1, *above[j + 1][1:]), (row[j][0] - 1, *row[j][1:])]
+            if w == x:
+                s, n, _, first, _ = above[j]
+                first = j if first is None else first
+                options.append((s + 2, n + 1, first - j, first, j))
+            row.append(max(options, key=lambda o: o[:3]))
+        above = row
+    return max(above, key=lambda o: o[:3])
+
+
+def test_scan_against_whole_alignments():
+    """Every edited copy that an alignment without index, candidates and band finds, and nothing else."""
+    rng = random.Random(12)
+    templates = {n: t for n, t in L.TEMPLATES.items() if n in ("mit-line", "apache-line", "gpl-line", "cc-by-nc-line", "isc", "mpl", "gpl")}
+    index = L.Index(templates)
+    fill = lambda n: [rng.choice("über die thing und der eins zwei".split()) for _ in range(n)]
+    n_found = 0
+    for k in range(250):
+        name = rng.choice(sorted(templates))
+        words = templates[name].split(" ")
+        for _ in range(rng.randint(0, max(1, len(words) // 7))):
+            i, kind = rng.randrange(1, len(words) - 1), rng.random()
+            if kind < 0.5:
+                words[i] = "Foo"
+            elif kind < 0.75 and len(words) > 4:
+                del words[i]
+            else:
+                words.insert(i, "bar")
+        text = " ".join([*fill(rng.randint(0, 30)), *words, *fill(10)])
+        got = {t: share for _, _, t, share in index.matches(text.encode())}
+        for t in templates:
+            best = plain_best(plain_words(templates[t]), plain_words(text))
+            size = len(plain_words(templates[t]))
+            if best[1] >= L.COVERAGE * size:
+                assert t in got and got[t] >= L.COVERAGE and abs(got[t] * size - best[1]) <= 1, (t, text)
+                n_found += 1
+            else:
+                assert t not in got, (t, text)
+    assert n_found > 150
+
+
+@pytest.mark.parametrize("line,n", [("Released under a MIT License.", 1), ("Released beneath the MIT License", 1), ("Given under the MIT License", 1), ("released under the mit License", 1), ("Released by Mr. MIT License", 0)])
+def test_short_templates_are_found_with_one_word_changed(line, n):
+    assert len([m for m in L.Index(L.TEMPLATES).matches(f"und die {line} der thing".encode()) if m[2] == "mit-line"]) == n
+
+
+def test_one_passage_has_one_license():
+    from emtally.llm.license_texts import FULL, LINES
+
+    index = L.Index(L.TEMPLATES)
+    names = lambda text: [m[2] for m in index.matches(text.encode())]
+    for name in ("gpl", "gpl-2", "lgpl", "agpl"):
+        assert names("x y " + L.TEMPLATES[name]) == [name]
+    assert names(LINES["cc-by-sa-line"]) == ["cc-by-sa-line"] and names(LINES["cc-by-line"]) == ["cc-by-line"]
+    assert names(FULL["mit-text"]) == ["mit", "mit-disclaimer"] and names(FULL["bsd-3-text"]) == ["bsd-2", "bsd-3-clause-3", "bsd-disclaimer"]
+    for name, text in FULL.items():
+        assert [m[2] for m in L.Index({name: text}).matches(("Copyright 2020 A B\n\n" + text).encode())] == [name]
+
+
+def test_the_best_of_overlapping_matches_stays():
+    index = L.Index({"t": "one two three four five six seven eight nine ten"})
+    # an edited beginning, then the whole: what the first candidate takes mustn't hide the better one
+    text = "one two three four five six seven eight one two three four five six seven eight nine ten"
+    assert [(text[a:b], share) for a, b, _, share in index.matches(text.encode())][-1] == ("one two three four five six seven eight nine ten", 1.0)
+    repeated = "é one two three four five six seven eight nine ten " * 50
+    found = index.matches(repeated.encode())
+    assert len(found) == 50 and all(repeated[a:b].startswith("one") and repeated[a:b].endswith("ten") for a, b, _, _ in found)
