@@ -3,11 +3,13 @@
 The forest is fitted on a bounded sample and sent to all tasks; every vector is put into one leaf of each tree.
 A query takes the leaves of all trees in the order of a shared priority queue, by the largest margin on the wrong
 side on the way to them. How many it takes is set from recall measured on the index at hand: some of its queries
-are compared with the whole index. Vectors and queries then meet leaf by leaf, several leaves to a group, and the
-exact distances of all candidates decide.
+are compared with the whole index. Vectors and queries then meet leaf by leaf, several leaves to a group. What is sent
+to the leaves of a vector are its components in 8 bits and the distance to what they stand for: with it, every candidate
+of a query's leaves that may be among the nearest is known, and the exact distances of those, on the original vectors,
+decide.
 
 Equal vectors are one point, of which only the smallest ids can be among the nearest: at most ``top`` + 1 of them
-are indexed, so a vector that many rows share is no hot leaf, and no result is lost.
+are indexed, so a vector that many rows share is no hot leaf, and no result is lost. Equal queries are one search.
 """
 
 from collections.abc import Iterator
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emtally.llm.neardup import only
 from emtally.llm.tables import written
 
 #: Vectors that the forest is fitted on (the smallest hashes of their ids): bounds what the driver holds and sends.
@@ -34,6 +37,8 @@ SEED = 7
 MEASURED = 256
 #: Recall that the leaves taken must reach on those queries, less two standard errors.
 RECALL = 0.92
+#: A distance whose square is a double; what is less may have been lost.
+_LEAST = 1e-150
 
 
 @dataclass
@@ -194,17 +199,68 @@ def leaves_for(forest: Forest, points: DataFrame, queries: DataFrame, top: int,
     return max(len(forest.roots), int(leaves))
 
 
+def may_be_nearest(query: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, top: int) -> np.ndarray:
+    """The places of the pairs whose least distance isn't over the ``top`` smallest of the query's largest distances, a pair
+    of query and id counted once."""
+    if not len(query):
+        return np.empty(0, np.int64)
+    order = np.lexsort((ids, high, query))
+    _, first = np.unique(np.stack([query[order], ids[order]]), axis=1, return_index=True)
+    order = order[np.sort(first)]
+    nth = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    bound = np.full(query.max() + 1, np.inf)
+    at = order[nth == top - 1]
+    bound[query[at]] = high[at]
+    return order[low[order] <= bound[query[order]]]
+
+
+def compact(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, scales, errors): each row's components in 8 bits, times its scale, and the distance of what they stand for
+    from the row, rounded up."""
+    top = np.abs(x).max(axis=1, initial=0.0)
+    scale = np.where(np.isfinite(top / 127) & (top > 0), top / 127, 1.0)
+    codes = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
+    with np.errstate(over="ignore"):
+        error = np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
+    return codes, scale, error * (1 + 1e-9) + _LEAST
+
+
+def _bounds(codes: np.ndarray, scale: np.ndarray, error: np.ndarray, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of the codes, least distance, largest distance) of the pairs that may be among the ``top`` nearest."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = codes * scale[:, None]
+        xx, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
+        square = xx + qq[:, None] - 2 * (q @ x.T)
+        # rounding of the products, and squares too small for a double
+        room = 8 * (x.shape[1] + 8) * np.finfo(float).eps * (xx + qq[:, None]) + _LEAST**2
+        low = np.sqrt(np.maximum(square - room, 0)) - error
+        high = np.sqrt(np.maximum(square + room, 0)) + error
+        low, high = np.where(np.isfinite(low), low, -np.inf), np.where(np.isfinite(high), high, np.inf)
+    bound = np.partition(high, top - 1, axis=1)[:, top - 1] if len(x) > top else np.full(len(q), np.inf)
+    j, i = np.nonzero(low <= bound[:, None])
+    return j, i, low[j, i], high[j, i]
+
+
 def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = SAMPLE, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``top`` nearest found of each query, a row whose vec_id is divisible
     by ``every``; candidates are all other rows. score is the Euclidean distance in double precision; ties go to
     the smaller vec_id. Vectors that are null, empty, zero or hold a null or non-finite component, and rows with
-    a null vec_id, take no part. Vectors must have one length (else an error). Of repeated rows with one vec_id
-    and vector one is used. With fewer candidates than ``top``, or all in the leaves taken, the result is exact."""
+    a null vec_id, take no part; nor do vectors of another length than most (of equally many, the shorter). Of
+    repeated rows with one vec_id and vector one is used. With fewer candidates than ``top``, or all in the leaves
+    taken, the result is exact."""
     spark = vectors.sparkSession
-    good = written(_valid(vectors).select("vec_id", "v", F.xxhash64("v").alias("key")).dropDuplicates(["vec_id", "key"]), "vectors")
-    # of equal vectors, the smallest ids; a partial limit per task precedes the shuffle
-    some = good.withColumn("nth", F.row_number().over(Window.partitionBy("key", "v").orderBy("vec_id"))).where(F.col("nth") <= top + 1).select("vec_id", "v")
-    some = written(some, "points")
+    valid = _valid(vectors)
+    width = valid.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    valid = valid.where(F.size("v") == (width["width"] if width else 0))
+    hashes = (F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), F.reverse("v")).alias("k2"))
+    good = written(valid.select("vec_id", "v", *hashes, F.monotonically_increasing_id().alias("row")), "vectors")
+    # of equal vectors the smallest ids, and each once: found by ids and hashes, so that no vector is shuffled
+    ids = good.groupBy("vec_id", "k1", "k2").agg(F.min("row").alias("row"))
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
+    kept = ids.withColumn("nth", nth).where(F.col("nth") <= top + 1).select("row")
+    gone = written(good.select("row").join(kept, "row", "left_anti"), "equal")
+    some = good if gone.isEmpty() else written(only(good, gone, "row", "left_anti"), "points")
+    some = some.select("vec_id", "v")
     n = some.count()
     fitted = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     points = _matrix(fitted.column("v"))
@@ -212,22 +268,29 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
     per_leaf = max(MIN_LEAF, int(LEAF * min(1.0, len(points) / max(1, n))))
     fitted_forest = fit(points, per_leaf, trees)
     n_leaves = len(fitted_forest.threshold) + trees
-    asked = good.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    leaves = leaves_for(fitted_forest, some, asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED), top, recall)
+    asked = good.where(F.col("vec_id") % every == 0).select("vec_id", "v", "k1", "k2")
+    leaves = leaves_for(fitted_forest, some, asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).select("vec_id", "v"), top, recall)
     forest = spark.sparkContext.broadcast(fitted_forest)
     groups = max(1, -(-n * trees // GROUP))
     # leaves larger than a group are dealt out by vec_id to cells, and queries go to all cells of a leaf
     shards = max(1, -(-n * trees // (n_leaves * GROUP)))
+    # equal queries are searched once, for one more neighbour: each then leaves out itself
+    searches = written(asked.groupBy("k1", "k2").agg(F.first("v").alias("v")).withColumn("query", F.monotonically_increasing_id()), "queries")
+    members = asked.select("k1", "k2", F.col("vec_id").alias("query_id")).distinct().join(searches.select("k1", "k2", "query"), ["k1", "k2"]).select("query", "query_id")
+    wanted = top + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                found = forest.value.leaves(_matrix(part.column("v")))
+                x = _matrix(part.column("v"))
+                found = forest.value.leaves(x)
+                codes, scale, error = compact(x)
                 shard = part.column("vec_id").to_numpy() % shards
                 cells = (found * shards + shard[:, None]).ravel()
-                rows = pa.array(np.repeat(np.arange(part.num_rows), found.shape[1]))
-                yield pa.record_batch([pa.array(cells % groups), pa.array(cells), part.column("vec_id").take(rows), part.column("v").take(rows)], names=["group", "cell", "vec_id", "v"])
+                rows = np.repeat(np.arange(part.num_rows), found.shape[1])
+                code = pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(rows))
+                yield pa.record_batch([pa.array(cells % groups), pa.array(cells), part.column("vec_id").take(pa.array(rows)), code, pa.array(scale[rows]), pa.array(error[rows])], names=["group", "cell", "vec_id", "code", "scale", "error"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per query and group, with the cells there that the query takes."""
@@ -241,40 +304,50 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
                 to, first = np.unique(cells % groups, return_index=True)
                 rows = pa.array(np.full(len(to), i))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(cells)), pa.int32()), pa.array(cells))
-                yield pa.record_batch([pa.array(to), lists, batch.column("vec_id").take(rows), batch.column("v").take(rows)], names=["group", "cells", "vec_id", "v"])
+                yield pa.record_batch([pa.array(to), lists, batch.column("query").take(rows), batch.column("v").take(rows)], names=["group", "cells", "query", "v"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The nearest to each query among the vectors of the group's cells that it takes."""
-        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        """What may be nearest to each query among the vectors of the group's cells that it takes, with bounds of its distance."""
+        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]]
         if left.num_rows and right.num_rows:
             left = left.sort_by("cell")
-            a, x, xi = left.column("cell").to_numpy(), _matrix(left.column("v")), left.column("vec_id").to_numpy()
-            lists, y, yi = right.column("cells").combine_chunks(), _matrix(right.column("v")), right.column("vec_id").to_numpy()
+            cell, ids, scale, error = (left.column(c).to_numpy() for c in ("cell", "vec_id", "scale", "error"))
+            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.int8).reshape(len(cell), -1)
+            lists, y, names = right.column("cells").combine_chunks(), _matrix(right.column("v")), right.column("query").to_numpy()
             taken, query = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
             order = np.argsort(taken, kind="stable")
             taken, query = taken[order], query[order]
-            for cell in np.intersect1d(a, taken):
-                (lo, hi), (qlo, qhi) = np.searchsorted(a, [cell, cell + 1]), np.searchsorted(taken, [cell, cell + 1])
+            for one in np.intersect1d(cell, taken):
+                (lo, hi), (qlo, qhi) = np.searchsorted(cell, [one, one + 1]), np.searchsorted(taken, [one, one + 1])
                 for at in range(qlo, qhi, 256):
                     q = query[at : min(at + 256, qhi)]
-                    j, i = closest(x[lo:hi], y[q], xi[lo:hi] == yi[q][:, None], top)
-                    for to, values in zip(found, (yi[q][j], xi[lo:hi][i], np.sqrt(((x[lo:hi][i] - y[q][j]) ** 2).sum(axis=1)))):
+                    j, i, low, high = _bounds(codes[lo:hi], scale[lo:hi], error[lo:hi], y[q], wanted)
+                    for to, values in zip(found, (q[j], ids[lo:hi][i], low, high)):
                         to.append(values)
-        query, ids, d = map(np.concatenate, found)
-        order = np.lexsort((ids, d, query))
-        query, ids, d = query[order], ids[order], d[order]
-        new = np.ones(len(query), bool)
-        new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
-        query, ids, d = query[new], ids[new], d[new]
-        keep = np.arange(len(query)) - np.searchsorted(query, query) < top
-        return pa.table([query[keep], ids[keep], d[keep]], names=["query_id", "vec_id", "score"])
+        query, ids, low, high = map(np.concatenate, found)
+        keep = may_be_nearest(query, ids, low, high, wanted)
+        return pa.table([(names if left.num_rows and right.num_rows else query)[query[keep]], ids[keep], low[keep], high[keep]], names=["query", "vec_id", "low", "high"])
 
     vector = some.schema["v"].dataType.simpleString()
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = some.repartition(spread).mapInArrow(post, f"group long, cell long, vec_id long, v {vector}")
-    queries = asked.repartition(spread).mapInArrow(route, f"group long, cells array<long>, vec_id long, v {vector}")
-    found = postings.groupBy("group").cogroup(queries.groupBy("group")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    # a candidate has the same distance in every tree
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    postings = some.mapInArrow(post, "group long, cell long, vec_id long, code binary, scale double, error double")
+    routed = searches.select("query", "v").repartition(spread).mapInArrow(route, f"group long, cells array<long>, query long, v {vector}")
+    found = postings.groupBy("group").cogroup(routed.groupBy("group")).applyInArrow(meet, "query long, vec_id long, low double, high double")
+    # a candidate has the same bounds in every tree; beyond the top + 1 least upper bounds nothing can be nearest
+    one = found.groupBy("query", "vec_id").agg(F.min("low").alias("low"), F.min("high").alias("high"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("high", "vec_id"))
+    bound = F.max(F.when(F.col("nth") <= wanted, F.col("high"))).over(Window.partitionBy("query"))
+    pairs = written(one.withColumn("nth", nth).withColumn("bound", bound).where(F.col("low") <= F.col("bound")).select("query", "vec_id"), "candidates")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _matrix(batch.column("v")), _matrix(batch.column("w"))
+            d = np.sqrt(((x - y) ** 2).sum(axis=1)) if len(x) else np.empty(0)
+            yield pa.record_batch([batch.column("query"), batch.column("vec_id"), pa.array(d)], names=["query", "vec_id", "score"])
+
+    # of the vectors, those of candidates
+    near = only(some, pairs.select("vec_id").distinct(), "vec_id").join(pairs, "vec_id").join(searches.select("query", F.col("v").alias("w")), "query")
+    scored = written(near.select("query", "vec_id", "v", "w").mapInArrow(measure, "query long, vec_id long, score double"), "scores")
+    best = scored.join(members, "query").where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -189,6 +189,34 @@ def test_nearest(spark, monkeypatch, group):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_equal_queries_and_ragged_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(400, 6)), 1)
+    x[::2] = x[0]  # half of the rows, and all queries, are one vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, [1.0] * 3) for i in range(5)] + [(100, x[0].tolist()), (201, x[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, every=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    equal = list(range(0, 400, 2))
+    assert got == {q: [i for i in equal if i != q][:10] for q in (0, 100, 200, 300)}
+
+
+@pytest.mark.parametrize("size", [1.0, 1e-200, 1e150, 1e300])
+def test_compact_vectors_bound_their_distances(size):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 12)) * size
+    x[::7] = rng.integers(-1, 2, (43, 12)) * size
+    codes, scale, error = ann.compact(x)
+    j, i, low, high = ann._bounds(codes, scale, error, x[:20], 11)
+    d = np.sqrt((((x[:20, None] - x) / size) ** 2).sum(axis=2))
+    assert np.all(low <= d[j, i] * size * (1 + 1e-12) + 1e-300) and np.all(high * (1 + 1e-12) >= d[j, i] * size)
+    keep = ann.may_be_nearest(j, i, low, high, 11)
+    pairs = set(zip(j[keep].tolist(), i[keep].tolist()))
+    for q in range(20):
+        assert {(q, k) for k in np.flatnonzero(d[q] <= np.sort(d[q])[10])} <= pairs
+
+
 def test_nearest_sets_its_leaves_by_measured_recall(spark):
     x = np.random.default_rng(3).normal(size=(4000, 256)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
