@@ -21,8 +21,9 @@ from emtally.llm.tables import small_batches, written
 CAPACITY = 2048
 #: The id after each document.
 END_ID = 0
-#: Ways in which the pieces of one length are ranked apart and then put one after another.
-SALTS = 64
+#: Shares in which the pieces of one length are ranked apart and then put one after another: SALTS, and more for more than
+#: RANKED pieces a share, up to MOST_SALTS (the driver and all tasks hold a number per length and share).
+SALTS, RANKED, MOST_SALTS = 64, 1_000_000, 2_048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -112,16 +113,21 @@ def minimum_slack(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (a written table of PIECES) with sequence_id and offset. Pieces of one length are ranked within
-    SALTS shares, dealt by a hash of the document, and the shares put one after another by their counts (at most
-    capacity * SALTS rows): a length that a third of all pieces has is never in one task."""
+    """``cut`` (a written table of PIECES) with sequence_id and offset. Full pieces are sequences of their own, with negative
+    numbers. Others of one length are ranked within shares, dealt by a hash of the piece, and the shares put one after
+    another by their counts (at most capacity rows for each share): a length that a third of all pieces has is never in one
+    task. Repeated rows are pieces each; equal ones of a share may take each other's place."""
     spark = cut.sparkSession
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    full = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    cut = cut.where(F.col("length") < capacity)
+    salts = max(SALTS, min(MOST_SALTS, -(-cut.count() // RANKED)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    salted = written(salted, "salted")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").toPandas()
     counts = np.zeros(capacity + 1, np.int64)
     np.add.at(counts, sizes["length"].to_numpy(np.int64), sizes["n"].to_numpy(np.int64))
     before = (sizes.groupby("length")["n"].cumsum() - sizes["n"]).to_numpy(np.int64) if len(sizes) else np.array([], np.int64)
-    ahead = np.zeros((capacity + 1, SALTS), np.int64)
+    ahead = np.zeros((capacity + 1, salts), np.int64)
     ahead[sizes["length"].to_numpy(np.int64), sizes["salt"].to_numpy(np.int64)] = before
     plan = minimum_slack(counts, capacity)
     begin = np.searchsorted(plan.length, np.arange(capacity + 2))
@@ -148,7 +154,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).cast("long") - 1)
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:

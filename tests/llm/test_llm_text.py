@@ -176,6 +176,31 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_packing_of_repeated_rows_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 5)  # many shares
+    texts = ["word " * 7, "word " * 300, None, "x"]
+    rows = [(1, texts[0])] * 40 + [(None, texts[1])] * 3 + [(2, texts[1]), (None, None), (2, texts[1]), (3, texts[3])]
+    got = packing.pack_documents(docs(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3), capacity=64).collect()
+    want, by_seq = {}, {}
+    for i, t in rows:
+        ids = np.array([*library(t), 0], "<u4")
+        edges = [0, *range((len(ids) - 1) % 64 + 1, len(ids) + 1, 64)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            key = (i, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))
+            want[key] = want.get(key, 0) + 1
+    for r in got:
+        key = (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+        want[key] -= 1
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert not any(want.values())
+    for places in by_seq.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 64
+
+
 def exact_fullest(counts, capacity):
     longest = max(i for i, n in enumerate(counts) if n)
     sums = {longest}
