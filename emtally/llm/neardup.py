@@ -123,17 +123,20 @@ def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> Dat
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
-def attach(pairs: DataFrame, table: DataFrame, key: str, counted: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with the columns of ``table``, which is unique on ``key``. Keys that have more than SHARE
-    rows in ``counted`` (a written table of all pairs) are dealt to shares by the pair, and their rows copied to each:
-    at most one copy per SHARE pairs. The table of such keys is broadcast up to a counted size."""
-    shares = written(counted.groupBy(key).agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1"), "shares")
+def attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b), a written table, with ``column`` of ``table``, which is unique on rep, for a and for b (named
+    ``column``a, ``column``b). Ids that have more than SHARE pairs are dealt to shares by the pair, and their rows copied to
+    each: at most one copy per SHARE pairs, in one exchange for both sides. The table of such ids is broadcast up to a counted size."""
+    counts = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    shares = written(counts.where("shares > 1"), "shares")
     if shares.count() <= BROADCAST_IDS:
         shares = F.broadcast(shares)
     n = F.coalesce("shares", F.lit(1))
-    dealt = pairs.join(shares, key, "left").withColumn("share", F.pmod(F.xxhash64("a", "b"), n)).drop("shares")
-    copies = table.join(shares, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("shares")
-    return dealt.join(copies, [key, "share"]).drop("share")
+    copies = table.select(F.col("rep").alias("id"), column).join(shares, "id", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    for x in ("a", "b"):
+        dealt = pairs.join(shares.withColumnRenamed("id", x), x, "left").withColumn("share", F.pmod(F.xxhash64("a", "b"), n)).drop("shares")
+        pairs = dealt.join(copies.select(F.col("id").alias(x), "share", F.col(column).alias(column + x)), [x, "share"]).drop("share")
+    return pairs
 
 
 def least_shared(k: int, percent: int, miss: float = MISS) -> int:
@@ -167,11 +170,10 @@ class _Search:
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Of ``pairs`` (a, b), a written table, those that the sketch of the union lets pass. Where it is smaller than k it is the whole union, and the test exact."""
-        one = lambda x: self.classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
-        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.k)
-        shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
+        union = F.slice(F.array_sort(F.array_union("sketcha", "sketchb")), 1, self.k)
+        shared = F.size(F.array_intersect(union, F.array_intersect("sketcha", "sketchb")))
         passes = F.when(F.size(union) < self.k, 100 * shared >= self.percent * F.size(union)).otherwise(shared >= self.least)
-        return attach(attach(pairs, one("a"), "a", pairs), one("b"), "b", pairs).where(passes).select("a", "b")
+        return attach(pairs, self.classes, "sketch").where(passes).select("a", "b")
 
     def full_sets(self, ids: DataFrame) -> DataFrame:
         """(rep, n, set) for the texts of ``ids`` (rep), from the whole texts."""
@@ -194,7 +196,7 @@ class _Search:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column("xa"), batch.column("xb")):
+                for x, y in zip(batch.column("seta"), batch.column("setb")):
                     x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
                     if len(x) > len(y):
                         x, y = y, x
@@ -202,8 +204,7 @@ class _Search:
                     keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        one = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"x{x}"))
-        return written(attach(attach(pairs, one("a"), "a", pairs), one("b"), "b", pairs).mapInArrow(compare, "a long, b long"), "verified")
+        return written(attach(pairs, sets, "set").mapInArrow(compare, "a long, b long"), "verified")
 
     def links(self) -> DataFrame:
         k = self.k

@@ -126,9 +126,9 @@ def test_pairs_of_one_id_are_dealt_to_shares(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHARE", 10)
     rows = [(1, i) for i in range(2, 500)] + [(i, i + 1) for i in range(2, 30)]
     pairs = neardup.written(spark.createDataFrame(rows, "a long, b long"), "pairs")
-    table = spark.createDataFrame([(i, -i) for i in range(1, 501)], "a long, x long")
-    out = neardup.attach(pairs, table, "a", pairs)
-    assert sorted(map(tuple, out.select("a", "b", "x").collect())) == sorted((a, b, -a) for a, b in rows)
+    table = spark.createDataFrame([(i, -i) for i in range(1, 501)], "rep long, x long")
+    out = neardup.attach(pairs, table, "x")
+    assert sorted(map(tuple, out.select("a", "b", "xa", "xb").collect())) == sorted((a, b, -a, -b) for a, b in rows)
 
 
 def test_rows_of_one_doc_id_are_one_document(spark):
