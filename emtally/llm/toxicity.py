@@ -193,22 +193,25 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     parts = (counted.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         # FAN rows to a group, however many tasks there were
-        counted = counted.withColumn("to", F.expr(f"part div {FAN}")).groupBy("block", "to").applyInArrow(add, kinds)
+        counted = written(counted.withColumn("to", F.expr(f"part div {FAN}")).groupBy("block", "to").applyInArrow(add, kinds), "ngrams")
         parts = -(-parts // FAN)
         if parts == 1:
             break
-        counted = written(counted, "ngrams")
-    neg, pos, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), (0, 0)
-    for r in counted.toArrow().to_pylist():  # BUCKETS numbers of each kind
-        x, y = np.frombuffer(r["neg"], np.int64), np.frombuffer(r["pos"], np.int64)
-        if r["block"] < 0:
-            n = int(x[0]), int(y[0])
-        else:
-            at = r["block"] + np.frombuffer(r["at"], np.int16).astype(np.int64)
-            neg[at], pos[at] = x, y
+    total = counted.where("block < 0").first()
+    n = (0, 0) if total is None else tuple(int(np.frombuffer(total[c], np.int64)[0]) for c in ("neg", "pos"))
     if not n[0] or not n[1]:
         return prior(n[1], n[0])
-    r = ratios(pos, neg, n[1], n[0])
+
+    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, at, neg, pos in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "neg", "pos"))):
+                dense = np.zeros((2, block), np.int64)
+                dense[:, np.frombuffer(at, np.int16)] = np.frombuffer(neg, np.int64), np.frombuffer(pos, np.int64)
+                yield pa.record_batch([pa.array([first]), pa.array([ratios(dense[1], dense[0], n[1], n[0]).tobytes()], pa.binary())], names=["block", "r"])
+
+    r = np.zeros(BUCKETS)
+    for row in counted.where("block >= 0").mapInArrow(ratio, "block long, r binary").toArrow().to_pylist():  # BUCKETS numbers, whatever was counted
+        r[row["block"] : row["block"] + block] = np.frombuffer(row["r"])
     shared = spark.sparkContext.broadcast(np.abs(r).astype(np.float32))
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
