@@ -186,11 +186,11 @@ def _converged(spark, d):
 
 
 def em_converged(spark: SparkSession, d: str) -> DataFrame:
-    return _converged(spark, d)[1].select(F.lit("0").alias("sample_id"), "ref_id", "ecount")
+    return _converged(spark, d)[1].select(F.lit("0").alias("sample_id"), "ref_id", F.round("ecount", 4).alias("ecount"))
 
 
 def quant_converged(spark: SparkSession, d: str) -> DataFrame:
-    """The whole estimation: range classes, EM to convergence, TPM. SQL has no loop that ends by a test, so there is none for it."""
+    """The whole estimation: range classes, EM to convergence, TPM."""
     targets, counts = _converged(spark, d)
     out = tpm_of(targets.join(written(counts, "counts"), "ref_id", "left"))
     return _round(out.select("ref_id", "target_name", "len", "eff_len", "tpm", "ecount"), eff_len=4, tpm=3, ecount=4)
@@ -204,7 +204,7 @@ def em_samples(spark: SparkSession, d: str) -> DataFrame:
     """The fragments of odd and of even number as two samples."""
     nested, a = _prepared(spark, d)
     halves = [eq.packed(eq.basic_classes(a.where(F.col("frag_id") % 2 == i), LIB)).withColumn("sample_id", F.lit(str(i))) for i in range(2)]
-    return em.em_frames(written(halves[0].unionByName(halves[1]), "classes"), written(_targets(spark, d, nested), "targets"), by=("sample_id",))
+    return _round(em.em_frames(written(halves[0].unionByName(halves[1]), "classes"), written(_targets(spark, d, nested), "targets"), by=("sample_id",)), ecount=6)
 
 
 def _inputs(spark, d):
@@ -305,12 +305,50 @@ def _sql(select: str, steps: int = 0) -> str:
     return "WITH " + _BASE.strip() + "".join(_step_sql(k) for k in range(1, steps + 1)) + "\n" + select
 
 
-def _range_sql(steps: int) -> str:
-    pairs = """, numbered_ranges AS (SELECT row_number() OVER () AS eq_id, targets, bins, n FROM ranged),
+_RANGE_PAIRS = """, numbered_ranges AS (SELECT row_number() OVER () AS eq_id, targets, bins, n FROM ranged),
 range_pairs AS (
   SELECT eq_id, n, x.ref_id, x.prob / eff_len AS w FROM (SELECT eq_id, n, unnest(targets) AS ref_id, unnest(bins) / 64.0::DOUBLE + 0.5::DOUBLE / 64 AS prob FROM numbered_ranges) x JOIN e ON e.ref_id = x.ref_id
 )"""
-    return "WITH " + _BASE.strip() + pairs + "".join(_step_sql(k, "range_pairs") for k in range(1, steps + 1)) + f"\nSELECT ref_id, round(a, 4) AS a FROM s{steps}"
+
+# Classes and start of one sample, and of two.
+_ONE_SAMPLE = (
+    _RANGE_PAIRS
+    + """, em_pairs AS MATERIALIZED (SELECT '0' AS sample_id, * FROM range_pairs),
+start AS (SELECT '0' AS sample_id, * FROM s0)"""
+)
+_TWO_SAMPLES = """, halves AS (SELECT CAST(frag_id % 2 AS VARCHAR) AS sample_id, targets, oris, count(*) AS n FROM labels GROUP BY ALL),
+numbered_halves AS (SELECT row_number() OVER () AS eq_id, sample_id, targets, n FROM halves),
+em_pairs AS MATERIALIZED (
+  SELECT sample_id, eq_id, n, x.ref_id, 1.0::DOUBLE / eff_len AS w FROM (SELECT sample_id, eq_id, n, unnest(targets) AS ref_id FROM numbered_halves) x JOIN e ON e.ref_id = x.ref_id
+),
+start AS (SELECT sample_id, ref_id, weight / (SELECT count(*) FROM t)::DOUBLE AS a FROM (SELECT sample_id, sum(n)::DOUBLE AS weight FROM halves GROUP BY sample_id), t)"""
+
+
+def _range_sql(steps: int) -> str:
+    return "WITH " + _BASE.strip() + _RANGE_PAIRS + "".join(_step_sql(k, "range_pairs") for k in range(1, steps + 1)) + f"\nSELECT ref_id, round(a, 4) AS a FROM s{steps}"
+
+
+def _next_sql(state: str, still: str = "true") -> str:
+    """A step from the rows of ``state`` for which ``still`` holds, beside what was before."""
+    return f"""SELECT r.*, coalesce(g.a, 0.0::DOUBLE) AS stepped FROM {state} r LEFT JOIN (
+    SELECT sample_id, ref_id, sum(n * w / d) AS a FROM (
+      SELECT p.sample_id, p.ref_id, n, p.w * r.a AS w, sum(p.w * r.a) OVER (PARTITION BY eq_id) AS d FROM em_pairs p JOIN {state} r ON r.sample_id = p.sample_id AND r.ref_id = p.ref_id WHERE {still}
+    ) WHERE d > 1e-8 GROUP BY sample_id, ref_id
+  ) g ON g.sample_id = r.sample_id AND g.ref_id = r.ref_id WHERE {still}"""
+
+
+def _converged_sql(classes: str, select: str) -> str:
+    """Steps until a sample's largest relative increase is under 0.001, 1500 at most; what is under 1e-8 then goes, and one more step gives the counts."""
+    return f"""WITH RECURSIVE {_BASE.strip()}{classes}, run AS (
+  SELECT sample_id, ref_id, a, 0 AS i, true AS going FROM start
+  UNION ALL
+  SELECT sample_id, ref_id, stepped, i + 1, coalesce(max(CASE WHEN a > 1e-8 THEN (stepped - a) / a END) OVER (PARTITION BY sample_id), 0) >= 1e-3 AND i < 1499
+  FROM ({_next_sql("run", "r.going")})
+),
+settled AS (SELECT sample_id, ref_id, CASE WHEN a < 1e-8 THEN 0 ELSE a END AS a FROM run WHERE NOT going),
+counts AS (SELECT sample_id, ref_id, stepped AS ecount FROM ({_next_sql("settled")})),
+rates AS (SELECT e.*, ecount, CASE WHEN eff_len > 0 THEN ecount / eff_len ELSE 0.0::DOUBLE END AS rate FROM e JOIN counts ON counts.ref_id = e.ref_id)
+{select}"""
 
 
 def _quant_sql() -> str:
@@ -375,6 +413,12 @@ SELECT frag_len, round(CASE WHEN frag_len = 0 THEN 0.0::DOUBLE ELSE sum(frag_len
         "em_step1": _sql("SELECT ref_id, round(a, 4) AS a FROM s1", 1),
         "em_k3": _sql("SELECT ref_id, round(a, 4) AS a FROM s3", 3),
         "em_k10_range": _range_sql(10),
+        "em_converged": _converged_sql(_ONE_SAMPLE, "SELECT sample_id, ref_id, round(ecount, 4) AS ecount FROM counts"),
+        "em_samples": _converged_sql(_TWO_SAMPLES, "SELECT sample_id, ref_id, round(ecount, 6) AS ecount FROM counts"),
+        "quant_converged": _converged_sql(
+            _ONE_SAMPLE, "SELECT ref_id, target_name, len, round(eff_len, 4) AS eff_len, round(1e6::DOUBLE * rate / (SELECT sum(rate) FROM rates), 3) AS tpm, round(ecount, 4) AS ecount FROM rates"
+        ),
+        "tpm_converged": _converged_sql(_ONE_SAMPLE, "SELECT ref_id, round(1e6::DOUBLE * rate / (SELECT sum(rate) FROM rates), 3) AS tpm FROM rates"),
         "tpm": _sql(_quant_sql() + " SELECT ref_id, tpm FROM z", 3),
         "quant_flagship": _sql(_quant_sql() + " SELECT * FROM z", 3),
     }

@@ -1,5 +1,6 @@
 import json
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -119,8 +120,31 @@ def test_quant_converged(spark):
     want = step([0.0 if x < 1e-8 else x for x in now])
     rate = [x / e for x, e in zip(want, eff)]
     assert "quant_converged" in queries.queries() and "tpm_converged" in queries.queries()
-    for r in queries.quant_converged(spark, d).collect():
+    got = queries.quant_converged(spark, d).collect()
+    for r in got:
         assert r.ecount == pytest.approx(want[r.ref_id], abs=2e-4) and r.tpm == pytest.approx(1e6 * rate[r.ref_id] / sum(rate), abs=2e-3)
+    by_sql = in_duckdb(d, "quant_converged").set_index("ref_id")
+    assert len(by_sql) == len(got) and all(by_sql.loc[r.ref_id, c] == r[c] for r in got for c in by_sql.columns)
+
+
+def in_duckdb(d, name):
+    con = duckdb.connect()
+    for table in ("lineitem", "supplier", "nation"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{d}/{table}.parquet'")
+    return con.execute(queries.oracle_sql()[name]).fetchdf()
+
+
+@pytest.mark.parametrize("going", ["i < 1499", "i < 0"])
+def test_sql_that_converges_against_the_array_form(going):
+    """Also where the steps run out: ``going`` takes the place of the limit."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest([0, 1, 2]) AS ref_id")
+    con.execute("CREATE TABLE e AS SELECT unnest([0, 1, 2]) AS ref_id, unnest([100.0, 200.0, 50.0]::DOUBLE[]) AS eff_len")
+    con.execute("CREATE TABLE start AS SELECT '0' AS sample_id, ref_id, 40 / 3::DOUBLE AS a FROM t")
+    con.execute("CREATE TABLE em_pairs AS SELECT '0' AS sample_id, eq_id, n, x.ref_id, 1 / eff_len AS w FROM (VALUES (0, 10, 0), (1, 20, 0), (1, 20, 1), (2, 6, 1), (2, 6, 2)) x(eq_id, n, ref_id) JOIN e USING (ref_id)")
+    sql = queries._converged_sql("", "SELECT ref_id, ecount FROM counts ORDER BY ref_id")
+    own = "WITH RECURSIVE " + sql[sql.index(", run AS (") + 2 :].replace("i < 1499", going)
+    assert [x for _, x in con.execute(own).fetchall()] == pytest.approx(WANT[1500 if "1499" in going else 1])
 
 
 def test_all_line_items_are_alignments(spark):
