@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emtally.llm import ann, bpe, chat, licenses, media, neardup, packing, secrets, toxicity, warc
+from emtally.llm import ann, bpe, chat, licenses, lines, media, neardup, packing, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +73,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_format, op3_toxicity, op4_bpe, op5_media, op6_licenses, op7_best_fit_packing, op8_ann, op9_secrets, op10_warc)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_format, op3_toxicity, op4_bpe, op5_media, op6_licenses, op7_best_fit_packing, op8_ann, op9_secrets, op10_warc, op11_line_dedup)}
 
 
 # The escapes and controls here are those of chat.ChatTemplate.
@@ -129,5 +134,17 @@ FROM n JOIN c ON c.id = n.doc_id GROUP BY n.doc_id, n.n
 """
 
 
+_OP11 = r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM s),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, coalesce(k.doc_id <> f.holder, false) AS dropped FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_neardup": _OP1, "op2_chat_format": _OP2, "op10_warc": _OP10}
+    return {"op1_minhash_neardup": _OP1, "op2_chat_format": _OP2, "op10_warc": _OP10, "op11_line_dedup": _OP11}

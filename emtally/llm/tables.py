@@ -2,9 +2,9 @@
 
 from pyspark.sql import SparkSession
 
-from emtally.sources.shared import new_path, shared_dir, written
+from emtally.sources.shared import bucketed, new_path, shared_dir, written
 
-__all__ = ["new_path", "shared_dir", "small_batches", "written"]
+__all__ = ["bucketed", "new_path", "shared_dir", "small_batches", "written"]
 
 #: Bytes of rows sent to a Python worker at once. Texts are long: by rows alone a batch would have no bound.
 BATCH = "2m"
