@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emtally.llm import ann, bpe, chat, licenses, lines, media, neardup, packing, secrets, toxicity, warc
+from emtally.llm import ann, bpe, chat, licenses, lines, media, neardup, packing, phrases, secrets, toxicity, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +78,21 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"), deleted=199)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (
+    op1_minhash_neardup, op2_chat_format, op3_toxicity, op4_bpe, op5_media, op6_licenses, op7_best_fit_packing, op8_ann, op9_secrets, op10_warc, op11_line_dedup, op12_spelling_variants, op13_collocations,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_format, op3_toxicity, op4_bpe, op5_media, op6_licenses, op7_best_fit_packing, op8_ann, op9_secrets, op10_warc, op11_line_dedup)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 # The escapes and controls here are those of chat.ChatTemplate.
@@ -146,5 +159,30 @@ FROM m GROUP BY doc_id
 """
 
 
+_OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+s AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM s),
+g AS (SELECT lang, m AS size, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM o, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE size > 1 AND f >= 10),
+k AS (SELECT lang, phrase, size, f AS a, w, unnest(range(1, size)) AS k FROM c),
+x AS (
+  SELECT k.lang, k.phrase, k.size, a, k, l.f AS l, r.f AS r, CAST((a::HUGEINT * a::HUGEINT * 1000000) // (l.f::HUGEINT * r.f::HUGEINT) AS BIGINT) AS score
+  FROM k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(f) AS most FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, f FROM c WHERE size = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM c WHERE size = 3
+  ) GROUP BY lang, phrase
+),
+z AS (SELECT y.* FROM y LEFT JOIN inside i ON i.lang = y.lang AND i.phrase = y.phrase WHERE size = 3 OR 100 * coalesce(most, 0) < 50 * a)
+SELECT z.lang, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM z JOIN t ON t.lang = z.lang QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_neardup": _OP1, "op2_chat_format": _OP2, "op10_warc": _OP10, "op11_line_dedup": _OP11}
+    return {"op1_minhash_neardup": _OP1, "op2_chat_format": _OP2, "op10_warc": _OP10, "op11_line_dedup": _OP11, "op13_collocations": _OP13}
