@@ -4,12 +4,13 @@ The trie is partitioned by prefix. In a partition's task the trie is walked leve
 nodes, those whose strings differ from its own by one edit, which come from its parent's active nodes by the same letter,
 and its parent, siblings and children. A node and an active node that both end a word are a pair.
 
-A partition of more than ``WORDS`` words is partitioned by one letter more, again and again, so no task's trie has more. Where
+A partition of more than ``WORDS`` words is partitioned again by the first letter in which its words differ, so no task's trie has more. Where
 two words' paths part before their partitions do, one node is active in the other's partition at distance one, and the rest
 of both paths must be equal: such nodes meet by an equality join on the place of the edit and the word without its letter there.
 A list of that join has no more words than the alphabet has letters, and two of them always are a pair.
 """
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -147,23 +148,33 @@ def _self_join(table: pa.Table) -> pa.Table:
     return pa.table([names.take(pa.array(a)), names.take(pa.array(b))], names=["a", "b"])
 
 
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (prefix, least, last), the first and the last word of a partition, how many letters all its words share."""
+    for batch in batches:
+        n = [len(os.path.commonprefix(x)) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.record_batch([batch.column(0), pa.array(n, pa.int32())], names=["prefix", "shared"])
+
+
 def near_pairs(vocabulary: DataFrame, prefix: int = PREFIX, most: int = WORDS) -> DataFrame:
     """Pairs (a, b), a before b, of distinct words of ``vocabulary`` (word) at distance one: one code point put in, left out or replaced."""
-    part = lambda depth: F.substring(F.concat("word", F.lit(END)), F.lit(1), depth)
-    todo, parts, depth = vocabulary.select("word"), None, prefix
+    # places: where paths may have parted above the partition
+    todo, parts = vocabulary.select("word", F.lit(prefix).alias("depth"), F.sequence(F.lit(0), F.lit(prefix - 1)).alias("places")), None
     while True:
-        todo = todo.withColumn("prefix", part(F.lit(depth))).withColumn("depth", F.lit(depth))
-        heavy = written(todo.groupBy("prefix").count().where(F.col("count") > most).select("prefix"), "heavy-prefixes")
+        todo = todo.withColumn("prefix", F.substring(F.concat("word", F.lit(END)), F.lit(1), F.col("depth")))
+        groups = todo.groupBy("prefix").agg(F.count("*").alias("size"), F.min("word").alias("least"), F.max("word").alias("last")).where(F.col("size") > most)
+        heavy = written(groups.select("prefix", "least", "last").mapInArrow(_common, "prefix string, shared int"), "heavy-prefixes")
         last = heavy.isEmpty()
-        light = todo if last else todo.join(heavy, "prefix", "left_anti")
+        light = (todo if last else todo.join(heavy, "prefix", "left_anti")).select("word", "prefix", "places")
         parts = light if parts is None else parts.unionByName(light)
         if last:
             break
-        todo, depth = written(todo.join(heavy, "prefix", "left_semi").select("word"), "heavy-words"), depth + 1
+        # on to the letter in which the partition's words differ first
+        deeper = todo.join(heavy, "prefix").select("word", (F.col("shared") + 1).alias("depth"), F.array_union("places", F.array("shared")).alias("places"))
+        todo = written(deeper, "heavy-words")
     parts = written(parts, "trie-partitions")
     inside = parts.groupBy("prefix").applyInArrow(_self_join, "a string, b string")
     # paths that part above the partitions: the place of the edit, and what is left of a word without its letter there
-    places = parts.select("word", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("at"))
+    places = parts.select("word", F.explode("places").alias("at"))
     without = places.where(F.col("at") < F.char_length("word")).select("word", "at", F.concat(F.substring("word", F.lit(1), F.col("at")), F.substring("word", F.col("at") + 2, F.char_length("word"))).alias("rest"))
     one, other = without.select("at", "rest", F.col("word").alias("x")), without.select("at", "rest", F.col("word").alias("y"))
     replaced = one.join(other, ["at", "rest"]).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
