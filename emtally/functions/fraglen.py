@@ -9,6 +9,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emtally.functions import normal
+
 SLOTS = 65_536
 #: Smallest positive normal double.
 TINY = 2.2250738585072014e-308
@@ -44,6 +46,27 @@ def _density(mean: float, sd: float):
     return normal / F.lit(float(sd)) / F.lit(between)
 
 
+def moments(histogram: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, mean, sd) of the lengths of ``histogram`` (*by, frag_len, n): sums of integers, so the same in any order."""
+    n, x = F.col("n").cast("long"), F.col("frag_len").cast("long")
+    sums = histogram.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * x * x).alias("xx"))
+    mean = F.col("x").cast("double") / F.col("n")
+    # n * sum of squares less the square of the sum, over n squared: of decimals, so nothing cancels
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    spread = (wide("n") * wide("xx") - wide("x") * wide("x")).cast("double") / F.col("n") / F.col("n")
+    return sums.where("n > 0").select(*by, mean.alias("mean"), F.sqrt(spread).alias("sd"))
+
+
+def parametric_lengths(histogram: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``histogram`` (*by, frag_len, n) with pdf and cdf of the normal distribution, cut to [0, SLOTS], that has the mean
+    and deviation of its sample. Samples without spread have no such distribution and are left out."""
+    fitted = moments(histogram, by).where("sd > 0")
+    joined = histogram.join(fitted, list(by)) if by else histogram.crossJoin(F.broadcast(fitted))  # one row
+    x, mean, sd, low, high = F.col("frag_len").cast("double"), F.col("mean"), F.col("sd"), F.lit(0.0), F.lit(float(SLOTS))
+    inside = normal.between(low, high, mean, sd)
+    return joined.select(*by, "frag_len", "n", "mean", "sd", (normal.density(x, mean, sd) / inside).alias("pdf"), (normal.between(low, x, mean, sd) / inside).alias("cdf"))
+
+
 def parametric(spark: SparkSession, mean: float, sd: float) -> DataFrame:
     """(frag_len, pdf, cdf) of a normal distribution cut to [0, SLOTS]."""
     slots = spark.range(0, SLOTS, 1, 1).select(F.col("id").cast("int").alias("frag_len"))

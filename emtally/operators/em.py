@@ -8,8 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from emtally.sources.shared import bucketed, written
 
@@ -44,9 +47,7 @@ def em_step(pairs: DataFrame, abundance: DataFrame, targets: DataFrame, by: tupl
     apart. ``small`` says that the abundance's rows were counted and may be broadcast: then ``pairs`` in buckets of eq_id
     aren't shuffled, and what is shuffled are sums by target. Otherwise the pairs are exchanged by target, and again by class."""
     keys = [*by, "ref_id"]
-    weighted = pairs.join(F.broadcast(abundance) if small else abundance, keys).withColumn("w", F.col("w") * F.col("a"))
-    shared = weighted.withColumn("denominator", F.sum("w").over(Window.partitionBy("eq_id"))).where(F.col("denominator") > LEAST_DENOMINATOR)
-    given = shared.groupBy(*keys).agg(F.sum(F.col("n") * F.col("w") / F.col("denominator")).alias("a"))
+    given = _sums(pairs, abundance, keys, small)
     rows = abundance if by else targets
     return rows.select(*keys).join(F.broadcast(given) if small else given, keys, "left").select(*keys, F.coalesce("a", F.lit(0.0)).alias("a"))
 
@@ -59,24 +60,52 @@ def em_steps(pairs: DataFrame, abundance: DataFrame, targets: DataFrame, steps:
     return abundance
 
 
-def _local(df: DataFrame, name: str) -> DataFrame:
-    """A table of a counted size, as rows of the plan."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+def _sums(pairs: DataFrame, abundance: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """The sums by target of a step from ``abundance``; ``small`` is as for ``em_step``."""
+    weighted = pairs.join(F.broadcast(abundance) if small else abundance, keys).withColumn("w", F.col("w") * F.col("a"))
+    shared = weighted.withColumn("denominator", F.sum("w").over(Window.partitionBy("eq_id"))).where(F.col("denominator") > LEAST_DENOMINATOR)
+    return shared.groupBy(*keys).agg(F.sum(F.col("n") * F.col("w") / F.col("denominator")).alias("a"))
 
 
-def em_frames(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, convergence: float = 1e-3, presence: float = 1e-8, by: tuple[str, ...] = (), changes: list | None = None) -> DataFrame:
-    """(*by, ref_id, ecount) by steps over DataFrames until the largest relative increase is small. With ``by``, columns of
-    ``classes``, each sample is solved until it has converged itself. The state has a row per sample and target: up to
-    BROADCAST_ROWS it goes to all tasks, and one job is a step; beyond, it is written each step and joined by a shuffle.
-    ``changes`` takes each iteration's increase."""
+def _converged_small(pairs: DataFrame, start: DataFrame, by: tuple[str, ...], max_iter: int, convergence: float, presence: float, changes: list | None) -> DataFrame:
+    """The abundance (*by, ref_id, a) after the last iteration. The state, BROADCAST_ROWS rows at most, is an array on the driver, and a
+    step is one query: it sends the state to the tasks and brings back the sums by target."""
+    spark, keys, schema = start.sparkSession, [*by, "ref_id"], start.schema
+    state = start.toArrow().to_pandas().set_index(keys)["a"].sort_index()
+    group = lambda s: s.groupby(level=list(by)) if by else s.groupby(np.zeros(len(s), int))
+    settled, moving, all_moving = [], pairs, None
+    for _ in range(max_iter):
+        if not len(state):
+            break
+        table = pa.Table.from_pandas(state.reset_index(), schema=to_arrow_schema(schema), preserve_index=False)
+        sums = _sums(moving, spark.createDataFrame(table, schema), keys, True).toArrow().to_pandas().set_index(keys)["a"]
+        new = sums.reindex(state.index, fill_value=0.0)
+        there = state > presence
+        change = group(((new - state) / state.where(there, 1.0)).where(there)).max().fillna(0.0)
+        if changes is not None and not by:
+            changes.append(float(change.iloc[0]))
+        state, going, all_moving = new, int((change >= convergence).sum()), all_moving or len(change)
+        if not going:
+            break
+        if going < len(change):
+            # converged samples stay as they are, and only the others go on
+            goes = pd.Series(group(state).ngroup().to_numpy(), state.index).isin(np.flatnonzero(change >= convergence))
+            settled.append(state[~goes])
+            state = state[goes]
+            if 2 * going <= all_moving:
+                left = spark.createDataFrame(state.reset_index()[list(by)].drop_duplicates(), StructType([schema[c] for c in by]))
+                moving, all_moving = bucketed(moving.join(F.broadcast(left), list(by)), "incidence", "eq_id"), going
+    whole = pd.concat([*settled, state]).reset_index()
+    return spark.createDataFrame(pa.Table.from_pandas(whole, schema=to_arrow_schema(schema), preserve_index=False), schema)
+
+
+def _converged_large(pairs: DataFrame, start: DataFrame, targets: DataFrame, by: tuple[str, ...], max_iter: int, convergence: float, presence: float, changes: list | None) -> DataFrame:
+    """The same with the state as a table, written each step and joined by shuffles."""
     keys = [*by, "ref_id"]
-    pairs, now = bucketed(incidence(classes, targets, by), "incidence", "eq_id"), uniform(targets, classes, by)
-    small = is_small(now)
-    keep = _local if small else written
-    moving, moved, settled, n_moving = pairs, keep(now, "abundance"), [], None
+    moving, moved, settled, n_moving = pairs, written(start, "abundance"), [], None
     increase = F.when(F.col("before") > presence, (F.col("a") - F.col("before")) / F.col("before"))
     for _ in range(max_iter):
-        new = keep(em_step(moving, moved, targets, by, small).join(moved.withColumnRenamed("a", "before"), keys), "abundance")
+        new = written(em_step(moving, moved, targets, by).join(moved.withColumnRenamed("a", "before"), keys), "abundance")
         moved = new.select(*keys, "a")
         change = new.groupBy(*by).agg(F.coalesce(F.max(increase), F.lit(0.0)).alias("change"))
         if not by:
@@ -93,14 +122,27 @@ def em_frames(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, conv
         if n == 0:
             break
         if n < left:
-            # converged samples stay as they are, and only the others go on
-            settled.append(keep(moved.join(change.where(F.col("change") < convergence).select(*by), list(by)), "settled"))
-            moved = keep(moved.join(going, list(by)), "abundance")
+            settled.append(written(moved.join(change.where(F.col("change") < convergence).select(*by), list(by)), "settled"))
+            moved = written(moved.join(going, list(by)), "abundance")
             if 2 * n <= n_moving:
                 moving, n_moving = bucketed(moving.join(going, list(by)), "incidence", "eq_id"), n
     for part in settled:
         moved = moved.unionByName(part)
-    kept = moved.select(*keys, F.when(F.col("a") < presence, 0.0).otherwise(F.col("a")).alias("a"))
+    return moved
+
+
+def em_frames(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, convergence: float = 1e-3, presence: float = 1e-8, by: tuple[str, ...] = (), changes: list | None = None) -> DataFrame:
+    """(*by, ref_id, ecount) by steps over DataFrames until the largest relative increase is small. With ``by``, columns of
+    ``classes``, each sample is solved until it has converged itself. The state has a row per sample and target: up to
+    BROADCAST_ROWS it goes to all tasks, and a step is one query; beyond, it is written each step and joined by a shuffle.
+    ``changes`` takes each iteration's increase."""
+    pairs, start = bucketed(incidence(classes, targets, by), "incidence", "eq_id"), uniform(targets, classes, by)
+    small = is_small(start)
+    if small:
+        moved = _converged_small(pairs, start, by, max_iter, convergence, presence, changes)
+    else:
+        moved = _converged_large(pairs, start, targets, by, max_iter, convergence, presence, changes)
+    kept = moved.select(*by, "ref_id", F.when(F.col("a") < presence, 0.0).otherwise(F.col("a")).alias("a"))
     return em_step(pairs, kept, targets, by, small).withColumnRenamed("a", "ecount")
 
 

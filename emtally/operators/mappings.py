@@ -1,13 +1,18 @@
 """Filters and statistics over mappings, and the lengths they contribute."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emtally.functions.fraglen import SLOTS
 from emtally.functions.libtype import ORIENTATIONS, compatible
+from emtally.sources.alignments import flatten
 
 #: Uniquely mapped fragments under which a length distribution isn't trusted.
 FEW_FRAGMENTS = 5_000
+#: Times by which a sample's cutoff is raised where too few fragments lie below it.
+WIDER = 4
 
 
 def compatible_alignments(alignments: DataFrame, lib_type: str) -> DataFrame:
@@ -35,19 +40,45 @@ def read_totals(alignments: DataFrame) -> DataFrame:
     return alignments.groupBy("frag_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("num_mapped_reads"), F.coalesce(F.sum("n"), F.lit(0)).alias("tot_mappings"))
 
 
+def _flat(rows: DataFrame) -> DataFrame:
+    """Alignments, of either form."""
+    return flatten(rows) if "mappings" in rows.columns else rows
+
+
+def _until(alignments: DataFrame, n: int, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of ``found(alignments)``, a row per fragment with its frag_id, those of the first ``n``, in file order, that of frag_id.
+
+    Only the alignments up to a cutoff are read, a filter on frag_id that reaches the scan. The first cutoff supposes that
+    ids are spread evenly; it is raised until ``n`` rows lie below it, or nothing is left beyond."""
+    lies = alignments.agg(F.min("frag_id").alias("first"), F.max("frag_id").alias("last"), F.count("*").alias("rows")).first()
+    if not lies.rows or n < 1:
+        return found(alignments.where(F.lit(False)))
+    span = lies.last - lies.first + 1
+    width = max(1, min(span, span * n // lies.rows))
+    while True:
+        part = found(alignments.where(F.col("frag_id") <= lies.first + width - 1))
+        if width >= span or part.limit(n).count() >= n:
+            return part.orderBy("frag_id").limit(n)
+        width = min(span, WIDER * width)
+
+
 def first_fragments(fragments: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` fragments in file order, that of frag_id."""
-    return fragments.orderBy("frag_id").limit(n)
+    """The alignments of the first ``n`` fragments in file order."""
+    flat = _flat(fragments)
+    last = _until(flat, n, lambda part: part.select("frag_id").distinct()).agg(F.max("frag_id").alias("last")).first()["last"]
+    return flat.where(F.col("frag_id") <= last) if last is not None else flat.where(F.lit(False))
 
 
 def sample_orientations(fragments: DataFrame, n: int) -> DataFrame:
     """(ori, n): every mapping of the first fragments, by orientation."""
-    return first_fragments(fragments, n).select(F.explode("mappings").alias("m")).groupBy(F.col("m.ori").alias("ori")).agg(F.count("*").alias("n"))
+    return first_fragments(fragments, n).groupBy("ori").agg(F.count("*").alias("n"))
 
 
 def unique_fragments(fragments: DataFrame) -> DataFrame:
-    """(frag_id, ori, frag_len) of fragments that have one mapping, before any filter, and are no orphans."""
-    return fragments.where((F.size("mappings") == 1) & ~F.col("is_orphan")).select("frag_id", F.col("mappings")[0]["ori"].alias("ori"), F.col("mappings")[0]["frag_len"].alias("frag_len"))
+    """(frag_id, ori, frag_len) of fragments that have one mapping, before any filter, and are no orphans: by sums of which a part
+    is done before the shuffle."""
+    sums = _flat(fragments).groupBy("frag_id").agg(F.count("*").alias("mappings"), F.max("is_orphan").alias("is_orphan"), F.min("ori").alias("ori"), F.min("frag_len").alias("frag_len"))
+    return sums.where((F.col("mappings") == 1) & ~F.col("is_orphan")).select("frag_id", "ori", "frag_len")
 
 
 def _lengths(unique: DataFrame) -> DataFrame:
@@ -61,4 +92,4 @@ def length_histogram(fragments: DataFrame) -> DataFrame:
 
 def sampled_length_histogram(fragments: DataFrame, lib_type: str, n: int) -> DataFrame:
     """(frag_len, n) of the first ``n`` unique fragments that the library type accepts: gives the mappings' probabilities."""
-    return _lengths(first_fragments(unique_fragments(fragments).where(compatible(lib_type, F.col("ori"))), n))
+    return _lengths(_until(_flat(fragments), n, lambda part: unique_fragments(part).where(compatible(lib_type, F.col("ori")))))

@@ -37,8 +37,10 @@ def _list(c: str):
 
 
 def lib_compat_table(spark: SparkSession, d: str) -> DataFrame:
+    """Which orientations each library type accepts, and how many alignments have them."""
     rows = [(t, i, i in libtype.codes(t)) for t in libtype.ACCEPTED for i in range(len(libtype.ORIENTATIONS))]
-    return spark.createDataFrame(rows, "lib_type string, ori int, accepted boolean")
+    table = spark.createDataFrame(rows, "lib_type string, ori int, accepted boolean")
+    return table.join(_a(spark, d).groupBy("ori").agg(F.count("*").alias("n")), "ori", "left").select("lib_type", "ori", "accepted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def lib_compat_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +60,7 @@ def read_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orientation_sample(spark: SparkSession, d: str) -> DataFrame:
-    return mappings.sample_orientations(fragments(_a(spark, d)), SAMPLE_READS)
+    return mappings.sample_orientations(_a(spark, d), SAMPLE_READS)
 
 
 def orientation_sample_detect(spark: SparkSession, d: str) -> DataFrame:
@@ -74,11 +76,11 @@ def strand_bias(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fld_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return mappings.length_histogram(fragments(_a(spark, d)))
+    return mappings.length_histogram(_a(spark, d))
 
 
 def fld_pass1_limit(spark: SparkSession, d: str) -> DataFrame:
-    return mappings.sampled_length_histogram(fragments(_a(spark, d)), LIB, PASS_1)
+    return mappings.sampled_length_histogram(_a(spark, d), LIB, PASS_1)
 
 
 def _pass_1(nested):
@@ -86,19 +88,25 @@ def _pass_1(nested):
 
 
 def fld_pdf_cdf(spark: SparkSession, d: str) -> DataFrame:
-    return _round(fraglen.empirical(_pass_1(fragments(_a(spark, d))), integer_cdf=True), pdf=10, cdf=10)
+    return _round(fraglen.empirical(_pass_1(_a(spark, d)), integer_cdf=True), pdf=10, cdf=10)
 
 
 def conditional_means(spark: SparkSession, d: str) -> DataFrame:
     return _round(fraglen.conditional_means(fld_histogram(spark, d)), mean=6)
 
 
+def _moments(spark, d):
+    """Mean and deviation of the table's own lengths: what a user would give for unpaired fragments."""
+    found = fraglen.moments(fld_histogram(spark, d)).first()
+    return (found["mean"], found["sd"]) if found and found["sd"] > 0 else (MEAN, SD)
+
+
 def parametric_conditional_means(spark: SparkSession, d: str) -> DataFrame:
-    return _round(fraglen.parametric_means(spark, MEAN, SD), mean=4)
+    return _round(fraglen.parametric_means(spark, *_moments(spark, d)), mean=4)
 
 
 def _targets(spark, d, nested=None):
-    nested = fragments(_a(spark, d)) if nested is None else nested
+    nested = _a(spark, d) if nested is None else nested
     return fraglen.effective_lengths(fixture_targets(spark, d), fraglen.conditional_means(mappings.length_histogram(nested)))
 
 
@@ -107,7 +115,14 @@ def effective_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fld_parametric(spark: SparkSession, d: str) -> DataFrame:
-    return _round(fraglen.parametric(spark, MEAN, SD), pdf=10, cdf=10)
+    return _round(fraglen.parametric(spark, *_moments(spark, d)), pdf=10, cdf=10)
+
+
+def fld_parametric_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The lengths of each order priority's unique fragments, as a sample of its own, beside the normal distribution of their mean and deviation."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("frag_id"), F.col("o_orderpriority").alias("sample_id"))
+    lengths = mappings.unique_fragments(_a(spark, d)).join(orders, "frag_id").groupBy("sample_id", "frag_len").agg(F.count("*").alias("n"))
+    return _round(fraglen.parametric_lengths(written(lengths, "lengths"), ("sample_id",)), mean=6, sd=6, pdf=10, cdf=10)
 
 
 def effective_lengths_unpaired(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +255,7 @@ def infreps_wide(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     lib_compat_table, lib_compat_filter, orientation_stats, read_totals, orientation_sample, orientation_sample_detect, fld_histogram, fld_pass1_limit, fld_pdf_cdf, conditional_means,
     parametric_conditional_means, effective_lengths, cond_prob, eq_classes_basic, eq_classes_range, eq_classes_packed, eq_class_totals, em_init, em_step1, em_k3, tpm, quant_flagship,
-    orientation_report, orientation_sample_detect_unpaired, strand_bias, fld_parametric, effective_lengths_unpaired, cond_prob_unpaired,
+    orientation_report, orientation_sample_detect_unpaired, strand_bias, fld_parametric, fld_parametric_samples, effective_lengths_unpaired, cond_prob_unpaired,
     em_k10_range, em_converged, em_samples, quant_converged, tpm_converged, bootstrap_replicates, gibbs_replicates, infreps_wide,
 )
 
@@ -356,6 +371,39 @@ def _quant_sql() -> str:
 z AS (SELECT ref_id, target_name, len, round(eff_len, 4) AS eff_len, round(1e6::DOUBLE * rate / (SELECT sum(rate) FROM q), 3) AS tpm, round(ecount, 4) AS ecount FROM q)"""
 
 
+_MOMENTS = """, m AS (
+  SELECT x::DOUBLE / n AS mean, sqrt((n::HUGEINT * xx - x::HUGEINT * x)::DOUBLE / n / n) AS sd FROM (SELECT sum(n)::BIGINT AS n, sum(n * frag_len)::BIGINT AS x, sum(n * frag_len::BIGINT * frag_len)::BIGINT AS xx FROM h)
+)"""
+
+
+def _erf_sql(x: str) -> str:
+    """The error function, by the sum of a series near 0 and of Gaussian terms elsewhere."""
+    near = f"2 / sqrt(pi()) * exp(-pow({x}, 2)) * abs({x}) * list_sum(list_transform(range(0, 16), lambda k: pow(2 * pow({x}, 2), k) / list_product(list_transform(range(0, k + 1), lambda j: 2.0::DOUBLE * j + 1))))"
+    far = f"1 - (abs({x}) * exp(-pow({x}, 2)) / pi() * (0.5::DOUBLE / pow({x}, 2) + list_sum(list_transform(range(1, 13), lambda k: exp(-k * k / 4.0::DOUBLE) / (k * k / 4.0::DOUBLE + pow({x}, 2))))) - 2 / (exp(4 * pi() * abs({x})) - 1))"
+    return f"(sign({x}) * CASE WHEN abs({x}) < 0.75 THEN {near} WHEN abs({x}) < 6 THEN {far} ELSE 1.0::DOUBLE END)"
+
+
+def _fitted_sql() -> str:
+    """The parametric distribution of the table's own mean and deviation: normal (frag_len, pdf, cdf, mean)."""
+    between = f"(SELECT 0.5::DOUBLE * ({_erf_sql('high')} - {_erf_sql('low')}) FROM (SELECT (65536 - mean) / (sd * sqrt(2::DOUBLE)) AS high, -mean / (sd * sqrt(2::DOUBLE)) AS low FROM m))"
+    return f"""{_MOMENTS}, inside AS (SELECT {between} AS inside),
+density AS (SELECT frag_len, exp(-0.5::DOUBLE * pow((frag_len - m.mean) / sd, 2)) / (sd * sqrt(2 * pi())) / sd / inside AS pdf FROM slots, m, inside),
+normal AS (SELECT frag_len, pdf, sum(pdf) OVER o AS cdf, CASE WHEN frag_len = 0 THEN 0.0::DOUBLE ELSE sum(frag_len * pdf) OVER o / sum(pdf) OVER o END AS mean FROM density WINDOW o AS (ORDER BY frag_len))
+"""
+
+
+def _samples_sql() -> str:
+    erf = lambda x: _erf_sql(f"(({x} - mean) / (sd * sqrt(2::DOUBLE)))")
+    return f""", hs AS (SELECT o_orderpriority AS sample_id, frag_len, count(*) AS n FROM (SELECT frag_id, any_value(frag_len) AS frag_len FROM a GROUP BY frag_id HAVING count(*) = 1 AND NOT bool_or(is_orphan)) JOIN orders ON o_orderkey = frag_id GROUP BY ALL),
+ms AS (
+  SELECT sample_id, x::DOUBLE / n AS mean, sqrt((n::HUGEINT * xx - x::HUGEINT * x)::DOUBLE / n / n) AS sd
+  FROM (SELECT sample_id, sum(n)::BIGINT AS n, sum(n * frag_len)::BIGINT AS x, sum(n * frag_len::BIGINT * frag_len)::BIGINT AS xx FROM hs GROUP BY sample_id)
+)
+SELECT sample_id, frag_len, n, round(mean, 6) AS mean, round(sd, 6) AS sd,
+  round(exp(-0.5::DOUBLE * pow((frag_len - mean) / sd, 2)) / (sd * sqrt(2 * pi())) / (0.5::DOUBLE * ({erf("65536")} - {erf("0")})), 10) AS pdf, round(({erf("frag_len")} - {erf("0")}) / ({erf("65536")} - {erf("0")}), 10) AS cdf
+FROM hs JOIN ms USING (sample_id) WHERE sd > 0"""
+
+
 def _parametric_sql() -> str:
     """Tables of the parametric distribution: normal (frag_len, pdf, cdf, mean)."""
     between = 0.5 * (math.erf((fraglen.SLOTS - MEAN) / (SD * math.sqrt(2))) - math.erf(-MEAN / (SD * math.sqrt(2))))
@@ -373,7 +421,7 @@ def oracle_sql() -> dict[str, str]:
     sample = f"SELECT ori, count(*) AS n FROM a WHERE frag_id IN (SELECT DISTINCT frag_id FROM a ORDER BY frag_id LIMIT {SAMPLE_READS}) GROUP BY ori"
     text = "array_to_string({0}, ',') AS {0}".format
     return {
-        "lib_compat_table": accepted,
+        "lib_compat_table": _sql(f"SELECT t.*, coalesce(n, 0) AS n FROM ({accepted}) t LEFT JOIN (SELECT ori, count(*) AS n FROM a GROUP BY ori) c ON c.ori = t.ori"),
         "lib_compat_filter": _sql("SELECT frag_id, aln_idx, ref_id, pos, ori, frag_len FROM a WHERE ori BETWEEN 1 AND 4"),
         "orientation_stats": _sql("SELECT ori, count(DISTINCT frag_id) FILTER (ori BETWEEN 1 AND 4) AS mapped, count(DISTINCT frag_id) FILTER (ori NOT BETWEEN 1 AND 4) AS filtered FROM a GROUP BY ori"),
         "read_totals": _sql("SELECT count(DISTINCT frag_id) AS num_mapped_reads, count(*) AS tot_mappings FROM a"),
@@ -388,7 +436,8 @@ def oracle_sql() -> dict[str, str]:
         "strand_bias": _sql(
             f"SELECT {kind('I')}, CASE WHEN r > 0.7::DOUBLE THEN 1 - r >= 0.05::DOUBLE WHEN r < 0.3::DOUBLE THEN r >= 0.05::DOUBLE ELSE abs(r - 0.5::DOUBLE) > 0.05::DOUBLE END AS biased FROM (SELECT {forward('1, 3', '2, 4')} AS r FROM ({sample}))"
         ),
-        "fld_parametric": _sql(_parametric_sql() + "SELECT frag_len, round(pdf, 10) AS pdf, round(cdf, 10) AS cdf FROM normal"),
+        "fld_parametric_samples": _sql(_samples_sql()),
+        "fld_parametric": _sql(_fitted_sql() + "SELECT frag_len, round(pdf, 10) AS pdf, round(cdf, 10) AS cdf FROM normal"),
         "effective_lengths_unpaired": _sql(
             _parametric_sql() + "SELECT ref_id, target_name, len, round(CASE WHEN len - mean < 1 THEN len::DOUBLE ELSE len - mean END, 4) AS eff_len FROM t JOIN normal ON frag_len = least(len, 65535)"
         ),
@@ -401,8 +450,7 @@ FROM a JOIN t USING (ref_id) LEFT JOIN normal ON normal.frag_len = CASE WHEN ori
         "fld_pass1_limit": _sql(f"SELECT frag_len, count(*) AS n FROM (SELECT * FROM u WHERE ori BETWEEN 1 AND 4 ORDER BY frag_id LIMIT {PASS_1}) GROUP BY frag_len"),
         "fld_pdf_cdf": _sql("SELECT frag_len, round(pdf, 10) AS pdf, round(cdf, 10) AS cdf FROM fld"),
         "conditional_means": _sql("SELECT frag_len, round(mean, 6) AS mean FROM means"),
-        "parametric_conditional_means": f"""WITH d AS (SELECT CAST(i AS INTEGER) AS frag_len, exp(-0.5::DOUBLE * pow((i - {MEAN}::DOUBLE) / {SD}::DOUBLE, 2)) AS w FROM range(65536) r(i))
-SELECT frag_len, round(CASE WHEN frag_len = 0 THEN 0.0::DOUBLE ELSE sum(frag_len * w) OVER o / sum(w) OVER o END, 4) AS mean FROM d WINDOW o AS (ORDER BY frag_len)""",
+        "parametric_conditional_means": _sql(_fitted_sql() + "SELECT frag_len, round(mean, 4) AS mean FROM normal"),
         "effective_lengths": _sql("SELECT ref_id, target_name, len, round(eff_len, 6) AS eff_len FROM e"),
         "cond_prob": _sql("SELECT frag_id, aln_idx, ref_id, ori, round(prob, 10) AS prob FROM p"),
         "eq_classes_basic": _sql(f"SELECT {text('targets')}, {text('oris')}, n FROM basic"),
