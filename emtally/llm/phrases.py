@@ -5,9 +5,9 @@ one, and then another seed is taken. Of a frequent phrase each pair of neighbour
 projected only where a frequent pair begins: pairs are counted by hash, and a bitmap of fixed size, in which every frequent pair
 is set, goes to all tasks. What it lets pass beyond is only more work.
 
-A prefix's projection are the windows that follow its occurrences, up to the longest phrase, equal ones as one row with their
-number. A task takes whole prefixes and grows each to the right, depth first, over ranges of its sorted rows. A prefix of more
-than ``PROJECTION`` windows is not one task: its extensions are counted by an aggregate, and each is a prefix of its own.
+The projection of a prefix, a frequent pair, are the windows that begin with it, up to the longest phrase, equal ones as one row
+with their number. A task takes whole prefixes and grows each to the right, depth first, over ranges of its sorted rows. A prefix
+of more than ``PROJECTION`` windows is not one task: an aggregate counts it, and each of its extensions is a prefix of its own.
 """
 
 from collections.abc import Iterator
@@ -244,7 +244,7 @@ def _growing(least: int, longest: int, depth: int):
 
         def extend(low: int, high: int, d: int) -> None:
             """Rows low to high begin with the same d words (after their language)."""
-            if d >= max(2, depth + (depth > 1)):
+            if d >= depth:
                 phrases.append([int(columns[i][low]) for i in range(1, d + 1)])
                 counts.append(int(so_far[high] - so_far[low]))
                 of.append(int(columns[0][low]))
@@ -278,22 +278,20 @@ def _growing(least: int, longest: int, depth: int):
 def frequent_phrases(projected: DataFrame, least: int = LEAST, longest: int = LONGEST, projection: int = PROJECTION, task: int = TASK) -> DataFrame:
     """(lang, phrase array<long>, a): phrases of 2 to ``longest`` words that occur ``least`` times or more, of ``windows``, a written table."""
     schema, out, todo = "lang string, phrase array<long>, a long", None, projected
-    for depth in range(1, longest + 1):
+    for depth in range(2, longest + 1):
         keys = ["lang", *(f"h{i}" for i in range(depth))]
-        sizes = todo.groupBy(*keys).agg(F.sum("n").alias("a"), F.count("*").alias("size")).where(F.col("a") >= least)
-        hot = written(sizes.where(F.col("size") > projection), "hot-prefixes")
+        sizes = todo.groupBy(*keys).agg(F.sum("n").alias("a"), F.count("*").alias("size")).where((F.col("a") >= least) & (F.col("size") > projection))
+        hot = written(sizes, "hot-prefixes")
         n_hot, n_rows = hot.count(), todo.count()
         # windows of some prefixes together, each prefix whole
         tasks = F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-n_rows // task))))
         light = todo.join(F.broadcast(hot) if n_hot <= HELD else hot, keys, "left_anti") if n_hot else todo
         grown = light.withColumn("task", tasks).groupBy("task").applyInArrow(_growing(least, longest, depth), schema)
         out = grown if out is None else out.unionByName(grown)
-        if not n_hot or depth == longest:
+        if not n_hot:
             break
+        out = out.unionByName(hot.select("lang", F.array(*keys[1:]).alias("phrase"), "a"))
         on = todo.join((F.broadcast(hot) if n_hot <= HELD else hot).select(*keys), keys, "left_semi").where(F.col(f"h{depth}").isNotNull())
-        longer = [*keys, f"h{depth}"]
-        extended = written(on.groupBy(*longer).agg(F.sum("n").alias("a")).where(F.col("a") >= least), "extensions")
-        out = out.unionByName(extended.select("lang", F.array(*longer[1:]).alias("phrase"), "a"))
         todo = written(on, "hot-windows")
     return out
 
