@@ -3,7 +3,8 @@
 The forest is fitted on a bounded sample and sent to all tasks; every vector is put into one leaf of each tree.
 A query takes the leaves of all trees in the order of a shared priority queue, by the largest margin on the wrong
 side on the way to them. How many it takes is set from recall measured on the index at hand: some of its queries
-are compared with the whole index. Vectors and queries then meet leaf by leaf, several leaves to a group. What is sent
+are compared with the whole index. Vectors and queries then meet leaf by leaf, several leaves to a group, and a
+bounded share of the queries at a time. What is sent
 to the leaves of a vector are its components in 8 bits and the distance to what they stand for: with it, every candidate
 of a query's leaves that may be among the nearest is known, and the exact distances of those, on the original vectors,
 decide.
@@ -25,13 +26,15 @@ from emtally.llm.tables import written
 
 #: Vectors that the forest is fitted on (the smallest hashes of their ids): bounds what the driver holds and sends.
 SAMPLE = 16_384
-TREES = 8
+TREES = 16
 #: Vectors of the sample in a leaf at most, if it is all that there is; with more vectors leaves grow in proportion.
-LEAF = 96
+LEAF = 32
 #: Sample vectors in a leaf at least; with this and SAMPLE, the forest has at most TREES * SAMPLE / MIN_LEAF splits.
 MIN_LEAF = 12
 #: Postings per group of leaves.
 GROUP = 20_000
+#: Queries per share: a group of leaves meets each share of the queries in a task of its own.
+QUERIES = 32_768
 SEED = 7
 #: Queries (the smallest hashes of their ids) that are compared with the whole index to set how many leaves are taken.
 MEASURED = 256
@@ -274,6 +277,8 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
     groups = max(1, -(-n * trees // GROUP))
     # leaves larger than a group are dealt out by vec_id to cells, and queries go to all cells of a leaf
     shards = max(1, -(-n * trees // (n_leaves * GROUP)))
+    # and queries are dealt to shares, so that a task's part of them is bounded too
+    parts = max(1, -(-asked.count() // QUERIES))
     # equal queries are searched once, for one more neighbour: each then leaves out itself
     searches = written(asked.groupBy("k1", "k2").agg(F.first("v").alias("v")).withColumn("query", F.monotonically_increasing_id()), "queries")
     members = asked.select("k1", "k2", F.col("vec_id").alias("query_id")).distinct().join(searches.select("k1", "k2", "query"), ["k1", "k2"]).select("query", "query_id")
@@ -288,14 +293,16 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
                 codes, scale, error = compact(x)
                 shard = part.column("vec_id").to_numpy() % shards
                 cells = (found * shards + shard[:, None]).ravel()
-                rows = np.repeat(np.arange(part.num_rows), found.shape[1])
+                rows = np.tile(np.repeat(np.arange(part.num_rows), found.shape[1]), parts)
+                to = (cells % groups * parts + np.arange(parts)[:, None]).ravel()
+                cells = np.tile(cells, parts)
                 code = pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(rows))
-                yield pa.record_batch([pa.array(cells % groups), pa.array(cells), part.column("vec_id").take(pa.array(rows)), code, pa.array(scale[rows]), pa.array(error[rows])], names=["group", "cell", "vec_id", "code", "scale", "error"])
+                yield pa.record_batch([pa.array(to), pa.array(cells), part.column("vec_id").take(pa.array(rows)), code, pa.array(scale[rows]), pa.array(error[rows])], names=["group", "cell", "vec_id", "code", "scale", "error"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per query and group, with the cells there that the query takes."""
         for batch in batches:
-            q = _matrix(batch.column("v"))
+            q, part = _matrix(batch.column("v")), batch.column("part").to_numpy()
             for i in range(len(q)):
                 if i % 64 == 0:
                     taken = forest.value.order(q[i : i + 64])[:, :leaves]
@@ -304,7 +311,7 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
                 to, first = np.unique(cells % groups, return_index=True)
                 rows = pa.array(np.full(len(to), i))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(cells)), pa.int32()), pa.array(cells))
-                yield pa.record_batch([pa.array(to), lists, batch.column("query").take(rows), batch.column("v").take(rows)], names=["group", "cells", "query", "v"])
+                yield pa.record_batch([pa.array(to * parts + part[i]), lists, batch.column("query").take(rows), batch.column("v").take(rows)], names=["group", "cells", "query", "v"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         """What may be nearest to each query among the vectors of the group's cells that it takes, with bounds of its distance."""
@@ -331,7 +338,7 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, sample: int = S
     vector = some.schema["v"].dataType.simpleString()
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = some.mapInArrow(post, "group long, cell long, vec_id long, code binary, scale double, error double")
-    routed = searches.select("query", "v").repartition(spread).mapInArrow(route, f"group long, cells array<long>, query long, v {vector}")
+    routed = searches.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(parts)).alias("part")).repartition(spread).mapInArrow(route, f"group long, cells array<long>, query long, v {vector}")
     found = postings.groupBy("group").cogroup(routed.groupBy("group")).applyInArrow(meet, "query long, vec_id long, low double, high double")
     # a candidate has the same bounds in every tree; beyond the top + 1 least upper bounds nothing can be nearest
     one = found.groupBy("query", "vec_id").agg(F.min("low").alias("low"), F.min("high").alias("high"))
