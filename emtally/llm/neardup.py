@@ -45,9 +45,6 @@ MISS = 1e-6
 #: Ids up to which a set of ids is broadcast (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 500_000
 
-#: A column that no table of documents has.
-ROW = "__row__"
-
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -345,12 +342,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
 def without_near_duplicates(documents: DataFrame, **params) -> DataFrame:
     """One row of each group of ``documents`` (doc_id, text, ...): that with the smallest doc_id, null last; of equal ones any.
     Rows count each for itself, also those that share a doc_id or have none. Rows without words all stay. Columns are kept."""
-    rows = written(documents.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), **params)
+    taken = {c.lower() for c in documents.columns}
+    row = next(name for i in range(len(taken) + 1) if (name := f"row{i}") not in taken)
+    rows = written(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **params)
     # rows that are alone in their group are left out before anything is joined
-    others = written(groups.where("NOT kept").select(F.col("doc_id").alias(ROW), "component_id"), "others")
-    named = written(others.unionByName(others.select(F.col("component_id").alias(ROW), "component_id")).distinct(), "members")
-    ids = only(rows.select(ROW, "doc_id"), named.select(ROW), ROW).join(named, ROW)
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col(ROW).alias(ROW))).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    gone = written(named.select(ROW).join(first, ROW, "left_anti"), "copies")
-    return only(rows, gone, ROW, "left_anti").select(documents.columns)
+    others = written(groups.where("NOT kept").select(F.col("doc_id").alias(row), F.col("component_id").alias("group")), "others")
+    named = written(others.unionByName(others.select(F.col("group").alias(row), "group")).distinct(), "members")
+    ids = only(rows.select(row, "doc_id"), named.select(row), row).join(named, row)
+    first = ids.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))).alias("first")).select(F.col("first.row").alias(row))
+    gone = written(named.select(row).join(first, row, "left_anti"), "copies")
+    return only(rows, gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
