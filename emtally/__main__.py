@@ -1,9 +1,11 @@
 """Command line: ``python -m emtally quant --input STEM --lib-type TYPE --output STEM``.
 
-Reads ``<input>.targets.parquet`` and ``<input>.alignments.parquet`` (and ``<input>.map_info.json``, if it is there).
+Reads ``<input>.chunks``, its extension replaced, if there is that file, or ``<input>.targets.parquet`` and
+``<input>.alignments.parquet`` (and ``<input>.map_info.json``, if it is there).
 """
 
 import argparse
+import os
 import sys
 import warnings
 from dataclasses import fields
@@ -12,7 +14,9 @@ from pyspark.sql import SparkSession
 
 from emtally.config import QuantOptions
 from emtally.plans.estimate import quantify, write
+from emtally.sources import files
 from emtally.sources.alignments import read_alignments, read_targets
+from emtally.sources.chunks import read_chunks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,7 +52,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args["quiet"]:
             warnings.simplefilter("ignore")
             spark.sparkContext.setLogLevel("ERROR")
-        found = quantify(read_alignments(spark, f"{options.input}.alignments.parquet"), read_targets(spark, f"{options.input}.targets.parquet"), options, not args["unpaired"], args["seed"])
+        chunks, paired = os.path.splitext(options.input)[0] + ".chunks", not args["unpaired"]
+        if files.exists(chunks):
+            header, targets, alignments = read_chunks(spark, chunks if "://" in chunks else os.path.abspath(chunks))
+            paired = header.paired
+        else:
+            targets, alignments = read_targets(spark, f"{options.input}.targets.parquet"), read_alignments(spark, f"{options.input}.alignments.parquet")
+        found = quantify(alignments, targets, options, paired, args["seed"])
         write(found, options.output)
     return 0
 

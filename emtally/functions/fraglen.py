@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emtally.functions import normal
+from emtally.operators.ranges import asof_join, exclusive_sums
 
 SLOTS = 65_536
 #: Smallest positive normal double.
@@ -87,6 +88,22 @@ def parametric_means(spark: SparkSession, mean: float, sd: float) -> DataFrame:
     return _means(spark.range(0, SLOTS, 1, 1).select(F.col("id").cast("int").alias("frag_len")).withColumn("w", _density(mean, sd)))
 
 
+def sparse_means(histogram: DataFrame) -> DataFrame:
+    """(frag_len, mean) of ``conditional_means`` at the lengths that ``histogram`` (frag_len, n) has, however many there may be."""
+    n, x = F.col("n").cast("long"), F.col("frag_len").cast("long")
+    sums = exclusive_sums(histogram.where("n > 0").select("frag_len", n.alias("n"), (n * x).alias("x")), "n", "n_before", "frag_len")
+    sums = exclusive_sums(sums, "x", "x_before", "frag_len")
+    mean = (F.col("x_before") + F.col("x")).cast("double") / (F.col("n_before") + F.col("n"))
+    return sums.select("frag_len", F.when(F.col("frag_len") == 0, F.lit(0.0)).otherwise(mean).alias("mean"))
+
+
+def effective_lengths_sparse(targets: DataFrame, histogram: DataFrame) -> DataFrame:
+    """``effective_lengths`` from a sparse histogram: each target takes the mean of the longest length that isn't over its own."""
+    at = asof_join(targets.withColumn("slot", F.least("len", F.lit(SLOTS - 1))), sparse_means(histogram), "slot", "frag_len")
+    less = F.col("len") - F.coalesce("mean", F.lit(0.0))
+    return at.withColumn("eff_len", F.when(less < 1, F.col("len").cast("double")).otherwise(less)).drop("slot", "frag_len", "mean")
+
+
 def effective_lengths(targets: DataFrame, means: DataFrame) -> DataFrame:
     """``targets`` with eff_len: the length less its conditional mean (that of the last slot for longer targets), or the length where that is under 1."""
     at = targets.withColumn("frag_len", F.least("len", F.lit(SLOTS - 1)).cast("int"))

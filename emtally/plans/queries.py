@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from emtally.functions import fraglen, libtype
 from emtally.operators import classes as eq
-from emtally.operators import em, mappings, replicates
+from emtally.operators import em, exact, mappings, replicates
+from emtally.operators.ranges import asof_join, exclusive_sums
 from emtally.operators.tpm import tpm as tpm_of
 from emtally.sources import sinks
 from emtally.sources.alignments import fixture_alignments, fixture_targets, flatten, fragments
@@ -237,6 +238,33 @@ def em_k10_range(spark: SparkSession, d: str) -> DataFrame:
     return _round(em.em_steps(pairs, em.uniform(targets, classes), targets, 10), a=4)
 
 
+def conditional_means_asof(spark: SparkSession, d: str) -> DataFrame:
+    """Every alignment with the longest length of a unique fragment that isn't over its own, and the mean of those up to it."""
+    a = _a(spark, d)
+    found = asof_join(a.select("frag_id", "aln_idx", F.col("frag_len").alias("own_len")), fraglen.sparse_means(mappings.length_histogram(a)), "own_len", "frag_len")
+    return _round(found.select("frag_id", "aln_idx", "own_len", "frag_len", "mean"), mean=6)
+
+
+def effective_lengths_asof(spark: SparkSession, d: str) -> DataFrame:
+    """Effective lengths from the sparse histogram, without a row for every length."""
+    return _round(fraglen.effective_lengths_sparse(fixture_targets(spark, d), mappings.length_histogram(_a(spark, d))), eff_len=6)
+
+
+def csr_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each class's targets begin and end in one array of all, classes in the order of their labels."""
+    classes = eq.basic_classes(_a(spark, d), LIB).select(_list("targets"), _list("oris"), "n", F.size("targets").alias("size"))
+    return exclusive_sums(classes, "size", "start", "targets", "oris").select("targets", "oris", "n", "start", (F.col("start") + F.col("size")).alias("end"))
+
+
+def em_k2_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Two steps and TPM by exact sums: the same to the last bit over any partitions."""
+    targets, classes = _inputs(spark, d)
+    pairs, now = written(em.incidence(classes, targets), "incidence"), em.uniform(targets, classes)
+    for _ in range(2):
+        now = written(exact.em_step(pairs, now, em.LEAST_DENOMINATOR), "abundance")
+    return _round(exact.tpm(targets.join(now.withColumnRenamed("a", "ecount"), "ref_id")).select("ref_id", "ecount", "tpm"), ecount=5, tpm=5)
+
+
 def bootstrap_replicates(spark: SparkSession, d: str) -> DataFrame:
     targets, classes = _inputs(spark, d)
     return replicates.bootstrap_frames(classes, targets, 8)
@@ -255,7 +283,7 @@ def infreps_wide(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     lib_compat_table, lib_compat_filter, orientation_stats, read_totals, orientation_sample, orientation_sample_detect, fld_histogram, fld_pass1_limit, fld_pdf_cdf, conditional_means,
     parametric_conditional_means, effective_lengths, cond_prob, eq_classes_basic, eq_classes_range, eq_classes_packed, eq_class_totals, em_init, em_step1, em_k3, tpm, quant_flagship,
-    orientation_report, orientation_sample_detect_unpaired, strand_bias, fld_parametric, fld_parametric_samples, effective_lengths_unpaired, cond_prob_unpaired,
+    orientation_report, orientation_sample_detect_unpaired, strand_bias, conditional_means_asof, effective_lengths_asof, csr_offsets, em_k2_exact, fld_parametric, fld_parametric_samples, effective_lengths_unpaired, cond_prob_unpaired,
     em_k10_range, em_converged, em_samples, quant_converged, tpm_converged, bootstrap_replicates, gibbs_replicates, infreps_wide,
 )
 
@@ -436,6 +464,21 @@ def oracle_sql() -> dict[str, str]:
         "strand_bias": _sql(
             f"SELECT {kind('I')}, CASE WHEN r > 0.7::DOUBLE THEN 1 - r >= 0.05::DOUBLE WHEN r < 0.3::DOUBLE THEN r >= 0.05::DOUBLE ELSE abs(r - 0.5::DOUBLE) > 0.05::DOUBLE END AS biased FROM (SELECT {forward('1, 3', '2, 4')} AS r FROM ({sample}))"
         ),
+        "conditional_means_asof": _sql(
+            """, own AS (SELECT frag_len, (sum(frag_len * n) OVER o)::DOUBLE / (sum(n) OVER o)::DOUBLE AS mean FROM h WINDOW o AS (ORDER BY frag_len))
+SELECT a.frag_id, a.aln_idx, a.frag_len AS own_len, own.frag_len, round(CASE WHEN own.frag_len = 0 THEN 0.0::DOUBLE ELSE mean END, 6) AS mean FROM a ASOF LEFT JOIN own ON a.frag_len >= own.frag_len"""
+        ),
+        "effective_lengths_asof": _sql("SELECT ref_id, target_name, len, round(eff_len, 6) AS eff_len FROM e"),
+        "csr_offsets": _sql(
+            f""", labelled AS (SELECT {text('targets')}, {text('oris')}, n, len(targets) AS size FROM basic),
+placed AS (SELECT *, CAST(sum(size) OVER (ORDER BY targets, oris) AS BIGINT) AS "end" FROM labelled)
+SELECT targets, oris, n, "end" - size AS start, "end" FROM placed"""
+        ),
+        "em_k2_exact": _sql(
+            """, q AS (SELECT e.ref_id, s2.a AS ecount, CASE WHEN eff_len > 0 THEN s2.a / eff_len ELSE 0.0::DOUBLE END AS rate FROM e JOIN s2 ON s2.ref_id = e.ref_id)
+SELECT ref_id, round(ecount, 5) AS ecount, round(1e6::DOUBLE * rate / (SELECT fsum(rate) FROM q), 5) AS tpm FROM q""",
+            2,
+        ),
         "fld_parametric_samples": _sql(_samples_sql()),
         "fld_parametric": _sql(_fitted_sql() + "SELECT frag_len, round(pdf, 10) AS pdf, round(cdf, 10) AS cdf FROM normal"),
         "effective_lengths_unpaired": _sql(

@@ -1,12 +1,14 @@
 """Inputs: tables of targets and of alignments (flat) or fragments (nested), and a header's sidecar."""
 
 import json
+import os
 import warnings
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emtally.sources import files
+
 TARGETS = {"ref_id": "int", "target_name": "string", "len": "bigint"}
 ALIGNMENTS = {"frag_id": "bigint", "aln_idx": "int", "ref_id": "int", "pos": "bigint", "ori": "int", "frag_len": "int", "is_orphan": "boolean"}
 
@@ -60,11 +62,12 @@ def flatten(nested: DataFrame) -> DataFrame:
 
 def signatures(stem: str) -> object:
     """The signatures of ``<stem>.map_info.json``, its extension replaced; a missing file or key is a warning and None."""
-    path = Path(stem).with_suffix(".map_info.json")
-    if not path.exists():
+    path = os.path.splitext(str(stem))[0] + ".map_info.json"
+    if not files.exists(path):
         warnings.warn(f"{path} isn't there: no signatures", stacklevel=2)
         return None
-    found = json.loads(path.read_text())
+    with files.opened(path) as f:
+        found = json.loads(f.read())
     if "signatures" not in found:
         warnings.warn(f"{path} has no signatures", stacklevel=2)
     return found.get("signatures")

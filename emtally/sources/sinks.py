@@ -1,6 +1,10 @@
-"""Outputs of an estimation: a TSV of estimates, Parquet of lengths and replicates, JSON of what was done."""
+"""Outputs of an estimation: a TSV of estimates, Parquet of lengths and replicates, JSON of what was done.
+
+A stem is a path on the driver's disk or a URI of a shared store."""
 
 import json
+import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -9,31 +13,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emtally.functions.fraglen import dense
+from emtally.sources import files
+from emtally.sources.shared import new_path
 
+#: Numbers of a row group of the wide table (64 MB): what the task that writes it holds at once.
+NUMBERS = 8_000_000
+_OPTIONS = {"compression": "zstd", "version": "2.6", "data_page_version": "2.0", "use_dictionary": False}
 
-def _path(stem: str, suffix: str) -> Path:
-    """``suffix`` appended to the stem, whatever dots it has; parent folders are made."""
-    path = Path(str(stem) + suffix)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    return path
+
+def _path(stem: str, suffix: str) -> Path | str:
+    """``suffix`` appended to the stem, whatever dots it has."""
+    return f"{stem}{suffix}" if "://" in str(stem) else Path(f"{stem}{suffix}")
 
 
-def write_quant(quant: DataFrame, stem: str) -> Path:
+def write_quant(quant: DataFrame, stem: str) -> Path | str:
     """target_name, len, eelen, tpm and ecount of every target, by ref_id, three decimals, streamed row by row."""
     path = _path(stem, ".quant")
-    with path.open("w") as out:
-        out.write("target_name\tlen\teelen\ttpm\tecount\n")
+    with files.created(path) as out:
+        out.write(b"target_name\tlen\teelen\ttpm\tecount\n")
         for r in quant.orderBy("ref_id").select("target_name", "len", "eff_len", "tpm", "ecount").toLocalIterator():
-            out.write(f"{r.target_name}\t{r.len}\t{r.eff_len:.3f}\t{r.tpm:.3f}\t{r.ecount:.3f}\n")
+            out.write(f"{r.target_name}\t{r.len}\t{r.eff_len:.3f}\t{r.tpm:.3f}\t{r.ecount:.3f}\n".encode())
     return path
 
 
-def _write(table: pa.Table, path: Path) -> Path:
-    pq.write_table(table, path, compression="zstd", version="2.6", data_page_version="2.0", use_dictionary=False, row_group_size=max(1, len(table)))
+def _write(table: pa.Table, path: Path | str) -> Path | str:
+    with files.created(path) as out:
+        pq.write_table(table, out, row_group_size=max(1, len(table)), **_OPTIONS)
     return path
 
 
-def write_lengths(histogram: DataFrame, stem: str) -> Path:
+def write_lengths(histogram: DataFrame, stem: str) -> Path | str:
     """One unsigned column with the number of fragments of each length."""
     counts = [r.n for r in dense(histogram).orderBy("frag_len").select("n").collect()]  # SLOTS numbers
     field = pa.field("fragment_length_dist", pa.uint32(), nullable=False)
@@ -46,14 +55,40 @@ def wide(replicates: DataFrame, n: int) -> DataFrame:
     return out.select("ref_id", *(F.col(f"`{i}`").alias(f"bootstrap.{i}") for i in range(n)))
 
 
-def write_replicates(replicates: DataFrame, n: int, stem: str) -> Path:
-    """The wide form by ref_id, without it; Gibbs samples have the same column names."""
-    table = wide(replicates, n).orderBy("ref_id").drop("ref_id").toArrow()
-    schema = pa.schema([pa.field(f.name, pa.float64(), nullable=False) for f in table.schema])
-    return _write(table.cast(schema), _path(stem, ".infreps.pq"))
-
-
-def write_metadata(meta: dict, stem: str) -> Path:
+def write_replicates(replicates: DataFrame, n: int, stem: str) -> Path | str:
+    """The wide form by ref_id, without it; Gibbs samples have the same column names. The targets are sorted in ranges, which
+    one task reads one after another and writes to a file in the shared folder; that is then moved to its place, so nothing
+    of it is in the driver's memory. The file is one row group up to NUMBERS numbers, and has one for each so many beyond."""
+    path, shared = _path(stem, ".infreps.pq"), new_path(replicates.sparkSession, "infreps")
+    names, rows = [f"bootstrap.{i}" for i in range(n)], max(1, NUMBERS // max(1, n))
+    schema = pa.schema([pa.field(name, pa.float64(), nullable=False) for name in names])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, count = f"{shared}-{uuid.uuid4().hex}.pq", [], 0
+        with files.created(part) as out, pq.ParquetWriter(out, schema, **_OPTIONS) as writer:
+            for batch in batches:
+                while batch.num_rows:
+                    some = batch.slice(0, rows - count)
+                    held.append(some.rename_columns(names).cast(schema))
+                    batch, count = batch.slice(some.num_rows), count + some.num_rows
+                    if count == rows:
+                        writer.write_table(pa.Table.from_batches(held), row_group_size=rows)
+                        held, count = [], 0
+            if held:
+                writer.write_table(pa.Table.from_batches(held), row_group_size=rows)
+        yield pa.record_batch([pa.array([part])], names=["part"])
+
+    columns = [f"r{i}" for i in range(n)]
+    ordered = wide(replicates, n).toDF("ref_id", *columns).orderBy("ref_id").select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
+    parts = ordered.coalesce(1).mapInArrow(write, "part string").collect()
+    if parts:
+        files.move(parts[0]["part"], path)
+        return path
+    return _write(schema.empty_table(), path)
+
+
+def write_metadata(meta: dict, stem: str) -> Path | str:
     path = _path(stem, ".meta_info.json")
-    path.write_text(json.dumps(meta, indent=2))
+    with files.created(path) as out:
+        out.write(json.dumps(meta, indent=2).encode())
     return path
