@@ -16,8 +16,10 @@ from emtally.sources.shared import bucketed, new_path, written
 
 #: Classes, on average, that a task draws counts for at once, as long as there are no more than CELLS cells.
 CELL = 2_000
-#: Cells at most: the driver deals the fragments of each replicate to them.
+#: Cells at most: the driver sends each one's number of fragments.
 CELLS = 100_000
+#: Targets of all classes that are packed into arrays at most (16 bytes each, on the driver and in each task).
+ENTRIES = 8_000_000
 #: Numbers of a Gibbs state (chains x targets) that are sent to all tasks at once.
 STATE = 8_000_000
 
@@ -29,7 +31,10 @@ _TINY = 2.2250738585072014e-308
 
 
 def packed_of(classes: DataFrame) -> Packed:
-    """The classes (targets, probs, n) of one sample on the driver: a replicate reads them all, again and again."""
+    """The classes (targets, probs, n) of one sample on the driver: a replicate reads them all, again and again. More than
+    ENTRIES targets in all of them together are an error: for those there are the forms over DataFrames."""
+    if (classes.agg(F.sum(F.size("targets") + 1)).first()[0] or 0) > ENTRIES:
+        raise ValueError("too many classes for arrays: use bootstrap_frames or gibbs_frames")
     rows = list(zip(*((r.targets, r.probs, r.n) for r in classes.select("targets", "probs", "n").toLocalIterator())))
     return Packed.of_rows(*rows) if rows else Packed.of_rows([], [], [])
 
@@ -64,24 +69,36 @@ def cells_of(classes: DataFrame) -> DataFrame:
     return bucketed(merged.withColumn("key", F.xxhash64("targets", "probs")).withColumn("cell", F.pmod("key", F.lit(cells))), "cells", "cell")
 
 
+def dealt(ahead: np.ndarray, cell: int, n: int, stream) -> np.ndarray:
+    """How many fragments each of ``n`` replicates deals to a cell. ``ahead`` has the fragments before each cell, and all of them
+    at its end. They are split down a binary tree of cells, at each node between its halves; a node's stream comes from its
+    place, so all cells below it see the same split, and their numbers add up."""
+    low, high, k = 0, len(ahead) - 1, np.full(n, ahead[-1], np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        all_, left = ahead[high] - ahead[low], ahead[middle] - ahead[low]
+        first = stream(low, high).binomial(k, left / all_ if all_ else 0.0)
+        low, high, k = (low, middle, first) if cell < middle else (middle, high, k - first)
+    return k
+
+
 def drawn(classes: DataFrame, n: int, seed: int = 0, sample: int = 0) -> DataFrame:
     """(rep, targets, probs, n): ``n`` times the fragments dealt anew to the classes in proportion, the empty class among them.
-    They are dealt to cells of classes first (a number per cell is on the driver) and then within each; a class's cell
-    comes from its content, so results don't depend on the partitioning."""
+    They are dealt to cells of classes first and then within each, both in the cells' tasks; the driver sends a number per
+    cell, CELLS at most. A class's cell comes from its content, so results don't depend on the partitioning."""
     spark, merged = classes.sparkSession, cells_of(classes)
     sizes = sorted((r.cell, r.n) for r in merged.groupBy("cell").agg(F.sum("n").alias("n")).collect())
-    total = sum(x for _, x in sizes)
-    if not total:
+    ahead = np.append(0, np.cumsum([x for _, x in sizes])).astype(np.int64)
+    if not ahead[-1]:
         raise ValueError("there are no fragments to draw from")
     stream = lambda *key: np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, sample, 2, *key])))
-    dealt = np.array([stream(rep).multinomial(total, np.array([x for _, x in sizes]) / total) for rep in range(n)])
-    shared = spark.sparkContext.broadcast({cell: dealt[:, i] for i, (cell, _) in enumerate(sizes)})
+    shared = spark.sparkContext.broadcast(({cell: i for i, (cell, _) in enumerate(sizes)}, ahead))
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        cell = int(rows["cell"].iloc[0])
+        (places, ahead), cell = shared.value, int(rows["cell"].iloc[0])
         rows = rows.sort_values("key")
         share = rows["n"].to_numpy() / rows["n"].sum()
-        counts = np.array([stream(rep, cell).multinomial(int(k), share) for rep, k in enumerate(shared.value[cell])])
+        counts = np.array([stream(rep, cell).multinomial(int(k), share) for rep, k in enumerate(dealt(ahead, places[cell], n, lambda low, high: stream(low, high, 1)))])
         return pd.DataFrame({"targets": rows["targets"].to_numpy(), "probs": rows["probs"].to_numpy(), "counts": list(counts.T)})
 
     found = merged.groupBy("cell").applyInPandas(draw, "targets array<int>, probs array<double>, counts array<long>")
@@ -102,21 +119,9 @@ def chains(samples: int) -> list[int]:
 
 def gibbs_iteration(p: Packed, eff_len: np.ndarray, prior: np.ndarray, counts: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
     """New fractions drawn from the counts, and new counts drawn from the fractions."""
-    shape = prior + counts
-    mu = np.zeros(len(shape))
-    some = shape > 0
-    mu[some] = rng.gamma(shape[some], 1.0 / (BETA + eff_len[some]))
-    if mu.sum() > 0:
-        mu /= mu.sum()
-    w = mu[p.targets] * p.probs
-    sizes = np.diff(p.starts)
-    new = np.bincount(p.targets[p.starts[:-1][sizes == 1]], p.counts[sizes == 1], len(mu)) if len(sizes) else np.zeros(len(mu))
-    sums = np.bincount(p.of, w, len(sizes))
-    for i in np.flatnonzero((sizes > 1) & (sums > _TINY)):
-        a, b = p.starts[i], p.starts[i + 1]
-        share = w[a:b] / w[a:b].sum()
-        np.add.at(new, p.targets[a:b], rng.multinomial(int(p.counts[i]), share))
-    return mu, new
+    mu = fractions(counts, eff_len, prior, rng)
+    to, many = assign(p.targets, p.probs, p.starts, p.counts, mu, rng)
+    return mu, np.bincount(to, many, len(mu))
 
 
 def gibbs(spark: SparkSession, p: Packed, eff_len: np.ndarray, start: np.ndarray, n: int, thinning: int = 5, seed: int = 0, sample: int = 0) -> DataFrame:

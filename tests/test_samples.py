@@ -145,3 +145,29 @@ def test_names_of_bucketed_tables_are_dropped(spark):
     shared.drop_names(spark)
     assert not spark.catalog.databaseExists(name) and name not in shared._databases
     assert shared.bucketed(spark.range(5), "some", "id").count() == 5
+
+
+def test_cells_are_dealt_down_a_tree():
+    from emtally.operators import replicates
+
+    sizes = [5, 0, 40, 1, 30, 24]
+    ahead, n = np.append(0, np.cumsum(sizes)), 4000
+    stream = lambda low, high: np.random.default_rng([low, high])
+    got = np.array([replicates.dealt(ahead, i, n, stream) for i in range(len(sizes))])
+    assert (got.sum(axis=0) == 100).all() and (got[1] == 0).all()
+    for i, size in enumerate(sizes):
+        p = size / 100
+        assert abs(got[i].mean() - size) <= 5 * math.sqrt(100 * p * (1 - p) / n) and abs(got[i].var() - 100 * p * (1 - p)) <= 0.15 * 100 * p * (1 - p)
+    # as of a multinomial: cells take from one another
+    assert np.cov(got[2], got[4])[0, 1] == pytest.approx(-100 * 0.4 * 0.3, rel=0.2)
+    assert (replicates.dealt(np.array([0, 7]), 0, 3, stream) == 7).all()
+
+
+def test_many_classes_are_not_packed(spark, monkeypatch):
+    from emtally.operators import replicates
+
+    c, _ = classes(spark)
+    assert replicates.packed_of(c).total == 40 and replicates.packed_of(c.limit(0)).total == 0
+    monkeypatch.setattr(replicates, "ENTRIES", 5)
+    with pytest.raises(ValueError, match="_frames"):
+        replicates.packed_of(c)
