@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emtally.functions.decimals import fixed
 from emtally.functions.fraglen import dense
 from emtally.sources import files
 from emtally.sources.shared import new_path
@@ -26,13 +27,37 @@ def _path(stem: str, suffix: str) -> Path | str:
     return f"{stem}{suffix}" if "://" in str(stem) else Path(f"{stem}{suffix}")
 
 
+def _by_a_task(ordered: DataFrame, put, path: Path | str) -> bool:
+    """One task reads ``ordered``, range after range, and writes it by ``put(batches, out)`` to a file in the shared folder, which
+    is then moved to ``path``: nothing of it is in the driver's memory. False if there was no task, and so no file."""
+    shared = new_path(ordered.sparkSession, "output")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = f"{shared}-{uuid.uuid4().hex}"
+        with files.created(part) as out:
+            put(batches, out)
+        yield pa.record_batch([pa.array([part])], names=["part"])
+
+    parts = ordered.coalesce(1).mapInArrow(write, "part string").collect()
+    for part in parts:
+        files.move(part["part"], path)
+    return bool(parts)
+
+
 def write_quant(quant: DataFrame, stem: str) -> Path | str:
-    """target_name, len, eelen, tpm and ecount of every target, by ref_id, three decimals, streamed row by row."""
-    path = _path(stem, ".quant")
-    with files.created(path) as out:
-        out.write(b"target_name\tlen\teelen\ttpm\tecount\n")
-        for r in quant.orderBy("ref_id").select("target_name", "len", "eff_len", "tpm", "ecount").toLocalIterator():
-            out.write(f"{r.target_name}\t{r.len}\t{r.eff_len:.3f}\t{r.tpm:.3f}\t{r.ecount:.3f}\n".encode())
+    """target_name, len, eelen, tpm and ecount of every target, by ref_id, three decimals, rounded from the binary value. The
+    lines are made in the JVM and written by one task."""
+    path, head = _path(stem, ".quant"), b"target_name\tlen\teelen\ttpm\tecount\n"
+    line = F.concat_ws("\t", "target_name", F.col("len").cast("string"), *(fixed(F.col(c)) for c in ("eff_len", "tpm", "ecount")))
+
+    def put(batches: Iterator[pa.RecordBatch], out: pa.NativeFile) -> None:
+        out.write(head)
+        for batch in batches:
+            out.write("".join(f"{x}\n" for x in batch.column(0).to_pylist()).encode())
+
+    if not _by_a_task(quant.orderBy("ref_id").select(line.alias("line")), put, path):
+        with files.created(path) as out:
+            out.write(head)
     return path
 
 
@@ -56,16 +81,14 @@ def wide(replicates: DataFrame, n: int) -> DataFrame:
 
 
 def write_replicates(replicates: DataFrame, n: int, stem: str) -> Path | str:
-    """The wide form by ref_id, without it; Gibbs samples have the same column names. The targets are sorted in ranges, which
-    one task reads one after another and writes to a file in the shared folder; that is then moved to its place, so nothing
-    of it is in the driver's memory. The file is one row group up to NUMBERS numbers, and has one for each so many beyond."""
-    path, shared = _path(stem, ".infreps.pq"), new_path(replicates.sparkSession, "infreps")
-    names, rows = [f"bootstrap.{i}" for i in range(n)], max(1, NUMBERS // max(1, n))
+    """The wide form by ref_id, without it; Gibbs samples have the same column names. The file is one row group up to NUMBERS
+    numbers, and has one for each so many beyond: that is what the task that writes it holds."""
+    path, names, rows = _path(stem, ".infreps.pq"), [f"bootstrap.{i}" for i in range(n)], max(1, NUMBERS // max(1, n))
     schema = pa.schema([pa.field(name, pa.float64(), nullable=False) for name in names])
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, count = f"{shared}-{uuid.uuid4().hex}.pq", [], 0
-        with files.created(part) as out, pq.ParquetWriter(out, schema, **_OPTIONS) as writer:
+    def put(batches: Iterator[pa.RecordBatch], out: pa.NativeFile) -> None:
+        held, count = [], 0
+        with pq.ParquetWriter(out, schema, **_OPTIONS) as writer:
             for batch in batches:
                 while batch.num_rows:
                     some = batch.slice(0, rows - count)
@@ -76,15 +99,10 @@ def write_replicates(replicates: DataFrame, n: int, stem: str) -> Path | str:
                         held, count = [], 0
             if held:
                 writer.write_table(pa.Table.from_batches(held), row_group_size=rows)
-        yield pa.record_batch([pa.array([part])], names=["part"])
 
     columns = [f"r{i}" for i in range(n)]
     ordered = wide(replicates, n).toDF("ref_id", *columns).orderBy("ref_id").select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
-    parts = ordered.coalesce(1).mapInArrow(write, "part string").collect()
-    if parts:
-        files.move(parts[0]["part"], path)
-        return path
-    return _write(schema.empty_table(), path)
+    return path if _by_a_task(ordered, put, path) else _write(schema.empty_table(), path)
 
 
 def write_metadata(meta: dict, stem: str) -> Path | str:

@@ -236,3 +236,22 @@ def test_outputs_by_uri(spark, tmp_path):
     (tmp_path / "a/in.map_info.json").write_text('{"signatures": ')
     with pytest.raises(json.JSONDecodeError):
         src.signatures(str(tmp_path / "a/in"))
+
+
+def test_fixed_decimals_are_those_of_the_binary_value(spark):
+    import numpy as np
+    import pandas as pd
+
+    from emtally.functions.decimals import fixed
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([
+        rng.random(300_000) * 10.0 ** rng.integers(-8, 16, 300_000), rng.random(400_000) * 1000, -rng.random(100_000), rng.integers(0, 2_000_000, 190_000) / 1000,
+        (2 * rng.integers(0, 5000, 5_000) + 1) / 16.0, rng.integers(0, 10**9, 5_000) + 0.0625, np.nextafter(rng.integers(0, 10**6, 5_000) / 1000 + 0.0005, rng.choice([0, 1e9], 5_000)), [0.0, -0.0, 0.9995, 0.99951, 1.0005, 5e-324, 1e15 + 0.125, 2.0**62, 9.2e18, 0.0005, 999.9995, 2.0**52 + 0.5],
+    ])
+    got = spark.createDataFrame(pd.DataFrame({"x": x})).select("x", fixed(F.col("x")).alias("s")).toPandas()
+    want = ["%.3f" % v for v in got["x"]]
+    assert len(want) > 1_000_000 and got["s"].tolist() == want
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (1e300,)], "x double").select(fixed(F.col("x")).alias("s")).collect()
+    assert [r.s for r in odd] == [None] * 4
+    assert spark.createDataFrame([(0.125,)], "x double").select(fixed(F.col("x"), 2)).first()[0] == "0.12"
