@@ -26,9 +26,9 @@ from emtally.llm.tables import written
 
 #: Vectors that the forest is fitted on (the smallest hashes of their ids): bounds what the driver holds and sends.
 SAMPLE = 16_384
-TREES = 16
+TREES = 8
 #: Vectors of the sample in a leaf at most, if it is all that there is; with more vectors leaves grow in proportion.
-LEAF = 32
+LEAF = 24
 #: Sample vectors in a leaf at least; with this and SAMPLE, the forest has at most TREES * SAMPLE / MIN_LEAF splits.
 MIN_LEAF = 12
 #: Postings per group of leaves.
