@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emtally.operators.em import Packed, em_frames, inverse, is_small, solve
+from emtally.operators.exact import exact_sum
 from emtally.sources.shared import bucketed, new_path, written
 
 #: Classes, on average, that a task draws counts for at once, as long as there are no more than CELLS cells.
@@ -22,6 +23,8 @@ CELLS = 100_000
 ENTRIES = 8_000_000
 #: Numbers of a Gibbs state (chains x targets) that are sent to all tasks at once.
 STATE = 8_000_000
+#: Targets, on average, that a task draws fractions for at once where the state is a table.
+TARGETS = 20_000
 
 RESULT = "rep int, ref_id int, value double"
 
@@ -151,12 +154,18 @@ def gibbs(spark: SparkSession, p: Packed, eff_len: np.ndarray, start: np.ndarray
     return spark.range(0, len(sizes), 1, len(sizes)).mapInPandas(draw, RESULT)
 
 
-def fractions(counts: np.ndarray, eff_len: np.ndarray, prior: np.ndarray, rng) -> np.ndarray:
-    """Fractions drawn from the counts; they sum to 1."""
+def rates(counts: np.ndarray, eff_len: np.ndarray, prior: np.ndarray, rng) -> np.ndarray:
+    """A Gamma draw for each target, from its counts and its effective length."""
     shape = prior + counts
     mu = np.zeros(len(shape))
     some = shape > 0
     mu[some] = rng.gamma(shape[some], 1.0 / (BETA + eff_len[some]))
+    return mu
+
+
+def fractions(counts: np.ndarray, eff_len: np.ndarray, prior: np.ndarray, rng) -> np.ndarray:
+    """Fractions drawn from the counts; they sum to 1."""
+    mu = rates(counts, eff_len, prior, rng)
     return mu / mu.sum() if mu.sum() > 0 else mu
 
 
@@ -197,11 +206,12 @@ def drawing(shared, stream, i: int):
 
 def gibbs_frames(classes: DataFrame, targets: DataFrame, start: DataFrame, n: int, thinning: int = 5, seed: int = 0, sample: int = 0) -> DataFrame:
     """``gibbs`` for classes of any number, a written table. An iteration draws fractions from the counts by target, which
-    the driver holds (a row per target; BROADCAST_ROWS targets at most, else an error), and is one job over the cells of
-    classes, whose draws are summed by target. Chains go together as long as STATE allows. ``start``: (ref_id, ecount), ref_id dense from 0."""
+    the driver holds (a row per target, up to BROADCAST_ROWS of them), and is one job over the cells of
+    classes, whose draws are summed by target. Chains go together as long as STATE allows. Beyond BROADCAST_ROWS targets the
+    state is a table (``gibbs_tables``). ``start``: (ref_id, ecount), ref_id dense from 0."""
     spark = classes.sparkSession
     if not is_small(targets):
-        raise ValueError("too many targets for a Gibbs state")
+        return gibbs_tables(classes, targets, start, n, thinning, seed, sample)
     rows = targets.join(start, "ref_id", "left").orderBy("ref_id").select("eff_len", F.coalesce("ecount", F.lit(0.0)).alias("ecount")).toArrow()
     eff, first = (rows.column(c).to_numpy().astype(float) for c in ("eff_len", "ecount"))
     total = float(classes.agg(F.sum("n")).first()[0] or 0)
@@ -236,3 +246,72 @@ def gibbs_frames(classes: DataFrame, targets: DataFrame, start: DataFrame, n: in
     if not len(eff) or not n:
         return spark.createDataFrame([], RESULT)
     return spark.read.schema(RESULT).parquet(path)
+
+
+def drawing_rates(stream, i: int, k: int):
+    """The draws of iteration ``i`` for a cell of targets: (ref_id, eff_len, mu0 ...) from (cell, ref_id, eff_len, n0 ...), of ``k`` chains."""
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ref_id")
+        eff, cell = table.column("eff_len").to_numpy(), table.column("cell")[0].as_py()
+        prior = PRIOR * inverse(np.where(eff > 0, eff, np.inf))
+        drawn = {f"mu{c}": rates(table.column(f"n{c}").to_numpy(), eff, prior, stream(5, c, i, cell)) for c in range(k)}
+        return pa.table({"ref_id": table.column("ref_id"), "eff_len": table.column("eff_len"), **drawn})
+
+    return draw
+
+
+def drawing_counts(stream, i: int, k: int):
+    """The draws of iteration ``i`` for a cell of classes, a row per class and target with the target's fractions: (ref_id, n0 ...)."""
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("key", "eq_id", "place")])
+        of, cell = table.column("eq_id").to_numpy(), table.column("cell")[0].as_py()
+        starts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+        names, local = np.unique(table.column("ref_id").to_numpy(), return_inverse=True)
+        probs, n, found = table.column("prob").to_numpy(), table.column("n").to_numpy()[starts[:-1]], {}
+        for c in range(k):
+            mu = np.zeros(len(names))
+            mu[local] = table.column(f"mu{c}").to_numpy()
+            to, many = assign(local, probs, starts, n, mu, stream(6, c, i, cell))
+            found[f"n{c}"] = np.bincount(to, many, len(names)).astype(np.int64)
+        return pa.table({"ref_id": pa.array(names, pa.int32()), **found})
+
+    return draw
+
+
+def gibbs_tables(classes: DataFrame, targets: DataFrame, start: DataFrame, n: int, thinning: int = 5, seed: int = 0, sample: int = 0) -> DataFrame:
+    """``gibbs`` for classes and targets of any number: the driver holds two sums per chain (8 at most) and nothing else. The
+    state, a row per target with a number per chain, is written each iteration, so a lost executor costs a part of one
+    iteration. Gamma draws are made in tasks by cells of targets. Fractions meet the classes' entries by a shuffle join, whose
+    hot targets Spark may split, and the classes are drawn by cells. Streams are seeded by chain, iteration and cell, cells come
+    from contents, and the normalisers are exact sums: the result doesn't depend on the partitioning. Parameters are those of
+    ``gibbs_frames``, but ref_id need not be dense; no targets or no samples give no rows."""
+    spark, sizes, path = classes.sparkSession, chains(n), new_path(classes.sparkSession, "gibbs")
+    k, before = len(sizes), np.append(0, np.cumsum(sizes)).tolist()
+    stream = lambda *key: np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, sample, *key])))
+    total, n_targets = float(classes.agg(F.sum("n")).first()[0] or 0), targets.count()
+    if not n or not n_targets:
+        return spark.createDataFrame([], RESULT)
+    cell = F.pmod(F.xxhash64("ref_id"), F.lit(-(-n_targets // TARGETS)))
+    known = bucketed(targets.select("ref_id", "eff_len", cell.alias("cell")), "targets", "ref_id")
+    numbered = written(cells_of(classes.where(F.size("targets") > 0)).withColumn("eq_id", F.monotonically_increasing_id()), "classes")
+    pairs = numbered.select("cell", "key", "eq_id", "n", F.posexplode(F.arrays_zip("targets", "probs")).alias("place", "x"))
+    pairs = written(pairs.select("cell", "key", "eq_id", "place", "n", F.col("x.targets").alias("ref_id"), F.col("x.probs").alias("prob")), "entries")
+    counts = start.select("ref_id", *(F.col("ecount").alias(f"n{c}") for c in range(k)))
+    for i in range(thinning * max(sizes)):
+        state = known.join(counts, "ref_id", "left").select("cell", "ref_id", "eff_len", *(F.coalesce(F.col(f"n{c}").cast("double"), F.lit(0.0)).alias(f"n{c}") for c in range(k)))
+        columns = ", ".join(f"mu{c} double" for c in range(k))
+        mu = written(state.groupBy("cell").applyInArrow(drawing_rates(stream, i, k), f"ref_id int, eff_len double, {columns}"), "fractions")
+        each = F.array(*(F.struct(F.lit(c).alias("chain"), F.lit(out).alias("out"), (F.col(f"mu{c}") * (F.col("eff_len") if out else 1.0)).alias("x")) for c in range(k) for out in (False, True)))
+        sums = {(r.chain, r.out): r.total for r in exact_sum(mu.select(F.explode(each).alias("e")).select("e.*"), ["chain", "out"], F.col("x"), "total").collect()}
+        if (i + 1) % thinning == 0:
+            # a sample of each chain that still goes; without any mass all are 0
+            out = [F.struct(F.lit(before[c] + i // thinning).alias("rep"), (F.col(f"mu{c}") * F.col("eff_len") * (total / sums[c, True] if sums[c, True] > 0 else 0.0)).alias("value")) for c in range(k) if i < thinning * sizes[c]]
+            rows = mu.select("ref_id", F.explode(F.array(*out)).alias("o"))
+            rows.select("o.rep", "ref_id", F.when(F.col("o.value") < LEAST_OUTPUT, 0.0).otherwise(F.col("o.value")).alias("value")).write.mode("append").parquet(path)
+        shares = mu.select("ref_id", *((F.col(f"mu{c}") / (sums[c, False] or 1.0)).alias(f"mu{c}") for c in range(k)))
+        columns = ", ".join(f"n{c} long" for c in range(k))
+        drawn = pairs.join(shares, "ref_id").groupBy("cell").applyInArrow(drawing_counts(stream, i, k), f"ref_id int, {columns}")
+        counts = drawn.groupBy("ref_id").agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in range(k)))
+    return spark.read.schema(RESULT).parquet(path)

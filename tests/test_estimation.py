@@ -2,6 +2,7 @@ import json
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -286,6 +287,56 @@ def test_gibbs_frames_draws_as_the_array_form(spark, monkeypatch):
     assert sorted({r.rep for r in replicates.gibbs_frames(c, t, start, 50, 1).collect()}) == list(range(50))
 
 
+def test_gibbs_draws_by_cells_as_the_array_form(spark):
+    """The tasks' draws, a cell for each class and target, iterated without Spark: the same distribution."""
+    want = replicates.gibbs(spark, packed(), EFF, np.array(WANT[1500]), 220, 2, seed=1).toPandas().groupby("ref_id")["value"]
+    stream = lambda *key: np.random.default_rng([7, *key])
+    entries = [(i, j, int(x), p, n) for i, (ts, n) in enumerate(CLASSES) for j, (x, p) in enumerate(zip(ts, [1.0] * len(ts)))]
+    counts, found = np.array([[x, x] for x in WANT[1500]], float), []
+    for i in range(600):
+        mu = np.zeros((3, 2))
+        for x in range(3):
+            state = pa.table({"cell": [x], "ref_id": pa.array([x], pa.int32()), "eff_len": [float(EFF[x])], "n0": counts[x, :1], "n1": counts[x, 1:]})
+            drawn = replicates.drawing_rates(stream, i, 2)(state)
+            mu[x] = [drawn.column("mu0")[0].as_py(), drawn.column("mu1")[0].as_py()]
+        mu, counts = mu / mu.sum(axis=0), np.zeros((3, 2))
+        for c in {e[0] for e in entries}:
+            of = [e for e in entries if e[0] == c][::-1]
+            rows = pa.table({"cell": [c] * len(of), "key": [1] * len(of), "eq_id": [c] * len(of), "place": [e[1] for e in of], "ref_id": pa.array([e[2] for e in of], pa.int32()),
+                             "prob": [e[3] for e in of], "n": [e[4] for e in of], "mu0": mu[[e[2] for e in of], 0], "mu1": mu[[e[2] for e in of], 1]})
+            drawn = replicates.drawing_counts(stream, i, 2)(rows)
+            counts[drawn.column("ref_id").to_numpy(), 0] += drawn.column("n0").to_numpy()
+            counts[drawn.column("ref_id").to_numpy(), 1] += drawn.column("n1").to_numpy()
+        out = mu * EFF[:, None]
+        found.append(out * 40 / out.sum(axis=0))
+    for x in range(3):
+        mine, b = np.array(found)[:, x].ravel(), want.get_group(x)
+        assert abs(mine.mean() - b.mean()) < 0.6 * max(mine.std(), b.std()) + 0.05 and mine.std() < 2 * b.std() + 0.1 and b.std() < 2 * mine.std() + 0.1
+
+
+def test_gibbs_with_its_state_as_a_table(spark, monkeypatch):
+    """Nothing by target comes to the driver, and partitions change nothing."""
+
+    def fail(*a, **k):
+        raise AssertionError("the state is on the driver")
+
+    c, t = frames(spark)
+    start = spark.createDataFrame(list(enumerate(WANT[1500])), "ref_id int, ecount double")
+    monkeypatch.setattr(em, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(replicates, "TARGETS", 1)
+    monkeypatch.setattr(replicates, "CELL", 2)
+    monkeypatch.setattr(replicates, "chains", lambda n: [2, 1])
+    monkeypatch.setattr(type(c), "toArrow", fail)
+    few = lambda df: replicates.gibbs_frames(df, t, start, 3, 1, seed=5).orderBy("rep", "ref_id").collect()
+    once = few(c)
+    assert once == few(c.repartition(3)) and [(r.rep, r.ref_id) for r in once] == [(i, j) for i in range(3) for j in range(3)]
+    assert [sum(r.value for r in once if r.rep == i) for i in range(3)] == pytest.approx([40.0] * 3)
+    assert len({r.value for r in once if r.ref_id == 0}) == 3
+    assert replicates.gibbs_tables(c, t.limit(0), start, 3).count() == 0 and replicates.gibbs_tables(c, t, start, 0).count() == 0
+    # without classes nothing has mass to scale to
+    assert {r.value for r in replicates.gibbs_tables(c.limit(0), t, start, 3, 1).collect()} == {0.0}
+
+
 def test_classes_are_dealt_by_fractions_times_probabilities():
     rng = np.random.default_rng(3)
     targets, probs, starts, n = np.array([0, 0, 1, 1, 2, 0, 1, 2]), np.array([1.0, 1, 3, 0.5, 0.5, 0, 0, 0]), np.array([0, 1, 3, 5, 8]), np.array([7, 40_000, 40_000, 9])
