@@ -9,6 +9,8 @@ evenly that no five words in a row are left (one word in five or six). All runs
 whole text. Hits of a template that lie near one diagonal are one candidate, which is aligned with the whole template
 within a band around that diagonal; what share of the template's words match is the coverage. The band is an eighth of
 the template, 12 words at least and a third of the template at most: words put in or left out beyond it split a match.
+A candidate is aligned only if enough of the template's words stand in its part of the text in any order, as no alignment
+matches more than those.
 """
 
 import bisect
@@ -78,13 +80,14 @@ def winnow(g: np.ndarray) -> np.ndarray:
 
 class Index:
     def __init__(self, templates: dict[str, str]):
-        self.names, self.tokens = sorted(templates), []
+        self.names, self.tokens, self.counts = sorted(templates), [], []
         postings, pairs = defaultdict(list), defaultdict(list)
         for i, name in enumerate(self.names):
             h = words(templates[name].encode())[0]
             if len(h) < GRAM:
                 raise ValueError(f"the template {name} has under {GRAM} words")
             self.tokens.append(h.tolist())
+            self.counts.append(np.unique(h, return_counts=True))
             g = grams(h)
             for p in range(len(g)) if len(h) < WHOLE else winnow(g).tolist():
                 postings[int(g[p])].append((i, p))
@@ -108,6 +111,12 @@ class Index:
                         out[template].append((d, p))
         return {template: sorted(found) for template, found in out.items()}
 
+    def most(self, template: int, h: np.ndarray) -> int:
+        """The words of ``h`` that any alignment with the template could match: those that both have, as often as both have them."""
+        known, counts = self.counts[template]
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return int(np.minimum(np.bincount(at[known[at] == h], minlength=len(known)), counts).sum())
+
     def matches(self, text: bytes, coverage: float = COVERAGE) -> list[tuple[int, int, str, float]]:
         """(start, end, template, coverage) in code points, by start, then end and name. Of overlapping matches of one
         template the best stays: the highest coverage, then the shortest, then the first; of matches of several templates
@@ -120,7 +129,10 @@ class Index:
             for group in candidates(hits, len(t), band):
                 diagonal = int(np.median([d - p for d, p in group]))
                 lo = max(0, diagonal - band)
-                matched = align(t, h[lo : max(0, diagonal + len(t) + band)].tolist(), diagonal - lo, band)
+                part = h[lo : max(0, diagonal + len(t) + band)]
+                if self.most(template, part) < coverage * len(t):
+                    continue
+                matched = align(t, part.tolist(), diagonal - lo, band)
                 if matched and len(matched) >= coverage * len(t):
                     passed.add((-len(matched), matched[-1] - matched[0], lo + matched[0]))
             for n, size, a in sorted(passed):

@@ -157,3 +157,32 @@ def test_the_best_of_overlapping_matches_stays():
     repeated = "é one two three four five six seven eight nine ten " * 50
     found = index.matches(repeated.encode())
     assert len(found) == 50 and all(repeated[a:b].startswith("one") and repeated[a:b].endswith("ten") for a, b, _, _ in found)
+
+
+def test_candidates_without_enough_words_are_not_aligned(monkeypatch):
+    calls, align = [], L.align
+    monkeypatch.setattr(L, "align", lambda *a: calls.append(1) or align(*a))
+    index = L.Index(L.TEMPLATES)
+    notice = L.TEMPLATES["gpl"].split(" ")
+    # the beginning of a notice, again and again, and one whole among them
+    many = " ".join(notice[:12] * 4000)
+    assert not [m for m in index.matches(many.encode()) if m[2] == "gpl"] and len(calls) < 10
+    assert [m[3] for m in index.matches(f"{many} {' '.join(notice)} {many}".encode()) if m[2] == "gpl"] == [1.0]
+
+
+def test_what_is_left_out_could_not_match():
+    """Against the same scan that aligns every candidate: texts of pieces of notices, in and out of order."""
+    rng, index, every = random.Random(21), L.Index(L.TEMPLATES), L.Index(L.TEMPLATES)
+    every.most = lambda template, h: 10**9
+    n_found = 0
+    for _ in range(150):
+        words = []
+        for name in rng.choices(sorted(L.TEMPLATES), k=3):
+            w = L.TEMPLATES[name].split(" ")
+            a = rng.randrange(len(w)) if rng.random() < 0.3 else 0
+            piece = w[a : a + rng.randint(4, len(w))]
+            words += piece if rng.random() < 0.8 else piece[::-1]
+        got = index.matches(" ".join(words).encode())
+        assert got == every.matches(" ".join(words).encode())
+        n_found += len(got)
+    assert n_found > 50

@@ -4,9 +4,11 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from test_llm_licenses import plain_best, plain_words
 from test_llm_tables import plain_groups
 from test_llm_text import check_packing, library, plain_base
 
@@ -82,13 +84,29 @@ def test_op5(spark, table):
 
 
 def test_op6(spark, table):
-    index = licenses.Index(licenses.TEMPLATES)
+    """Against whole alignments of each document with each template, without index, candidates and band."""
+    templates = {n: plain_words(t) for n, t in licenses.TEMPLATES.items()}
     got = {r.doc_id: r for r in run(spark, "op6_licenses")}
     named = 0
     for d in table("documents"):
         r, text = got.pop(d.doc_id), d.text or ""
-        found = index.matches(text.encode())
-        assert r.n_matches == len(found) and r.matches == ",".join(f"{t}:{a}:{b}:{round(share, 4)}" for a, b, t, share in found)
+        found = [(m[0], int(m[1]), int(m[2]), float(m[3])) for m in (x.split(":") for x in r.matches.split(",") if x)]
+        assert r.n_matches == len(found) and found == sorted(found, key=lambda m: (m[1], m[2], m[0]))
+        words = plain_words(text)
+        counts, best = Counter(words), {}
+        for name, t in templates.items():
+            # fewer common words than that can't be matched in any order
+            if sum((Counter(t) & counts).values()) >= licenses.COVERAGE * len(t):
+                n = plain_best(t, words)[1]
+                if n >= licenses.COVERAGE * len(t):
+                    best[name] = n
+        assert {m[0] for m in found} <= set(best)
+        for name, a, b, share in found:
+            n = plain_best(templates[name], plain_words(text[a:b]))[1]
+            assert share >= licenses.COVERAGE and abs(share * len(templates[name]) - n) <= 1 and n >= licenses.COVERAGE * len(templates[name])
+        for name, n in best.items():
+            # it is found, or another license with no fewer matched words is
+            assert any(m[0] == name and abs(m[3] * len(templates[name]) - n) <= 1 for m in found) or any(round(m[3] * len(templates[m[0]])) >= n for m in found), (d.doc_id, name)
         for name in ("mit-line", "apache-line", "gpl-line", "cc-by-nc-line"):
             line = licenses.TEMPLATES[name].rstrip(".")
             assert {f"{name}:{m.start()}:{m.end()}:1.0" for m in re.finditer(re.escape(line), text)} <= set(r.matches.split(","))
