@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from emtally.operators import exact as exact_sums
 from emtally.sources.shared import bucketed, written
 
 #: Rows of a table by target (and sample) that are broadcast: 16 to 24 bytes each.
@@ -99,13 +100,14 @@ def _converged_small(pairs: DataFrame, start: DataFrame, by: tuple[str, ...], ma
     return spark.createDataFrame(pa.Table.from_pandas(whole, schema=to_arrow_schema(schema), preserve_index=False), schema)
 
 
-def _converged_large(pairs: DataFrame, start: DataFrame, targets: DataFrame, by: tuple[str, ...], max_iter: int, convergence: float, presence: float, changes: list | None) -> DataFrame:
+def _converged_large(pairs: DataFrame, start: DataFrame, targets: DataFrame, by: tuple[str, ...], max_iter: int, convergence: float, presence: float, changes: list | None, exact: bool) -> DataFrame:
     """The same with the state as a table, written each step and joined by shuffles."""
     keys = [*by, "ref_id"]
     moving, moved, settled, n_moving = pairs, written(start, "abundance"), [], None
     increase = F.when(F.col("before") > presence, (F.col("a") - F.col("before")) / F.col("before"))
     for _ in range(max_iter):
-        new = written(em_step(moving, moved, targets, by).join(moved.withColumnRenamed("a", "before"), keys), "abundance")
+        stepped = exact_sums.em_step(moving, moved, LEAST_DENOMINATOR, by) if exact else em_step(moving, moved, targets, by)
+        new = written(stepped.join(moved.withColumnRenamed("a", "before"), keys), "abundance")
         moved = new.select(*keys, "a")
         change = new.groupBy(*by).agg(F.coalesce(F.max(increase), F.lit(0.0)).alias("change"))
         if not by:
@@ -131,19 +133,21 @@ def _converged_large(pairs: DataFrame, start: DataFrame, targets: DataFrame, by:
     return moved
 
 
-def em_frames(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, convergence: float = 1e-3, presence: float = 1e-8, by: tuple[str, ...] = (), changes: list | None = None) -> DataFrame:
+def em_frames(classes: DataFrame, targets: DataFrame, max_iter: int = 1500, convergence: float = 1e-3, presence: float = 1e-8, by: tuple[str, ...] = (), changes: list | None = None, exact: bool = False) -> DataFrame:
     """(*by, ref_id, ecount) by steps over DataFrames until the largest relative increase is small. With ``by``, columns of
     ``classes``, each sample is solved until it has converged itself. The state has a row per sample and target: up to
     BROADCAST_ROWS it goes to all tasks, and a step is one query; beyond, it is written each step and joined by a shuffle.
-    ``changes`` takes each iteration's increase."""
+    ``changes`` takes each iteration's increase. ``exact`` takes every sum exactly: then the same classes give the same
+    result, bit for bit, over any partitions, and as many iterations; the state is a table at every size."""
     pairs, start = bucketed(incidence(classes, targets, by), "incidence", "eq_id"), uniform(targets, classes, by)
-    small = is_small(start)
+    small = not exact and is_small(start)
     if small:
         moved = _converged_small(pairs, start, by, max_iter, convergence, presence, changes)
     else:
-        moved = _converged_large(pairs, start, targets, by, max_iter, convergence, presence, changes)
+        moved = _converged_large(pairs, start, targets, by, max_iter, convergence, presence, changes, exact)
     kept = moved.select(*by, "ref_id", F.when(F.col("a") < presence, 0.0).otherwise(F.col("a")).alias("a"))
-    return em_step(pairs, kept, targets, by, small).withColumnRenamed("a", "ecount")
+    last = exact_sums.em_step(pairs, kept, LEAST_DENOMINATOR, by) if exact else em_step(pairs, kept, targets, by, small)
+    return last.withColumnRenamed("a", "ecount")
 
 
 @dataclass

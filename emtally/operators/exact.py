@@ -50,12 +50,14 @@ def exact_sum(df: DataFrame, keys: list[str], value: Column, name: str) -> DataF
     return each.mapInArrow(total, schema)
 
 
-def em_step(pairs: DataFrame, abundance: DataFrame, least: float) -> DataFrame:
-    """(ref_id, a) after a step of the EM from ``abundance``, every sum exact: bit for bit the same over any partitions."""
-    weighted = pairs.join(abundance, "ref_id").select("eq_id", "n", "ref_id", (F.col("w") * F.col("a")).alias("w"))
+def em_step(pairs: DataFrame, abundance: DataFrame, least: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, ref_id, a) after a step of the EM from ``abundance``, every sum exact: bit for bit the same over any partitions.
+    eq_id tells classes of all samples apart; classes with a denominator of ``least`` or less are skipped."""
+    keys = [*by, "ref_id"]
+    weighted = pairs.join(abundance, keys).select(*keys, "eq_id", "n", (F.col("w") * F.col("a")).alias("w"))
     denominators = exact_sum(weighted, ["eq_id"], F.col("w"), "denominator").where(F.col("denominator") > least)
-    given = exact_sum(weighted.join(denominators, "eq_id"), ["ref_id"], F.col("n") * F.col("w") / F.col("denominator"), "a")
-    return abundance.select("ref_id").join(given, "ref_id", "left").select("ref_id", F.coalesce("a", F.lit(0.0)).alias("a"))
+    given = exact_sum(weighted.join(denominators, "eq_id"), keys, F.col("n") * F.col("w") / F.col("denominator"), "a")
+    return abundance.select(*keys).join(given, keys, "left").select(*keys, F.coalesce("a", F.lit(0.0)).alias("a"))
 
 
 def tpm(estimates: DataFrame) -> DataFrame:

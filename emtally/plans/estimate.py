@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emtally.config import QuantOptions
 from emtally.functions import fraglen, libtype
 from emtally.operators import classes as eq
-from emtally.operators import em, mappings, replicates
+from emtally.operators import em, exact, mappings, replicates
 from emtally.operators.tpm import tpm
 from emtally.sources import sinks
 from emtally.sources.alignments import flatten, fragments, signatures
@@ -40,10 +40,13 @@ def quantify(alignments: DataFrame, targets: DataFrame, options: QuantOptions, p
     """Estimates counts and TPM of ``targets`` (ref_id dense from 0) from ``alignments``.
 
     ``solver``: "frames" solves the classes, and draws replicates, by DataFrame steps; "arrays" in tasks that hold all
-    classes, for samples whose classes fit one.
+    classes, for samples whose classes fit one. "exact" is "frames" with exact sums in the estimation and TPM: the same classes
+    give the same counts and TPM to the last bit, however they are partitioned; replicates are as for "frames".
     The order is that of a sequential run: library type from the first fragments, length distribution from the first
     unique ones, classes from all, effective lengths from all unique ones (from the options if unpaired), EM, TPM, replicates."""
     spark = alignments.sparkSession
+    if solver not in ("frames", "exact", "arrays"):
+        raise ValueError(f"there is no solver {solver}")
     if not paired and options.fld_mean is None:
         raise ValueError("unpaired input needs fld_mean and fld_sd")
     if paired and options.fld_mean is not None:
@@ -73,18 +76,18 @@ def quantify(alignments: DataFrame, targets: DataFrame, options: QuantOptions, p
     classes = written(eq.packed(found, bins), "classes")
     lengths = written(fraglen.effective_lengths(targets, means), "targets")
     limits = {"max_iter": options.max_iter, "convergence": options.convergence_thresh, "presence": options.presence_thresh}
-    if solver == "frames":
-        counts = em.em_frames(classes, lengths, **limits)
+    if solver != "arrays":
+        counts = em.em_frames(classes, lengths, exact=solver == "exact", **limits)
     else:
         counts = em.em_groups(classes.withColumn("sample_id", F.lit("0")), lengths, **limits).drop("sample_id")
     counts = written(counts, "counts")
-    quant = tpm(lengths.join(counts, "ref_id", "left").withColumn("ecount", F.coalesce("ecount", F.lit(0.0))))
+    quant = (exact.tpm if solver == "exact" else tpm)(lengths.join(counts, "ref_id", "left").withColumn("ecount", F.coalesce("ecount", F.lit(0.0))))
     if not counts.agg(F.sum("ecount")).first()[0]:
         warnings.warn("no target has any count: all TPM are 0", stacklevel=2)
     drawn, method = None, "none"
-    if options.num_bootstraps and solver == "frames":
+    if options.num_bootstraps and solver != "arrays":
         drawn, method = replicates.bootstrap_frames(classes, lengths, options.num_bootstraps, seed, **limits), "bootstrap"
-    elif options.num_gibbs_samples and solver == "frames":
+    elif options.num_gibbs_samples and solver != "arrays":
         drawn, method = replicates.gibbs_frames(classes, lengths, counts, options.num_gibbs_samples, options.gibbs_thinning_factor, seed), "gibbs"
     elif options.num_bootstraps or options.num_gibbs_samples:
         packed = replicates.packed_of(classes)

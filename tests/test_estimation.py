@@ -368,6 +368,15 @@ def test_large_states_are_written_and_joined_by_a_shuffle(spark, monkeypatch):
         em.em_groups(both, t)
 
 
+def test_quantify_by_exact_sums(spark):
+    a, t = src.fixture_alignments(spark, "/root/testdata/sf0.001").where("frag_id < 200"), src.fixture_targets(spark, "/root/testdata/sf0.001")
+    options = QuantOptions(lib_type="IU", max_iter=2)
+    both = [estimate.quantify(a, t, options, solver=s).quant.orderBy("ref_id").select("ecount", "tpm").collect() for s in ("frames", "exact")]
+    assert [x for r in both[1] for x in r] == pytest.approx([x for r in both[0] for x in r], rel=1e-9) and sum(r.tpm for r in both[1]) == pytest.approx(1e6)
+    with pytest.raises(ValueError):
+        estimate.quantify(a, t, options, solver="other")
+
+
 def test_schema_errors(spark):
     a = spark.createDataFrame([(1, 0, 0, 0, 1, 0, False)], ALIGNED)
     assert src.conform(a.withColumn("extra", F.lit("x")).withColumn("ref_id", F.col("ref_id").cast("long")), src.ALIGNMENTS, "alignments").columns == list(src.ALIGNMENTS)

@@ -7,6 +7,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,20 @@ def chunked(spark, tmp_path_factory):
     return path, a, t
 
 
+def test_estimation_by_exact_sums(spark):
+    """Several steps, the test of convergence and the last step: the same bits over any partitions, for each of two samples."""
+    rng = np.random.default_rng(8)
+    rows = [(s, sorted(rng.choice(12, rng.integers(1, 5), replace=False).tolist()), int(rng.integers(1, 90))) for s in ("x", "y") for _ in range(60)]
+    data = [(s, t, rng.random(len(t)).tolist(), n) for s, t, n in rows] + [("x", [], [], 7)]
+    classes = spark.createDataFrame(data, "sample_id string, targets array<int>, probs array<double>, n long")
+    targets = spark.createDataFrame([(i, float(100 + 37 * i)) for i in range(12)], "ref_id int, eff_len double")
+    limits = {"by": ("sample_id",), "max_iter": 2, "convergence": 0.2}
+    found = [sorted(em.em_frames(classes.repartition(n), targets.repartition(n), exact=True, **limits).collect()) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == 24
+    plain = sorted(em.em_frames(classes, targets, **limits).collect())
+    assert [r[:2] for r in plain] == [r[:2] for r in found[0]] and [r.ecount for r in plain] == pytest.approx([r.ecount for r in found[0]], rel=1e-9)
+
+
 def test_chunks_round_trip(spark, chunked):
     path, a, t = chunked
     header, targets, rows = chunks.read_chunks(spark, path, 4096)
