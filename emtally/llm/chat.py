@@ -90,11 +90,13 @@ def format_chat(conversations: DataFrame, template: ChatTemplate = ChatTemplate(
 
 def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
     """Adds ``read_turns`` (array<struct<role,text>>, parsed from ``formatted`` alone) and ``loss_text``
-    (the unescaped text of all segments with a loss flag, in order, nothing between)."""
+    (the unescaped text under the loss flags, in order, nothing between). It is cut from ``formatted`` too: a turn has three segments,
+    what opens it, its text and what closes it, so the text of the i-th turn that is read is under the flag of segment 3 i + 1."""
     pieces = F.filter(F.split("formatted", F.concat(F.lit("\\Q"), F.lit(template.close), F.lit("\\E")), -1), lambda p: p != "")
     body = lambda p: F.substr(p, F.lit(len(template.open) + 1))
     role = lambda p: F.substring_index(body(p), template.after_role, 1)
-    return formatted.withColumn(
+    flags = F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"])
+    return formatted.withColumn("flags", flags).withColumn(
         "read_turns",
         F.transform(
             pieces,
@@ -103,4 +105,4 @@ def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
                 _unescape(F.substr(p, F.length(role(p)) + len(template.open) + len(template.after_role) + 1), template.escapes).alias("text"),
             ),
         ),
-    ).withColumn("loss_text", F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: _unescape(s["text"], template.escapes)), ""))
+    ).withColumn("loss_text", F.array_join(F.transform(F.filter("read_turns", lambda t, i: F.get("flags", i)), lambda t: t["text"]), "")).drop("flags")

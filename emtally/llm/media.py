@@ -1,9 +1,9 @@
 """Media columns: payloads stored losslessly as PNG images, and documents as interleaved sequences of text and media.
 
 A document is HTML. ``interleave`` parses it into an ordered sequence of structs, each a text or a reference to
-media with its caption; ``resolve`` joins the references' digests with stored media and keeps each reference
-at its position. Payload bytes never pass a shuffle: media are stored where their document is read, features
-are computed where the stored bytes are read back, and only digests, positions and features are exchanged.
+media with its caption; ``resolve`` joins the references' digests with stored media, or what was computed of them, and keeps
+each reference at its position. In ``media_documents`` neither payloads nor texts pass a shuffle: media are stored where their document is
+read, features are computed where the stored bytes are read back, and only digests, positions and features are exchanged.
 """
 
 import hashlib
@@ -14,8 +14,9 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from emtally.llm.tables import new_path, small_batches, written
 
@@ -29,7 +30,7 @@ CAPTION = 60
 _HIDDEN = ("script", "style")
 _MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "media"}
 
-SEQUENCE = "doc_id long, pos int, kind string, text string, digest string, caption string"
+ITEM = StructType([StructField("pos", IntegerType()), *(StructField(c, StringType()) for c in ("kind", "text", "digest", "caption"))])
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -156,35 +157,41 @@ def parse_sequence(page: str) -> list[list]:
 
 
 def document_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, html) of each row: its text's lines as paragraphs and, after the first half of them, a figure that refers to
-    the text's payload by digest, with the text's first CAPTION characters as its caption."""
+    """(doc_id, text_sha256, html) of each row: its text's lines as paragraphs and, after the first half of them, a figure that
+    refers to the text's payload by digest, with the text's first CAPTION characters as its caption."""
     text = F.coalesce("text", F.lit(""))
-    safe = text
-    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        safe = F.replace(safe, F.lit(plain), F.lit(entity))
-    lines = documents.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest"), F.substr(text, F.lit(1), F.lit(CAPTION)).alias("said"), F.filter(F.split(safe, "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    lines = documents.select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_sha256"), _safe(F.substr(text, F.lit(1), F.lit(CAPTION))).alias("said"), F.filter(F.split(_safe(text), "\n"), lambda x: F.trim(x) != "").alias("lines"))
     half = F.ceil(F.size("lines") / 2).cast("int")
     paragraphs = lambda part: F.array_join(F.transform(part, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
-    said = F.col("said")
-    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        said = F.replace(said, F.lit(plain), F.lit(entity))
-    figure = F.concat(F.lit('<figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), said, F.lit("</figcaption></figure>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.col("text_sha256"), F.lit('"><figcaption>'), F.col("said"), F.lit("</figcaption></figure>"))
     after = F.slice("lines", half + 1, F.size("lines"))
-    return lines.select("doc_id", F.concat(F.lit("<article>"), paragraphs(F.slice("lines", F.lit(1), half)), figure, paragraphs(after), F.lit("</article>")).alias("html"))
+    return lines.select("doc_id", "text_sha256", F.concat(F.lit("<article>"), paragraphs(F.slice("lines", F.lit(1), half)), figure, paragraphs(after), F.lit("</article>")).alias("html"))
+
+
+def _safe(text: Column) -> Column:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
 
 
-def interleave(pages: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """One row per item of each page (doc_id, html), or per item of ``kinds``: doc_id, pos (from 0, among all items), kind, text, digest, caption.
+def interleave(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per item of each page (``keys``, html): the keys, pos (from 0), kind, text, digest, caption.
     A null or empty html has no item; repeated rows repeat their items; markup that isn't closed ends with the page."""
+    schema = StructType([pages.schema[k] for k in keys] + ITEM.fields)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(d, i, *item) for d, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, item in enumerate(parse_sequence(page or "")) if not kinds or item[0] in kinds]
-            for i in range(0, len(out), 4096):
-                cols = list(zip(*out[i : i + 4096]))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.string()] * 4))], names=["doc_id", "pos", "kind", "text", "digest", "caption"])
+            of, items = [], []
+            for i, page in enumerate(batch.column(len(keys)).to_pylist()):
+                found = parse_sequence(page or "")
+                of.extend([i] * len(found))
+                items.extend((pos, *item) for pos, item in enumerate(found))
+            for i in range(0, len(items), 4096):
+                held = batch.select(list(range(len(keys)))).take(pa.array(of[i : i + 4096]))
+                columns = [pa.array(c, t) for c, t in zip(zip(*items[i : i + 4096]), (pa.int32(), *[pa.string()] * 4))]
+                yield pa.record_batch(held.columns + columns, names=schema.names)
 
-    return pages.select("doc_id", "html").mapInArrow(parse, SEQUENCE)
+    return pages.select(*keys, "html").mapInArrow(parse, schema)
 
 
 def store_media(documents: DataFrame) -> DataFrame:
@@ -238,16 +245,41 @@ def media_features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(read, FEATURES).groupBy("digest").agg(*[F.first(x.split()[0]).alias(x.split()[0]) for x in FEATURES.split(", ")[1:]])
 
 
-def resolve(sequences: DataFrame, features: DataFrame) -> DataFrame:
-    """Each item of ``sequences`` with the features of the media it refers to (null for texts and for digests
-    without media). ``features`` must be a written table: then Spark may split a digest that many items share."""
-    return sequences.join(features, "digest", "left")
+def resolve(sequences: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each item of ``sequences`` with what ``stored`` has of the media it refers to (null for texts and for digests
+    without media): features, or the media themselves, a row per digest. ``stored`` must be a written table: then Spark may
+    split a digest that many items share. Texts, which refer to nothing, are spread over all tasks by a second key."""
+    spread = F.when(F.col("digest").isNull(), F.xxhash64("doc_id", "pos", "text")).otherwise(F.lit(0).cast("long"))
+    return sequences.withColumn("spread", spread).join(stored.withColumn("spread", F.lit(0).cast("long")), ["digest", "spread"], "left").drop("spread")
 
 
-def media_documents(documents: DataFrame) -> DataFrame:
-    """Stores every whole text as media and returns the media item of its document's sequence (``document_pages``), resolved:
-    doc_id, pos, caption and the columns of FEATURES; pos is the number of paragraphs before it. Equal texts have equal
-    rows but for doc_id. Null texts are empty; repeated rows give repeated rows; an empty table an empty result."""
+def media_sequences(documents: DataFrame) -> DataFrame:
+    """Stores every whole text as media and returns all items of the documents' sequences (``document_pages``), resolved:
+    doc_id, text_sha256 (of the document), pos, kind, text, item_sha256 (of a text's UTF-8, binary), digest, caption and the
+    columns of FEATURES. A null text is empty: its sequence is its media alone. Repeated rows repeat their items."""
     small_batches(documents.sparkSession)
     features = written(media_features(store_media(documents)), "media-features")
-    return resolve(interleave(document_pages(documents), ("image",)), features)
+    items = interleave(document_pages(documents), ("doc_id", "text_sha256"))
+    return resolve(items.withColumn("item_sha256", F.unhex(F.sha2(F.col("text").cast("binary"), 256))), features)
+
+
+def media_documents(documents: DataFrame) -> DataFrame:
+    """One row per row of ``documents``, from its resolved sequence: doc_id, the columns of FEATURES and ``pos`` and ``caption`` of
+    its media item (pos is the number of paragraphs before it), ``n_items`` and ``sequence_sha256``, of a line per item in
+    order: kind, digest of the text or of the payload that was read back (empty without media), digest of the caption (or ``-``),
+    joined by blanks. No text is shuffled for it, only digests. Equal texts have equal rows but for doc_id; repeated rows,
+    which are one group here, are given as often as they are there; an empty table an empty result."""
+    items = media_sequences(documents)
+    held = F.coalesce(F.hex("item_sha256"), F.upper("payload_sha256"), F.lit(""))
+    line = F.concat_ws(" ", "kind", F.lower(held), F.coalesce(F.sha2(F.col("caption").cast("binary"), 256), F.lit("-")))
+    columns = ["pos", "caption", *(x.split()[0] for x in FEATURES.split(", ")[1:])]
+    media = F.when(F.col("digest") == F.col("text_sha256"), F.struct(*columns))
+    found = (
+        items.withColumn("line", F.struct("pos", line.alias("said")))
+        .groupBy("doc_id", "text_sha256")
+        # an item of each place once, however often the row is repeated; each has one at the first place
+        .agg(F.array_sort(F.collect_set("line")).alias("lines"), F.count(F.when(F.col("pos") == 0, 1)).alias("rows"), F.first(media, ignorenulls=True).alias("media"))
+    )
+    sequence = F.sha2(F.array_join(F.transform("lines", lambda x: x["said"]), "\n").cast("binary"), 256)
+    one = found.select("doc_id", "rows", "media.*", F.size("lines").cast("long").alias("n_items"), sequence.alias("sequence_sha256"))
+    return one.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("row", "rows")

@@ -44,7 +44,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_documents(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_items", "sequence_sha256")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

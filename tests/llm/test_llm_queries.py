@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from test_llm_licenses import plain_best, plain_words
-from test_llm_tables import plain_groups
+from test_llm_tables import plain_groups, plain_sequence
 from test_llm_text import check_packing, library, plain_base
 
 from emtally.llm import chat, licenses, queries, tokens
@@ -79,6 +79,7 @@ def test_op5(spark, table):
         data = (d.text or "").encode()
         padded, r = data.ljust(max(192, -(-len(data) // 192) * 192)), got.pop(d.doc_id)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), sha(padded), zlib.crc32(padded[-16:]))
+        assert (r.n_items, r.sequence_sha256) == plain_sequence(d.text or "")
         assert features.setdefault(d.text or "", tuple(r)[1:]) == tuple(r)[1:] and re.fullmatch("[0-9a-f]{64}", r.media_sha256) and r.media_bytes > 0
     assert not got
 

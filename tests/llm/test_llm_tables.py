@@ -305,6 +305,17 @@ def test_archives_of_repeated_and_null_ids(spark, monkeypatch):
     assert {(h["WARC-Target-URI"], h["WARC-Refers-To-Target-URI"]) for h in heads if "WARC-Refers-To" in h} == {("http://a", "http://b"), ("http://d", "http://b"), ("http://g", "http://c")}
 
 
+def plain_sequence(text):
+    """Number of items and digest of a document's sequence, from its lines, without HTML."""
+    sha, data = lambda x: hashlib.sha256(x).hexdigest(), text.encode()
+    payload = data.ljust(max(192, -(-len(data) // 192) * 192))
+    said = [" ".join(x.split()) for x in text.split("\n") if x.strip(" ")]
+    items = [f"text {sha(x.encode())} -" if x else None for x in said]
+    items.insert(-(-len(items) // 2), f"image {sha(payload)} {sha(' '.join(text[:60].split()).encode())}")
+    items = [x for x in items if x]
+    return len(items), sha("\n".join(items).encode())
+
+
 def test_media(spark):
     texts = ["", None, "a", "same text", "same text", "é" * 96, "x" * 192, "y" * 193, "long " * 30000, "one\n\ntwo <b>&amp; & </figure><!-- \n \nthree\n\tfour\nfive", "</figcaption><img src='a'>\n" * 9]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "n"), (3, "same text")]
@@ -320,6 +331,8 @@ def test_media(spark):
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.from_png(stored) == (padded, len(data))
         lines = [x for x in (t or "").split("\n") if x.split()]
         assert r.caption == " ".join((t or "")[:60].split()) and r.pos == -(-len(lines) // 2)
+        assert (r.n_items, r.sequence_sha256) == plain_sequence(t or "")
+    assert len({r.sequence_sha256 for r in got}) == len({t or "" for _, t in rows})
     assert by[0].feature == by[1].feature and by[3].feature == by[4].feature
     assert media.media_documents(docs(spark, rows).limit(0)).count() == 0
 
@@ -341,6 +354,44 @@ def test_the_document_is_in_its_sequence(spark):
     assert [(r.doc_id, r.kind) for r in items if r.doc_id > 1] == [(2, "image"), (3, "image")]
 
 
+def test_sequences_are_resolved_in_place(spark):
+    text = "one\ntwo\nthree"
+    rows = [(1, text), (2, "three"), (2, "three"), (None, None)]
+    items = media.media_sequences(docs(spark, rows)).collect()
+    assert sorted((r.pos, r.kind, r.text) for r in items if r.doc_id == 1) == [(0, "text", "one"), (1, "text", "two"), (2, "image", None), (3, "text", "three")]
+    assert sum(r.doc_id == 2 for r in items) == 4 and [(r.kind, r.n_bytes) for r in items if r.doc_id is None] == [("image", 0)]
+    # a text whose digest is that of stored media refers to none
+    assert all((r.n_bytes is None) == (r.kind == "text") for r in items) and [r.n_bytes for r in items if r.kind == "image" and r.doc_id == 1] == [len(text)]
+    # the media themselves, and a reference to what isn't stored
+    page = '<p>a</p><img src="sha256:%s"><p>b</p><img src="sha256:00" alt="gone">' % hashlib.sha256(b"three").hexdigest()
+    pages = spark.createDataFrame([(7, page)], "doc_id long, html string")
+    found = media.resolve(media.interleave(pages), media.store_media(docs(spark, rows[:2]))).orderBy("pos").collect()
+    assert [(r.kind, r.text, r.caption, r.media and media.from_png(r.media)[0].rstrip()) for r in found] == [
+        ("text", "a", None, None), ("image", None, None, b"three"), ("text", "b", None, None), ("image", None, "gone", None),
+    ]
+
+
+def test_no_text_is_shuffled_for_sequences(spark):
+    kept = [o.name() for o in _outputs(plan_of(media.media_documents(docs(spark, [(1, "one")]))))]
+    assert kept and not {"text", "html", "media"} & set(kept)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan()
+
+
+def _outputs(plan):
+    """The columns of what each join takes from its left side, its exchange's input."""
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        children = [p.children().apply(i) for i in range(p.children().size())]
+        if "Join" in p.nodeName():
+            out += [children[0].output().apply(i) for i in range(children[0].output().size())]
+        todo += children
+    return out
+
+
 def test_open_captions_lose_no_text():
     p = media.parse_sequence
     assert p('<figure><img src="a"><figcaption>cap <i>x</i>') == [["image", None, "a", "cap x"]]
