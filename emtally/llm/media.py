@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from emtally.llm.tables import new_path, small_batches, written
 
@@ -30,7 +30,7 @@ CAPTION = 60
 _HIDDEN = ("script", "style")
 _MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "media"}
 
-ITEM = StructType([StructField("pos", IntegerType()), *(StructField(c, StringType()) for c in ("kind", "text", "digest", "caption"))])
+SPAN = "span int, pos int, texts array<string>, kind string, digest string, caption string"
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -174,26 +174,52 @@ def _safe(text: Column) -> Column:
     return text
 
 
-def interleave(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per item of each page (``keys``, html): the keys, pos (from 0), kind, text, digest, caption.
-    A null or empty html has no item; repeated rows repeat their items; markup that isn't closed ends with the page."""
-    schema = StructType([pages.schema[k] for k in keys] + ITEM.fields)
+def spans(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The sequence of each page (``keys``, html) in rows of a media reference and the texts before it: the keys, span (from 0), pos (of its
+    first item among all, from 0), texts, kind, digest, caption. Texts after the last reference are a span without one. A null or
+    empty html has none; repeated rows repeat theirs; markup that isn't closed ends with the page."""
+    schema = StructType([pages.schema[k] for k in keys] + StructType.fromDDL(SPAN).fields)
+    types = (pa.int32(), pa.int32(), pa.list_(pa.string()), *[pa.string()] * 3)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, items = [], []
+            of, rows = [], []
             for i, page in enumerate(batch.column(len(keys)).to_pylist()):
-                found = parse_sequence(page or "")
-                of.extend([i] * len(found))
-                items.extend((pos, *item) for pos, item in enumerate(found))
-            for i in range(0, len(items), 4096):
+                span, start, texts = 0, 0, []
+                for pos, (kind, text, digest, caption) in enumerate(parse_sequence(page or "")):
+                    if kind == "text":
+                        texts.append(text)
+                        continue
+                    of.append(i)
+                    rows.append((span, start, texts, kind, digest, caption))
+                    span, start, texts = span + 1, pos + 1, []
+                if texts:
+                    of.append(i)
+                    rows.append((span, start, texts, None, None, None))
+            for i in range(0, len(rows), 4096):
                 held = batch.select(list(range(len(keys)))).take(pa.array(of[i : i + 4096]))
-                columns = [pa.array(c, t) for c, t in zip(zip(*items[i : i + 4096]), (pa.int32(), *[pa.string()] * 4))]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096]), types)]
                 yield pa.record_batch(held.columns + columns, names=schema.names)
 
     return pages.select(*keys, "html").mapInArrow(parse, schema)
 
 
+def items(sequences: DataFrame) -> DataFrame:
+    """``spans``, resolved or not, in one row per item: pos (from 0, among all of its page), kind, text, digest, caption, and other columns as they
+    are, null for texts."""
+    others = [c for c in sequences.columns if c not in {"span", "pos", "texts", "kind", "digest", "caption"}]
+    keys, found = others[: sequences.columns.index("span")], others[sequences.columns.index("span") :]
+    text = lambda t, i: F.struct((F.col("pos") + i).alias("pos"), F.lit("text").alias("kind"), t.alias("text"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("caption"))
+    media = F.struct((F.col("pos") + F.size("texts")).alias("pos"), "kind", F.lit(None).cast("string").alias("text"), "digest", "caption")
+    every = F.concat(F.transform("texts", text), F.when(F.col("kind").isNotNull(), F.array(media)).otherwise(F.array().cast("array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>")))
+    return sequences.select(*keys, F.explode(every).alias("item"), *found).select(*keys, "item.*", *(F.when(F.col("item.kind") != "text", F.col(c)).alias(c) for c in found))
+
+
+def interleave(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per item of each page (``keys``, html), a text or a media reference: the keys, pos, kind, text, digest, caption."""
+    return items(spans(pages, keys))
+
+
 def store_media(documents: DataFrame) -> DataFrame:
     """A written table (digest string, media binary): each distinct text of a task once, padded and as a PNG.
     ``digest`` is the SHA-256 of the UTF-8 text; a null text is empty. The same text in two tasks is stored by both."""
@@ -246,40 +272,42 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, stored: DataFrame) -> DataFrame:
-    """Each item of ``sequences`` with what ``stored`` has of the media it refers to (null for texts and for digests
-    without media): features, or the media themselves, a row per digest. ``stored`` must be a written table: then Spark may
-    split a digest that many items share. Texts, which refer to nothing, are spread over all tasks by a second key."""
-    spread = F.when(F.col("digest").isNull(), F.xxhash64("doc_id", "pos", "text")).otherwise(F.lit(0).cast("long"))
-    return sequences.withColumn("spread", spread).join(stored.withColumn("spread", F.lit(0).cast("long")), ["digest", "spread"], "left").drop("spread")
+    """``sequences`` (of spans, or of items) with what ``stored`` has of the media that each row refers to, null for rows that refer to none
+    and for digests without media. ``stored`` has features, or the media themselves, a row per digest, and must be a written table: then
+    Spark may split a digest that many rows share. Rows without a reference are spread over all tasks by a second key."""
+    spread = F.when(F.col("digest").isNull(), F.xxhash64("doc_id", "pos")).otherwise(F.lit(0).cast("long"))
+    joined = sequences.withColumn("spread", spread).join(stored.withColumn("spread", F.lit(0).cast("long")), ["digest", "spread"], "left")
+    return joined.select(*sequences.columns, *(c for c in stored.columns if c != "digest"))
 
 
 def media_sequences(documents: DataFrame) -> DataFrame:
-    """Stores every whole text as media and returns all items of the documents' sequences (``document_pages``), resolved:
-    doc_id, text_sha256 (of the document), pos, kind, text, item_sha256 (of a text's UTF-8, binary), digest, caption and the
-    columns of FEATURES. A null text is empty: its sequence is its media alone. Repeated rows repeat their items."""
+    """Stores every whole text as media and returns the spans of the documents' sequences (``document_pages``), resolved: doc_id,
+    text_sha256 (of the document, binary), the columns of SPAN, those of FEATURES, n_texts and texts_sha256, a digest of the span's texts. ``items`` gives it by
+    items. A null text is empty: its sequence is its media alone. Repeated rows repeat their spans."""
     small_batches(documents.sparkSession)
     features = written(media_features(store_media(documents)), "media-features")
-    items = interleave(document_pages(documents), ("doc_id", "text_sha256"))
-    return resolve(items.withColumn("item_sha256", F.unhex(F.sha2(F.col("text").cast("binary"), 256))), features)
+    pages = document_pages(documents).withColumn("text_sha256", F.unhex("text_sha256"))
+    said = F.array_join(F.transform("texts", lambda t: F.sha2(t.cast("binary"), 256)), " ")
+    return resolve(spans(pages, ("doc_id", "text_sha256")).withColumn("n_texts", F.size("texts")).withColumn("texts_sha256", F.unhex(F.sha2(said.cast("binary"), 256))), features)
 
 
 def media_documents(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents``, from its resolved sequence: doc_id, the columns of FEATURES and ``pos`` and ``caption`` of
-    its media item (pos is the number of paragraphs before it), ``n_items`` and ``sequence_sha256``, of a line per item in
-    order: kind, digest of the text or of the payload that was read back (empty without media), digest of the caption (or ``-``),
+    its media item (pos is the number of paragraphs before it), ``n_items`` and ``sequence_sha256``, of a line per span in
+    order: digest of its texts' digests, kind, digest of the payload that was read back, digest of the caption (the latter three empty where there is none),
     joined by blanks. No text is shuffled for it, only digests. Equal texts have equal rows but for doc_id; repeated rows,
     which are one group here, are given as often as they are there; an empty table an empty result."""
-    items = media_sequences(documents)
-    held = F.coalesce(F.hex("item_sha256"), F.upper("payload_sha256"), F.lit(""))
-    line = F.concat_ws(" ", "kind", F.lower(held), F.coalesce(F.sha2(F.col("caption").cast("binary"), 256), F.lit("-")))
-    columns = ["pos", "caption", *(x.split()[0] for x in FEATURES.split(", ")[1:])]
-    media = F.when(F.col("digest") == F.col("text_sha256"), F.struct(*columns))
+    rows = media_sequences(documents).withColumn("n", F.col("n_texts") + F.col("kind").isNotNull().cast("int"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    line = F.concat_ws(" ", F.lower(F.hex("texts_sha256")), blank(F.col("kind")), blank(F.col("payload_sha256")), blank(F.sha2(F.col("caption").cast("binary"), 256)))
+    held = F.struct((F.col("pos") + F.col("n_texts")).alias("pos"), "caption", *(x.split()[0] for x in FEATURES.split(", ")[1:]))
     found = (
-        items.withColumn("line", F.struct("pos", line.alias("said")))
+        rows.withColumn("line", F.struct("span", line.alias("said"), "n"))
         .groupBy("doc_id", "text_sha256")
-        # an item of each place once, however often the row is repeated; each has one at the first place
-        .agg(F.array_sort(F.collect_set("line")).alias("lines"), F.count(F.when(F.col("pos") == 0, 1)).alias("rows"), F.first(media, ignorenulls=True).alias("media"))
+        # a span of each place once, however often the row is repeated; each has one at the first place
+        .agg(F.array_sort(F.collect_set("line")).alias("lines"), F.count(F.when(F.col("span") == 0, 1)).alias("rows"), F.first(F.when(F.col("kind").isNotNull(), held), ignorenulls=True).alias("media"))
     )
     sequence = F.sha2(F.array_join(F.transform("lines", lambda x: x["said"]), "\n").cast("binary"), 256)
-    one = found.select("doc_id", "rows", "media.*", F.size("lines").cast("long").alias("n_items"), sequence.alias("sequence_sha256"))
+    n = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    one = found.select("doc_id", "rows", "media.*", n.alias("n_items"), sequence.alias("sequence_sha256"))
     return one.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("row", "rows")
