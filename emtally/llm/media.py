@@ -293,8 +293,8 @@ def media_sequences(documents: DataFrame) -> DataFrame:
 
 def media_documents(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents``, from its resolved sequence: doc_id, the columns of FEATURES and ``pos`` and ``caption`` of
-    its media item (pos is the number of paragraphs before it), ``n_items`` and ``sequence_sha256``, of a line per span in
-    order: digest of its texts' digests, kind, digest of the payload that was read back, digest of the caption (the latter three empty where there is none),
+    its media item (pos is the number of paragraphs before it), ``n_items`` and ``sequence_sha256``, of the digests, in order, of a
+    line per span: digest of its texts' digests, kind, digest of the payload that was read back, digest of the caption (the latter three empty where there is none),
     joined by blanks. No text is shuffled for it, only digests. Equal texts have equal rows but for doc_id; repeated rows,
     which are one group here, are given as often as they are there; an empty table an empty result."""
     rows = media_sequences(documents).withColumn("n", F.col("n_texts") + F.col("kind").isNotNull().cast("int"))
@@ -302,12 +302,12 @@ def media_documents(documents: DataFrame) -> DataFrame:
     line = F.concat_ws(" ", F.lower(F.hex("texts_sha256")), blank(F.col("kind")), blank(F.col("payload_sha256")), blank(F.sha2(F.col("caption").cast("binary"), 256)))
     held = F.struct((F.col("pos") + F.col("n_texts")).alias("pos"), "caption", *(x.split()[0] for x in FEATURES.split(", ")[1:]))
     found = (
-        rows.withColumn("line", F.struct("span", line.alias("said"), "n"))
+        rows.withColumn("line", F.struct("span", F.unhex(F.sha2(line, 256)).alias("said"), "n"))
         .groupBy("doc_id", "text_sha256")
         # a span of each place once, however often the row is repeated; each has one at the first place
         .agg(F.array_sort(F.collect_set("line")).alias("lines"), F.count(F.when(F.col("span") == 0, 1)).alias("rows"), F.first(F.when(F.col("kind").isNotNull(), held), ignorenulls=True).alias("media"))
     )
-    sequence = F.sha2(F.array_join(F.transform("lines", lambda x: x["said"]), "\n").cast("binary"), 256)
+    sequence = F.sha2(F.array_join(F.transform("lines", lambda x: F.lower(F.hex(x["said"]))), "\n").cast("binary"), 256)
     n = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     one = found.select("doc_id", "rows", "media.*", n.alias("n_items"), sequence.alias("sequence_sha256"))
     return one.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("row", "rows")

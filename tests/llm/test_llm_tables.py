@@ -313,7 +313,7 @@ def plain_sequence(text):
     half = -(-len(said) // 2)
     before, after = ([sha(x.encode()) for x in part if x] for part in (said[:half], said[half:]))
     lines = [f"{sha(' '.join(before).encode())} image {sha(payload)} {sha(' '.join(text[:60].split()).encode())}"] + [sha(" ".join(after).encode()) + "   "] * bool(after)
-    return len(before) + 1 + len(after), sha("\n".join(lines).encode())
+    return len(before) + 1 + len(after), sha("\n".join(sha(x.encode()) for x in lines).encode())
 
 
 def test_media(spark):
