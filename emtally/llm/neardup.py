@@ -11,7 +11,8 @@ list, which unites most of a large group of copies. What is left is found exactl
 rarest value first: two similar sets share a value among their first ones. In a list of prefixes, classes of
 its largest component are not paired with each other, as they are linked already. A list with more than ``FEW``
 other classes isn't paired at all: it is told apart by a second value, which two similar sets share among a few more
-of their first ones, and so on, up to ``DEPTH`` values.
+of their first ones, and so on, up to ``DEPTH`` values. A list that they don't tell apart is paired like a small one, dealt to
+shares: the number of its pairs has no bound but the classes outside its largest component times all of it.
 
 The join of pairs with what belongs to an id is dealt by id and share: an id with more than ``SHARE`` pairs has
 several shares, to each of which its row is copied. Sets are of 64-bit hashes; that two shingles of one corpus have

@@ -65,6 +65,7 @@ def _digested(pages: DataFrame) -> DataFrame:
 
 
 def _date(page_id) -> str:
+    """The page_id in seconds, modulo 10^9: a negative one has a date after those of small positive ones."""
     return (_EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
