@@ -9,8 +9,10 @@ A list of more than ``RARE`` classes is never expanded into pairs. Two classes w
 are those whose sketches consist mostly of such frequent values. They are first compared with one pivot per
 list, which unites most of a large group of copies. What is left is found exactly by prefixes of the full sets,
 rarest value first: two similar sets share a value among their first ones. In a list of prefixes, classes of
-its largest component are not paired with each other, as they are linked already. A list with more than ``FEW``
-other classes isn't paired at all: it is told apart by a second value, which two similar sets share among a few more
+its largest component are not paired with each other, as they are linked already. While more than ``HEAVY`` pairs of
+a list are left, its other classes are compared with a few pivots only, drawn anew each round, and what is linked is united: where
+similarities lie about the threshold one pivot leaves many apart, and several don't. A list with more than ``FEW``
+other classes after that isn't paired at all: it is told apart by a second value, which two similar sets share among a few more
 of their first ones, and so on, up to ``DEPTH`` values. A list that they don't tell apart is paired like a small one, dealt to
 shares: the number of its pairs has no bound but the classes outside its largest component times all of it.
 
@@ -41,6 +43,10 @@ SHARE = 256
 FEW = 128
 #: Values by which a list is told apart at most; then its pairs are taken.
 DEPTH = 5
+#: Pairs of a list (classes outside its largest component times all) up to which no pivots are drawn.
+HEAVY = 4_096
+#: Pivots of a list's largest component and of the rest that a class draws in a round, out of a pool; rounds at most. After a round that leaves more than all but one in LEAST of its classes outside there is none.
+PIVOTS, POOL, ROUNDS, LEAST = 4, 64, 8, 40
 #: Chance that the estimate of a true link falls under the filter.
 MISS = 1e-6
 #: Ids up to which a set of ids is broadcast (8 bytes each); beyond, it is joined by a shuffle.
@@ -125,7 +131,8 @@ def attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """``pairs`` (a, b), a written table, with ``column`` of ``table``, which is unique on rep, for a and for b (named
     ``column``a, ``column``b). Ids that have more than SHARE pairs are dealt to shares by the pair, and their rows copied to
     each: at most one copy per SHARE pairs, in one exchange for both sides. The table of such ids is broadcast up to a counted size."""
-    counts = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    one = lambda x: pairs.groupBy(F.col(x).alias("id")).agg(F.count("*").alias("c"))
+    counts = one("a").unionByName(one("b")).groupBy("id").agg(F.ceil(F.sum("c") / SHARE).alias("shares"))
     shares = written(counts.where("shares > 1"), "shares")
     if shares.count() <= BROADCAST_IDS:
         shares = F.broadcast(shares)
@@ -258,8 +265,38 @@ class _Search:
             .select("rep", "n", "alone", F.posexplode(F.slice("v", F.lit(1), F.greatest(first - F.col("alone"), F.lit(0)).cast("int"))).alias("i", "x"))
             .select("rep", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.value").alias("value"))
         )
-        ranked = written(ranked.join(open_, "rep"), "prefixes")
-        return self.verified(self.of_lists(ranked).distinct())
+        ranked = written(ranked, "prefixes")
+        united, open_ = self.united(ranked, open_)
+        return self.verified(self.of_lists(written(ranked.join(open_, "rep"), "ranked")).distinct()).unionByName(united)
+
+    def united(self, ranked: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b), and ``open_`` (rep, component) with the components that they make: rounds in which each class outside the
+        largest component of a list with more than HEAVY pairs is compared, for one such list of it, with pivots of that component and
+        of the rest. A round has 2 * PIVOTS pairs a class at most, and it loses no link, as what stays apart is searched by ``of_lists``."""
+        first = ranked.where(F.col("pos") <= F.col("n") - F.ceil(self.percent * F.col("n") / 100)).select("value", "rep", "n")
+        found = open_.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+        before = None
+        for i in range(ROUNDS):
+            listed = first.join(open_, "rep")
+            parts = listed.groupBy("value", "component").agg(F.count("*").alias("c"))
+            lists = parts.groupBy("value").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"))
+            heavy = written(lists.where((F.col("size") - F.col("most")) * F.col("size") > HEAVY).select("value", "main"), "heavy")
+            if heavy.isEmpty():
+                break
+            listed = written(listed.join(heavy, "value").withColumn("inside", F.col("component") == F.col("main")), "listed")
+            outside = written(listed.where("NOT inside").groupBy("rep", "n", "component").agg(F.min_by("value", F.xxhash64("value", F.lit(i))).alias("value")), "outside")
+            if before is not None and LEAST * (before - outside.count()) < before:
+                break
+            before = outside.count()
+            draws = listed.groupBy("value", "inside", F.pmod(F.xxhash64("rep", F.lit(i)), F.lit(POOL)).alias("lot")).agg(F.min(F.struct("rep", "n", "component")).alias("p"))
+            pools = draws.groupBy("value").agg(*(F.collect_list(F.when(F.col("inside") == x, F.col("p"))).alias(name) for name, x in (("main_pool", True), ("rest_pool", False))))
+            drawn = F.array(*(F.try_element_at(pool, F.pmod(F.xxhash64("rep", F.lit(i), F.lit(j)), F.greatest(F.size(pool), F.lit(1))).cast("int") + 1) for j in range(PIVOTS) for pool in ("main_pool", "rest_pool")))
+            pairs = outside.join(pools, "value").select("rep", "n", "component", F.explode(drawn).alias("p")).where((F.col("component") != F.col("p.component")) & self.alike(F.col("n"), F.col("p.n")))
+            links = self.verified(pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")))
+            of = lambda x: open_.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
+            to = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("to"))
+            found, open_ = found.unionByName(links), written(open_.join(to, "component", "left").select("rep", F.coalesce("to", "component").alias("component")), "open")
+        return found, open_
 
     def of_lists(self, ranked: DataFrame) -> DataFrame:
         """Pairs (a, b) of classes of different components that may be similar, by the first ``values`` of their sets, (rep,

@@ -124,6 +124,30 @@ def test_a_large_list_of_unrelated_sets_is_not_paired(spark):
     assert (5, 77) in found and len(found) < neardup.FEW * len(sets)  # all pairs: 50 million
 
 
+def test_a_group_about_the_threshold_is_united_without_its_pairs(spark, monkeypatch):
+    rng, compared = random.Random(5), []
+    sets = [sorted({0, *rng.sample(range(1, 37), 33), *rng.sample(range(100, 112), 3)}) for _ in range(300)]
+    linked = lambda i, j: 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))
+    share = sum(linked(i, j) for i, j in itertools.combinations(range(300), 2)) / (300 * 299 / 2)
+    assert 0.05 < share < 0.8  # no pivot is linked with all
+
+    def verified(self, pairs):
+        compared.extend({(r.a, r.b) for r in pairs.collect()})
+        return spark.createDataFrame([p for p in compared if linked(*p)], "a long, b long")
+
+    monkeypatch.setattr(neardup._Search, "verified", verified)
+    rows = ranked(spark, sets, 80)
+    links, open_ = search(spark, 80).united(rows.drop("component"), rows.select("rep", "component").distinct())
+    parts = [{r.rep for r in open_.collect() if r.component == c} for c in {r.component for r in open_.collect()}]
+    assert len(parts) < 30 and len(compared) < 30 * 300, (len(parts), len(compared))  # all pairs: 150 a row
+    top = list(range(300))
+    for r in links.collect():
+        assert linked(r.a, r.b)
+        x, y = top[r.a], top[r.b]
+        top = [x if t == y else t for t in top]
+    assert {frozenset(i for i in range(300) if top[i] == t) for t in top} == set(map(frozenset, parts))
+
+
 def test_pairs_of_one_id_are_dealt_to_shares(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHARE", 10)
     rows = [(1, i) for i in range(2, 500)] + [(i, i + 1) for i in range(2, 30)]
