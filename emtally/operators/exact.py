@@ -5,9 +5,11 @@ in any order and partly before the shuffle; the few sums of a key are put togeth
 is the double nearest to the true sum, as ``math.fsum`` gives it. A key may have up to 2**30 rows.
 """
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,24 @@ def parts(x: Column) -> Column:
     return F.when(x.isNotNull() & (x != 0), F.filter(F.array(*found), lambda p: p["n"] != 0)).otherwise(F.array().cast("array<struct<power:int,n:bigint>>"))
 
 
+def _rounded(sums: pa.ListArray) -> list[float]:
+    """The double nearest to each list's sum of n * 2**(32 * power). Halves of n are doubles of their own, so fsum is exact; where
+    one of them is too large for a double, the sum is taken as a fraction."""
+    flat, ends = sums.flatten(), np.append(0, np.cumsum(sums.value_lengths().to_numpy(zero_copy_only=False))).tolist()
+    power, n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("power", "n"))
+    high = n >> 32
+    with np.errstate(over="ignore"):
+        halves = np.column_stack([np.ldexp(high.astype(float), _BITS * (power + 1)), np.ldexp((n - (high << 32)).astype(float), _BITS * power)]).ravel().tolist()
+    out = []
+    for a, b in zip(ends, ends[1:]):
+        try:
+            total = math.fsum(halves[2 * a : 2 * b])
+        except (OverflowError, ValueError):
+            total = math.inf
+        out.append(total if math.isfinite(total) else float(sum(Fraction(int(n[i])) * Fraction(2) ** (_BITS * int(power[i])) for i in range(a, b))))
+    return out
+
+
 def exact_sum(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """(*keys, name): the sum of finite doubles by ``keys``, correctly rounded; null and 0 add nothing, and a sum of nothing is 0."""
     cut = df.select(*keys, F.explode_outer(parts(value)).alias("p"))
@@ -40,10 +60,7 @@ def exact_sum(df: DataFrame, keys: list[str], value: Column, name: str) -> DataF
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.column(batch.schema.get_field_index("sums")).to_pylist():
-                whole = sum(Fraction(p["n"]) * Fraction(2) ** (_BITS * p["power"]) for p in row)
-                out.append(float(whole))
+            out = _rounded(batch.column("sums"))
             yield pa.record_batch([*(batch.column(k) for k in keys), pa.array(out, pa.float64())], names=[*keys, name])
 
     schema = ", ".join([*(f"`{k}` {df.select(k).schema[0].dataType.simpleString()}" for k in keys), f"`{name}` double"])

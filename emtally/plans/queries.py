@@ -259,7 +259,7 @@ def csr_offsets(spark: SparkSession, d: str) -> DataFrame:
 def em_k2_exact(spark: SparkSession, d: str) -> DataFrame:
     """Two steps and TPM by exact sums: the same to the last bit over any partitions."""
     targets, classes = _inputs(spark, d)
-    pairs, now = written(em.incidence(classes, targets), "incidence"), em.uniform(targets, classes)
+    pairs, now = bucketed(em.incidence(classes, targets), "incidence", "eq_id"), em.uniform(targets, classes)
     for _ in range(2):
         now = written(exact.em_step(pairs, now, em.LEAST_DENOMINATOR), "abundance")
     return _round(exact.tpm(targets.join(now.withColumnRenamed("a", "ecount"), "ref_id")).select("ref_id", "ecount", "tpm"), ecount=5, tpm=5)

@@ -8,6 +8,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,18 @@ def chunked(spark, tmp_path_factory):
     return path, a, t
 
 
+def test_sums_of_parts_are_rounded_once_without_fractions(monkeypatch):
+    rng, rows = random.Random(3), [[], [(-34, 1)], [(0, -1), (-1, 1)], [(31, 2**31), (31, -(2**31)), (-1, 5)]]
+    for _ in range(300):
+        power = rng.randrange(-25, 20)
+        rows.append([(power - i, rng.randrange(-(2**62), 2**62)) for i in range(rng.randint(1, 5))])
+    wanted = [float(sum(exact.Fraction(n) * exact.Fraction(2) ** (32 * p) for p, n in row)) for row in rows]
+    sums = pa.array([[{"power": p, "n": n} for p, n in row] for row in rows], pa.list_(pa.struct([("power", pa.int32()), ("n", pa.int64())])))
+    assert exact._rounded(sums) == wanted
+    monkeypatch.setattr(exact, "Fraction", None)  # nothing but sums beyond a double's range needs it
+    assert exact._rounded(sums[4:]) == wanted[4:]
+
+
 def test_estimation_by_exact_sums(spark):
     """Several steps, the test of convergence and the last step: the same bits over any partitions, for each of two samples."""
     rng = np.random.default_rng(8)
