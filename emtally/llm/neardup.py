@@ -11,10 +11,13 @@ list, which unites most of a large group of copies. What is left is found exactl
 rarest value first: two similar sets share a value among their first ones. In a list of prefixes, classes of
 its largest component are not paired with each other, as they are linked already. While more than ``HEAVY`` pairs of
 a list are left, its other classes are compared with a few pivots only, drawn anew each round, and what is linked is united: where
-similarities lie about the threshold one pivot leaves many apart, and several don't. A list with more than ``FEW``
-other classes after that isn't paired at all: it is told apart by a second value, which two similar sets share among a few more
-of their first ones, and so on, up to ``DEPTH`` values. A list that they don't tell apart is paired like a small one, dealt to
-shares: the number of its pairs has no bound but the classes outside its largest component times all of it.
+similarities lie about the threshold one pivot leaves many apart, and several don't. Lists with more than ``HEAVY`` pairs after that
+are searched by what sets don't share with a pivot of the list (``_Search.around``): sets that are alike share few of these values, and those
+that are linked, though not with the pivot, many, so that prefixes of them tell copies of one text apart, which prefixes of the sets don't.
+Of the other lists, one with more than ``FEW`` classes outside its largest component isn't paired: it is told apart by a second value, which two
+similar sets share among a few more of their first ones, and so on, up to ``DEPTH`` values. A list that they don't tell apart is paired like a
+small one, dealt to shares, and so is a list of values that sets don't share with a pivot: the number of its pairs has no bound but the
+classes outside its largest component times all of it.
 
 The join of pairs with what belongs to an id is dealt by id and share: an id with more than ``SHARE`` pairs has
 several shares, to each of which its row is copied. Sets are of 64-bit hashes; that two shingles of one corpus have
@@ -160,6 +163,15 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100 + percent))
 
 
+def by_rarity(rows: DataFrame, counts: DataFrame, on: list[str], keys: list[str], size: str, most: Column | None = None) -> DataFrame:
+    """(*keys, pos, value): the values of each set of ``rows`` (*keys, value), rarest first; only those in ``counts`` (*on, df), of values
+    that several sets have, and with ``most`` only among its first so many. ``size`` names the number of its values. Values of one set come
+    first in any order of rarity: only how many there are counts."""
+    v = rows.join(counts, on).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v")).withColumn("alone", F.col(size) - F.size("v"))
+    first = F.col("v") if most is None else F.slice("v", F.lit(1), F.greatest(most - F.col("alone"), F.lit(0)).cast("int"))
+    return v.select(*keys, "alone", F.posexplode(first).alias("i", "x")).select(*keys, (F.col("alone") + F.col("i")).alias("pos"), F.col("x.value").alias("value"))
+
+
 class _Search:
     def __init__(self, documents: DataFrame, classes: DataFrame, width: int, percent: int, k: int, rare: int):
         self.documents, self.classes, self.width, self.percent, self.k, self.rare = documents, classes, width, percent, k, rare
@@ -256,31 +268,32 @@ class _Search:
         full = written(self.full_sets(open_.select("rep")).mapInArrow(values, "rep long, n long, value long"), "values")
         df = full.groupBy("value").agg(F.count("*").alias("df"))
         df = written(df.where("df > 1"), "value-counts")
-        # values of one class come first in any order of rarity: only how many there are counts
-        shared = full.join(df, "value")
         first = F.col("n") - F.ceil(self.percent * F.col("n") / 100) + DEPTH
-        ranked = (
-            shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
-            .withColumn("alone", F.col("n") - F.size("v"))
-            .select("rep", "n", "alone", F.posexplode(F.slice("v", F.lit(1), F.greatest(first - F.col("alone"), F.lit(0)).cast("int"))).alias("i", "x"))
-            .select("rep", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.value").alias("value"))
-        )
+        ranked = by_rarity(full, df, ["value"], ["rep", "n"], "n", first)
         ranked = written(ranked, "prefixes")
         united, open_ = self.united(ranked, open_)
-        return self.verified(self.of_lists(written(ranked.join(open_, "rep"), "ranked")).distinct()).unionByName(united)
+        ranked = written(ranked.join(open_, "rep"), "ranked")
+        listed, heavy = self.heavy(ranked)
+        if heavy.isEmpty():
+            return self.verified(self.of_lists(ranked)).unionByName(united)
+        links, pairs = self.around(written(listed.join(heavy, "value"), "listed"))
+        return self.verified(pairs.unionByName(self.of_lists(ranked, heavy))).unionByName(links).unionByName(united)
+
+    def heavy(self, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The lists (value, rep, n, component) by the first values of ``ranked``, and (value, main) of those with more than HEAVY pairs, written."""
+        listed = ranked.where(F.col("pos") <= F.col("n") - F.ceil(self.percent * F.col("n") / 100)).select("value", "rep", "n", "component")
+        parts = listed.groupBy("value", "component").agg(F.count("*").alias("c"))
+        lists = parts.groupBy("value").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"))
+        return listed, written(lists.where((F.col("size") - F.col("most")) * F.col("size") > HEAVY).select("value", "main"), "heavy")
 
     def united(self, ranked: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links (a, b), and ``open_`` (rep, component) with the components that they make: rounds in which each class outside the
         largest component of a list with more than HEAVY pairs is compared, for one such list of it, with pivots of that component and
-        of the rest. A round has 2 * PIVOTS pairs a class at most, and it loses no link, as what stays apart is searched by ``of_lists``."""
-        first = ranked.where(F.col("pos") <= F.col("n") - F.ceil(self.percent * F.col("n") / 100)).select("value", "rep", "n")
+        of the rest. A round has 2 * PIVOTS pairs a class at most, and it loses no link, as what stays apart is searched by ``around`` and ``of_lists``."""
         found = open_.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
         before = None
         for i in range(ROUNDS):
-            listed = first.join(open_, "rep")
-            parts = listed.groupBy("value", "component").agg(F.count("*").alias("c"))
-            lists = parts.groupBy("value").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"))
-            heavy = written(lists.where((F.col("size") - F.col("most")) * F.col("size") > HEAVY).select("value", "main"), "heavy")
+            listed, heavy = self.heavy(ranked.join(open_, "rep"))
             if heavy.isEmpty():
                 break
             listed = written(listed.join(heavy, "value").withColumn("inside", F.col("component") == F.col("main")), "listed")
@@ -298,15 +311,57 @@ class _Search:
             found, open_ = found.unionByName(links), written(open_.join(to, "component", "left").select("rep", F.coalesce("to", "component").alias("component")), "open")
         return found, open_
 
-    def of_lists(self, ranked: DataFrame) -> DataFrame:
+    def around(self, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links, and pairs that may be, (a, b) each, between classes of different components that are in one list of ``listed`` (value, main, rep, n,
+        component), a written table. Each list has a pivot: the class of its main component that is in most of the lists.
+
+        Be d(x) the values that x has and the pivot hasn't, or the other way round: sets x and y that share o values have (|x| + |y| - d(x) - d(y)) / 2
+        plus those that d(x) and d(y) share. So they are linked if d(x) and d(y) share as many as o must be beyond that, at least: one or more,
+        unless both are linked with the pivot. (If x isn't, d(x) is at least 2 over the largest difference |x| + |pivot| - 2o that is linked; that of y and x can be larger than this
+        by less than 2 + d(y).) So prefixes of d(x) and d(y), rarest value first, meet."""
+        percent = self.percent
+        inside = listed.where("component = main")
+        pivots = inside.join(inside.groupBy("rep").agg(F.count("*").alias("lists")), "rep").groupBy("value").agg(F.max_by("rep", F.struct("lists", -F.col("rep"))).alias("a"))
+        groups = written(listed.join(pivots, "value").select("a", F.col("rep").alias("b"), "main", "component").distinct(), "groups")
+        sets = written(self.full_sets(groups.select(F.explode(F.array("a", "b")).alias("rep")).distinct()).select("rep", "set"), "sets")
+
+        def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values, n, linked = [], [], []
+                for x, y in zip(batch.column("seta"), batch.column("setb")):
+                    x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                    values.append(np.setxor1d(x, y, assume_unique=True))
+                    n.append(len(y))
+                    both = (len(x) + len(y) - len(values[-1])) // 2
+                    linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
+                yield pa.record_batch([*(batch.column(c) for c in ("a", "b", "main", "component")), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), lists], names=["a", "b", "main", "component", "n", "linked", "values"])
+
+        apart = written(attach(groups, sets, "set").mapInArrow(differ, "a long, b long, main long, component long, n long, linked boolean, values array<long>"), "apart")
+        links = apart.where("linked AND component != main").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        own = F.when(F.col("linked"), F.col("main")).otherwise(F.col("component"))
+        values = apart.select("a", F.col("b").alias("rep"), "n", F.size("values").cast("long").alias("d"), own.alias("component"), F.explode("values").alias("value"))
+        df = written(values.groupBy("a", "value").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")
+        ranked = by_rarity(values, df, ["a", "value"], ["a", "rep", "n", "d", "component"], "d")
+        keyed = written(ranked.withColumn("key", F.xxhash64("a", "value")).withColumn("had", F.lit(0)), "keyed")
+        parts = keyed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("d").alias("least"), F.max("n").alias("large"))
+        lists = parts.groupBy("key").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.min("least").alias("least"), F.max("large").alias("large")).where("size > most")
+        # what is shared at least with the set of the list that needs least: a lower bound, without rounding up
+        both = F.col("n") + F.col("large")
+        least = percent * both / (100 + percent) - (both - F.col("d") - F.col("least")) / 2
+        return links, self.across(written(keyed.join(written(lists, "prefix-lists"), "key").where(F.col("d") - F.col("pos") >= least), "listed"))
+
+    def of_lists(self, ranked: DataFrame, without: DataFrame | None = None) -> DataFrame:
         """Pairs (a, b) of classes of different components that may be similar, by the first ``values`` of their sets, (rep,
         component, n, pos, value) in one order for all sets, DEPTH more than the first n - t + 1, t being what a similar set shares at least.
+        Pairs whose first common value is in ``without`` (value) are left to ``around``.
 
         The j-th value that two similar sets share is among the first n - t + j of either. So their lists by the first shared
         value meet, and so do those by the first two, in order. A class leaves a list in which no other is large or small
         enough to share what is needed, as at most the values from its place on are left to share."""
         beyond = F.col("n") - F.ceil(self.percent * F.col("n") / 100)
-        keyed = ranked.where(F.col("pos") <= beyond).withColumnRenamed("value", "key").withColumn("had", F.lit(0))
+        keyed = ranked.where(F.col("pos") <= beyond)
+        keyed = (keyed if without is None else keyed.join(without, "value", "left_anti")).withColumnRenamed("value", "key").withColumn("had", F.lit(0))
         out = None
         for depth in range(1, DEPTH + 1):
             keyed = written(keyed, "keyed")
@@ -335,12 +390,14 @@ class _Search:
         return x.join(y, ["key", "ny"]).where("cx != cy AND x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     def across(self, listed: DataFrame) -> DataFrame:
-        """The pairs of ``listed`` outside each list's main component with all of the list; large lists are dealt to shares."""
+        """The pairs of ``listed`` outside each list's main component with all of the list; large lists are dealt to shares. Where only
+        values that a pivot hasn't in common are listed, ``d`` has their number."""
+        listed = listed if "d" in listed.columns else listed.withColumn("d", F.col("n"))
         shares = F.ceil(F.col("size") / SHARE)
-        one = lambda df, x: df.select("key", "share", "had", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("component").alias(f"c{x}"), F.col("main").alias(f"m{x}"))
+        one = lambda df, x: df.select("key", "share", "had", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("d").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("component").alias(f"c{x}"), F.col("main").alias(f"m{x}"))
         few = one(listed.where("component != main").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))), "x")
         all_ = one(listed.withColumn("share", F.pmod(F.xxhash64("rep"), shares)), "y").drop("had")
-        bound = F.col("had") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+        bound = F.col("had") + F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py")) + (F.col("nx") + F.col("ny") - F.col("dx") - F.col("dy")) / 2
         pairs = few.join(all_, ["key", "share"]).where(
             (F.col("cx") != F.col("cy")) & self.alike(F.col("nx"), F.col("ny")) & (bound >= _overlap(F.col("nx"), F.col("ny"), self.percent)) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
         )

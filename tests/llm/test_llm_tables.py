@@ -148,6 +148,50 @@ def test_a_group_about_the_threshold_is_united_without_its_pairs(spark, monkeypa
     assert {frozenset(i for i in range(300) if top[i] == t) for t in top} == set(map(frozenset, parts))
 
 
+def copies_in_blocks(rng, percent, n):
+    """Sets as of copies of one text of 150 words, with a few blocks of values replaced each; others with a part of it, and small ones."""
+    sets = {frozenset(range(150))}
+    for _ in range(n):
+        s = set(range(150))
+        for at in rng.sample(range(0, 150, 5), rng.randint(1, 5) * (100 - percent) // 20):
+            s = s - set(range(at, at + 5)) | {1000 * (at + 1) + rng.randrange(40) * 5 + i for i in range(rng.randint(3, 5))}
+        sets.add(frozenset(s))
+    sets |= {frozenset([0, *rng.sample(range(1, 150), rng.randint(0, 12)), *rng.sample(range(500, 520), rng.randint(0, 8))]) for _ in range(n // 10)}
+    return sorted(map(sorted, sets))
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_copies_of_one_text_are_told_apart_around_a_pivot(spark, monkeypatch, percent):
+    monkeypatch.setattr(neardup, "HEAVY", 50)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "SHARE", 32)
+    rng, compared = random.Random(percent), set()
+    sets = copies_in_blocks(rng, percent, 400)
+    linked = lambda i, j: 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))
+    links = [p for p in itertools.combinations(range(len(sets)), 2) if linked(*p)]
+    # what is linked with a few sets in the middle is known to be, as after a comparison with pivots
+    middle = {i for i, s in enumerate(sets) if len(set(range(150)) - set(s)) <= 10}
+    component = [0 if i in middle or any(linked(i, j) for j in list(middle)[:3]) else i + 1 for i in range(len(sets))]
+
+    def verified(self, pairs):
+        compared.update((r.a, r.b) for r in pairs.collect())
+        return spark.createDataFrame([p for p in compared if linked(*p)], "a long, b long")
+
+    monkeypatch.setattr(neardup._Search, "verified", verified)
+    texts = spark.createDataFrame([(i, " ".join(f"w{v}" for v in s)) for i, s in enumerate(sets)], "doc_id long, text string")
+    crowd = spark.createDataFrame([(0, i, len(s)) for i, s in enumerate(sets)], "value long, rep long, n long")
+    labels = spark.createDataFrame(list(enumerate(component)), "id long, component long")
+    found = {(r.a, r.b) for r in neardup._Search(texts, None, 1, percent, neardup.K, neardup.RARE).rest(crowd, labels).collect()}
+    assert found <= set(links)
+    top = list(component)
+    for i, j in found:
+        x, y = top[i], top[j]
+        top = [x if t == y else t for t in top]
+    assert all(top[i] == top[j] for i, j in links)
+    across = sum(component[i] != component[j] for i, j in itertools.combinations(range(len(sets)), 2))
+    assert len(compared) < 0.1 * across, (len(compared), across)
+
+
 def test_pairs_of_one_id_are_dealt_to_shares(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHARE", 10)
     rows = [(1, i) for i in range(2, 500)] + [(i, i + 1) for i in range(2, 30)]
