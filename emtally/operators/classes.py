@@ -24,13 +24,16 @@ def conditional_probabilities(alignments: DataFrame, targets: DataFrame, lengths
 
 def _labels(alignments: DataFrame, lib_type: str, value: Column) -> DataFrame:
     """Per fragment its accepted mappings in the order of the file. A fragment without one stays, with an empty list:
-    it is a class of its own. Not accepted mappings are dropped as the list is collected, not before."""
+    it is a class of its own. Not accepted mappings are dropped as the list is collected, not before. ``alignments`` may be nested, where
+    ``value`` needs no column: the lists are there."""
+    if "mappings" in alignments.columns:
+        return alignments.select(F.transform(F.filter("mappings", lambda x: compatible(lib_type, x["ori"])), lambda x: F.struct(x["ref_id"].alias("ref_id"), x["ori"].alias("ori"), value.alias("prob"))).alias("m"))
     kept = F.when(compatible(lib_type, F.col("ori")), F.struct("aln_idx", "ref_id", "ori", value.alias("prob")))
     return alignments.groupBy("frag_id").agg(F.array_sort(F.collect_list(kept)).alias("m"))
 
 
 def basic_classes(alignments: DataFrame, lib_type: str) -> DataFrame:
-    """(targets, oris, n): fragments by the sequence of their targets and orientations."""
+    """(targets, oris, n): fragments (of either form) by the sequence of their targets and orientations."""
     label = _labels(alignments, lib_type, F.lit(1.0)).select(F.transform("m", lambda x: x["ref_id"]).alias("targets"), F.transform("m", lambda x: x["ori"]).alias("oris"))
     return label.groupBy("targets", "oris").agg(F.count("*").alias("n"))
 

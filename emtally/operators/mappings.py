@@ -76,7 +76,9 @@ def sample_orientations(fragments: DataFrame, n: int) -> DataFrame:
 
 def unique_fragments(fragments: DataFrame) -> DataFrame:
     """(frag_id, ori, frag_len) of fragments that have one mapping, before any filter, and are no orphans: by sums of which a part
-    is done before the shuffle."""
+    is done before the shuffle. In the nested form they are rows."""
+    if "mappings" in fragments.columns:
+        return fragments.where((F.size("mappings") == 1) & ~F.col("is_orphan")).select("frag_id", F.col("mappings")[0]["ori"].alias("ori"), F.col("mappings")[0]["frag_len"].alias("frag_len"))
     sums = _flat(fragments).groupBy("frag_id").agg(F.count("*").alias("mappings"), F.max("is_orphan").alias("is_orphan"), F.min("ori").alias("ori"), F.min("frag_len").alias("frag_len"))
     return sums.where((F.col("mappings") == 1) & ~F.col("is_orphan")).select("frag_id", "ori", "frag_len")
 

@@ -52,7 +52,7 @@ def quantify(alignments: DataFrame, targets: DataFrame, options: QuantOptions, p
     if paired and options.fld_mean is not None:
         warnings.warn("fld_mean and fld_sd are ignored for paired input", stacklevel=2)
     # one shuffle by fragment: what groups the nested or the flat form by frag_id afterwards needs none
-    nested = bucketed(fragments(alignments), "fragments", "frag_id")
+    nested = bucketed(fragments(alignments), "fragments", "frag_id", placed=True)
     alignments = flatten(nested)
     lib = options.lib_type
     if lib == libtype.AUTO:
@@ -72,7 +72,7 @@ def quantify(alignments: DataFrame, targets: DataFrame, options: QuantOptions, p
     if bins > 1:
         found = eq.range_classes(eq.conditional_probabilities(alignments, targets, distribution), lib, bins)
     else:
-        found = eq.basic_classes(alignments, lib)
+        found = eq.basic_classes(nested, lib)
     classes = written(eq.packed(found, bins), "classes")
     lengths = written(fraglen.effective_lengths(targets, means), "targets")
     limits = {"max_iter": options.max_iter, "convergence": options.convergence_thresh, "presence": options.presence_thresh}

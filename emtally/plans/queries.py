@@ -25,7 +25,7 @@ def _a(spark, d):
 def _prepared(spark, d):
     """(nested, flat): the fragments, written in buckets of frag_id, and their alignments, for queries that read them several
     times; grouping either by frag_id shuffles nothing."""
-    nested = bucketed(fragments(_a(spark, d)), "fragments", "frag_id")
+    nested = bucketed(fragments(_a(spark, d)), "fragments", "frag_id", placed=True)
     return nested, flatten(nested)
 
 
@@ -161,8 +161,8 @@ def eq_class_totals(spark: SparkSession, d: str) -> DataFrame:
     return eq.totals(eq.basic_classes(_a(spark, d), LIB))
 
 
-def _classes(spark, d, flat=None):
-    return eq.packed(eq.basic_classes(_a(spark, d) if flat is None else flat, LIB))
+def _classes(spark, d, fragments=None):
+    return eq.packed(eq.basic_classes(_a(spark, d) if fragments is None else fragments, LIB))
 
 
 def em_init(spark: SparkSession, d: str) -> DataFrame:
@@ -170,8 +170,8 @@ def em_init(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _steps(spark, d, k):
-    nested, flat = _prepared(spark, d)
-    targets, classes = written(_targets(spark, d, nested), "targets"), written(_classes(spark, d, flat), "classes")
+    nested, _ = _prepared(spark, d)
+    targets, classes = written(_targets(spark, d, nested), "targets"), written(_classes(spark, d, nested), "classes")
     pairs = bucketed(em.incidence(classes, targets), "incidence", "eq_id")
     return targets, em.em_steps(pairs, em.uniform(targets, classes), targets, k)
 
@@ -225,8 +225,8 @@ def em_samples(spark: SparkSession, d: str) -> DataFrame:
 
 def _inputs(spark, d):
     """Written tables of targets and of basic classes."""
-    nested, flat = _prepared(spark, d)
-    return written(_targets(spark, d, nested), "targets"), written(_classes(spark, d, flat), "classes")
+    nested, _ = _prepared(spark, d)
+    return written(_targets(spark, d, nested), "targets"), written(_classes(spark, d, nested), "classes")
 
 
 def em_k10_range(spark: SparkSession, d: str) -> DataFrame:

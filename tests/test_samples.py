@@ -171,3 +171,26 @@ def test_many_classes_are_not_packed(spark, monkeypatch):
     monkeypatch.setattr(replicates, "ENTRIES", 5)
     with pytest.raises(ValueError, match="_frames"):
         replicates.packed_of(c)
+
+
+def test_classes_that_differ_in_order_are_solved_as_one(spark):
+    rows = [([0, 1], [0.2, 0.8], 5), ([1, 0], [0.8, 0.2], 7), ([1, 0], [0.2, 0.8], 2), ([2, 2], [1.0, 1.0], 3), ([], [], 4)]
+    classes = spark.createDataFrame(rows, "targets array<int>, probs array<double>, n long")
+    merged = sorted((r.targets, r.probs, r.n) for r in em.merged_classes(classes).collect())
+    assert merged == [([0, 1], [0.2, 0.8], [12]), ([0, 1], [0.8, 0.2], [2]), ([2, 2], [1.0, 1.0], [3])]
+    targets = spark.createDataFrame([(0, 100.0), (1, 50.0), (2, 0.0)], "ref_id int, eff_len double")
+    p = em.Packed.of_rows(*zip(*rows))
+    want, _ = em.solve(p, p.counts, np.array([100.0, 50.0, 0.0]))
+    got = {r.ref_id: r.ecount for r in em.em_frames(classes, targets).collect()}
+    assert np.allclose([got[i] for i in range(3)], want)
+
+
+def test_nested_fragments_give_the_classes_and_lengths_of_flat_ones(spark):
+    from emtally.operators import classes as eq
+    from emtally.operators import mappings
+    from emtally.sources.alignments import fragments
+
+    a = spark.createDataFrame([(f, i, (f * 3 + i) % 4, 5, 1 + (f + i) % 5, 100 + f, f % 3 == 0) for f in range(20) for i in range(f % 3 + 1)], "frag_id long, aln_idx int, ref_id int, pos long, ori int, frag_len int, is_orphan boolean")
+    for find in (lambda x: eq.basic_classes(x, "IU"), mappings.unique_fragments):
+        flat, nested = find(a), find(fragments(a))
+        assert sorted(map(tuple, nested.collect()), key=str) == sorted(map(tuple, flat.collect()), key=str)
