@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emtally.operators.em import Packed, em_frames, inverse, is_small, solve
+from emtally.operators.em import Packed, em_frames, inverse, is_small, solve, solve_merged
 from emtally.operators.exact import exact_sum
 from emtally.sources.shared import bucketed, new_path, written
 
@@ -85,8 +85,8 @@ def dealt(ahead: np.ndarray, cell: int, n: int, stream) -> np.ndarray:
     return k
 
 
-def drawn(classes: DataFrame, n: int, seed: int = 0, sample: int = 0) -> DataFrame:
-    """(rep, targets, probs, n): ``n`` times the fragments dealt anew to the classes in proportion, the empty class among them.
+def drawn_counts(classes: DataFrame, n: int, seed: int = 0, sample: int = 0) -> tuple[DataFrame, int]:
+    """(targets, probs, counts), an array of ``n`` numbers each, and the fragments of each draw: ``n`` times the fragments dealt anew to the classes in proportion, the empty class among them.
     They are dealt to cells of classes first and then within each, both in the cells' tasks; the driver sends a number per
     cell, CELLS at most. A class's cell comes from its content, so results don't depend on the partitioning."""
     spark, merged = classes.sparkSession, cells_of(classes)
@@ -104,14 +104,29 @@ def drawn(classes: DataFrame, n: int, seed: int = 0, sample: int = 0) -> DataFra
         counts = np.array([stream(rep, cell).multinomial(int(k), share) for rep, k in enumerate(dealt(ahead, places[cell], n, lambda low, high: stream(low, high, 1)))])
         return pd.DataFrame({"targets": rows["targets"].to_numpy(), "probs": rows["probs"].to_numpy(), "counts": list(counts.T)})
 
-    found = merged.groupBy("cell").applyInPandas(draw, "targets array<int>, probs array<double>, counts array<long>")
-    return found.select("targets", "probs", F.posexplode("counts").alias("rep", "n")).where("n > 0").select("rep", "targets", "probs", "n")
+    return merged.groupBy("cell").applyInPandas(draw, "targets array<int>, probs array<double>, counts array<long>"), int(ahead[-1])
+
+
+def drawn(classes: DataFrame, n: int, seed: int = 0, sample: int = 0) -> DataFrame:
+    """(rep, targets, probs, n) of ``drawn_counts``."""
+    return _by_replicate(drawn_counts(classes, n, seed, sample)[0])
+
+
+def _by_replicate(rows: DataFrame) -> DataFrame:
+    return rows.select("targets", "probs", F.posexplode("counts").alias("rep", "n")).where("n > 0").select("rep", "targets", "probs", "n")
 
 
 def bootstrap_frames(classes: DataFrame, targets: DataFrame, n: int, seed: int = 0, sample: int = 0, **limits) -> DataFrame:
     """``bootstrap`` for classes of any number: counts are drawn in tasks, and all replicates solved by DataFrame steps."""
-    found = em_frames(written(drawn(classes, n, seed, sample), "drawn"), targets, by=("rep",), **limits)
-    return found.select("rep", "ref_id", F.col("ecount").alias("value"))
+    rows, total = drawn_counts(classes, n, seed, sample)
+    rows = written(rows, "drawn")
+    if not is_small(targets.select("ref_id").crossJoin(classes.sparkSession.range(n))):
+        found = em_frames(written(_by_replicate(rows), "drawn"), targets, by=("rep",), **limits)
+        return found.select("rep", "ref_id", F.col("ecount").alias("value"))
+    merged = rows.where(F.size("targets") > 0).select("targets", "probs", F.lit(list(range(n))).cast("array<int>").alias("samples"), F.col("counts").alias("n"))
+    ids, found = solve_merged(merged, targets, np.full(n, float(total)), **limits)
+    table = pa.table({"rep": pa.array(np.repeat(np.arange(n), len(ids)), pa.int32()), "ref_id": pa.array(np.tile(ids, n), pa.int32()), "value": found.ravel()})
+    return classes.sparkSession.createDataFrame(table, RESULT)
 
 
 def chains(samples: int) -> list[int]:
@@ -187,19 +202,26 @@ def assign(targets: np.ndarray, probs: np.ndarray, starts: np.ndarray, n: np.nda
     return np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
 
 
-def drawing(shared, stream, i: int):
-    """The draws of iteration ``i`` for a cell of classes: (chain, ref_id, n), for the chains of ``shared`` (chain -> fractions)."""
+def packed_cell(table: pa.Table) -> pa.Table:
+    """A cell of classes as one row: its classes in the order of their keys, their targets and probabilities one after another."""
+    table = table.sort_by("key").combine_chunks()
+    lists = table.column("targets").combine_chunks()
+    columns = {"targets": lists.flatten(), "probs": table.column("probs").combine_chunks().flatten(), "sizes": lists.value_lengths(), "n": table.column("n").combine_chunks()}
+    return pa.table({"cell": table.column("cell")[:1], **{c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in columns.items()}})
 
-    def draw(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key").combine_chunks()
-        lists, cell = table.column("targets").combine_chunks(), table.column("cell")[0].as_py()
-        flat, probs, n = lists.flatten().to_numpy(), table.column("probs").combine_chunks().flatten().to_numpy(), table.column("n").to_numpy()
-        starts, found = np.append(0, np.cumsum(lists.value_lengths().to_numpy())), []
-        for c, mu in shared.value.items():
-            to, many = assign(flat, probs, starts, n, mu, stream(c, i, cell))
-            names, at = np.unique(to, return_inverse=True)
-            found.append(pa.table({"chain": pa.array(np.full(len(names), c), pa.int32()), "ref_id": pa.array(names, pa.int32()), "n": pa.array(np.bincount(at, many, len(names)).astype(np.int64))}))
-        return pa.concat_tables(found)
+
+def drawing(shared, stream, i: int):
+    """The draws of iteration ``i`` for cells of classes, of ``packed_cell``: (chain, ref_id, n), for the chains of ``shared`` (chain -> fractions)."""
+
+    def draw(batches):
+        for batch in batches:
+            for cell, *arrays in zip(batch.column("cell").to_pylist(), *(batch.column(c) for c in ("targets", "probs", "sizes", "n"))):
+                flat, probs, sizes, n = (x.values.to_numpy() for x in arrays)
+                starts = np.append(0, np.cumsum(sizes))
+                for c, mu in shared.value.items():
+                    to, many = assign(flat, probs, starts, n, mu, stream(c, i, cell))
+                    names, at = np.unique(to, return_inverse=True)
+                    yield pa.record_batch([pa.array(np.full(len(names), c), pa.int32()), pa.array(names, pa.int32()), pa.array(np.bincount(at, many, len(names)).astype(np.int64))], names=["chain", "ref_id", "n"])
 
     return draw
 
@@ -216,7 +238,8 @@ def gibbs_frames(classes: DataFrame, targets: DataFrame, start: DataFrame, n: in
     eff, first = (rows.column(c).to_numpy().astype(float) for c in ("eff_len", "ecount"))
     total = float(classes.agg(F.sum("n")).first()[0] or 0)
     prior = PRIOR * inverse(np.where(eff > 0, eff, np.inf))
-    cells, path, sizes = cells_of(classes.where(F.size("targets") > 0)), new_path(spark, "gibbs"), chains(n)
+    cells = cells_of(classes.where(F.size("targets") > 0)).groupBy("cell").applyInArrow(packed_cell, "cell long, targets array<int>, probs array<double>, sizes array<int>, n array<long>")
+    cells, path, sizes = written(cells, "cells"), new_path(spark, "gibbs"), chains(n)
     before = np.append(0, np.cumsum(sizes)).tolist()
     stream = lambda *key: np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, sample, 3, *key])))
     together = max(1, STATE // max(1, len(eff)))
@@ -239,7 +262,7 @@ def gibbs_frames(classes: DataFrame, targets: DataFrame, start: DataFrame, n: in
                 break
             shared = spark.sparkContext.broadcast(mu)
 
-            new = cells.groupBy("cell").applyInArrow(drawing(shared, stream, i), "chain int, ref_id int, n long").groupBy("chain", "ref_id").agg(F.sum("n").alias("n")).toArrow()
+            new = cells.mapInArrow(drawing(shared, stream, i), "chain int, ref_id int, n long").groupBy("chain", "ref_id").agg(F.sum("n").alias("n")).toArrow()
             chain, ref, many = (new.column(x).to_numpy() for x in ("chain", "ref_id", "n"))
             counts = {c: np.bincount(ref[chain == c], many[chain == c], len(eff)) for c in going}
             shared.unpersist()
