@@ -130,19 +130,27 @@ def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> Dat
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
-def attach(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b), a written table, with ``column`` of ``table``, which is unique on rep, for a and for b (named
-    ``column``a, ``column``b). Ids that have more than SHARE pairs are dealt to shares by the pair, and their rows copied to
-    each: at most one copy per SHARE pairs, in one exchange for both sides. The table of such ids is broadcast up to a counted size."""
+def shares_of(pairs: DataFrame) -> DataFrame:
+    """(id, shares) of each id in ``pairs`` (a, b), a written table, written: one share per SHARE pairs begun."""
     one = lambda x: pairs.groupBy(F.col(x).alias("id")).agg(F.count("*").alias("c"))
-    counts = one("a").unionByName(one("b")).groupBy("id").agg(F.ceil(F.sum("c") / SHARE).alias("shares"))
-    shares = written(counts.where("shares > 1"), "shares")
-    if shares.count() <= BROADCAST_IDS:
-        shares = F.broadcast(shares)
+    return written(one("a").unionByName(one("b")).groupBy("id").agg(F.ceil(F.sum("c") / SHARE).alias("shares")), "shares")
+
+
+def attach(pairs: DataFrame, table: DataFrame, column: str, shares: DataFrame | None = None) -> DataFrame:
+    """``pairs`` (a, b), a written table, with ``column`` of ``table``, which is unique on rep, for a and for b (named
+    ``column``a, ``column``b). Ids that have more than SHARE pairs are dealt to shares (``shares_of``) by the pair, and their rows copied to
+    each: at most one copy per SHARE pairs, in one exchange for both sides, of no other ids. Tables of ids are broadcast up to a counted size."""
+    shares = shares_of(pairs) if shares is None else shares
+    ids, many = shares.agg(F.count("*"), F.count(F.when(F.col("shares") > 1, 1))).first()
+    several = shares.where("shares > 1")
+    if many <= BROADCAST_IDS:
+        several = F.broadcast(several)
     n = F.coalesce("shares", F.lit(1))
-    copies = table.select(F.col("rep").alias("id"), column).join(shares, "id", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    own = table.select(F.col("rep").alias("id"), column)
+    own = own.join(F.broadcast(shares), "id") if ids <= BROADCAST_IDS else own.join(several, "id", "left")
+    copies = own.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     for x in ("a", "b"):
-        dealt = pairs.join(shares.withColumnRenamed("id", x), x, "left").withColumn("share", F.pmod(F.xxhash64("a", "b"), n)).drop("shares")
+        dealt = pairs.join(several.withColumnRenamed("id", x), x, "left").withColumn("share", F.pmod(F.xxhash64("a", "b"), n)).drop("shares")
         pairs = dealt.join(copies.select(F.col("id").alias(x), "share", F.col(column).alias(column + x)), [x, "share"]).drop("share")
     return pairs
 
@@ -176,6 +184,8 @@ class _Search:
     def __init__(self, documents: DataFrame, classes: DataFrame, width: int, percent: int, k: int, rare: int):
         self.documents, self.classes, self.width, self.percent, self.k, self.rare = documents, classes, width, percent, k, rare
         self.least = least_shared(k, percent)
+        #: (rep, set) of all classes whose pairs are verified, written, once they are known.
+        self.sets: DataFrame | None = None
 
     def needed(self, n: Column, m: Column) -> Column:
         """Values that the sketches of linked sets of n and m elements share at least."""
@@ -208,7 +218,10 @@ class _Search:
         """The pairs whose full sets are similar."""
         percent = self.percent
         pairs = written(self.estimated(written(pairs.distinct(), "pairs")), "candidates")
-        sets = written(self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()).select("rep", "set"), "sets")
+        shares = shares_of(pairs)
+        sets = self.sets
+        if sets is None:
+            sets = written(self.full_sets(shares.select(F.col("id").alias("rep"))).select("rep", "set"), "sets")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -221,7 +234,7 @@ class _Search:
                     keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return written(attach(pairs, sets, "set").mapInArrow(compare, "a long, b long"), "verified")
+        return written(attach(pairs, sets, "set", shares).mapInArrow(compare, "a long, b long"), "verified")
 
     def links(self) -> DataFrame:
         k = self.k
@@ -265,7 +278,8 @@ class _Search:
                         part = s[i : i + (1 << 16)]
                         yield pa.record_batch([pa.array(np.full(len(part), x)) for x in (rep, n)] + [pa.array(part)], names=["rep", "n", "value"])
 
-        full = written(self.full_sets(open_.select("rep")).mapInArrow(values, "rep long, n long, value long"), "values")
+        self.sets = written(self.full_sets(open_.select("rep")), "sets")
+        full = written(self.sets.mapInArrow(values, "rep long, n long, value long"), "values")
         df = full.groupBy("value").agg(F.count("*").alias("df"))
         df = written(df.where("df > 1"), "value-counts")
         first = F.col("n") - F.ceil(self.percent * F.col("n") / 100) + DEPTH
@@ -274,17 +288,18 @@ class _Search:
         united, open_ = self.united(ranked, open_)
         ranked = written(ranked.join(open_, "rep"), "ranked")
         listed, heavy = self.heavy(ranked)
+        heavy = written(heavy, "heavy")
         if heavy.isEmpty():
             return self.verified(self.of_lists(ranked)).unionByName(united)
         links, pairs = self.around(written(listed.join(heavy, "value"), "listed"))
         return self.verified(pairs.unionByName(self.of_lists(ranked, heavy))).unionByName(links).unionByName(united)
 
     def heavy(self, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The lists (value, rep, n, component) by the first values of ``ranked``, and (value, main) of those with more than HEAVY pairs, written."""
+        """The lists (value, rep, n, component) by the first values of ``ranked``, and (value, main) of those with more than HEAVY pairs."""
         listed = ranked.where(F.col("pos") <= F.col("n") - F.ceil(self.percent * F.col("n") / 100)).select("value", "rep", "n", "component")
         parts = listed.groupBy("value", "component").agg(F.count("*").alias("c"))
         lists = parts.groupBy("value").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"))
-        return listed, written(lists.where((F.col("size") - F.col("most")) * F.col("size") > HEAVY).select("value", "main"), "heavy")
+        return listed, lists.where((F.col("size") - F.col("most")) * F.col("size") > HEAVY).select("value", "main")
 
     def united(self, ranked: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links (a, b), and ``open_`` (rep, component) with the components that they make: rounds in which each class outside the
@@ -294,13 +309,12 @@ class _Search:
         before = None
         for i in range(ROUNDS):
             listed, heavy = self.heavy(ranked.join(open_, "rep"))
-            if heavy.isEmpty():
-                break
             listed = written(listed.join(heavy, "value").withColumn("inside", F.col("component") == F.col("main")), "listed")
             outside = written(listed.where("NOT inside").groupBy("rep", "n", "component").agg(F.min_by("value", F.xxhash64("value", F.lit(i))).alias("value")), "outside")
-            if before is not None and LEAST * (before - outside.count()) < before:
+            left = outside.count()
+            if left == 0 or before is not None and LEAST * (before - left) < before:
                 break
-            before = outside.count()
+            before = left
             draws = listed.groupBy("value", "inside", F.pmod(F.xxhash64("rep", F.lit(i)), F.lit(POOL)).alias("lot")).agg(F.min(F.struct("rep", "n", "component")).alias("p"))
             pools = draws.groupBy("value").agg(*(F.collect_list(F.when(F.col("inside") == x, F.col("p"))).alias(name) for name, x in (("main_pool", True), ("rest_pool", False))))
             drawn = F.array(*(F.try_element_at(pool, F.pmod(F.xxhash64("rep", F.lit(i), F.lit(j)), F.greatest(F.size(pool), F.lit(1))).cast("int") + 1) for j in range(PIVOTS) for pool in ("main_pool", "rest_pool")))
@@ -323,7 +337,6 @@ class _Search:
         inside = listed.where("component = main")
         pivots = inside.join(inside.groupBy("rep").agg(F.count("*").alias("lists")), "rep").groupBy("value").agg(F.max_by("rep", F.struct("lists", -F.col("rep"))).alias("a"))
         groups = written(listed.join(pivots, "value").select("a", F.col("rep").alias("b"), "main", "component").distinct(), "groups")
-        sets = written(self.full_sets(groups.select(F.explode(F.array("a", "b")).alias("rep")).distinct()).select("rep", "set"), "sets")
 
         def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -337,7 +350,7 @@ class _Search:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
                 yield pa.record_batch([*(batch.column(c) for c in ("a", "b", "main", "component")), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), lists], names=["a", "b", "main", "component", "n", "linked", "values"])
 
-        apart = written(attach(groups, sets, "set").mapInArrow(differ, "a long, b long, main long, component long, n long, linked boolean, values array<long>"), "apart")
+        apart = written(attach(groups, self.sets, "set").mapInArrow(differ, "a long, b long, main long, component long, n long, linked boolean, values array<long>"), "apart")
         links = apart.where("linked AND component != main").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         own = F.when(F.col("linked"), F.col("main")).otherwise(F.col("component"))
         values = apart.select("a", F.col("b").alias("rep"), "n", F.size("values").cast("long").alias("d"), own.alias("component"), F.explode("values").alias("value"))

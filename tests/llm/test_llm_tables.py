@@ -192,6 +192,34 @@ def test_copies_of_one_text_are_told_apart_around_a_pivot(spark, monkeypatch, pe
     assert len(compared) < 0.1 * across, (len(compared), across)
 
 
+def test_ids_to_verify_are_written_once_and_open_sets_are_hashed_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HEAVY", 20)
+    rng, plans, names, full, write = random.Random(11), [], [], neardup._Search.full_sets, neardup.written
+
+    def full_sets(self, ids):
+        plans.append(ids._jdf.queryExecution().optimizedPlan().toString())
+        return full(self, ids)
+
+    monkeypatch.setattr(neardup._Search, "full_sets", full_sets)
+    monkeypatch.setattr(neardup, "written", lambda df, name, *by: (names.append(name), write(df, name, *by))[1])
+    vocabulary = ["".join(rng.choice("aeioustrnl") for _ in range(3)) for _ in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    rows = [(i, " ".join(edited(rng, base, rng.randint(0, 5), vocabulary))) for i in range(60)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows), 3, 85, 32, 2).collect()]
+    assert sorted(got) == sorted(plain_groups(rows, 3, 85))
+    assert names.count("verified") > 2  # a round of pivots was drawn
+    assert len(plans) == 2 and not any(x in p for p in plans for x in ("Generate", "Join", "Aggregate")), plans
+
+
+def test_components_of_a_chain_take_few_tables(spark, monkeypatch):
+    names, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name, *by: (names.append(name), write(df, name, *by))[1])
+    links = [(i, i + 1) for i in range(26)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (300, 300)]
+    got = sorted(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).select("id", "component").collect()))
+    assert got == [(i, 0) for i in range(27)] + [(i, 100) for i in range(100, 140)] + [(200, 200), (201, 200)]
+    assert len(names) <= 7, names
+
+
 def test_pairs_of_one_id_are_dealt_to_shares(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHARE", 10)
     rows = [(1, i) for i in range(2, 500)] + [(i, i + 1) for i in range(2, 30)]
