@@ -296,7 +296,7 @@ class _Search:
 
     def heavy(self, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The lists (value, rep, n, component) by the first values of ``ranked``, and (value, main) of those with more than HEAVY pairs."""
-        listed = ranked.where(F.col("pos") <= F.col("n") - F.ceil(self.percent * F.col("n") / 100)).select("value", "rep", "n", "component")
+        listed = ranked.where(F.col("pos") <= F.col("n") - F.ceil(self.percent * F.col("n") / 100)).select("value", "rep", "n", "pos", "component")
         parts = listed.groupBy("value", "component").agg(F.count("*").alias("c"))
         lists = parts.groupBy("value").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"))
         return listed, lists.where((F.col("size") - F.col("most")) * F.col("size") > HEAVY).select("value", "main")
@@ -308,9 +308,12 @@ class _Search:
         found = open_.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
         before = None
         for i in range(ROUNDS):
-            listed, heavy = self.heavy(ranked.join(open_, "rep"))
+            joined = written(ranked.join(open_, "rep"), "members")
+            listed, heavy = self.heavy(joined)
             listed = written(listed.join(heavy, "value").withColumn("inside", F.col("component") == F.col("main")), "listed")
             outside = written(listed.where("NOT inside").groupBy("rep", "n", "component").agg(F.min_by("value", F.xxhash64("value", F.lit(i))).alias("value")), "outside")
+            # uniting components gives no list more pairs than before: the others stay out
+            ranked = listed.drop("component", "main", "inside")
             left = outside.count()
             if left == 0 or before is not None and LEAST * (before - left) < before:
                 break
